@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_join, quality_rules, token_counts
+from . import bpe, chat_format, language_id, mixing, ngram_join, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,27 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql("SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, :text AS text UNION ALL SELECT -1L, 1L, 'assistant', :text", {"text": CONTROL_TEXT})
+    return chat_format.digest(chat_format.format_turns(turns.unionByName(extra)))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(~language_id.held_out()))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.ordered(mixing.plan(_table(spark, sf_dir, "documents")))
+    return planned.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -31,8 +52,42 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_chat_format": op4_chat_format,
+    "op5_language_id": op5_language_id,
+    "op6_mixing": op6_mixing,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat_format": f"""
+        WITH turns AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}')
+        SELECT conv_id, count(*) AS n_turns,
+          sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+          coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+          sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+          sum(12 + length(replace({_ESCAPED.format('role')}, chr(10), '<|n|>')) + 1 + length({_ESCAPED.format('text')}) + 11)::BIGINT AS formatted_chars
+        FROM turns GROUP BY conv_id""",
+    "op6_mixing": r"""
+        WITH sized AS (
+          SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+            md5(coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
+        sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+        weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM sources),
+        levels AS (
+          SELECT *, ((sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)))::DOUBLE AS level
+          FROM weighed WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        aims AS (SELECT source, source_size, least(cap::DOUBLE, weight * max(level) OVER ()) AS target FROM levels),
+        placed AS (
+          SELECT s.doc_id, s.size, a.source_size, a.target,
+            coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.place, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+          FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source)
+        SELECT doc_id, size, source_size, target,
+          (size * ((target > 0 AND 2 * start + size <= 2 * target)::INT + (target > 0 AND 2 * (source_size + start) + size <= 2 * target)::INT
+            + (target > 0 AND 2 * (2 * source_size + start) + size <= 2 * target)::INT))::BIGINT AS taken
+        FROM placed""",
+}
