@@ -8,8 +8,9 @@
    position and the set's size and histogram. Shingles that only one class has are dropped.
 3. Rows that share a shingle become candidates if they pass the index-prefix, length, positional and
    suffix (histogram) filters. Each candidate pair is verified once on the whole sets.
-4. ``components`` first pairs every row with the smallest class of its shingle's list and contracts
-   what is linked; the later full join only pairs classes that are not yet connected. A group of
+4. ``components`` first pairs every row with one class of its shingle's list (the one in whose order
+   the shingle comes first: it has the fewest rarer ones, like the origin of a group of near copies)
+   and contracts what is linked; the later full join only pairs classes that are not yet connected. A group of
    near copies thus costs a star of pairs, and no link between components is lost.
 
 Hashes have 64 bits; a wrong verdict needs a collision among them.
@@ -131,32 +132,66 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common)], ["a", "b", "common"])
 
 
-def _both_sides(x: str, y: str, percent: int):
-    """Pairs (a, b) from two rows of one shingle's list, a the smaller set, that pass the filters."""
-    x_first = (F.col(f"{x}.n") < F.col(f"{y}.n")) | ((F.col(f"{x}.n") == F.col(f"{y}.n")) & (F.col(f"{x}.key") < F.col(f"{y}.key")))
-    pick = lambda f, small: F.when(x_first == F.lit(small), F.col(f"{x}.{f}")).otherwise(F.col(f"{y}.{f}"))
-    return {f"{side}{f}": pick(f, small) for side, small in (("a_", True), ("b_", False)) for f in ("key", "n", "pos", "sig")}
+def _bounded(rows: DataFrame, percent: int) -> DataFrame:
+    """Adds what the filters look at. reach: the largest partner for which this shingle can be the
+    first common one (positional filter: what is left of the set must hold the shingles to share);
+    indexed: the shingle stands in the shorter prefix that the smaller set of a pair needs."""
+    n, pos = F.col("n"), F.col("pos")
+    return rows.withColumns({
+        "reach": F.floor((100 + percent) * (n - pos) / F.lit(percent) + F.lit(1e-9)).cast("int") - n,
+        "indexed": pos < n - F.ceil(F.lit(2 * percent) * n / F.lit(100 + percent) - F.lit(1e-9)) + 1,
+    })
 
 
-def _least_common(percent: int):
-    """Shingles that sets of a_n and b_n must share."""
-    return F.ceil(F.lit(percent) * (F.col("a_n") + F.col("b_n")) / F.lit(100 + percent) - F.lit(1e-9))
+def _meets(x: str, y: str, percent: int):
+    """Index-prefix, length and positional filters for a smaller x and a larger y. A pair that links
+    passes at its first common shingle, so looking at each shingle alone loses none."""
+    f = lambda side, c: F.col(f"{side}.{c}")
+    return f(x, "indexed") & (f(x, "n") <= f(y, "n")) & (f(x, "n") * 100 >= f(y, "n") * percent) & (f(y, "n") <= f(x, "reach")) & (f(x, "n") <= f(y, "reach"))
 
 
-def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs after the index-prefix, length, suffix and positional filters."""
-    index = F.col("a_n") - F.ceil(F.lit(2 * percent) * F.col("a_n") / F.lit(100 + percent) - F.lit(1e-9)) + 1
-    part = lambda s, k: F.shiftrightunsigned(F.col(s), 16 * k).bitwiseAND(F.lit(0xFFFF))
-    apart = sum((F.abs(part("a_sig", k) - part("b_sig", k)) for k in range(1, 4)), F.abs(part("a_sig", 0) - part("b_sig", 0)))
-    rest = F.least(F.col("a_n") - F.max("a_pos"), F.col("b_n") - F.max("b_pos")) - 1
-    return (
-        rows.where((F.col("a_pos") < index) & (F.col("a_n") * 100 >= F.col("b_n") * percent))
-        .where(F.col("a_n") + F.col("b_n") - apart >= 2 * _least_common(percent))
-        .groupBy("a_key", "b_key", "a_n", "b_n")
-        .agg((F.count("*") + rest).alias("bound"))
-        .where(F.col("bound") >= _least_common(percent))
-        .select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), "a_n", "b_n")
-    )
+def _suffix(x: str, y: str, percent: int):
+    """Suffix filter: how far the sets' histograms over fixed parts of the order differ bounds the overlap."""
+    part = lambda s, k: F.shiftrightunsigned(F.col(f"{s}.sig"), 16 * k).bitwiseAND(F.lit(0xFFFF))
+    apart = sum((F.abs(part(x, k) - part(y, k)) for k in range(1, 4)), F.abs(part(x, 0) - part(y, 0)))
+    both = F.col(f"{x}.n") + F.col(f"{y}.n")
+    return (both - apart) * (100 + percent) >= 2 * percent * both
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("a_n"), F.col("y.n").alias("b_n")).distinct()
+
+
+def _smaller(x: str, y: str):
+    return (F.col(f"{x}.n") < F.col(f"{y}.n")) | ((F.col(f"{x}.n") == F.col(f"{y}.n")) & (F.col(f"{x}.key") < F.col(f"{y}.key")))
+
+
+def _stars(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidates between each row and the hub of its shingle's list: the class in whose order the
+    shingle comes first has the fewest rarer ones, like the origin of a group of near copies."""
+    row = F.struct("key", "n", "pos", "sig", "reach", "indexed")
+    met = _bounded(rows, percent).select("token", row.alias("r")).withColumn("hub", F.min_by("r", F.struct("r.pos", "r.key")).over(Window.partitionBy("token"))).where("r.key <> hub.key")
+    first = _smaller("r", "hub")
+    met = met.select(F.when(first, F.col("r")).otherwise(F.col("hub")).alias("x"), F.when(first, F.col("hub")).otherwise(F.col("r")).alias("y"))
+    return _pairs(met.where(_meets("x", "y", percent) & _suffix("x", "y", percent)))
+
+
+def _paired(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidates among all rows of a shingle that differ in ``comp``.
+
+    Rows of one list with equal size and reach form a cell. Cells are compared first, and rows only
+    meet where their cells do, so the many rows of a group that is connected already, or of texts too
+    far apart, are not compared one by one."""
+    cell = ["token", "n", "reach", "indexed"]
+    rows = _bounded(rows, percent)
+    cells = shared.stage(rows.groupBy(*cell).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "cells")
+    alike = (F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo"))
+    met = cells.alias("x").join(cells.alias("y"), F.col("x.token") == F.col("y.token")).where(_meets("x", "y", percent) & ~alike)
+    met = met.select("x.token", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in cell[1:]])
+    for side in "xy":
+        own = rows.select("token", *[F.col(c).alias(f"{side}_{c}") for c in cell[1:]], F.struct("key", "n", "sig", "comp").alias(side))
+        met = met.join(own, ["token", *[f"{side}_{c}" for c in cell[1:]]])
+    return _pairs(met.where((F.col("x.comp") != F.col("y.comp")) & _smaller("x", "y") & _suffix("x", "y", percent)))
 
 
 def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -218,22 +253,11 @@ def _prepared(df: DataFrame, id_col: str, text_col: str, n: int, percent: int):
     return members, texts, shared.stage(shared_rows, "prefixes")
 
 
-def _paired(rows: DataFrame, percent: int, pick: list) -> DataFrame:
-    x = rows.select("token", *pick, F.struct("key", "n", "pos", "sig").alias("x"))
-    y = rows.select("token", *[F.col(c).alias(f"other_{c}") for c in pick], F.struct("key", "n", "pos", "sig").alias("y"))
-    first = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key")))
-    apart = [F.col(c) != F.col(f"other_{c}") for c in pick]
-    met = x.join(y, "token").where(first & (F.col("x.n") * 100 >= F.col("y.n") * percent))
-    for c in apart:
-        met = met.where(c)
-    return _candidates(met.select(*[v.alias(k) for k, v in _both_sides("x", "y", percent).items()]), percent)
-
-
 def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """Every link between different sets: (a, b) of class keys, and the membership
     (doc_id, n_shingles, class_key). Its size is that of the answer; ``components`` needs far less."""
     members, texts, rows = _prepared(df, id_col, text_col, n, percent)
-    pairs = shared.stage(_paired(rows, percent, []), "pairs")
+    pairs = shared.stage(_paired(rows.withColumn("comp", F.col("key")), percent), "pairs")
     return _links(pairs, texts, n, percent), members
 
 
@@ -242,13 +266,12 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     class_key (equal for equal sets). Sets link when 100 * intersection >= percent * union."""
     members, texts, rows = _prepared(df, id_col, text_col, n, percent)
     lists = Window.partitionBy("token")
-    stars = rows.select("token", F.struct("key", "n", "pos", "sig").alias("x")).withColumn("y", F.min("x").over(lists)).where("x.key <> y.key")
-    tried = shared.stage(_candidates(stars.select(*[v.alias(k) for k, v in _both_sides("x", "y", percent).items()]), percent), "pairs")
+    tried = shared.stage(_stars(rows, percent), "pairs")
     edges = shared.stage(_links(tried, texts, n, percent), "links")
     roots = connected(edges)
     rest = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
     rest = rest.withColumns({"lo": F.min("comp").over(lists), "hi": F.max("comp").over(lists)}).where("lo <> hi").drop("lo", "hi")
-    pairs = _paired(shared.stage(rest, "rest"), percent, ["comp"]).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = _paired(shared.stage(rest, "rest"), percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = shared.stage(_links(shared.stage(pairs, "pairs"), texts, n, percent), "links")
     roots = connected(edges.union(more)) if more.take(1) else roots
     classes = members.groupBy("class_key").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
@@ -258,3 +281,13 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     named = shared.stage(classes.join(least, "root").select("class_key", "component_id"), "components")
     out = members.join(named, "class_key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class_key")
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``df`` less near duplicates: of each component the document with the smallest id
+    stays, once. Rows without an id cannot be told apart by the result and stay."""
+    found = components(df, id_col, text_col, n, percent)
+    gone = shared.stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    rest = df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    once = rest.where(F.col(id_col).isNotNull()).withColumn("_text", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)).dropDuplicates([id_col, "_text"]).drop("_text")
+    return once.unionByName(rest.where(F.col(id_col).isNull()))
