@@ -216,20 +216,24 @@ def _labelled(column: pa.Array, model: dict):
         yield from settle()
 
 
+def _verdicts(column: pa.Array, m: dict):
+    """(first row, predicted language or und, score) over groups of texts."""
+    k = len(m["langs"])
+    names = np.array([*m["langs"], UND], object)
+    for first, at, labels, letters in _labelled(column, m):
+        n = len(at) - 1
+        text = np.repeat(np.arange(n), np.diff(at))
+        votes = np.bincount(text * max(1, k) + labels, weights=letters, minlength=n * max(1, k)).reshape(n, max(1, k))
+        total = votes.sum(1)
+        winner = np.where((total > 0) & (k > 0), votes.argmax(1), k)
+        yield first, names[winner], np.where(winner < k, votes.max(1) / np.maximum(total, 1), 0.0)
+
+
 def _identifier(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        k = len(m["langs"])
-        names = np.array([*m["langs"], UND], object)
         for batch in batches:
-            for first, at, labels, letters in _labelled(batch.column(1), m):
-                n = len(at) - 1
-                text = np.repeat(np.arange(n), np.diff(at))
-                votes = np.bincount(text * max(1, k) + labels, weights=letters, minlength=n * max(1, k)).reshape(n, max(1, k))
-                total = votes.sum(1)
-                winner = np.where((total > 0) & (k > 0), votes.argmax(1), k)
-                score = np.where(winner < k, votes.max(1) / np.maximum(total, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(names[winner], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            for first, langs, score in _verdicts(batch.column(1), model.value):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(langs)), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return run
 
@@ -260,6 +264,17 @@ def identify(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return _read(df, id_col, text_col).mapInArrow(_identifier(shipped), "doc_id long, lang_pred string, score double")
 
 
+def keep(df: DataFrame, model: dict, text_col: str = "text", min_score: float = 0.3) -> DataFrame:
+    """The rows of ``df``, all columns, whose text has a language with at least ``min_score`` of its letters."""
+    shipped = df.sparkSession.sparkContext.broadcast(model)
+
+    def decide(column: pa.Array) -> np.ndarray:
+        parts = [(langs != UND) & (score >= min_score) for _, langs, score in _verdicts(column, shipped.value)]
+        return np.concatenate([np.zeros(0, bool), *parts])
+
+    return shared.keep_rows(df, text_col, decide)
+
+
 def label_spans(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The spans of one language: doc_id, first_word (from 0), n_words, lang."""
     shipped = df.sparkSession.sparkContext.broadcast(model)

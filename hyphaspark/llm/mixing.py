@@ -33,7 +33,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size (words)."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), sizes_of(text_col).alias("size"))
+
+
+def sizes_of(text_col: str) -> Column:
+    """Words of a text."""
+    return F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -64,24 +69,30 @@ def time_of(part: Column, slope: Column) -> Column:
 def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken, and the positions
     of its copies in training time (empty if none)."""
-    sized = shared.stage(sizes(df, id_col, text_col, source_col).withColumn("place", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "sized")
+    sized = shared.stage(sizes(df, id_col, text_col, source_col), "sized")
+    return _placed(sized, sized, "doc_id", "source", "size").select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions")
+
+
+def _placed(rows: DataFrame, sized: DataFrame, id_col: str, source_col: str, size_col: str) -> DataFrame:
+    """``rows`` with source_size, weight, target, copies and positions; ``sized`` is their small form."""
+    place = lambda c: F.md5(F.coalesce(F.col(c).cast("string"), F.lit("")))
     aims = targets(sized)
-    rows = sized.count()
+    count = sized.count()
     digits = 1
-    while digits < 7 and rows / 16**digits > RANGE_ROWS:
+    while digits < 7 and count / 16**digits > RANGE_ROWS:
         digits += 1
-    ranged = sized.withColumn("range", F.substring("place", 1, digits))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("source", "range").agg(F.sum("size").alias("n")).withColumn("range_start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    starts = starts.join(aims.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(F.col("source").alias("of"), F.col("range").alias("in_range"), "range_start", "source_size", "weight", "target")
-    inside = Window.partitionBy("source", "range").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("in_range")))
-    placed = placed.withColumn("start", F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    twice = lambda k: 2 * (k * F.col("source_size") + F.col("start")) + F.col("size")  # noqa: E731  twice the middle of a copy
+    ranges = sized.groupBy("source", F.substring(place("doc_id"), 1, digits).alias("range")).agg(F.sum("size").alias("n"))
+    ranges = ranges.withColumn("range_start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    ranges = ranges.join(aims.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(F.col("source").alias("_of"), F.col("range").alias("_in"), "range_start", "source_size", "weight", "target")
+    placed = rows.withColumns({"_place": place(id_col), "_source": F.col(source_col).cast("string")}).withColumn("_range", F.substring("_place", 1, digits))
+    placed = placed.join(ranges, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_in")))
+    inside = Window.partitionBy("_of", "_in").orderBy("_place", F.col(id_col).cast("long"), size_col).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("_start", F.col("range_start") + F.coalesce(F.sum(size_col).over(inside), F.lit(0)))
+    twice = lambda k: 2 * (k * F.col("source_size") + F.col("_start")) + F.col(size_col)  # noqa: E731  twice the middle of a copy
     passes = F.filter(F.array(*[F.lit(k) for k in range(MAX_PASSES)]), lambda k: (F.col("target") > 0) & (twice(k) <= 2 * F.col("target")))
     positions = F.transform(passes, lambda k: time_of(twice(k) / (2 * F.col("target")), ramp(F.col("weight"))))
-    done = placed.withColumn("positions", positions).withColumn("copies", F.size("positions").cast("long"))
-    return done.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions")
+    return placed.withColumn("positions", positions).withColumn("copies", F.size("positions").cast("long"))
 
 
 def ordered(planned: DataFrame) -> DataFrame:
@@ -89,8 +100,9 @@ def ordered(planned: DataFrame) -> DataFrame:
     return planned.withColumn("position", F.get("positions", F.lit(0))).repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def training_order(df: DataFrame, planned: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """A row of ``df`` for each copy in the mix, range-sorted by position; ids must be unique."""
-    copies = planned.where("copies > 0").select(F.col("doc_id").alias("of"), F.explode("positions").alias("position"))
-    joined = df.join(copies, F.col(id_col).cast("long").eqNullSafe(F.col("of")))
-    return joined.repartitionByRange("position", "of").sortWithinPartitions("position", "of").select(*[df[c] for c in df.columns], "position")
+def training_order(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """A row of ``df`` for each copy that the mix takes, all columns, range-sorted by position."""
+    sized = shared.stage(sizes(df, id_col, text_col, source_col), "sized")
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), sizes_of(text_col).alias("size"))
+    copies = _placed(rows, sized, "doc_id", "source", "size").select("row", "doc_id", F.explode("positions").alias("position"))
+    return copies.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select("row.*")

@@ -128,12 +128,19 @@ def _slice_stats(data: np.ndarray, offsets: np.ndarray, min_repeat: int):
 _STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "covered", "longest_repeat")
 
 
-def _stats(min_repeat: int):
+def _verdict(made: dict, max_covered: float, max_longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """base_failed and kept."""
+    failed = (made["n_words"] < MIN_WORDS) | (100 * made["covered"] > MAX_REPEATED_PERCENT * made["n_words"])
+    return failed, ~failed & (made["covered"] <= max_covered * made["n_words"]) & (made["longest_repeat"] <= max_longest)
+
+
+def _stats(max_covered: float, max_longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in shared.slices(batch.column(1)):
-                made, _ = _slice_stats(data, offsets, min_repeat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(offsets) - 1), *(pa.array(made[c].astype(np.int64)) for c in _STATS)], ["doc_id", *_STATS])
+                made, _ = _slice_stats(data, offsets, WINDOW)
+                counts = [pa.array(made[c].astype(np.int64)) for c in _STATS]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(offsets) - 1), *counts, *map(pa.array, _verdict(made, max_covered, max_longest))], ["doc_id", *_STATS, "base_failed", "kept"])
 
     return run
 
@@ -156,10 +163,15 @@ def repeat_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """One row per document: the counts, base_failed, kept, and the repetition figures
     (repeats of fewer than five words count as none)."""
-    made = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_stats(WINDOW), "doc_id long, " + ", ".join(f"{c} long" for c in _STATS))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("covered") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    repetitive = (F.col("covered") > max_covered * F.col("n_words")) | (F.col("longest_repeat") > max_longest)
-    return made.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.col("covered").alias("n_repeat_words"),
-        failed.alias("base_failed"), (~failed & ~repetitive).alias("kept"), "longest_repeat",
-    )
+    made = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_stats(max_covered, max_longest), "doc_id long, " + ", ".join(f"{c} long" for c in _STATS) + ", base_failed boolean, kept boolean")
+    return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.col("covered").alias("n_repeat_words"), "base_failed", "kept", "longest_repeat")
+
+
+def keep(df: DataFrame, text_col: str = "text", max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
+    """The rows of ``df``, all columns, that ``judge`` would keep."""
+
+    def decide(column: pa.Array) -> np.ndarray:
+        parts = [_verdict(_slice_stats(data, offsets, WINDOW)[0], max_covered, max_longest)[1] for _, data, offsets in shared.slices(column)]
+        return np.concatenate([np.zeros(0, bool), *parts])
+
+    return shared.keep_rows(df, text_col, decide)

@@ -37,6 +37,18 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_rows(df: DataFrame, text_col: str, decide) -> DataFrame:
+    """The rows whose texts ``decide`` keeps, with all their columns and without a shuffle. ``decide``
+    takes a string array and returns a mask."""
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(decide(batch.column(at)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 # --- words over Arrow buffers -------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

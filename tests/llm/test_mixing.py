@@ -39,8 +39,16 @@ def test_plan(spark):
     key = lambda r: (str(r.doc_id), r.size, r.positions)
     assert sorted(got, key=key) == sorted(again, key=key)
     assert mixing.plan(df.limit(0)).collect() == []
-    order = [r.position for r in mixing.training_order(df.where("doc_id <> 7"), mixing.plan(df.where("doc_id <> 7"))).collect()]
-    assert order == sorted(order) and len(order) == sum(r.copies for r in mixing.plan(df.where("doc_id <> 7")).collect())
+    taken = mixing.training_order(df)
+    assert taken.columns == df.columns
+    assert sorted(r.doc_id for r in taken.where("doc_id IS NOT NULL").collect()) == sorted(r.doc_id for r in got for _ in range(r.copies) if r.doc_id is not None)
+    place = {r.doc_id: r.positions for r in got if r.doc_id not in (None, 7)}
+    order = [r.doc_id for r in taken.where("doc_id <> 7").collect()]
+    spots, last = {i: iter(p) for i, p in place.items()}, -1.0
+    for i in order:
+        at = next(spots[i])
+        assert at >= last
+        last = at
 
 
 def test_schedule_inverse(spark):
