@@ -1 +1 @@
-""""""
+"""Column builders: membership functions, scores, projections and grid keys."""

@@ -1 +1 @@
-""""""
+"""DataFrame operators: rasters, polygons, weather, spots, evaluation, observations."""

@@ -1 +1 @@
-""""""
+"""Structured Streaming: the weather archive, phases and observation capture."""
