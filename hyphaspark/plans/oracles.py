@@ -267,9 +267,18 @@ ORACLE_SQL: dict[str, str] = {
     "geology_merged": f"{G} SELECT * FROM geo",
     "forest_host": f"WITH {CELLS}, {POLYGONS} SELECT cell_key, {_strings([*CATEGORY_CODES, 'ZZ'])}[poly_id % 21 + 1] AS forest_category, {_strings(HOST_CLASSES)}[poly_id % 21 + 1] AS host_class FROM direct",
     "layer_merge": f"{G}, {PIXELS}, {MERGED} SELECT * FROM merged",
+    "suitability_at": f"""{G}, {PIXELS}, {MERGED}, {PROFILE}, m AS (SELECT c.cell_key, p.species, CASE WHEN c.elevation_m IS NULL THEN 1.0 ELSE {trap('c.elevation_m', 'e0', 'e1', 'e2', 'e3')} END AS m_elevation,
+        CASE WHEN c.slope_deg IS NULL THEN 1.0 ELSE {trap('c.slope_deg', 'greatest(0.0::DOUBLE, s1 - 10)', 's1', 's2', '(s2 + 10)')} END AS m_slope, {_match('p_aspect', 'c.aspect', ASPECT)} AS m_aspect, {_match('p_ph', 'c.soil_ph', SOIL)} AS m_soil_ph, 0.5::DOUBLE AS m_drainage
+        FROM merged c CROSS JOIN profile p) SELECT cell_key, species, round({_mean(FULL)}, 6) AS score FROM m""",
     "cell_ids": f"WITH {CELLS} SELECT cell_key, 's100_' || floor(x / 100.0)::BIGINT || '_' || floor(y / 100.0)::BIGINT AS static_cell_id, {WCELL} AS meteo_cell_id FROM cells",
     "cell_centers": f"""WITH {CELLS}, k AS (SELECT DISTINCT floor(x / 2200.0)::BIGINT AS c, floor(y / 2200.0)::BIGINT AS r FROM cells), kk AS (SELECT *, (c + 0.5::DOUBLE) * 2200.0::DOUBLE AS px, (r + 0.5::DOUBLE) * 2200.0::DOUBLE AS py FROM k), {_inverse('px', 'py', 'g', 'kk')}
       SELECT 'm2200_' || c || '_' || r AS meteo_cell_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM g""",
+    "cell_polygons": f"""WITH {CELLS}, k AS (SELECT DISTINCT floor(x / 2200.0)::BIGINT AS c, floor(y / 2200.0)::BIGINT AS r FROM cells),
+      kk AS (SELECT c, r, n, (c + (n IN (1, 2))::INT) * 2200.0::DOUBLE AS px, (r + (n IN (2, 3))::INT) * 2200.0::DOUBLE AS py FROM k, range(4) t(n)), {_inverse('px', 'py', 'g', 'kk')}
+      SELECT 'm2200_' || c || '_' || r AS meteo_cell_id, """ + ", ".join(f"round(max({v}) FILTER (WHERE n = {n}), 4) AS {v}{n}" for n in range(4) for v in ("lon", "lat")) + """ FROM g GROUP BY c, r""",
+    "homolosine": f"""WITH {CELLS}, {_inverse('x', 'y', 'g', 'cells')}, t0 AS (SELECT cell_key, radians(lat) AS t, pi() * sin(radians(lat)) AS goal, lon FROM g),
+      """ + ", ".join(f"t{n + 1} AS (SELECT cell_key, t - (2 * t + sin(2 * t) - goal) / (2 + 2 * cos(2 * t)) AS t, goal, lon FROM t{n})" for n in range(8)) + """
+      SELECT cell_key, round(6378137.0 * (radians(30.0) + 2 * sqrt(2.0) / pi() * radians(lon - 30.0) * cos(t)), 2) AS hx, round(6378137.0 * (sqrt(2.0) * sin(t) - 0.0528035274542), 2) AS hy FROM t8""",
     "projected_round_trip": f"WITH {CELLS}, {_inverse('x', 'y', 'g', 'cells')} SELECT cell_key, round(lat, 6) AS lat, round(lon, 6) AS lon, true AS returns FROM g",
     "quantised_grid": f"{S}, {_MAPPED}, {_QUANT} SELECT * FROM quant",
     "colour_grid": f"{S}, {_MAPPED} SELECT i, j, round(least(1.0, greatest(0.0, score / 0.8)), 6) AS norm, CASE WHEN score > 0.05 THEN 200 ELSE 0 END AS alpha FROM coarse",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,15 @@ def read(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
+def _with_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go where the cluster says; a folder of our own serves only where nothing is set."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+
+
 def overwrite_dates(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], dates: DataFrame, key: str) -> None:
     """Replaces the partitions of ``dates`` by what ``change`` makes of their rows."""
+    _with_checkpoints(spark)
     schema = f"{key} string, date date, precip_mm double, soil_temp_c double, soil_moist double"
     old = read(spark, path, schema).join(dates, "date", "left_semi").select(key, "date", "precip_mm", "soil_temp_c", "soil_moist")
     new = change(old).repartition("date").checkpoint()  # the old files go while the new ones are written
