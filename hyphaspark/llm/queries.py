@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.components(_table(spark, sf_dir, "documents"))
+    return ngram_join.components(_table(spark, sf_dir, "documents")).drop("class_key")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+    return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,29 @@ QUERIES = {
 
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_MAX_LONGEST, _MAX_COVERED = quality_rules.MAX_LONGEST, quality_rules.MAX_COVERED
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": f"""
+        WITH RECURSIVE words AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS.replace('coalesce(text', "translate(coalesce(text").replace("''), '[", "''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[")} AS w FROM documents),
+        sets AS (SELECT row, doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+        grams AS (SELECT row, len(s) AS n, unnest(s) AS g FROM sets),
+        pairs AS (SELECT a.row AS a, b.row AS b FROM grams a JOIN grams b ON a.g = b.g AND a.row <> b.row GROUP BY a.row, b.row, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        reach AS (SELECT row AS a, row AS b FROM sets UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b)
+        SELECT s.doc_id, len(s.s) AS n_shingles, min(t.doc_id) AS component_id FROM sets s JOIN reach r ON r.a = s.row JOIN sets t ON t.row = r.b GROUP BY s.row, s.doc_id, s.s""",
+    "op9_quality_rules": f"""
+        WITH words AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+        runs AS (SELECT row, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT row, w, unnest(range(1, len(w) - 3)) AS i FROM words)),
+        again AS (SELECT row, unnest(range(i, i + 5)) AS spot FROM (SELECT *, count(*) OVER (PARTITION BY row, g) AS k FROM runs) WHERE k > 1),
+        covered AS (SELECT row, count(DISTINCT spot) AS n FROM again GROUP BY row),
+        long AS (SELECT DISTINCT row FROM (SELECT row, array_to_string(w[i : i + {_MAX_LONGEST}], ' ') AS g FROM (SELECT row, w, unnest(range(1, len(w) - {_MAX_LONGEST} + 1)) AS i FROM words JOIN covered USING (row))) GROUP BY row, g HAVING count(*) > 1),
+        lines AS (SELECT row, count(*) - count(DISTINCT l) AS n FROM (SELECT row, unnest(string_split(text, chr(10))) AS l FROM words) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY row),
+        stats AS (SELECT words.row, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, long.row IS NOT NULL AS has_long
+          FROM words LEFT JOIN covered USING (row) LEFT JOIN lines USING (row) LEFT JOIN long USING (row)),
+        judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM stats)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_repeat_words <= {_MAX_COVERED} * n_words AND NOT has_long AS kept FROM judged""",
     "op4_chat_format": f"""
         WITH turns AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
