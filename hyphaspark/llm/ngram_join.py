@@ -107,13 +107,18 @@ def _prefixes(n: int, percent: int, counts):
 
 def _whole_sets(n: int, bloom):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bloom.value
+        bits, seen = bloom.value, set()
         for batch in batches:
             keys, sets = [], []
             for _, hashes in _sets(batch.column(0), n):
                 key = _key(hashes)
+                if key in seen:  # a copy of what this task has already sent
+                    continue
                 spot = shared.mix(np.array([key], np.int64).view(np.uint64), 3) & np.uint64(len(bits) * 8 - 1)
                 if bits[int(spot[0]) >> 3] >> (int(spot[0]) & 7) & 1:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(key)
                     keys.append(key)
                     sets.append(hashes.tobytes())
             if keys:
@@ -123,13 +128,15 @@ def _whole_sets(n: int, bloom):
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes of both sets and of their intersection."""
     for batch in batches:
-        common = np.zeros(batch.num_rows, np.int64)
+        counts = np.zeros((3, batch.num_rows), np.int64)
         for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
+            x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+            both = np.concatenate([x, y])
             both.sort(kind="stable")  # two sorted runs: a merge
-            common[i] = np.count_nonzero(both[1:] == both[:-1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common)], ["a", "b", "common"])
+            counts[:, i] = len(x), len(y), np.count_nonzero(both[1:] == both[:-1])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, counts)], ["a", "b", "a_n", "b_n", "common"])
 
 
 def _bounded(rows: DataFrame, percent: int) -> DataFrame:
@@ -176,6 +183,11 @@ def _stars(rows: DataFrame, percent: int) -> DataFrame:
     return _pairs(met.where(_meets("x", "y", percent) & _suffix("x", "y", percent)))
 
 
+def _tokens(rows: DataFrame) -> DataFrame:
+    """key and its shingles in ``rows``."""
+    return shared.stage(rows.groupBy("key").agg(F.collect_set("token").alias("tokens")), "tokens")
+
+
 def _paired(rows: DataFrame, percent: int) -> DataFrame:
     """Candidates among all rows of a shingle that differ in ``comp``.
 
@@ -194,9 +206,21 @@ def _paired(rows: DataFrame, percent: int) -> DataFrame:
     return _pairs(met.where((F.col("x.comp") != F.col("y.comp")) & _smaller("x", "y") & _suffix("x", "y", percent)))
 
 
-def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _overlapping(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose prefixes share enough. Of two sets, one prefix ends first in the order; every common
+    shingle up to there is in both prefixes, and beyond it that set only has its ceil(t n) - 1 others.
+    ``tokens`` has the prefix shingles that several classes have, the only ones that can be shared."""
+    rest = lambda c: F.ceil(F.lit(percent) * F.col(c) / F.lit(100) - F.lit(1e-9)) - 1
+    least = F.ceil(F.lit(percent) * (F.col("a_n") + F.col("b_n")) / F.lit(100 + percent) - F.lit(1e-9))
+    both = pairs.join(tokens.toDF("a", "a_tokens"), "a").join(tokens.toDF("b", "b_tokens"), "b")
+    common = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    return both.where(common >= least - F.greatest(rest("a_n"), rest("b_n"))).select("a", "b", "a_n", "b_n")
+
+
+def _links(pairs: DataFrame, tokens: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
     spark = pairs.sparkSession
+    pairs = shared.stage(_overlapping(pairs, tokens, percent), "overlapping")
     involved = shared.stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "involved")
     count = involved.count()
     if not count:
@@ -208,11 +232,14 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     bits = np.zeros(size // 32, np.uint32)
     bits[words["word"].to_numpy()] = words["bits"].to_numpy()
     bloom = spark.sparkContext.broadcast(bits.view(np.uint8))
-    sets = texts.mapInArrow(_whole_sets(n, bloom), "key long, hashes binary").join(involved, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes"))
-    sets = shared.stage(sets, "sets")
-    both = pairs.join(sets.toDF("a", "a_hashes"), "a").join(sets.toDF("b", "b_hashes"), "b").select("a", "b", "a_hashes", "b_hashes", "a_n", "b_n")
-    found = both.select("a", "b", "a_hashes", "b_hashes").mapInArrow(_verify, "a long, b long, common long")
-    return found.join(pairs, ["a", "b"]).where(F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * percent).select("a", "b")
+    # A set travels once to its class and from there to each of its pairs, where both sides meet.
+    sets = texts.mapInArrow(_whole_sets(n, bloom), "key long, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes"))
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("key"))
+    sent = ends.join(sets, "key")
+    side = lambda c: F.max(F.when(F.col("key") == F.col(c), F.col("hashes")))
+    both = sent.groupBy("a", "b").agg(side("a").alias("a_hashes"), side("b").alias("b_hashes"))
+    found = both.mapInArrow(_verify, "a long, b long, a_n long, b_n long, common long")
+    return found.where(F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * percent).select("a", "b")
 
 
 def _spots(keys, size: int):
@@ -258,7 +285,7 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     (doc_id, n_shingles, class_key). Its size is that of the answer; ``components`` needs far less."""
     members, texts, rows = _prepared(df, id_col, text_col, n, percent)
     pairs = shared.stage(_paired(rows.withColumn("comp", F.col("key")), percent), "pairs")
-    return _links(pairs, texts, n, percent), members
+    return _links(pairs, _tokens(rows), texts, n, percent), members
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -267,12 +294,13 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     members, texts, rows = _prepared(df, id_col, text_col, n, percent)
     lists = Window.partitionBy("token")
     tried = shared.stage(_stars(rows, percent), "pairs")
-    edges = shared.stage(_links(tried, texts, n, percent), "links")
+    tokens = _tokens(rows)
+    edges = shared.stage(_links(tried, tokens, texts, n, percent), "links")
     roots = connected(edges)
     rest = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
     rest = rest.withColumns({"lo": F.min("comp").over(lists), "hi": F.max("comp").over(lists)}).where("lo <> hi").drop("lo", "hi")
     pairs = _paired(shared.stage(rest, "rest"), percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = shared.stage(_links(shared.stage(pairs, "pairs"), texts, n, percent), "links")
+    more = shared.stage(_links(shared.stage(pairs, "pairs"), tokens, texts, n, percent), "links")
     roots = connected(edges.union(more)) if more.take(1) else roots
     classes = members.groupBy("class_key").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
     classes = classes.join(roots.withColumnRenamed("node", "class_key"), "class_key", "left").withColumn("root", F.coalesce("root", "class_key"))
