@@ -219,10 +219,10 @@ OBS = """obs AS (SELECT event_id AS id, ts, user_id, CASE WHEN event_id % 13 <>
  cleaned AS (SELECT *, try_cast(replace(weight_text, ',', '.') AS DOUBLE) AS weight_g, CASE WHEN weight_text IS NOT NULL AND try_cast(replace(weight_text, ',', '.') AS DOUBLE) IS NULL THEN 'weight_text' END AS error FROM obs)"""
 
 ORACLE_SQL: dict[str, str] = {
-    "static_suitability": f"{S} SELECT cell_key, species, round(score, 6) AS score FROM scored",
-    "static_breakdown": f"{S} SELECT cell_key, species, " + ", ".join(f"round(m_{c}, 6) AS m_{c}" for c in ("host", "habitat_gate", "elevation", "slope", "aspect", "soil_ph", "drainage")) + " FROM members",
+    "static_suitability": f"{S} SELECT cell_key, species, score FROM scored",
+    "static_breakdown": f"{S} SELECT cell_key, species, " + ", ".join(f"round(m_{c}, 10) AS m_{c}" for c in ("host", "habitat_gate", "elevation", "slope", "aspect", "soil_ph", "drainage")) + " FROM members",
     "map_stats": f"{S} SELECT species, round(max(score), 6) AS max_score, count(*) FILTER (WHERE {ABOVE}) AS n_candidates, count(*) FILTER (WHERE score > 0) AS n_scored, least(300, count(*) FILTER (WHERE {ABOVE})) AS n_top FROM scored GROUP BY 1",
-    "map_topk": f"{S} SELECT species, rank, cell_key, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY species ORDER BY score DESC, cell_key)::INT AS rank FROM scored WHERE {ABOVE}) WHERE rank <= 300",
+    "map_topk": f"{S} SELECT species, rank, cell_key, score FROM (SELECT *, row_number() OVER (PARTITION BY species ORDER BY score DESC, cell_key)::INT AS rank FROM scored WHERE {ABOVE}) WHERE rank <= 300",
     "species_subset": f"{S} SELECT species, count(*) FILTER (WHERE {ABOVE}) AS n_above, count(*) AS n_cells FROM scored WHERE species IN ('boletus_edulis', 'cantharellus_cibarius') GROUP BY 1",
     "custom_weights": f"{S} SELECT species, round(avg(m_host * {_mean([('elevation', 2.0), ('aspect', 1.0), ('soil_ph', 1.0)])} * m_habitat_gate), 6) AS mean_score FROM members GROUP BY 1",
     "meteo_daily": f"{M} SELECT * FROM days",
@@ -275,7 +275,7 @@ ORACLE_SQL: dict[str, str] = {
       SELECT 'm2200_' || c || '_' || r AS meteo_cell_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM g""",
     "cell_polygons": f"""WITH {CELLS}, k AS (SELECT DISTINCT floor(x / 2200.0)::BIGINT AS c, floor(y / 2200.0)::BIGINT AS r FROM cells),
       kk AS (SELECT c, r, n, (c + (n IN (1, 2))::INT) * 2200.0::DOUBLE AS px, (r + (n IN (2, 3))::INT) * 2200.0::DOUBLE AS py FROM k, range(4) t(n)), {_inverse('px', 'py', 'g', 'kk')}
-      SELECT 'm2200_' || c || '_' || r AS meteo_cell_id, """ + ", ".join(f"round(max({v}) FILTER (WHERE n = {n}), 4) AS {v}{n}" for n in range(4) for v in ("lon", "lat")) + """ FROM g GROUP BY c, r""",
+      SELECT 'm2200_' || c || '_' || r AS meteo_cell_id, """ + ", ".join(f"round_even(max({v}) FILTER (WHERE n = {n}), 5) AS {v}{n}" for n in range(4) for v in ("lon", "lat")) + """ FROM g GROUP BY c, r""",
     "homolosine": f"""WITH {CELLS}, {_inverse('x', 'y', 'g', 'cells')}, t0 AS (SELECT cell_key, radians(lat) AS t, pi() * sin(radians(lat)) AS goal, lon FROM g),
       """ + ", ".join(f"t{n + 1} AS (SELECT cell_key, t - (2 * t + sin(2 * t) - goal) / (2 + 2 * cos(2 * t)) AS t, goal, lon FROM t{n})" for n in range(8)) + """
       SELECT cell_key, round(6378137.0 * (radians(30.0) + 2 * sqrt(2.0) / pi() * radians(lon - 30.0) * cos(t)), 2) AS hx, round(6378137.0 * (sqrt(2.0) * sin(t) - 0.0528035274542), 2) AS hy FROM t8""",

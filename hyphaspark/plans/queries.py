@@ -35,12 +35,12 @@ def phases(s: SparkSession, d: str) -> DataFrame:
 
 
 def static_suitability(s, d):
-    return scored(s, d).select("cell_key", "species", F.round("score", 6).alias("score"))
+    return scored(s, d).select("cell_key", "species", "score")
 
 
 def static_breakdown(s, d):
     parts = ["host", "habitat_gate", "elevation", "slope", "aspect", "soil_ph", "drainage"]
-    return scored(s, d, True).select("cell_key", "species", *[F.round(f"breakdown.{c}", 6).alias(f"m_{c}") for c in parts])
+    return scored(s, d, True).select("cell_key", "species", *[F.round(f"breakdown.{c}", 10).alias(f"m_{c}") for c in parts])
 
 
 def map_stats(s, d):
@@ -48,7 +48,7 @@ def map_stats(s, d):
 
 
 def map_topk(s, d):
-    return spots.top_cells(scored(s, d), ["cell_key"]).select("species", "rank", "cell_key", F.round("score", 6).alias("score"))
+    return spots.top_cells(scored(s, d), ["cell_key"]).select("species", "rank", "cell_key", "score")
 
 
 def species_subset(s, d):
@@ -283,7 +283,7 @@ def cell_centers(s, d):
 
 def cell_polygons(s, d):
     made = cell_ids(s, d).select("meteo_cell_id").distinct().select("meteo_cell_id", grid.polygon(F.col("meteo_cell_id")).alias("ring"))
-    return made.select("meteo_cell_id", *[F.round(F.col("ring")[k][c], 4).alias(f"{n}{k}") for k in range(4) for c, n in ((0, "lon"), (1, "lat"))])
+    return made.select("meteo_cell_id", *[F.col("ring")[k][c].alias(f"{n}{k}") for k in range(4) for c, n in ((0, "lon"), (1, "lat"))])
 
 
 def projected_round_trip(s, d):
