@@ -48,3 +48,35 @@ def test_like_brute_force(spark):
     assert max(s for i, s in scores.items() if i % 3) < min(s for i, s in scores.items() if i % 3 == 0)
     assert lm_score.score(df.limit(0), model).collect() == []
     assert len(lm_score.score(df, lm_score.train(df.limit(0), labels.limit(0))).collect()) == len(rows)
+
+
+def test_counts_grow_with_the_corpus(spark, monkeypatch):
+    """More words and pairs than the former 2^15 words and 2^19 buckets, more blocks than one, more labelled
+    documents than the former 20,000: every word, pair and label counts."""
+    monkeypatch.setattr(lm_score, "BLOCK", 1 << 20, raising=False)
+    rng = random.Random(7)
+    rows = [(i, " ".join([f"w{rng.randrange(300_000)}" for _ in range(24)] + ["all", "of", "them"])) for i in range(30_000)]
+    labels = [i for i in range(30_000) if i % 6]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    model = lm_score.train(df, spark.createDataFrame([(i,) for i in labels], "doc_id long"))
+    counts = []
+    for chosen in (set(range(30_000)), set(labels)):
+        c1, c0, c2 = Counter(), Counter(), Counter()
+        for i, t in rows:
+            if i in chosen:
+                w = t.split()
+                c1.update(w)
+                c0.update(["<s>", *w[:-1]])
+                c2.update(zip(["<s>", *w[:-1]], w, strict=True))
+        counts.append((c1, c0, c2, sum(c1.values())))
+    size = len(counts[0][0]) + 2
+    assert size > 1 << 17 and len(counts[0][2]) > 1 << 19 and len(labels) > 20_000
+    other = df.where("doc_id < 500").repartition(2)  # rows that are not those of the model
+    for got, n in ((lm_score.score(df, model).collect(), len(rows)), (lm_score.score(other, model).collect(), 500)):
+        assert len(got) == n
+        by_id = {r.doc_id: r for r in got}
+        for i, t in rows[:500]:
+            w = t.split()
+            for (c1, c0, c2, total), loss in zip(counts, (by_id[i].background_loss, by_id[i].target_loss), strict=True):
+                want = sum(math.log(c0[v] + lm_score.MU) - math.log(c2[v, x] + lm_score.MU * (c1[x] + 1) / (total + size)) for v, x in zip(["<s>", *w[:-1]], w, strict=True))
+                assert math.isclose(loss, want / len(w), rel_tol=1e-9)
