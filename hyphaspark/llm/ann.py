@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 Unit vectors go through three rounds of random signs and a fast Hadamard transform (a pseudo-rotation);
-the hash is the signed axis they are nearest to. A table joins ``functions`` such hashes. A query looks
-into the buckets of its ``probes`` nearest axes in each of ``tables`` tables, and all candidates are
-ranked by their exact cosine on the original vectors, in double precision. Buckets are dealt in blocks
+the hash is the signed axis they are nearest to. A query looks into the buckets of its ``probes`` nearest
+axes in each of ``tables`` tables, whatever the number of rows, so recall does not fall as the table
+grows; what a query compares grows with the table. All candidates are ranked by their exact cosine on the original vectors, in double precision. Buckets are dealt in blocks
 of at most ``BLOCK`` rows or so, so a bucket of any size spreads over tasks; nothing is capped. A bucket's
 block only returns each query's ``k`` nearest, so no table of candidate pairs is ever made. Queries
 that find too few candidates are compared with all rows, in blocks.
@@ -19,7 +19,6 @@ exist, all are returned; an empty table gives an empty result. Only the two name
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,20 +59,17 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _axes(units: np.ndarray, tables: int, functions: int, seed: int):
-    """For each table the scores of all signed axes, per hash function: (rows, 2 * width)."""
+def _axes(units: np.ndarray, tables: int, seed: int):
+    """For each table the scores of all signed axes: (rows, 2 * width)."""
     rng = np.random.default_rng(seed)
     for t in range(tables):
-        made = []
-        for _ in range(functions):
-            x = units
-            for _ in range(ROUNDS):
-                x = hadamard(x * rng.choice([-1.0, 1.0], units.shape[1]))
-            made.append(np.concatenate([x, -x], 1))
-        yield t, made
+        x = units
+        for _ in range(ROUNDS):
+            x = hadamard(x * rng.choice([-1.0, 1.0], units.shape[1]))
+        yield t, np.concatenate([x, -x], 1)
 
 
-def _hasher(width: int, tables: int, functions: int, probes: int, seed: int):
+def _hasher(width: int, tables: int, probes: int, seed: int):
     """(tab, bucket, vec_id, vec) rows: one a table, or one a probe for queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,13 +82,9 @@ def _hasher(width: int, tables: int, functions: int, probes: int, seed: int):
                 raw = pa.array([r.tobytes() for r in x], pa.binary())
                 units = x / np.abs(x).max(1, keepdims=True)
                 units /= np.linalg.norm(units, axis=1, keepdims=True)
-                for t, scores in _axes(units, tables, functions, seed):
-                    best = [np.argsort(-s, axis=1, kind="stable")[:, :probes] for s in scores]
-                    for choice in itertools.product(range(best[0].shape[1]), repeat=functions):
-                        bucket = np.zeros(len(x), np.int64)
-                        for f, c in enumerate(choice):
-                            bucket = bucket * 2 * width + best[f][:, c]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t)), pa.array(bucket), part.column(0), raw], ["tab", "bucket", "vec_id", "vec"])
+                for t, scores in _axes(units, tables, seed):
+                    for bucket in np.argsort(-scores, axis=1, kind="stable")[:, :probes].T:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t)), pa.array(bucket.astype(np.int64)), part.column(0), raw], ["tab", "bucket", "vec_id", "vec"])
 
     return run
 
@@ -141,21 +133,15 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def functions_for(rows: int) -> int:
-    """Hashes a table joins, so that buckets stay near a block as the table grows."""
-    return 1 if rows <= 1 << 20 else 2 if rows <= 1 << 27 else 3
-
-
 def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, seed: int = 11) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each row where ``is_query`` (a
     condition on ``vec_id``) holds, among all other rows."""
     vectors = usable(df, id_col, vec_col)
     size = vectors.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(1)).alias("width")).first()
     width = 1 << max(0, int(size["width"]) - 1).bit_length()
-    functions = functions_for(size["n"])
     queries = vectors.where(is_query).dropDuplicates(["vec_id"])
-    rows = vectors.mapInArrow(_hasher(width, tables, functions, 1, seed), _HASHED)
-    asked = queries.mapInArrow(_hasher(width, tables, functions, probes, seed), _HASHED)
+    rows = vectors.mapInArrow(_hasher(width, tables, 1, seed), _HASHED)
+    asked = queries.mapInArrow(_hasher(width, tables, probes, seed), _HASHED)
     # Buckets of more than a block's rows are split; every part is asked.
     large = shared.stage(rows.groupBy("tab", "bucket").count().where(F.col("count") > BLOCK).select("tab", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "buckets")
     rows = rows.join(large, ["tab", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1))).cast("int"))

@@ -49,3 +49,17 @@ def test_split_buckets(spark, monkeypatch):
     for r in ann.search(df, F.col("vec_id") % 50 == 0, probes=16).collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert {q: sorted(v) for q, v in got.items()} == {q: sorted(i for _, i in v) for q, v in brute(rows).items()}
+
+
+def test_recall_of_large_tables(spark, monkeypatch):
+    """The table counts as one of 2^27 rows or more: vectors without structure are found all the same."""
+    monkeypatch.setattr(ann.F, "count", lambda c, count=F.count: count(c) + F.lit(1 << 27))
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(3000, 64)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    out = {}
+    for r in ann.search(df, F.col("vec_id") % 250 == 0).collect():
+        out.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(rows, step=250)
+    assert set(out) == set(want)
+    assert sum(len(out[q] & {i for _, i in want[q]}) for q in want) >= 0.9 * 5 * len(want)
