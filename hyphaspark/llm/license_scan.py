@@ -1,11 +1,16 @@
 """Licence scans: a trained paragraph classifier, calibrated and confirmed against templates.
 
-A paragraph is a line with a word. Its features are hashed word 1- to 3-grams (lower-cased letters and
+A paragraph is a line with a word. Besides, windows of the words of a block (lines up to a blank one)
+are classified: wherever words as many as a template's, within a line or over wrapped lines, hold
+``CONFIRM`` of the template's word pairs, they are a window. Of windows that overlap, the one with most
+pairs counts. It is classified alone and with ``MARGIN`` words on each side, and the surer answer counts. A window reports as the paragraph it starts in; a line that
+is not confirmed by itself and lies in a confirmed window, or a window in a line that already has its
+family, is not reported again. A paragraph's features are hashed word 1- to 3-grams (lower-cased letters and
 digits only, so punctuation and quotes do not matter); a multinomial logistic regression assigns it to
 a licence family or to ``none``. It is trained on variants of the families' template sentences
 (words dropped or swapped, put between words of the corpus) and, for ``none``, on paragraphs of a
 bounded sample of documents (``SAMPLE`` paragraphs, drawn by a hash; those that contain most of a
-template are left out). A part of both is held out to calibrate: a temperature makes the
+template, or mostly consist of a piece of one, are left out). A part of both is held out to calibrate: a temperature makes the
 probabilities honest, and the least probability that lets through at most ``FALSE_RATE`` of the held-out
 ``none`` paragraphs becomes the threshold below which a paragraph is ``unknown``. A prediction only
 counts if the paragraph also holds ``CONFIRM`` of the word pairs of one template of that family.
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-BITS, SAMPLE, VARIANTS, CONFIRM, FALSE_RATE = 14, 4000, 60, 0.6, 0.001
+BITS, SAMPLE, VARIANTS, CONFIRM, FALSE_RATE, MARGIN = 14, 4000, 60, 0.6, 0.001, 4
 NONE = "none"
 
 # Sentences that name a licence, by family.
@@ -92,6 +97,12 @@ def _holds(words: np.ndarray, pairs: np.ndarray) -> float:
     return float(np.isin(pairs, shared.windows(words, 2)).mean()) if len(pairs) else 0.0
 
 
+def _piece(words: np.ndarray, pairs: np.ndarray) -> float:
+    """Share of a paragraph's word pairs that are a template's."""
+    own = shared.windows(words, 2)
+    return float(np.isin(own, pairs).mean()) if len(own) > 1 else 0.0
+
+
 def _probabilities(weights: np.ndarray, slots: np.ndarray, owners: np.ndarray, n: int, temperature: float = 1.0) -> np.ndarray:
     scores = np.zeros((n, weights.shape[1]))
     np.add.at(scores, owners, weights[slots])
@@ -108,7 +119,7 @@ def train(df: DataFrame, text_col: str = "text", seed: int = 3) -> dict:
     some = sorted(drawn.toArrow()["p"].to_pylist())
     templates, families = _template_pairs(), sorted(TEMPLATES)
     words, at = _of_strings(some)
-    plain = [p for p, lo, hi in zip(some, at[:-1], at[1:], strict=True) if all(_holds(words[lo:hi], t) < 0.5 for _, t in templates)]
+    plain = [p for p, lo, hi in zip(some, at[:-1], at[1:], strict=True) if all(_holds(words[lo:hi], t) < 0.5 and _piece(words[lo:hi], t) < 0.5 for _, t in templates)]
     plain = plain or ["none"]
     rng = np.random.default_rng(seed)
     pool = [w for p in plain[:500] for w in p.split()[:20]] or ["none"]
@@ -147,14 +158,38 @@ def train(df: DataFrame, text_col: str = "text", seed: int = 3) -> dict:
     return {"families": families, "weights": weights.astype(np.float32), "temperature": temperature, "threshold": threshold, "templates": templates}
 
 
-def _find(data: np.ndarray, offsets: np.ndarray, m: dict):
-    """(text, paragraph, family, probability, match) of what the classifier does not call none."""
-    at, edges, words, _ = _paragraphs(data, offsets)
+def _windows(words: np.ndarray, block: np.ndarray, templates: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Word ranges that hold ``CONFIRM`` of a template's pairs within a block; of those that overlap, that
+    with most pairs."""
+    pairs = shared.windows(words, 2)
+    inside = block[:-1] == block[1:] if len(block) else np.zeros(0, bool)
+    places = np.flatnonzero(np.isin(pairs, np.concatenate([t for _, t in templates])) & inside)
+    found = []
+    for _, t in templates:
+        slot = np.minimum(np.searchsorted(t, pairs[places]), len(t) - 1)
+        hit = t[slot] == pairs[places]
+        at, slot = places[hit], slot[hit]
+        need = int(np.ceil(CONFIRM * len(t) - 1e-9))
+        ends = np.searchsorted(at, at + len(t))
+        for i in np.flatnonzero(ends - np.arange(len(at)) >= need):
+            near = slice(i, ends[i])
+            near = np.arange(len(at))[near][block[at[near]] == block[at[i]]]
+            held = len(np.unique(slot[near]))
+            if held >= need:
+                found.append((held, int(at[i]), int(at[near[-1]]) + 2))
+    taken: list[tuple[int, int]] = []
+    busy = np.zeros(len(words), bool)
+    for _, lo, hi in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+        if not busy[lo:hi].any():
+            busy[lo:hi] = True
+            taken.append((lo, hi))
+    return sorted(taken)
+
+
+def _classify(words: np.ndarray, edges: np.ndarray, m: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The likeliest family and its probability, for each paragraph."""
     n = len(edges) - 1
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
     slots, owners = _features(words, edges)
-    if n == 0:
-        return
     scores = np.zeros((n, len(m["families"]) + 1), np.float32)
     for c in range(scores.shape[1]):
         scores[:, c] = np.bincount(owners, weights=m["weights"][slots, c], minlength=n)
@@ -162,11 +197,48 @@ def _find(data: np.ndarray, offsets: np.ndarray, m: dict):
     scores = np.exp(scores - scores.max(1, keepdims=True))
     scores /= scores.sum(1, keepdims=True)
     best = scores[:, :-1].argmax(1)
-    sure = scores[np.arange(n), best]
-    for p in np.flatnonzero((sure >= 0.5) | (sure >= m["threshold"])):
-        own = words[edges[p] : edges[p + 1]]
-        match = max(_holds(own, t) for f, t in m["templates"] if f == best[p])
-        yield int(text[p]), int(p - at[text[p]]), int(best[p]), float(sure[p]), match
+    return best, scores[np.arange(n), best]
+
+
+def _find(data: np.ndarray, offsets: np.ndarray, m: dict):
+    """(text, paragraph, family, probability, match) of what the classifier does not call none."""
+    at, edges, words, (starts, _) = _paragraphs(data, offsets)
+    n = len(edges) - 1
+    if n == 0:
+        return
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
+    match = lambda own, family: max(_holds(own, t) for f, t in m["templates"] if f == family)
+    likely = lambda sure: (sure >= 0.5) | (sure >= m["threshold"])
+    best, sure = _classify(words, edges, m)
+    found = {(int(p), int(best[p])): (float(sure[p]), match(words[edges[p] : edges[p + 1]], best[p])) for p in np.flatnonzero(likely(sure))}
+    # a line of white space breaks a block
+    line = np.repeat(np.arange(n), np.diff(edges))
+    breaks = np.flatnonzero(data == 10)
+    black = np.concatenate([[0], np.cumsum(~shared._SPACE[data])])
+    blank = black[breaks[1:]] == black[breaks[:-1]]
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (np.diff(np.searchsorted(breaks[:-1][blank], starts)) > 0)])
+    block = np.cumsum(new)[line]
+    spans = _windows(words, block, m["templates"])
+    if spans:
+        wide = [(max(lo - MARGIN, int(np.searchsorted(block, block[lo]))), min(hi + MARGIN, int(np.searchsorted(block, block[lo], "right")))) for lo, hi in spans]
+        cuts = np.concatenate([[0], np.cumsum([hi - lo for lo, hi in spans + wide])])
+        best, sure = _classify(np.concatenate([words[lo:hi] for lo, hi in spans + wide]), cuts, m)
+        surer = np.where(sure[: len(spans)] > sure[len(spans) :], 0, len(spans)) + np.arange(len(spans))
+        best, sure = best[surer], sure[surer]
+        for k in np.flatnonzero(likely(sure)):
+            (lo, hi), family = spans[k], int(best[k])
+            held = match(words[lo:hi], family)
+            confirmed = sure[k] >= m["threshold"] and held >= CONFIRM
+            first, last = int(line[lo]), int(line[hi - 1])
+            if confirmed:
+                for p in range(first, last + 1):
+                    for key in [key for key in ((p, f) for f in range(len(m["families"]))) if key in found]:
+                        if not (found[key][0] >= m["threshold"] and found[key][1] >= CONFIRM):
+                            del found[key]
+            if not any(key in found for key in ((p, family) for p in range(first, last + 1))) and (confirmed or not any((p, f) in found for p in range(first, last + 1) for f in range(len(m["families"])))):
+                found[first, family] = (float(sure[k]), held)
+    for (p, family), (s, held) in sorted(found.items()):
+        yield int(text[p]), int(p - at[text[p]]), family, s, held
 
 
 def _scanner(shipped, whole: bool):

@@ -35,3 +35,37 @@ def test_scan(spark):
     hits = license_scan.paragraphs(df.where("doc_id IS NULL"), model).collect()
     assert [(h.paragraph, h.family, h.confirmed) for h in hits] == [(0, "mit", True)]
     assert license_scan.scan(df.limit(0), license_scan.train(df.limit(0))).collect() == []
+
+
+WRAPPED = {
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "mit": "# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated\n# documentation files (the Software)",
+    "gpl-3.0": "You can redistribute it and/or modify it under the terms\n of the GNU General Public\n License version 3",
+}
+
+
+def test_wrapped_and_within_prose(spark):
+    rng = random.Random(5)
+    words = [f"{rng.choice('abcdefgh')}{rng.choice(['an', 'ing', 'ed'])}{i}" for i in range(200)] + ["the", "license", "version", "under", "work", "public", "of"]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows, want = [], {}
+    for i in range(200):
+        family = [None, *sorted(WRAPPED), *sorted(LINES)][i % (1 + len(WRAPPED) + len(LINES))]
+        if family is None:
+            text = prose(150)
+        elif i % (1 + len(WRAPPED) + len(LINES)) <= len(WRAPPED):
+            text = f"{prose(12)}\n{WRAPPED[family]}\n{prose(12)}"
+        else:
+            text = f"{prose(8)}\n{prose(150)}. {LINES[family]} {prose(150)}"
+        rows.append((i, text))
+        want[i] = [family] if family else []
+    rows += [(900, WRAPPED["bsd"].replace("\n", "\n \n")), (901, f"{WRAPPED['bsd']}\n\n{WRAPPED['mit']}")]  # not one block; two blocks
+    want |= {900: [], 901: ["bsd", "mit"]}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = license_scan.train(df)
+    out = license_scan.scan(df, model).collect()
+    wrong = [(r.doc_id, r.families, want[r.doc_id]) for r in out if r.families != want[r.doc_id]]
+    assert not wrong, (len(wrong), wrong[:8])
+    hits = license_scan.paragraphs(df.where("doc_id = 901"), model).collect()
+    assert [(h.paragraph, h.family, h.confirmed) for h in hits] == [(0, "bsd", True), (2, "mit", True)]
+    assert all(r.n_unknown == 0 for r in out if r.doc_id == 901)
