@@ -6,12 +6,15 @@ labelled documents of each language (a documented bound, drawn by a hash of the
 and the label are used. The model is a table of fixed size times the number of languages.
 
 ``identify`` scores every word of every text for each language whose scripts meet the word's, and
-finds the labels that maximise the scores less a penalty for each change of language; runs of
-``RUN`` words are decoded on their own, which bounds the work of a step, and every word of every text
-is decoded. A document's language is the one with most letters under its labels (ties: the first
-in order of name), its score is that language's share of the letters.
-
-A null text, or one without a letter, gets ``und`` with score 0. Rows are mapped one to one: repeated
+finds the labels that maximise the scores less a penalty for each change of language over the whole
+text. Long texts take their steps in runs of ``RUN`` words side by side: every run is first followed from
+each possible label before it, the runs are chained, and then each is labelled from its true start, so the
+labels are those of one pass over the text. A document's language is the one with most letters under its
+labels (ties: the first in order of name), its score is that language's share of the letters. Letters of words
+whose scripts no learned language uses count for none.
+
+A null text, or one without a letter, gets ``und`` with score 0. A very long text is scored in pieces of
+1 MB cut between words and needs about 30 bytes a word for four languages. Rows are mapped one to one: repeated
 rows and null ids stay, other columns are not read, an empty table gives an empty result. Training
 on no labelled text gives a model that answers ``und`` throughout.
 """
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-PER_LANGUAGE, BITS, RUN, SWITCH = 4000, 16, 4096, 10.0
+PER_LANGUAGE, BITS, RUN, SWITCH, PIECE = 4000, 16, 256, 10.0, 1 << 20
+MAX_LANGUAGES = 512  # a model has 0.5 MB a language; more labels raise an error
 UND = "und"
 
 # First code point and script; a range goes up to the next one.
@@ -80,11 +84,12 @@ _CLASS[128:] = np.arange(128, 256)
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the 3- and 4-grams that begin one byte before each byte, and where that byte is one of a word."""
+    """Buckets of the 3- and 4-grams that begin one byte before each byte, and where that byte is one of a
+    word. What follows the end of a word has no influence, so a word has the same grams wherever it stands."""
     seen = _CLASS[data].astype(np.uint32)
     padded = np.concatenate([[np.uint32(32)], seen, [np.uint32(32), np.uint32(32)]])
     three = padded[:-3] << 16 | padded[1:-2] << 8 | padded[2:-1]
-    four = three << 8 | padded[3:]
+    four = three << 8 | np.where(padded[2:-1] == 32, np.uint32(32), padded[3:])
     bucket = lambda x, m: (x * np.uint32(m)) >> np.uint32(32 - BITS)
     with np.errstate(over="ignore"):
         return bucket(three * np.uint32(0x85EBCA6B) ^ three >> 7, 2654435769), bucket(four ^ four >> 15, 2246822519), seen != 32
@@ -95,7 +100,7 @@ def _bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, list[np.ndarray]] = {}
     for batch in batches:
         langs = batch.column(0).to_pylist()
-        for first, data, offsets in shared.slices(batch.column(1), 1 << 20):
+        for first, data, offsets in shared.slices(batch.column(1), PIECE):
             three, four, inside = _grams(data, offsets)
             script = _letter_bits(data)
             for d in range(len(offsets) - 1):
@@ -114,13 +119,13 @@ def _bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", draw_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> dict:
     """A model from labelled texts: about ``per_language`` of each language, drawn by a hash of ``draw_col``."""
     labelled = df.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(draw_col)).alias("draw")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    sizes = labelled.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("share")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return {"langs": [], "scripts": np.zeros(0, np.uint32), "tables": np.zeros((2, 1 << BITS, 0), np.float32)}
-    share = F.lit(0.0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
-    drawn = labelled.where(F.pmod("draw", F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+    shares = df.sparkSession.createDataFrame(sizes, "lang string, share double")
+    drawn = labelled.join(F.broadcast(shares), "lang").where(F.pmod("draw", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text")
     rows = drawn.mapInArrow(_bag, "lang string, kind long, bucket long, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(rows["lang"].to_pylist()), key=lambda s: s.encode())
     number = {s: i for i, s in enumerate(langs)}
@@ -138,47 +143,87 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", draw_co
 
 
 def _word_scores(data: np.ndarray, offsets: np.ndarray, model: dict):
-    """Word offsets of the texts, scores (words x languages) and letters of each word."""
-    starts, ends, word_at = shared.spans(data, offsets)
+    """Word offsets of the texts, scores (words x languages), and letters of each word: all, and those in
+    words that some language can have."""
+    starts, _, word_at = shared.spans(data, offsets)
     if len(starts) == 0:
-        return word_at, np.zeros((0, len(model["langs"])), np.float32), np.zeros(0, np.int64)
+        return word_at, np.zeros((0, len(model["langs"])), np.float32), np.zeros((2, 0), np.int32)
     three, four, inside = _grams(data, offsets)
-    each = model["tables"][0][three] + model["tables"][1][four]
+    each = model["tables"][0][three]
+    each += model["tables"][1][four]
     each[~inside] = 0
     scores = np.add.reduceat(each, starts, axis=0)
     script = _letter_bits(data)
     masks = np.bitwise_or.reduceat(script, starts)
-    letters = np.add.reduceat((script > 0).astype(np.int64), starts)
+    letters = np.add.reduceat(script > 0, starts, dtype=np.int32)
     fits = (masks[:, None] & model["scripts"]) > 0
-    barred = ~fits & fits.any(1, keepdims=True)
+    some = fits.any(1)
+    scores[~fits & some[:, None]] -= 1000
     scores[letters == 0] = 0
-    return word_at, np.where(barred, scores - 1000, scores), letters
+    return word_at, scores, np.stack([letters, letters * some])
+
+
+def _advance(value: np.ndarray, scores: np.ndarray, penalty: float) -> np.ndarray:
+    return np.maximum(value, value.max(-1, keepdims=True) - penalty) + scores
 
 
-def viterbi(scores: np.ndarray, run_at: np.ndarray, penalty: float) -> np.ndarray:
-    """Best labels of the runs run_at[i]..run_at[i+1]: all runs take their steps together."""
+def viterbi(scores: np.ndarray, text_at: np.ndarray, penalty: float, run: int = RUN) -> np.ndarray:
+    """Best labels of the texts text_at[i]..text_at[i+1]: all runs of all texts take their steps together."""
     n, k = scores.shape
     labels = np.zeros(n, np.int64)
-    size = np.diff(run_at)
-    order = np.argsort(-size, kind="stable")
-    first, size = run_at[:-1][order], size[order]
     if n == 0 or k == 0:
         return labels
-    active = np.searchsorted(-size, -np.arange(size[0]), "left")  # runs longer than t
+    n_runs = -(-np.diff(text_at) // run)
+    owner = np.repeat(np.arange(len(n_runs)), n_runs)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
+    first = text_at[:-1][owner] + nth * run
+    size = np.minimum(text_at[1:][owner] - first, run)
+    order = np.argsort(-size, kind="stable")  # long runs first: those of more than t words stand in front
+    first, size, nth, owner = first[order], size[order], nth[order], owner[order]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    begin = np.cumsum(n_runs) - n_runs
+    active = np.searchsorted(-size, -np.arange(size[0]), "left")
+    before = np.zeros((len(first), k))  # values of the labels of the word before each run
+    later = np.flatnonzero(nth > 0)
+    if len(later):  # from each label before a run to each label at its end; then runs are chained
+        through = np.where(np.eye(k, dtype=bool), 0.0, -np.inf)[None].repeat(len(first), 0)
+        for t in range(int(size[0])):
+            m = active[t]
+            some = np.flatnonzero(nth[:m] > 0)
+            through[some] = _advance(through[some], scores[first[some] + t][:, None, :].astype(float), penalty)
+        heads = np.flatnonzero((nth == 0) & (n_runs[owner] > 1))
+        value = scores[first[heads]].astype(float)
+        for t in range(1, int(size[heads].max())):
+            value = _advance(value, scores[first[heads] + t], penalty)  # runs that others follow are whole
+        texts = owner[heads]
+        for r in range(1, int(n_runs.max())):
+            some = n_runs[texts] > r
+            texts, value = texts[some], value[some]
+            at = place[begin[texts] + r]
+            before[at] = value
+            value = (value[:, :, None] + through[at]).max(1)
     jumped, origin = np.zeros((n, k), bool), np.zeros(n, np.int16)
-    value = np.zeros((len(first), k))
+    value = before.copy()
     for t in range(int(size[0])):
         m = active[t]
         at = first[:m] + t
-        if t:
-            best = value[:m].argmax(1)
-            top = value[:m].max(1)[:, None] - penalty
-            jump = top > value[:m]
-            value[:m] = np.where(jump, top, value[:m]) + scores[at]
-            jumped[at], origin[at] = jump, best
-        else:
-            value[:m] = scores[at]
+        top = value[:m].max(1)[:, None] - penalty
+        jump = top > value[:m]
+        if t == 0:
+            jump &= (nth[:m] > 0)[:, None]
+        jumped[at], origin[at] = jump, value[:m].argmax(1)
+        value[:m] = np.where(jump, top, value[:m]) + scores[at]
     state = value.argmax(1)
+    if len(later):  # the label before a run for each label at its end, back from the last run
+        back = np.arange(k)[None].repeat(len(first), 0)
+        for t in range(int(size[0]) - 1, -1, -1):
+            at = first[: active[t], None] + t
+            own = back[: active[t]]
+            back[: active[t]] = np.where(jumped[at, own], origin[at], own)
+        for r in range(int(n_runs.max()) - 1, 0, -1):
+            at = place[begin[n_runs > r] + r]
+            state[place[begin[n_runs > r] + r - 1]] = back[at, state[at]]
     for t in range(int(size[0]) - 1, -1, -1):
         m = active[t]
         at = first[:m] + t
@@ -189,27 +234,35 @@ def viterbi(scores: np.ndarray, run_at: np.ndarray, penalty: float) -> np.ndarra
 
 def _labelled(column: pa.Array, model: dict):
     """(first row, word offsets, labels, letters) over groups of slices."""
-    most = max(1 << 16, (1 << 22) * 4 // max(4, len(model["langs"])))
+    most = max(1 << 16, PIECE * 4 // max(4, len(model["langs"])))
     held, words = [], 0
 
     def settle():
-        cuts, base = [], 0
+        cuts, base = [np.zeros(1, np.int64)], 0
         for _, at, scores, _ in held:
-            own = at + base
-            for lo, hi in zip(own[:-1], own[1:], strict=True):
-                cuts.extend(range(lo, hi, RUN))
+            cuts.append(at[1:] + base)
             base += len(scores)
-        labels = viterbi(np.concatenate([s for _, _, s, _ in held]), np.array([*cuts, base], np.int64), SWITCH)
+        labels = viterbi(np.concatenate([s for _, _, s, _ in held]), np.concatenate(cuts), SWITCH)
         base = 0
         for first, at, scores, letters in held:
             yield first, at, labels[base : base + len(scores)], letters
             base += len(scores)
 
     for first, data, offsets in shared.slices(column, most):
-        at, scores, letters = _word_scores(data, offsets, model)
-        held.append((first, at, scores, letters))
-        words += len(scores)
-        if words > (1 << 23) // max(4, len(model["langs"])):
+        parts, lo = [], 0
+        while len(data) - lo > 2 * most:  # one long text: scored in pieces, cut between words
+            gap = np.flatnonzero(shared._SPACE[data[lo + most : lo + 2 * most]])
+            hi = lo + most + int(gap[0]) if len(gap) else lo + 2 * most + int(np.argmax(np.append(shared._SPACE[data[lo + 2 * most :]], True)))
+            parts.append(_word_scores(data[lo:hi], np.array([0, hi - lo]), model))
+            lo = hi
+        if lo:
+            parts.append(_word_scores(data[lo:], np.array([0, len(data) - lo]), model))
+            scores = np.concatenate([p[1] for p in parts])
+            held.append((first, np.array([0, len(scores)]), scores, np.concatenate([p[2] for p in parts], 1)))
+        else:
+            held.append((first, *_word_scores(data, offsets, model)))
+        words += len(held[-1][2])
+        if words > (1 << 21) // max(4, len(model["langs"])):
             yield from settle()
             held, words = [], 0
     if held:
@@ -223,8 +276,8 @@ def _verdicts(column: pa.Array, m: dict):
     for first, at, labels, letters in _labelled(column, m):
         n = len(at) - 1
         text = np.repeat(np.arange(n), np.diff(at))
-        votes = np.bincount(text * max(1, k) + labels, weights=letters, minlength=n * max(1, k)).reshape(n, max(1, k))
-        total = votes.sum(1)
+        votes = np.bincount(text * max(1, k) + labels, weights=letters[1], minlength=n * max(1, k)).reshape(n, max(1, k))
+        total = np.bincount(text, weights=letters[0], minlength=n)
         winner = np.where((total > 0) & (k > 0), votes.argmax(1), k)
         yield first, names[winner], np.where(winner < k, votes.max(1) / np.maximum(total, 1), 0.0)
 

@@ -16,7 +16,8 @@ score are sent once.
 
 A document's score is its loss per token under the target model less that under the background
 model, in nats: low for texts like the target. A null text, or one without a word, has no tokens,
-losses of 0 and score 0. Without any labelled document the target model is uniform. Rows are mapped
+losses of 0 and score 0. A very long text stays whole in its block. There are no ties: a score is that of the text
+alone, given the corpus. Without any labelled document the target model is uniform. Rows are mapped
 one to one (repeated rows and null ids stay); only the named columns are read; an empty table gives
 an empty result.
 """

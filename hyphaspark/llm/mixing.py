@@ -15,9 +15,11 @@ before the target, so a source misses its target by half a document at most, and
 more than three times. Positions need cumulative sums, which come from the sums of hash ranges of a source
 and a window inside each range, so a source of any size spreads over many tasks.
 
-Null texts have size 0 and take nothing; a null source is a source of its own; documents with equal
-ids follow each other by size, and equal rows stand for each other. Only the three named columns are
-read; further columns have no influence. An empty table gives an empty result.
+Null texts have size 0 and take nothing; a null source is a source of its own. The order hashes id and size, so
+rows without an id, or with one id, spread over the ranges too; equal ids and sizes stand for each other. A very
+long text is counted where it is read, and no text is moved before its place is known but in ``training_order``. The
+windows over sources see one row a source: thousands of sources are fine, a source a document is not. Only the three
+named columns are read; further columns have no influence. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -75,17 +77,17 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
 
 def _placed(rows: DataFrame, sized: DataFrame, id_col: str, source_col: str, size_col: str) -> DataFrame:
     """``rows`` with source_size, weight, target, copies and positions; ``sized`` is their small form."""
-    place = lambda c: F.md5(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    place = lambda c, n: F.md5(F.concat(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(" "), F.col(n).cast("string")))
     aims = targets(sized)
     count = sized.count()
     digits = 1
     while digits < 7 and count / 16**digits > RANGE_ROWS:
         digits += 1
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = sized.groupBy("source", F.substring(place("doc_id"), 1, digits).alias("range")).agg(F.sum("size").alias("n"))
+    ranges = sized.groupBy("source", F.substring(place("doc_id", "size"), 1, digits).alias("range")).agg(F.sum("size").alias("n"))
     ranges = ranges.withColumn("range_start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     ranges = ranges.join(aims.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(F.col("source").alias("_of"), F.col("range").alias("_in"), "range_start", "source_size", "weight", "target")
-    placed = rows.withColumns({"_place": place(id_col), "_source": F.col(source_col).cast("string")}).withColumn("_range", F.substring("_place", 1, digits))
+    placed = rows.withColumns({"_place": place(id_col, size_col), "_source": F.col(source_col).cast("string")}).withColumn("_range", F.substring("_place", 1, digits))
     placed = placed.join(ranges, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_in")))
     inside = Window.partitionBy("_of", "_in").orderBy("_place", F.col(id_col).cast("long"), size_col).rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("_start", F.col("range_start") + F.coalesce(F.sum(size_col).over(inside), F.lit(0)))

@@ -2,16 +2,19 @@
 
 Texts are sequences of words. Documents in which some window of ``min_repeat`` words occurs twice get
 a suffix array (prefix doubling over the words of many documents at once; a document's end differs
-from everything else, so no repeat crosses documents). The ranks of all doubling rounds give the
-longest common prefix of neighbouring suffixes; each word position then knows the longest repeat that
-starts there, positions that an earlier one extends to the left are dropped, and what is left are the
-occurrences of the maximal repeats. The rules limit the share of words under the union of their spans
-and the length of the longest one, on top of the base rules (number of words, share of words in
-repeated windows). Words and lines are compared by 64-bit hashes.
-
-A null or empty text has no words and fails. Repeated rows and null ids are mapped one to one, columns
-other than the two named ones are not read, and an empty table gives an empty result. Ties cannot
-occur: every count is exact.
+from everything else, so no repeat crosses documents). The longest common prefix of a suffix and the one
+before it in the array is found where it is not implied: a suffix whose preceding word differs from its
+neighbour's is compared word by word, many suffixes at once; every other one has one word less than the
+suffix that starts a word earlier. The sum of what is compared is within n log n, and the memory is linear. Each
+word position then knows the longest repeat that starts there, positions that an earlier one extends to the left
+are dropped, and what is left are the occurrences of the maximal repeats. The rules limit the share of words
+under the union of their spans and the length of the longest one, on top of the base rules (number of words,
+share of words in repeated windows). Words and lines are compared by 64-bit hashes (see ``shared``).
+
+A null or empty text has no words and fails. A text is never cut: a very long one is a slice of its own and
+needs about 40 bytes of memory a byte of it if it repeats itself, 15 if not. Repeated rows and null ids are
+mapped one to one, columns other than the two named ones are not read, and an empty table gives an empty result.
+There are no ties: each count is that of the text alone.
 """
 
 from __future__ import annotations
@@ -33,9 +36,34 @@ _NEWLINE = np.arange(256) == 10
 _SPACE = shared._SPACE
 
 
-def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+def suffix_array(symbols: np.ndarray) -> np.ndarray:
+    """The starts of the suffixes in their order, by prefix doubling. No suffix may be another one's prefix."""
+    _, rank = np.unique(symbols, return_inverse=True)
+    n, step = len(rank), 1
+    while True:
+        key = rank * (n + 1)
+        key[:-step] += rank[step:] + 1
+        order = np.argsort(key)
+        key = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        if rank[order[-1]] == n - 1 or 2 * step >= n:
+            return order
+        step *= 2
+
+
+def _agreement(symbols: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many symbols the suffixes a[i] and b[i] share at their start."""
+    lcp, active, last = np.zeros(len(a), np.int64), np.arange(len(a)), len(symbols) - 1
+    while len(active):
+        width = max(4, min(1 << 14, (1 << 18) // len(active)))  # the fewer are left, the more symbols at once
+        part = active[: (1 << 18) // width + 1]
+        ahead = lcp[part][:, None] + np.arange(width)
+        same = symbols[np.minimum(a[part][:, None] + ahead, last)] == symbols[np.minimum(b[part][:, None] + ahead, last)]
+        n = np.where(same.all(1), width, same.argmin(1))
+        lcp[part] += n
+        active = np.concatenate([part[n == width], active[len(part) :]])
+    return lcp
 
 
 def longest_repeats(words: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -44,38 +72,29 @@ def longest_repeats(words: np.ndarray, text: np.ndarray) -> np.ndarray:
     n = len(words)
     if n == 0:
         return np.zeros(0, np.int64)
-    ends = np.flatnonzero(np.concatenate([text[1:] != text[:-1], [True]])) + 1  # a stop follows each text
-    number = np.cumsum(np.concatenate([[0], (text[1:] != text[:-1]).astype(np.int64)]))
-    place = np.arange(n) + number  # with one stop after each text
-    total = n + len(ends)
-    rank = np.zeros(total, np.int64)
-    _, inverse = np.unique(shared.mix(words ^ shared.mix(text.astype(np.uint64), 7)), return_inverse=True)
-    rank[place] = inverse + len(ends)
-    stops = ends + np.arange(len(ends))
-    rank[stops] = np.arange(len(ends))
-    levels, step = [rank], 1
-    while True:
-        ahead = np.full(total, -1, np.int64)
-        ahead[:-step] = rank[step:]
-        key = rank * (total + 1) + ahead + 1
-        order = np.argsort(key)
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty(total, np.int64)
-        rank[order] = new
-        if new[-1] == total - 1:
-            break
-        levels.append(rank)
-        step *= 2
-        if step >= total:
-            break
-    a, b = order[:-1], order[1:]
-    lcp = np.zeros(total - 1, np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        same = levels[k][np.minimum(a + lcp, total - 1)] == levels[k][np.minimum(b + lcp, total - 1)]
-        lcp += same.astype(np.int64) << k
-    best = np.zeros(total, np.int64)
-    np.maximum.at(best, a, lcp)
-    np.maximum.at(best, b, lcp)
+    new = np.concatenate([[0], (text[1:] != text[:-1]).astype(np.int64)])
+    place = np.arange(n) + np.cumsum(new)  # one stop after each text
+    total = int(place[-1]) + 2
+    _, symbols = np.unique(shared.mix(words ^ shared.mix(text.astype(np.uint64), 7)), return_inverse=True)
+    stops = np.ones(total, bool)
+    stops[place] = False
+    line = np.empty(total, np.int64)
+    line[place] = symbols + np.count_nonzero(stops)
+    line[stops] = np.arange(np.count_nonzero(stops))
+    order = suffix_array(line)
+    before = np.empty(total, np.int64)  # the suffix before each one
+    before[order[1:]], before[order[0]] = order[:-1], -1
+    at = np.arange(total)
+    implied = (at > 0) & (before > 0)
+    implied[implied] = line[at[implied] - 1] == line[before[implied] - 1]
+    own = np.flatnonzero(~implied)
+    known = np.zeros(total, np.int64)
+    some = own[before[own] >= 0]
+    known[some] = _agreement(line, some, before[some])
+    source = np.maximum.accumulate(np.where(implied, 0, at))
+    lcp = known[source] - (at - source)
+    best = lcp.copy()
+    np.maximum.at(best, before[before >= 0], lcp[before >= 0])
     return best[place]
 
 
@@ -87,12 +106,11 @@ def _slice_stats(data: np.ndarray, offsets: np.ndarray, min_repeat: int):
     n_words = np.diff(word_at)
     text = np.repeat(np.arange(n), n_words)
     inside = ~_SPACE[data]
-    out = {"n_words": n_words, "word_chars": _per_text(inside & ((data & 0xC0) != 0x80), offsets), "n_symbols": _per_text(_SYMBOL[data], offsets)}
+    out = {"n_words": n_words, "word_chars": shared.counts_within(inside & ((data & 0xC0) != 0x80), offsets), "n_symbols": shared.counts_within(_SYMBOL[data], offsets)}
 
     line_starts, line_ends, line_at = shared.spans(data, offsets, _NEWLINE)
-    filled = np.concatenate([[0], np.cumsum(inside)])
     line_text = np.repeat(np.arange(n), np.diff(line_at))
-    has = filled[line_ends] > filled[line_starts]
+    has = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_text = line_text[has]
     keys = shared.mix(shared.span_hashes(data, line_starts[has], line_ends[has]) ^ shared.mix(line_text.astype(np.uint64), 9))
     _, first = np.unique(keys, return_index=True)

@@ -43,7 +43,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.ordered(mixing.plan(_table(spark, sf_dir, "documents")))
-    return planned.select("doc_id", "size", "source_size", "target", "taken")
+    return planned.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,19 +116,20 @@ ORACLE_SQL: dict[str, str] = {
     "op6_mixing": r"""
         WITH sized AS (
           SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-            md5(coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
+            md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::VARCHAR) AS place FROM documents),
         sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
         weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM sources),
         levels AS (
           SELECT *, ((sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)))::DOUBLE AS level
           FROM weighed WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        aims AS (SELECT source, source_size, least(cap::DOUBLE, weight * max(level) OVER ()) AS target FROM levels),
+        aims AS (SELECT source, source_size, (weight - 2) * 0.5::DOUBLE AS slope, least(cap::DOUBLE, weight * max(level) OVER ()) AS target FROM levels),
         placed AS (
-          SELECT s.doc_id, s.size, a.source_size, a.target,
+          SELECT s.doc_id, s.size, a.source_size, a.target, a.slope,
             coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.place, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
           FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source)
         SELECT doc_id, size, source_size, target,
           (size * ((target > 0 AND 2 * start + size <= 2 * target)::INT + (target > 0 AND 2 * (source_size + start) + size <= 2 * target)::INT
-            + (target > 0 AND 2 * (2 * source_size + start) + size <= 2 * target)::INT))::BIGINT AS taken
-        FROM placed""",
+            + (target > 0 AND 2 * (2 * source_size + start) + size <= 2 * target)::INT))::BIGINT AS taken,
+          CASE WHEN target > 0 AND 2 * start + size <= 2 * target THEN round(2 * part / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * part)), 9) END AS position
+        FROM (SELECT *, (2 * start + size) / (2 * target) AS part FROM placed)""",
 }

@@ -1,10 +1,13 @@
 """Helpers shared by the training-data operators: staging folders and vectorised word scanning.
 
-``stage`` cuts lineage by writing Parquet to the folder the cluster names in
-``spark.checkpoint.dir``; a folder of our own is used only where that setting is absent.
+``stage`` cuts lineage by writing Parquet to the folder the cluster names in ``spark.checkpoint.dir``;
+``discard`` removes such a table once what was made of it is written. A folder of our own is used only where that
+setting is absent and the master is local.
 
 The word scanner works on the UTF-8 buffer of an Arrow string column, so a slice of many texts is
-split into words and hashed with a handful of numpy passes and no per-word Python objects.
+split into words and hashed with a handful of numpy passes and no per-word Python objects. Word hashes
+mix 8-byte lanes of the word with a strong finaliser; spans of more than ``LANES`` lanes are hashed one
+by one by XXH3, so no structure of a long text makes two different spans alike by design.
 """
 
 from __future__ import annotations
@@ -14,27 +17,47 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+LANES = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later jobs start from the files."""
+def stage(df: DataFrame, name: str = "stage", *used: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: later jobs start from the files. The staged
+    tables ``used``, which nothing reads any more, are removed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._staged_at = path
+    discard(*used)
+    return made
+
+
+def staged_as(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df``, which is made of the staged ``source`` alone, counts as its table."""
+    df._staged_at = source._staged_at
+    return df
+
+
+def discard(*staged: DataFrame) -> None:
+    """Removes the files of staged tables."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keep_rows(df: DataFrame, text_col: str, decide) -> DataFrame:
@@ -54,12 +77,9 @@ def keep_rows(df: DataFrame, text_col: str, decide) -> DataFrame:
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _R = np.uint64(0x9E3779B97F4A7C15)
-_R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
-_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_LOWER = _BYTE[_LOWER]
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n bytes of a lane
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -71,17 +91,6 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(1 << 16, 1 << int(n).bit_length())
-    if size not in _powers:
-        up, down = np.full(size, _R, np.uint64), np.full(size, _R_INV, np.uint64)
-        up[0] = down[0] = 1
-        with np.errstate(over="ignore"):
-            _powers.clear()
-            _powers[size] = (np.cumprod(up), np.cumprod(down))
-    return _powers[size]
-
-
 def strings(column: pa.Array) -> pa.Array:
     """The column as a plain string array, null as the empty string."""
     if isinstance(column, pa.ChunkedArray):
@@ -127,11 +136,31 @@ def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE):
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """64-bit hash of each byte span; equal spans have equal hashes wherever they stand."""
-    up, down = _power(len(data) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[: len(data)], out=total[1:])
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = _LOWER[data] if lower else data
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each byte on
+    size = ends - starts
+    out = mix(size.astype(np.uint64), 21)
+    for k in range(LANES):
+        at = np.flatnonzero(size > 8 * k) if k else slice(None)
+        if k and len(at) == 0:
+            break
+        lane = lanes[starts[at] + 8 * k] & _KEEP[np.clip(size[at] - 8 * k, 0, 8)]
+        with np.errstate(over="ignore"):
+            out[at] = mix(out[at] * _R + lane, k + 22)
+    raw = memoryview(padded)
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
+    return out
+
+
+def counts_within(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """True values of each run offsets[i]..offsets[i + 1]."""
+    sizes = np.diff(offsets)
+    out = np.zeros(len(sizes), np.int64)
+    if len(flags):
+        out[sizes > 0] = np.add.reduceat(flags.view(np.uint8), offsets[:-1][sizes > 0], dtype=np.int64)
+    return out
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:

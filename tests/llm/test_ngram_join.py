@@ -1,3 +1,5 @@
+import os
+import random
 import re
 
 from hyphaspark.llm import ngram_join
@@ -34,9 +36,45 @@ def test_edges(spark):
     assert ngram_join.components(df.limit(0)).collect() == []
 
 
-def test_like_brute_force(spark):
-    import random
+def test_long_words_differ(spark):
+    """A string with much structure and its complement: a polynomial hash modulo 2^64 cannot tell them apart."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    rows = [(1, word), (2, other), (3, word), (4, f"x y z {word} u"), (5, f"x y z {other} u")]
+    got = sorted(tuple(r)[:3] for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+
 
+def test_deduplicate(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    unique = " ".join(f"u{i}" for i in range(200))
+    rows = [(3, base), (5, base + " tail"), (5, unique), (5, unique), (None, base), (None, "z1 z2 z3 z4 z5"), (None, "z1 z2 z3 z4 z5"), (7, None), (7, ""), (8, "  ")]
+    df = spark.createDataFrame([(i, t, k, k, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _text int, _gone int, row_key int")
+    out = sorted(((r.doc_id, r.text or "") for r in ngram_join.deduplicate(df).collect()), key=str)
+    assert out == sorted([(3, base), (5, unique), (None, "z1 z2 z3 z4 z5"), (7, ""), (8, "  ")], key=str)
+    assert ngram_join.deduplicate(df).columns == df.columns and ngram_join.deduplicate(df.limit(0)).collect() == []
+
+
+def test_long_lists(spark, monkeypatch):
+    """Shingles with long lists, dealt over many slots."""
+    monkeypatch.setattr(ngram_join, "LIST", 5)
+    rng = random.Random(2)
+    shared_part = [f"s{i}" for i in range(60)]
+    rows = [(i, " ".join(shared_part[: rng.randint(50, 60)] + [f"d{rng.randint(0, 40)}" for _ in range(rng.randint(0, 6))])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(tuple(r)[:3] for r in ngram_join.components(df).collect()) == brute(rows)
+
+
+def test_staged_tables_go(spark):
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    ngram_join.deduplicate(spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e")], "doc_id long, text string")).collect()
+    assert len(set(os.listdir(folder)) - before) == 1  # what the result is read from
+
+
+def test_like_brute_force(spark):
     rng = random.Random(5)
     words = [f"t{i}" for i in range(60)]
     base = [[rng.choice(words) for _ in range(rng.randint(3, 90))] for _ in range(25)]

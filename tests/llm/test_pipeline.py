@@ -49,3 +49,25 @@ def test_stages(spark, rows, tmp_path):
     out = corpus_pipeline.run(spark, path).collect()
     assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in kept[3])
     assert all(np.frombuffer(r.ids, "<u4").tolist() == own.encode(texts[r.doc_id], add_special_tokens=False).ids for r in out)
+
+
+def test_edges(spark, tmp_path):
+    """Null and repeated ids, several texts under one id, clashing columns, an empty table."""
+    rng = random.Random(3)
+    text = lambda n=30: " ".join(rng.choice(WORDS["de"]) + str(rng.randint(0, 99)) for _ in range(n))
+    a, b, c = text(), text(), text(60_000)
+    rows = [(1, a), (1, a), (2, a + " ende"), (2, b), (None, b), (None, text()), (3, None), (3, ""), (4, c), (5, text())]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, _text int, token long, size double, position int"
+    made = [(i, t, "de", s, 1, "r", 2, 3, 4.0, 5) for (i, t), s in zip(rows, ["x", "x", None, "y", "x", None, "x", "y", "y", "y"], strict=True)]
+    docs = spark.createDataFrame(made, schema).repartition(3)
+    for name, df in (("some", docs), ("none", docs.limit(0))):
+        path = f"{tmp_path}/{name}"
+        df.write.parquet(f"{path}/documents.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            docs = f(spark, docs, path).cache()
+            assert docs.columns == df.columns
+            if stage == "near_duplicates" and name == "some":
+                kept = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+                assert kept == sorted([(1, a), (2, b), (None, rows[5][1]), (4, c), (5, rows[9][1])], key=str)
+        assert (corpus_pipeline.run(spark, path).count() > 0) == (name == "some")
