@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hyphaspark.llm import ann
@@ -40,26 +41,68 @@ def test_odd_rows(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
-def test_split_buckets(spark, monkeypatch):
+def found(df, step=50, **options):
+    out = {}
+    for r in ann.search(df, F.col("vec_id") % step == 0, **options).orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append(r.vec_id)
+    return out
+
+
+def test_hadamard():
+    for width in (1, 2, 8, 64, 128):
+        m = ann.hadamard(np.eye(width, dtype=np.float32))
+        assert np.allclose(m @ m.T, np.eye(width), atol=1e-5) and np.allclose(np.abs(m), width**-0.5, atol=1e-5)
+
+
+def test_probes_are_the_nearest():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(2, 5, 8)).astype(np.float32)
+    got = ann._probed([x, y], 20)
+    for q in range(5):
+        gaps = [[(max(abs(v)) - c) ** 2 for c in [*v, *-v]] for v in (x[q], y[q])]
+        costs = np.add.outer(*gaps).ravel()
+        assert np.allclose(costs[got[q]], np.sort(costs)[:20], atol=1e-5) and len(set(got[q])) == 20
+    assert (got[:, 0] == ann._bucket([x, y])).all()
+
+
+def test_plans_of_other_tables():
+    """Neighbours as far as in tables of other sizes and widths: more rows take more hashes, not less recall."""
+    few, many, copies = (ann.plan(np.full(5, c), 64, 64, n, n // 50) for c, n in ((0.4, 10_000), (0.72, 10**9), (0.95, 10**9)))
+    assert all(p["found"] >= ann.WANTED for p in (few, many, copies))
+    assert few["functions"] == 1 and many["functions"] > 1 and max(many["scanned"], copies["scanned"]) < 0.01
+    assert ann.plan(np.full(5, 0.11), 1024, 768, 6000, 120) is None
+
+
+@pytest.mark.parametrize("dims,functions", [(64, None), (64, 2), (128, None), (256, None)])
+def test_recall_without_structure(spark, dims, functions):
+    """Random vectors are the hardest case, whatever their width and the number of hashes."""
+    rng = np.random.default_rng(dims)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(3000, dims)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    setting = {"functions": 2, "tables": 16, "probes": 500} if functions else None
+    out, want = found(df, 100, setting=setting), brute(rows, step=100)
+    assert set(out) == set(want) and all(len(v) == 5 for v in out.values())
+    assert sum(len(set(out[q]) & {i for _, i in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_cut_buckets(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 16)
     rng = np.random.default_rng(3)
     rows = [(i, [float(c) for c in rng.normal(size=8)]) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {}
-    for r in ann.search(df, F.col("vec_id") % 50 == 0, probes=16).collect():
-        got.setdefault(r.query_id, []).append(r.vec_id)
-    assert {q: sorted(v) for q, v in got.items()} == {q: sorted(i for _, i in v) for q, v in brute(rows).items()}
-
-
-def test_recall_of_large_tables(spark, monkeypatch):
-    """The table counts as one of 2^27 rows or more: vectors without structure are found all the same."""
-    monkeypatch.setattr(ann.F, "count", lambda c, count=F.count: count(c) + F.lit(1 << 27))
-    rng = np.random.default_rng(4)
-    rows = [(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(3000, 64)))]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
-    out = {}
-    for r in ann.search(df, F.col("vec_id") % 250 == 0).collect():
-        out.setdefault(r.query_id, set()).add(r.vec_id)
-    want = brute(rows, step=250)
-    assert set(out) == set(want)
-    assert sum(len(out[q] & {i for _, i in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+    want = {q: [i for _, i in v] for q, v in brute(rows, step=3).items()}
+    assert found(df, 3, setting={"functions": 1, "tables": 2, "probes": 16}) == want
+    monkeypatch.setattr(ann, "WANTED", 1.1)  # no setting: all rows, in blocks
+    assert found(df, 3) == want
+
+
+def test_copies(spark):
+    """A third of all rows is one vector: ids decide, and every copy asks."""
+    rng = np.random.default_rng(6)
+    same = [0.3, -0.2, 0.9, 0.1]
+    rows = [(i, same if i % 3 == 0 else [float(c) for c in rng.normal(size=4)]) for i in range(300)]
+    rows += [rows[0], (6, [9.0, 9.0, 9.0, 9.0])]  # a repeated row; one id with two vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = found(df, 2)
+    assert [out[k] for k in (0, 12, 240)] == [[3, 6, 9, 12, 15], [0, 3, 6, 9, 15], [0, 3, 6, 9, 12]]
+    assert len(out) == 150 and all(len(v) == 5 and q not in v for q, v in out.items())
