@@ -1,7 +1,7 @@
 """Token counts with overlap resynchronisation.
 
-Texts of ordinary length go through the library whole. A huge text is encoded in overlapping chunks
-with offsets. Two neighbouring chunks are spliced at a position that is a token boundary in both and
+Texts of up to ``CHUNK`` characters go through the library whole. A longer one is encoded in overlapping chunks
+with offsets, so the work of a step does not grow with the text. Two neighbouring chunks are spliced at a position that is a token boundary in both and
 is proven stable: a blank that follows something else starts there, and no piece of the vocabulary
 holds a blank after another character, so no merge can ever cross it, whatever stands further away.
 (The vocabulary is tested for this when it is loaded; without the property texts are encoded whole.)
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK, OVERLAP = 1 << 17, 1 << 9
+CHUNK, OVERLAP = 1 << 13, 1 << 9
 BLANKS = " ▁"  # the library reads both as its blank
 
 

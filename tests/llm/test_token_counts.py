@@ -28,3 +28,12 @@ def test_rows(spark):
     for chunk in (token_counts.CHUNK, 100):
         assert sorted((tuple(r) for r in token_counts.count_tokens(df, PATH, chunk=chunk).collect()), key=key) == sorted(want, key=key)
     assert token_counts.count_tokens(df.limit(0), PATH).collect() == []
+
+
+def test_documents_take_chunks(spark):
+    """Whole documents of the given tables: those beyond a chunk are spliced, and count as the library counts."""
+    p, _ = token_counts.model(PATH)
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(f"length(text) > {token_counts.CHUNK + token_counts.OVERLAP}").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in df.collect()}
+    out = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, PATH).collect()}
+    assert len(texts) > 100 and out == {i: len(p.encode(t)) for i, t in texts.items()}
