@@ -13,9 +13,13 @@ bounded sample of documents (``SAMPLE`` paragraphs, drawn by a hash; those that
 template, or mostly consist of a piece of one, are left out). A part of both is held out to calibrate: a temperature makes the
 probabilities honest, and the least probability that lets through at most ``FALSE_RATE`` of the held-out
 ``none`` paragraphs becomes the threshold below which a paragraph is ``unknown``. A prediction only
-counts if the paragraph also holds ``CONFIRM`` of the word pairs of one template of that family.
+counts if the paragraph also holds ``CONFIRM`` of the word pairs of one template of that family, and no
+negation stands within the two words before them.
 
-A null or empty text has no paragraphs and no finding. Ties between families go to the first by name.
+The fit runs on the driver, on at most ``SAMPLE`` drawn paragraphs and the templates' variants (bounds of the
+labelled rows, whatever the corpus): mini-batches with a rate for each weight, over the non-zero features alone.
+
+A text is never cut; a very long one is a slice of its own and needs about 60 bytes of memory a word. A null or empty text has no paragraphs and no finding. Ties between families go to the first by name.
 Rows are mapped one to one (repeated rows and null ids stay); only the named columns are read; an
 empty table gives an empty result, and training on one uses the templates alone.
 """
@@ -32,24 +36,27 @@ from pyspark.sql import functions as F
 from . import shared
 
 BITS, SAMPLE, VARIANTS, CONFIRM, FALSE_RATE, MARGIN = 14, 4000, 60, 0.6, 0.001, 4
+EPOCHS, BATCH, RATE = 15, 128, 0.5
 NONE = "none"
 
 # Sentences that name a licence, by family.
 TEMPLATES = {
-    "agpl-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "This program is licensed under the GNU AGPL version 3"],
+    "agpl-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "This program is licensed under the GNU AGPL version 3", "SPDX-License-Identifier: AGPL-3.0-only"],
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License Version 2.0", "SPDX-License-Identifier: Apache-2.0"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"],
     "cc0": ["Released under CC0 1.0 Universal.", "The author has dedicated this work to the public domain under CC0 1.0"],
-    "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "You can redistribute it and or modify it under the terms of the GNU General Public License version 3"],
-    "lgpl": ["Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"],
+    "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
+    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "You can redistribute it and or modify it under the terms of the GNU General Public License version 3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "lgpl": ["Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-2.1-or-later", "Licensed under the GNU Lesser General Public License, version 2.1.", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
     "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
     "proprietary": ["All rights reserved.", "This document is confidential and proprietary and may not be copied or distributed without permission"],
 }
+# Words that deny what follows.
+NEGATIONS = ("not", "never", "no", "cannot", "nor", "neither", "without")
 
 _BREAK = np.ones(256, bool)  # bytes that end a word of a licence text
 _BREAK[48:58] = _BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
@@ -92,25 +99,56 @@ def _template_pairs() -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def _holds(words: np.ndarray, pairs: np.ndarray) -> float:
-    """Share of a template's word pairs in a paragraph."""
-    return float(np.isin(pairs, shared.windows(words, 2)).mean()) if len(pairs) else 0.0
+def _like_templates(words: np.ndarray, at: np.ndarray, templates: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Texts that hold half of a template's word pairs, or half of whose pairs are a template's."""
+    pairs = shared.windows(words, 2)
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    inside = owner[:-1] == owner[1:] if len(owner) else np.zeros(0, bool)
+    pairs, owner = pairs[inside], owner[:-1][inside]
+    sizes, out = np.bincount(owner, minlength=len(at) - 1), np.zeros(len(at) - 1, bool)
+    for _, t in templates:
+        hit = np.isin(pairs, t)
+        n = np.bincount(owner[hit], minlength=len(out))
+        out |= (sizes > 1) & (2 * n >= sizes)
+        out |= 2 * np.bincount(np.unique(np.stack([owner[hit], pairs[hit].view(np.int64)]), axis=1)[0], minlength=len(out)) >= len(t)
+    return out
 
 
-def _piece(words: np.ndarray, pairs: np.ndarray) -> float:
-    """Share of a paragraph's word pairs that are a template's."""
-    own = shared.windows(words, 2)
-    return float(np.isin(own, pairs).mean()) if len(own) > 1 else 0.0
+def _scores(weights: np.ndarray, slots: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of the weights of the slots edges[i]..edges[i + 1], and the last weight."""
+    out = np.repeat(weights[-1:], len(edges) - 1, 0)
+    filled = np.diff(edges) > 0
+    if filled.any():
+        out[filled] += np.add.reduceat(weights[slots], edges[:-1][filled], axis=0)
+    return out
 
 
-def _probabilities(weights: np.ndarray, slots: np.ndarray, owners: np.ndarray, n: int, temperature: float = 1.0) -> np.ndarray:
-    scores = np.zeros((n, weights.shape[1]))
-    np.add.at(scores, owners, weights[slots])
-    scores = (scores + weights[-1]) / temperature
+def _probabilities(scores: np.ndarray) -> np.ndarray:
     scores = np.exp(scores - scores.max(1, keepdims=True))
     return scores / scores.sum(1, keepdims=True)
 
 
+def _fit(slots: np.ndarray, edges: np.ndarray, labels: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Weights (slots and one constant x classes) of a multinomial logistic regression."""
+    weights, square = np.zeros(((1 << BITS) + 1, k)), np.full(((1 << BITS) + 1, k), 1e-3)
+    sizes = np.diff(edges)
+    for _ in range(EPOCHS):
+        order = rng.permutation(len(labels))
+        for lo in range(0, len(order), BATCH):
+            some = order[lo : lo + BATCH]
+            cuts = np.concatenate([[0], np.cumsum(sizes[some])])
+            at = slots[np.repeat(edges[:-1][some] - cuts[:-1], sizes[some]) + np.arange(cuts[-1])]
+            gap = _probabilities(_scores(weights, at, cuts))
+            gap[np.arange(len(some)), labels[some]] -= 1
+            by_slot = np.argsort(at, kind="stable")
+            used, first = np.unique(at[by_slot], return_index=True)
+            grad = np.add.reduceat(gap[np.repeat(np.arange(len(some)), sizes[some])[by_slot]], first, axis=0)
+            for where, g in ((used, grad / len(some)), (-1, gap.mean(0))):
+                square[where] += g * g
+                weights[where] -= RATE * g / np.sqrt(square[where])
+    return weights
+
+
 def train(df: DataFrame, text_col: str = "text", seed: int = 3) -> dict:
     """The classifier, its temperature and its threshold."""
     lines = df.select(F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("p")).where(F.length(F.trim("p")) > 0)
@@ -119,41 +157,36 @@ def train(df: DataFrame, text_col: str = "text", seed: int = 3) -> dict:
     some = sorted(drawn.toArrow()["p"].to_pylist())
     templates, families = _template_pairs(), sorted(TEMPLATES)
     words, at = _of_strings(some)
-    plain = [p for p, lo, hi in zip(some, at[:-1], at[1:], strict=True) if all(_holds(words[lo:hi], t) < 0.5 and _piece(words[lo:hi], t) < 0.5 for _, t in templates)]
-    plain = plain or ["none"]
+    plain = [p for p, like in zip(some, _like_templates(words, at, templates).tolist(), strict=True) if not like] or ["none"]
     rng = np.random.default_rng(seed)
-    pool = [w for p in plain[:500] for w in p.split()[:20]] or ["none"]
+    pool = np.array([w for p in plain for w in p.split()] or ["none"], object)
+    picked = lambda lo, hi: pool[rng.integers(0, len(pool), rng.integers(lo, hi))].tolist()
     texts, labels = list(plain), [len(families)] * len(plain)
     for f, family in enumerate(families):
         for template in TEMPLATES[family]:
             for v in range(VARIANTS):
                 kept = [w for w in template.split() if v == 0 or len(template.split()) < 5 or rng.random() > 0.05]
-                around = rng.choice(pool, rng.integers(0, 12) if v else 0)
+                around = picked(0, 12) if v else []
                 cut = int(rng.integers(0, len(around) + 1))
                 texts.append(" ".join([*around[:cut], *kept, *around[cut:]]))
                 labels.append(f)
     for _ in range(VARIANTS * 6):  # pieces of templates out of order are none
-        mixed = rng.choice(pool, rng.integers(3, 15)).tolist() + [w for t in TEMPLATES.values() for w in rng.choice(t[0].split(), 1)][: rng.integers(0, 4)]
+        mixed = picked(3, 15) + [w for t in TEMPLATES.values() for w in rng.choice(t[0].split(), 1)][: rng.integers(0, 4)]
         texts.append(" ".join(rng.permutation(mixed)))
         labels.append(len(families))
     words, at = _of_strings(texts)
     slots, owners = _features(words, at)
-    labels, n, k = np.array(labels), len(texts), len(families) + 1
-    held = rng.random(n) < 0.2
-    goal = np.eye(k)[labels]
-    weights = np.zeros(((1 << BITS) + 1, k))
-    used = ~held[owners]
-    square = np.full_like(weights, 1e-8)
-    for _ in range(150):  # full-batch gradient steps with per-weight rates
-        gap = (_probabilities(weights, slots, owners, n) - goal) * ~held[:, None] / max(1, (~held).sum())
-        grad = 1e-6 * weights
-        np.add.at(grad, slots[used], gap[owners[used]])
-        grad[-1] = gap.sum(0)
-        square += grad * grad
-        weights -= 0.5 * grad / np.sqrt(square)
-    loss = lambda t: -np.log(_probabilities(weights, slots, owners, n, t)[held, labels[held]] + 1e-12).mean()
+    order = np.argsort(owners, kind="stable")
+    slots, edges = slots[order], np.searchsorted(owners[order], np.arange(len(texts) + 1))
+    labels, k = np.array(labels), len(families) + 1
+    held = rng.random(len(texts)) < 0.2
+    keep = np.flatnonzero(~held)
+    cuts = np.concatenate([[0], np.cumsum(np.diff(edges)[keep])])
+    weights = _fit(slots[np.repeat(~held, np.diff(edges))], cuts, labels[keep], k, rng)
+    scores = _scores(weights, slots, edges)[held]
+    loss = lambda t: -np.log(_probabilities(scores / t)[np.arange(len(scores)), labels[held]] + 1e-12).mean()
     temperature = float(min(np.geomspace(0.25, 4, 25), key=loss))
-    sure = np.sort(_probabilities(weights, slots, owners, n, temperature)[held & (labels == k - 1)][:, :-1].max(1, initial=0))
+    sure = np.sort(_probabilities(scores / temperature)[labels[held] == k - 1][:, :-1].max(1, initial=0))
     threshold = float(max(0.5, sure[int(np.floor((len(sure) - 1) * (1 - FALSE_RATE)))] if len(sure) else 0.5))
     return {"families": families, "weights": weights.astype(np.float32), "temperature": temperature, "threshold": threshold, "templates": templates}
 
@@ -193,11 +226,26 @@ def _classify(words: np.ndarray, edges: np.ndarray, m: dict) -> tuple[np.ndarray
     scores = np.zeros((n, len(m["families"]) + 1), np.float32)
     for c in range(scores.shape[1]):
         scores[:, c] = np.bincount(owners, weights=m["weights"][slots, c], minlength=n)
-    scores = (scores + m["weights"][-1]) / m["temperature"]
-    scores = np.exp(scores - scores.max(1, keepdims=True))
-    scores /= scores.sum(1, keepdims=True)
-    best = scores[:, :-1].argmax(1)
-    return best, scores[np.arange(n), best]
+    sure = _probabilities((scores + m["weights"][-1]) / m["temperature"])
+    best = sure[:, :-1].argmax(1)
+    return best, sure[np.arange(n), best]
+
+
+_DENIED, _ = _of_strings([" ".join(NEGATIONS)])
+
+
+def _match(words: np.ndarray, lo: int, hi: int, begin: int, family: int, m: dict) -> float:
+    """The largest share of a template of the family that words lo..hi hold; 0 if a negation stands in the two
+    words before the first of its pairs (from ``begin`` on)."""
+    best = 0.0
+    own = shared.windows(words[lo:hi], 2)
+    for f, t in m["templates"]:
+        hit = np.isin(own, t) if f == family and len(t) else np.zeros(0, bool)
+        if hit.any():
+            first = lo + int(hit.argmax())
+            denied = np.isin(words[max(begin, first - 2) : first], _DENIED).any()
+            best = max(best, 0.0 if denied else len(np.unique(own[hit])) / len(t))
+    return best
 
 
 def _find(data: np.ndarray, offsets: np.ndarray, m: dict):
@@ -207,10 +255,9 @@ def _find(data: np.ndarray, offsets: np.ndarray, m: dict):
     if n == 0:
         return
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
-    match = lambda own, family: max(_holds(own, t) for f, t in m["templates"] if f == family)
     likely = lambda sure: (sure >= 0.5) | (sure >= m["threshold"])
     best, sure = _classify(words, edges, m)
-    found = {(int(p), int(best[p])): (float(sure[p]), match(words[edges[p] : edges[p + 1]], best[p])) for p in np.flatnonzero(likely(sure))}
+    found = {(int(p), int(best[p])): (float(sure[p]), _match(words, edges[p], edges[p + 1], edges[p], best[p], m)) for p in np.flatnonzero(likely(sure))}
     # a line of white space breaks a block
     line = np.repeat(np.arange(n), np.diff(edges))
     breaks = np.flatnonzero(data == 10)
@@ -227,7 +274,7 @@ def _find(data: np.ndarray, offsets: np.ndarray, m: dict):
         best, sure = best[surer], sure[surer]
         for k in np.flatnonzero(likely(sure)):
             (lo, hi), family = spans[k], int(best[k])
-            held = match(words[lo:hi], family)
+            held = _match(words, lo, hi, int(np.searchsorted(block, block[lo])), family, m)
             confirmed = sure[k] >= m["threshold"] and held >= CONFIRM
             first, last = int(line[lo]), int(line[hi - 1])
             if confirmed:
