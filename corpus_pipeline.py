@@ -3,6 +3,12 @@
 Every stage reads what its predecessor wrote and returns the columns of ``documents``; the last one
 returns the encoded documents in training order: doc_id, n_tokens, ids (binary, little-endian
 unsigned 32-bit integers). A document that the mix takes more than once has a row for each copy.
+
+In every stage a null or empty text counts as one without words, so the first stage drops it; a null source is a
+source of its own; null ids take part like others (last where an id decides). Rows that repeat id and text are one
+document to the third stage, which also decides ties by id, then text; another text under a known id stays. Texts
+are never cut, however long. Further columns, whatever their names, are carried to the fourth stage and have
+no influence. An empty table gives an empty result.
 """
 
 from __future__ import annotations
