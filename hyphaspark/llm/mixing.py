@@ -86,10 +86,12 @@ def _placed(rows: DataFrame, sized: DataFrame, id_col: str, source_col: str, siz
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = sized.groupBy("source", F.substring(place("doc_id", "size"), 1, digits).alias("range")).agg(F.sum("size").alias("n"))
     ranges = ranges.withColumn("range_start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    ranges = ranges.join(aims.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(F.col("source").alias("_of"), F.col("range").alias("_in"), "range_start", "source_size", "weight", "target")
-    placed = rows.withColumns({"_place": place(id_col, size_col), "_source": F.col(source_col).cast("string")}).withColumn("_range", F.substring("_place", 1, digits))
-    placed = placed.join(ranges, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_in")))
-    inside = Window.partitionBy("_of", "_in").orderBy("_place", F.col(id_col).cast("long"), size_col).rowsBetween(Window.unboundedPreceding, -1)
+    # one key of range and source, so that the join and the window deal the rows out once
+    cell = lambda r, s: F.concat(r, F.coalesce(F.concat(F.lit("="), s), F.lit("")))
+    ranges = ranges.join(aims.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(cell(F.col("range"), F.col("source")).alias("_cell"), "range_start", "source_size", "weight", "target")
+    placed = rows.withColumn("_place", place(id_col, size_col))
+    placed = placed.withColumn("_cell", cell(F.substring("_place", 1, digits), F.col(source_col).cast("string"))).join(ranges, "_cell")
+    inside = Window.partitionBy("_cell").orderBy("_place", F.col(id_col).cast("long"), size_col).rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("_start", F.col("range_start") + F.coalesce(F.sum(size_col).over(inside), F.lit(0)))
     twice = lambda k: 2 * (k * F.col("source_size") + F.col("_start")) + F.col(size_col)  # noqa: E731  twice the middle of a copy
     passes = F.filter(F.array(*[F.lit(k) for k in range(MAX_PASSES)]), lambda k: (F.col("target") > 0) & (twice(k) <= 2 * F.col("target")))

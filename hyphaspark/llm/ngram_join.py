@@ -334,7 +334,8 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     class_key (equal for equal sets). Sets link when 100 * intersection >= percent * union."""
     members, classes = _rooted(df, id_col, text_col, n, percent)
     least = members.where("n_shingles > 0").groupBy("class_key").agg(F.min("doc_id").alias("least")).join(classes, "class_key").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = shared.stage(classes.join(least, "root").select("class_key", "component_id"), "components", classes)
+    least = shared.stage(least, "least")  # so that a root with many classes can be split in the join
+    named = shared.stage(classes.join(least, "root").select("class_key", "component_id"), "components", classes, least)
     out = members.join(named, "class_key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class_key")
 
@@ -348,11 +349,13 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     members, classes = _rooted(df, id_col, text_col, n, percent, key)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     firsts = members.where("n_shingles > 0").groupBy("class_key").agg(F.min(place).alias("first")).join(classes, "class_key")
-    firsts = shared.stage(firsts.join(firsts.groupBy("root").agg(F.min("first").alias("kept")), "root").select("class_key", F.col("kept.row_key").alias("kept")), "kept", classes)
+    least = shared.stage(firsts.groupBy("root").agg(F.min("first").alias("first")).select("root", F.col("first.row_key").alias("kept")), "least")
+    firsts = shared.stage(classes.join(least, "root").select("class_key", "kept"), "kept", classes, least)
     known = members.join(firsts, "class_key", "left").groupBy("row_key").agg(F.max(F.col("row_key") != F.coalesce("kept", "row_key")).alias("gone"), F.count("*").alias("times"))
     known = shared.stage(known.where("gone OR times > 1"), "known", members, firsts)
     rows = df.select(F.struct("*").alias("row"), key.alias("row_key"))
-    single = rows.join(known.select("row_key"), "row_key", "left_anti").select("row.*")
+    # what goes grows with the table, so it is joined alike at every size, never sent to all tasks
+    single = rows.join(known.select("row_key").hint("merge"), "row_key", "left_anti").select("row.*")
     repeated = known.where("NOT gone").select("row_key")
     if not repeated.take(1):
         return single
