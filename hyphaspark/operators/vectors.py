@@ -1,7 +1,10 @@
 """Polygons as ring tables: point in polygon, nearest polygon, lithology classes.
 
-Polygons are cut into the square bins that their bounding boxes touch, points fall into one bin, and an
-equi-join on the bin finds the candidates for the exact test. Large polygons only add bins.
+A polygon has ``rings``: the outer and inner rings of all its parts, closed, in any order; what an even number
+of them holds is outside, so holes and several parts need nothing special. Polygons are cut into the square bins that
+their bounding boxes touch, and each bin only gets the edges that can decide about points in it. Points fall into one
+bin, an equi-join on the bin finds the candidates, and the bounding box is tried before the exact test. A polygon of
+any size is thus spread over its bins, edges and all.
 """
 
 from __future__ import annotations
@@ -20,72 +23,98 @@ KEYWORDS = {
         "acidic": ["METAMORF", "FILLAD", "MICASCIST", "GNEISS", "SCISTI", "QUARZIT", "MIGMATIT", "RIOLIT", "IGNIMBRIT"],
     },
 }
+KEYWORDS["bz"] = KEYWORDS["tn"]
 BIN, RADIUS = 2200.0, 2000.0
 
 
 def lithology_class(descr: Column, region: Column) -> Column:
-    """calcareous, acidic or neutral: the first keyword list with a word in the description."""
-    upper, out = F.upper(descr), F.lit("neutral")
+    """calcareous, acidic or neutral: the first keyword list with a word in the description. Null without a
+    description or for a region that has no lists."""
+    upper, out = F.upper(descr), F.lit(None).cast("string")
     for name, lists in KEYWORDS.items():
         found = F.when(upper.rlike("|".join(lists["calcareous"])), "calcareous").when(upper.rlike("|".join(lists["acidic"])), "acidic").otherwise("neutral")
         out = F.when(region == name, found).otherwise(out)
     return F.when(descr.isNotNull(), out)
 
 
-def _binned(polygons: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
-    edge = lambda f, c: f(F.transform("ring", lambda p: p[c]))
-    bins = lambda c: F.sequence(F.floor((edge(F.array_min, c) - margin) / size).cast("long"), F.floor((edge(F.array_max, c) + margin) / size).cast("long"))
-    return polygons.withColumn("bin_x", F.explode(bins("x"))).withColumn("bin_y", F.explode(bins("y")))
+def with_edges(polygons: DataFrame) -> DataFrame:
+    """poly_id, attr, region, edges (ax, ay, bx, by of every ring) and the bounding box x0, y0, x1, y1."""
+    of_ring = lambda r: F.zip_with(F.slice(r, F.lit(1), F.size(r) - 1), F.slice(r, F.lit(2), F.size(r) - 1), lambda p, q: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))
+    made = polygons.select("poly_id", "attr", "region", F.flatten(F.transform("rings", of_ring)).alias("edges"))
+    ends = lambda f, c: f(F.transform("edges", lambda e: e[c]))
+    return made.withColumns({"x0": ends(F.array_min, "ax"), "x1": ends(F.array_max, "ax"), "y0": ends(F.array_min, "ay"), "y1": ends(F.array_max, "ay")})
 
 
-def _point_bins(points: DataFrame, size: float) -> DataFrame:
-    return points.withColumns({"bin_x": F.floor(F.col("x") / size).cast("long"), "bin_y": F.floor(F.col("y") / size).cast("long")})
+def _binned(polygons: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
+    """A row for each bin within ``margin`` of the box, with the edges that can count there: those in the bin's
+    row that do not lie left of it (a ray to the right meets them), and those within the margin."""
+    bins = lambda lo, hi: F.sequence(F.floor((F.col(lo) - margin) / size).cast("long"), F.floor((F.col(hi) + margin) / size).cast("long"))
+    lo, hi = F.col("bin_y") * size - margin, (F.col("bin_y") + 1) * size + margin
+    rows = with_edges(polygons).withColumn("bin_y", F.explode(bins("y0", "y1")))
+    rows = rows.withColumn("edges", F.filter("edges", lambda e: (F.greatest(e["ay"], e["by"]) >= lo) & (F.least(e["ay"], e["by"]) <= hi)))
+    rows = rows.withColumn("bin_x", F.explode(bins("x0", "x1")))
+    return rows.withColumn("edges", F.filter("edges", lambda e: F.greatest(e["ax"], e["bx"]) >= F.col("bin_x") * size - margin))
 
 
-def _edges(ring: str, f) -> Column:
-    """An array with ``f(p, q)`` of each edge p-q of the closed ring."""
-    return F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), f)
+def _candidates(points: DataFrame, polygons: DataFrame, key: str, size: float, margin: float) -> DataFrame:
+    at = points.select(key, "x", "y").withColumns({"bin_x": F.floor(F.col("x") / size).cast("long"), "bin_y": F.floor(F.col("y") / size).cast("long")})
+    near = F.col("x").between(F.col("x0") - margin, F.col("x1") + margin) & F.col("y").between(F.col("y0") - margin, F.col("y1") + margin)
+    return at.join(_binned(polygons, size, margin), ["bin_x", "bin_y"]).where(near)
 
 
-def inside(x: Column, y: Column, ring: str = "ring") -> Column:
-    """Even-odd rule; points on an edge count as outside where the distance to it is 0."""
-    crosses = _edges(ring, lambda p, q: ((p.y > y) != (q.y > y)) & (x < (q.x - p.x) * F.try_divide(y - p.y, q.y - p.y) + p.x))
-    odd = F.aggregate(crosses, F.lit(0), lambda n, c: n + F.when(c, 1).otherwise(0)) % 2 == 1
-    return odd & (distance(x, y, ring) > 0)
+def inside(x: Column, y: Column, edges: str = "edges") -> Column:
+    """Even-odd rule over all edges; points on an edge count as outside."""
+    crosses = lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < (e["bx"] - e["ax"]) * F.try_divide(y - e["ay"], e["by"] - e["ay"]) + e["ax"])
+    on = lambda e: ((e["bx"] - e["ax"]) * (y - e["ay"]) == (e["by"] - e["ay"]) * (x - e["ax"])) & x.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
+    met = F.aggregate(edges, F.lit(0), lambda n, e: F.when((n < 0) | on(e), -1).when(crosses(e), n + 1).otherwise(n))
+    return (met > 0) & (met % 2 == 1)
 
 
-def distance(x: Column, y: Column, ring: str = "ring") -> Column:
-    """Distance to the ring."""
+def distance(x: Column, y: Column, edges: str = "edges") -> Column:
+    """Distance to the nearest edge."""
 
-    def of(p: Column, q: Column) -> Column:
-        dx, dy = q.x - p.x, q.y - p.y
-        along = F.coalesce(F.try_divide((x - p.x) * dx + (y - p.y) * dy, dx * dx + dy * dy), F.lit(0.0))
+    def of(e: Column) -> Column:
+        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+        along = F.coalesce(F.try_divide((x - e["ax"]) * dx + (y - e["ay"]) * dy, dx * dx + dy * dy), F.lit(0.0))
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-        return F.hypot(p.x + t * dx - x, p.y + t * dy - y)
+        return F.hypot(e["ax"] + t * dx - x, e["ay"] + t * dy - y)
 
-    return F.array_min(_edges(ring, of))
+    return F.array_min(F.transform(edges, of))
 
 
 def containing(points: DataFrame, polygons: DataFrame, key: str, size: float = BIN) -> DataFrame:
     """key, poly_id, attr, region of the polygon that contains each point (the smallest id, if several);
     points outside all polygons drop out."""
-    met = _point_bins(points.select(key, "x", "y"), size).join(_binned(polygons, size), ["bin_x", "bin_y"]).where(inside(F.col("x"), F.col("y")))
+    met = _candidates(points, polygons, key, size, 0.0).where(inside(F.col("x"), F.col("y")))
     return met.groupBy(key).agg(F.min(F.struct("poly_id", "attr", "region")).alias("p")).select(key, "p.*")
 
 
 def nearest(points: DataFrame, polygons: DataFrame, key: str, radius: float = RADIUS, size: float = BIN) -> DataFrame:
-    """key, poly_id, attr, region, dist of the nearest polygon within ``radius`` (ties: the smallest id)."""
-    met = _point_bins(points.select(key, "x", "y"), size).join(_binned(polygons, size, radius), ["bin_x", "bin_y"])
-    met = met.withColumn("dist", distance(F.col("x"), F.col("y"))).where(F.col("dist") <= radius)
+    """key, poly_id, attr, region, dist of the polygon with the nearest edge within ``radius`` (ties: the
+    smallest id)."""
+    met = _candidates(points, polygons, key, size, radius).withColumn("dist", distance(F.col("x"), F.col("y"))).where(F.col("dist") <= radius)
     return met.groupBy(key).agg(F.min(F.struct("dist", "poly_id", "attr", "region")).alias("p")).select(key, "p.*")
 
 
+def located(points: DataFrame, polygons: DataFrame, key: str, radius: float = RADIUS, size: float = BIN) -> DataFrame:
+    """key, poly_id, attr, region, fallback: the containing polygon (fallback false), else the nearest one. The
+    points meet the polygons once for both."""
+    met = _candidates(points, polygons, key, size, radius).withColumn("fallback", ~inside(F.col("x"), F.col("y")))
+    met = met.withColumn("dist", F.when(F.col("fallback"), distance(F.col("x"), F.col("y"))).otherwise(0.0)).where(F.col("dist") <= radius)
+    return met.groupBy(key).agg(F.min(F.struct("fallback", "dist", "poly_id", "attr", "region")).alias("p")).select(key, "p.poly_id", "p.attr", "p.region", "p.fallback")
+
+
 def geology(points: DataFrame, polygons: DataFrame, key: str, radius: float = RADIUS) -> DataFrame:
     """key, soil_ph, geology_descr, geology_fallback: the containing polygon, else the nearest one."""
-    direct = containing(points, polygons, key).withColumn("geology_fallback", F.lit(False))
-    rest = points.join(direct.select(key), key, "left_anti")
-    near = nearest(rest, polygons, key, radius).drop("dist").withColumn("geology_fallback", F.lit(True))
-    return direct.unionByName(near).select(key, lithology_class(F.col("attr"), F.col("region")).alias("soil_ph"), F.col("attr").alias("geology_descr"), "geology_fallback")
+    made = located(points, polygons, key, radius)
+    return made.select(key, lithology_class(F.col("attr"), F.col("region")).alias("soil_ph"), F.col("attr").alias("geology_descr"), F.col("fallback").alias("geology_fallback"))
+
+
+def masked(pixels: DataFrame, polygons: DataFrame, keys: list[str]) -> DataFrame:
+    """The pixels whose centre (x, y) lies in a polygon."""
+    key = F.struct(*keys)
+    held = containing(pixels.select(key.alias("pixel"), "x", "y"), polygons, "pixel").select("pixel.*")
+    return pixels.join(held, keys, "left_semi")
 
 
 def forest_host(points: DataFrame, polygons: DataFrame, crosswalk: DataFrame, key: str) -> DataFrame:

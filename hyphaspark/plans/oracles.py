@@ -170,12 +170,14 @@ SCENES = f"""{PIXELS}, scenes AS (SELECT s::INT AS scene, tile, row, col, 4 + (t
 
 def _lith(region: str, descr: str) -> str:
     has = lambda words: "(" + " OR ".join(f"contains(upper({descr}), {_q(w)})" for w in words) + ")"
-    return "CASE " + " ".join(f"WHEN {region} = '{r}' AND {has(k['calcareous'])} THEN 'calcareous' WHEN {region} = '{r}' AND {has(k['acidic'])} THEN 'acidic'" for r, k in KEYWORDS.items()) + " ELSE 'neutral' END"
+    return "CASE " + " ".join(f"WHEN {region} = '{r}' AND {has(k['calcareous'])} THEN 'calcareous' WHEN {region} = '{r}' AND {has(k['acidic'])} THEN 'acidic'" for r, k in KEYWORDS.items()) + f" WHEN {region} IN ({', '.join(map(_q, KEYWORDS))}) THEN 'neutral' END"
 
 
 POLYGONS = f"""polys AS (SELECT *, {_strings(v for _, v in LITHOLOGIES)}[lith + 1] AS attr, {_strings(r for r, _ in LITHOLOGIES)}[lith + 1] AS region FROM (SELECT s_suppkey AS poly_id, 605000.0::DOUBLE + (s_suppkey * 7 % 40) * 2200.0::DOUBLE + 900.037::DOUBLE AS cx,
-  5060000.0::DOUBLE + (s_suppkey * 3 % 5) * 2200.0::DOUBLE + 700.011::DOUBLE AS cy, 1500.0::DOUBLE + (s_suppkey % 7) * 400.0::DOUBLE AS a, s_suppkey % 10 AS lith FROM supplier)),
- direct AS (SELECT cell_key, min(poly_id) AS poly_id FROM cells JOIN polys ON abs(x - cx) + abs(y - cy) < a GROUP BY 1)"""
+  5060000.0::DOUBLE + (s_suppkey * 3 % 5) * 2200.0::DOUBLE + 700.011::DOUBLE AS cy, 1500.0::DOUBLE + (s_suppkey % 7) * 400.0::DOUBLE AS a, s_suppkey % 13 AS lith FROM supplier)),
+ rings AS (SELECT poly_id, cx, cy, a FROM polys UNION ALL SELECT poly_id, cx, cy, a / 2 FROM polys WHERE poly_id % 3 = 0 UNION ALL SELECT poly_id, cx + a * 2.5::DOUBLE, cy, a / 2 FROM polys WHERE poly_id % 5 = 0),
+ held AS (SELECT cell_key, poly_id FROM cells JOIN rings ON abs(x - cx) + abs(y - cy) < a GROUP BY 1, 2 HAVING count(*) % 2 = 1),
+ direct AS (SELECT cell_key, min(poly_id) AS poly_id FROM held GROUP BY 1)"""
 
 
 def _edge(sx: int, sy: int) -> str:
@@ -186,7 +188,7 @@ def _edge(sx: int, sy: int) -> str:
 
 
 NEAREST = f"""dists AS (SELECT c.cell_key, p.poly_id, least({', '.join(_edge(i, j) for i in (1, -1) for j in (1, -1))}) AS dist FROM (SELECT * FROM cells WHERE cell_key NOT IN (SELECT cell_key FROM direct)) c
-    JOIN polys p ON abs(c.x - p.cx) <= p.a + 2000 AND abs(c.y - p.cy) <= p.a + 2000),
+    JOIN rings p ON abs(c.x - p.cx) <= p.a + 2000 AND abs(c.y - p.cy) <= p.a + 2000),
   near AS (SELECT cell_key, poly_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY cell_key ORDER BY dist, poly_id) AS r FROM dists WHERE dist <= 2000) WHERE r = 1)"""
 GEOLOGY = f"""geo AS (SELECT g.cell_key, {_lith('region', 'attr')} AS soil_ph, attr AS geology_descr, fallback AS geology_fallback
   FROM (SELECT cell_key, poly_id, false AS fallback FROM direct UNION ALL SELECT cell_key, poly_id, true FROM near) g JOIN polys USING (poly_id))"""

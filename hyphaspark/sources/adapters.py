@@ -15,6 +15,7 @@ LITHOLOGIES = [
     ("tn", "DOLOMIA PRINCIPALE"), ("tn", "CALCARE DI ESINO"), ("tn", "GRANITO DI BRESSANONE"), ("tn", "PORFIDI QUARZIFERI INFERIORI"),
     ("tn", "TONALITE DI CIMA D'ASTA"), ("tn", "GABBRO (Plutone di Predazzo)"), ("tn", "ARENARIA DI VAL GARDENA"),
     ("ve", "calcari e dolomie di piattaforma"), ("ve", "Sequenze metamorfitiche pre-Permiane"), ("ve", "ialoclastiti, tufi e brecce"),
+    ("bz", "Dolomia dello Sciliar"), ("bz", "Granito di Bressanone"), ("bz", "Depositi alluvionali"),
 ]
 
 
@@ -59,19 +60,21 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rhombi with a lithology: poly_id, attr, region, ring (closed array of x, y)."""
+    """Rhombi with a lithology: poly_id, attr, region, rings (closed arrays of x, y). Every third has a rhombic
+    hole of half its size, every fifth a second part of half its size to the east."""
     rows = table(spark, sf_dir, "supplier").selectExpr(
         "s_suppkey AS poly_id",
         "605000.0D + (s_suppkey * 7 % 40) * 2200.0D + 900.037D AS cx",
         "5060000.0D + (s_suppkey * 3 % 5) * 2200.0D + 700.011D AS cy",
         "1500.0D + (s_suppkey % 7) * 400.0D AS a",
-        "CAST(s_suppkey % 10 AS INT) AS lith_ix",
+        "CAST(s_suppkey % 13 AS INT) AS lith_ix",
     )
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    x, y, a = F.col("cx"), F.col("cy"), F.col("a")
-    ring = F.array(point(x + a, y), point(x, y + a), point(x - a, y), point(x, y - a), point(x + a, y))
+    ring = lambda x, y, a: F.array(point(x + a, y), point(x, y + a), point(x - a, y), point(x, y - a), point(x + a, y))
+    x, y, a, k = F.col("cx"), F.col("cy"), F.col("a"), F.col("poly_id")
+    rings = F.array_compact(F.array(ring(x, y, a), F.when(k % 3 == 0, ring(x, y, a / 2)), F.when(k % 5 == 0, ring(x + a * 2.5, y, a / 2))))
     names = lambda k: F.get(F.array(*[F.lit(v[k]) for v in LITHOLOGIES]), F.col("lith_ix"))
-    return rows.select("poly_id", names(1).alias("attr"), names(0).alias("region"), ring.alias("ring"))
+    return rows.select("poly_id", names(1).alias("attr"), names(0).alias("region"), rings.alias("rings"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,14 +40,30 @@ def test_terrain_on_planes(spark):
 
 
 def test_lithology(spark):
-    want = ["calcareous", "calcareous", "acidic", "acidic", "acidic", "neutral", "neutral", "calcareous", "acidic", "neutral"]
+    want = ["calcareous", "calcareous", "acidic", "acidic", "acidic", "neutral", "neutral", "calcareous", "acidic", "neutral", "calcareous", "acidic", "neutral"]
     rows = spark.createDataFrame([(i, r, d) for i, (r, d) in enumerate(adapters.LITHOLOGIES)], "i int, region string, descr string")
     assert [r.c for r in rows.orderBy("i").select(vectors.lithology_class(F.col("descr"), F.col("region")).alias("c")).collect()] == want
 
 
+RINGS = "poly_id int, attr string, region string, rings array<array<struct<x: double, y: double>>>"
+
+
+def test_holes_and_parts(spark):
+    box = lambda x, y, a: [(x - a, y - a), (x + a, y - a), (x + a, y + a), (x - a, y + a), (x - a, y - a)]
+    rings = [box(0.0, 0.0, 30000.0), box(0.0, 0.0, 10000.0), box(0.0, 0.0, 3000.0), box(50000.0, 0.0, 1000.0)]  # a hole, an island in it, a part
+    polys = spark.createDataFrame([(1, "a", "xx", rings)], RINGS)
+    spots = {"land": (20000.0, 5000.0), "hole": (5000.0, 0.0), "shore": (9000.0, 0.0), "island": (0.0, 100.0), "part": (50000.0, 10.0), "between": (40000.0, 0.0), "edge": (10000.0, 0.0), "corner": (30000.0, 30000.0)}
+    points = spark.createDataFrame([(k, *v) for k, v in spots.items()], "k string, x double, y double")
+    assert {r.k for r in vectors.containing(points, polys, "k").collect()} == {"land", "island", "part"}
+    found = {r.k: r.fallback for r in vectors.located(points, polys, "k").collect()}
+    assert found == {"land": False, "island": False, "part": False, "hole": True, "shore": True, "edge": True, "corner": True}
+    assert {r.k for r in vectors.masked(points, polys, ["k"]).collect()} == {"land", "island", "part"}
+    assert {r.soil_ph for r in vectors.geology(points, polys, "k").collect()} == {None}  # a region without keywords
+
+
 def test_polygons(spark):
     square = [(0.0, 0.0), (4000.0, 0.0), (4000.0, 4000.0), (0.0, 4000.0), (0.0, 0.0)]
-    polys = spark.createDataFrame([(2, "b", "tn", square), (1, "a", "tn", [(x + 1000, y) for x, y in square])], "poly_id int, attr string, region string, ring array<struct<x: double, y: double>>")
+    polys = spark.createDataFrame([(2, "b", "tn", [square]), (1, "a", "tn", [[(x + 1000, y) for x, y in square]])], RINGS)
     points = spark.createDataFrame([(1, 500.0, 500.0), (2, 2000.0, 500.0), (3, 0.0, 2000.0), (4, -1000.0, 100.0), (5, -9000.0, 0.0)], "k int, x double, y double")
     assert {r.k: r.poly_id for r in vectors.containing(points, polys, "k").collect()} == {1: 2, 2: 1}
     assert {r.k: (r.poly_id, round(r.dist)) for r in vectors.nearest(points.where("k >= 3"), polys, "k").collect()} == {3: (2, 0), 4: (2, 1000)}
