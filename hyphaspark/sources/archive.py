@@ -1,29 +1,26 @@
-"""Parquet archives partitioned by date, rewritten date by date."""
+"""Parquet archives partitioned by date, rewritten date by date.
+
+The new rows of a batch's dates are checkpointed before the old files go. If a job dies while the dates are
+overwritten, run the same batch again: an upsert changes nothing where it has been applied, and days that the archive
+no longer holds come back with the hourly feed, which overlaps by three days, or with a backfill."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import folders
+
 
 def read(spark: SparkSession, path: str, schema) -> DataFrame:
     """The archive, or an empty table where there is none yet."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
-
-
-def _with_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go where the cluster says; a folder of our own serves only where nothing is set."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return spark.read.schema(schema).parquet(path) if folders.exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def overwrite_dates(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], dates: DataFrame, key: str) -> None:
     """Replaces the partitions of ``dates`` by what ``change`` makes of their rows."""
-    _with_checkpoints(spark)
+    folders.shared_dir(spark)
     schema = f"{key} string, date date, precip_mm double, soil_temp_c double, soil_moist double"
     old = read(spark, path, schema).join(dates, "date", "left_semi").select(key, "date", "precip_mm", "soil_temp_c", "soil_moist")
     new = change(old).repartition("date").checkpoint()  # the old files go while the new ones are written

@@ -32,7 +32,8 @@ def mismatches(requests: DataFrame, series: DataFrame, keys: list[str]) -> DataF
     return asked.join(got, keys, "left").withColumn("n_series", F.coalesce("n_series", F.lit(0))).where("n_requests <> n_series")
 
 
-_FEATURES = "struct<features: array<struct<id: long, geometry: struct<type: string, coordinates: array<array<array<double>>>>, properties: map<string, string>>>>"
+_FEATURES = "struct<features: array<struct<id: long, geometry: struct<type: string, coordinates: string>, properties: map<string, string>>>>"
+_RING = "array<array<array<double>>>"
 
 
 def _page_features(pages: DataFrame, json_col: str) -> DataFrame:
@@ -47,17 +48,22 @@ def _valid_ring(ring: Column) -> Column:
 
 
 def polygon_pages(pages: DataFrame, name_field: str, keep_unnamed: bool = False, json_col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(polygons, counters) of landed GeoJSON pages. Polygons have poly_id, attr (trimmed) and ring;
-    repeated ids count once. Features without geometry, with an invalid ring or (unless ``keep_unnamed``, which
-    makes it empty) without a name are skipped and counted."""
+    """(polygons, counters) of landed GeoJSON pages with Polygon and MultiPolygon features. Polygons have poly_id,
+    attr (trimmed) and rings: the valid ones of all parts, holes too. Repeated ids count once (the first by name and
+    rings). Features without geometry, without any valid ring or (unless ``keep_unnamed``, which makes it empty)
+    without a name are skipped and counted; so are dropped rings of features that stay (n_repaired)."""
     rows = _page_features(pages, json_col)
-    ring = F.col("f.geometry.coordinates")[0]
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    rings = F.when(kind == "Polygon", F.from_json(text, _RING)).when(kind == "MultiPolygon", F.flatten(F.from_json(text, f"array<{_RING}>")))
     name = F.trim(F.col("f.properties")[name_field])
-    rows = rows.select(F.col("f.id").alias("poly_id"), (F.coalesce(name, F.lit("")) if keep_unnamed else F.nullif(name, F.lit(""))).alias("attr"), ring.alias("ring"), F.col("f.geometry").isNotNull().alias("has_geometry"))
-    rows = rows.withColumn("valid", F.coalesce(_valid_ring(F.col("ring")), F.lit(False)))
-    counters = rows.agg(F.count("*").alias("n_features"), F.count_if(~F.col("has_geometry")).alias("n_no_geometry"), F.count_if(F.col("has_geometry") & ~F.col("valid")).alias("n_invalid"), F.count_if(F.col("attr").isNull()).alias("n_unnamed"))
-    kept = rows.where("has_geometry AND valid AND attr IS NOT NULL").dropDuplicates(["poly_id"])
-    return kept.select("poly_id", "attr", F.transform("ring", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("ring")), counters
+    rows = rows.select(F.col("f.id").alias("poly_id"), (F.coalesce(name, F.lit("")) if keep_unnamed else F.nullif(name, F.lit(""))).alias("attr"), rings.alias("all"), F.col("f.geometry").isNotNull().alias("has_geometry"))
+    rows = rows.withColumn("rings", F.filter("all", lambda r: F.coalesce(_valid_ring(r), F.lit(False)))).withColumn("valid", F.coalesce(F.size("rings") > 0, F.lit(False)))
+    counters = rows.agg(
+        F.count("*").alias("n_features"), F.count_if(~F.col("has_geometry")).alias("n_no_geometry"), F.count_if(F.col("has_geometry") & ~F.col("valid")).alias("n_invalid"),
+        F.count_if(F.col("attr").isNull()).alias("n_unnamed"), F.count_if(F.col("valid") & (F.size("rings") < F.size("all"))).alias("n_repaired"),
+    )
+    kept = rows.where("has_geometry AND valid AND attr IS NOT NULL").groupBy("poly_id").agg(F.min(F.struct("attr", "rings")).alias("p"))
+    return kept.select("poly_id", "p.attr", F.transform("p.rings", lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))).alias("rings")), counters
 
 
 def max_object_id(pages: DataFrame, json_col: str = "value") -> DataFrame:

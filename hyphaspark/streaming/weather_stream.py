@@ -12,6 +12,7 @@ from ..operators import observations as obs
 from ..operators import weather
 from ..sources import archive
 
+FOLDERS = 64
 SCHEMA = "event_id long, meteo_cell_id string, time timestamp_ntz, precip double, soil_temp double, soil_moist double"
 ARCHIVE = "meteo_cell_id string, date date, precip_mm double, soil_temp_c double, soil_moist double"
 
@@ -40,11 +41,14 @@ def run_archive(hours: DataFrame, path: str, checkpoint: str, after: Callable[[D
 
 
 def refresh_phases(profile: DataFrame, path: str) -> Callable[[DataFrame, DataFrame], None]:
-    """For ``run_archive``: writes the phases of all cells that a batch changed, one folder per cell."""
+    """For ``run_archive``: writes the phases of all cells that a batch changed. Cells are dealt over a fixed
+    number of folders by a hash; those that hold a changed cell are rewritten, as only their cells' history is read."""
 
     def after(changed: DataFrame, days: DataFrame) -> None:
-        touched = days.join(changed.select("meteo_cell_id").distinct(), "meteo_cell_id", "left_semi")
-        weather.phases(touched, profile).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("meteo_cell_id").parquet(path)
+        part = F.pmod(F.xxhash64("meteo_cell_id"), F.lit(FOLDERS)).cast("int")
+        touched = days.withColumn("part", part).join(changed.select(part.alias("part")).distinct(), "part", "left_semi")
+        made = weather.phases(touched, profile).withColumn("part", part).repartition("part")
+        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
     return after
 

@@ -31,10 +31,14 @@ def test_polygon_and_occurrence_pages(spark):
     ring = [[0, 0], [1, 0], [1, 1], [0, 0]]
     feature = lambda i, g, n: {"id": i, "geometry": g, "properties": {"NAME": n}}
     shape = {"type": "Polygon", "coordinates": [ring]}
+    hole = [[0.5, 0.2], [0.8, 0.2], [0.8, 0.4], [0.5, 0.2]]
+    parts = text(spark, [("m", json.dumps({"features": [feature(7, {"type": "MultiPolygon", "coordinates": [[ring, hole], [[[5, 5], [6, 6], [5, 5]]], [ring]]}, "m"), feature(8, {"type": "Polygon", "coordinates": [ring, hole]}, "h"), feature(9, {"type": "Point", "coordinates": [0, 0]}, "p")]}))])
+    polys, counters = feeds.polygon_pages(parts, "NAME")
+    assert {r.poly_id: len(r.rings) for r in polys.collect()} == {7: 3, 8: 2} and counters.first().asDict() == {"n_features": 3, "n_no_geometry": 0, "n_invalid": 1, "n_unnamed": 0, "n_repaired": 1}
     page = {"features": [feature(1, shape, " Granito "), feature(2, None, "x"), feature(3, shape, ""), feature(4, {"type": "Polygon", "coordinates": [[[0, 0], [1, 1], [0, 0]]]}, "y"), feature(1, shape, "Granito")]}
     pages = text(spark, [("p", json.dumps(page))])
     polys, counters = feeds.polygon_pages(pages, "NAME")
-    assert [(r.poly_id, r.attr) for r in polys.collect()] == [(1, "Granito")] and tuple(counters.first()) == (5, 1, 1, 1)
+    assert [(r.poly_id, r.attr) for r in polys.collect()] == [(1, "Granito")] and tuple(counters.first()) == (5, 1, 1, 1, 0)
     assert feeds.polygon_pages(pages, "NAME", True)[0].count() == 2 and feeds.max_object_id(pages).first().max_id == 4
     assert [r.lo for r in feeds.missing_windows(spark, spark.createDataFrame([(0,)], "lo long"), 25, 10).orderBy("lo").collect()] == [10, 20]
     res = {"results": [{"decimalLatitude": 46.0, "decimalLongitude": 11.0, "year": 2020, "key": k} for k in range(5)] + [{"decimalLatitude": None, "key": 9}, {"decimalLatitude": 1.0, "decimalLongitude": 11.0, "key": 10}]}
