@@ -22,11 +22,17 @@ def boyce_curve(points: DataFrame, n_windows: int = WINDOWS, width: float = WIDT
     offset = (F.col("score") - F.col("lo")) / F.col("step")
     first = F.greatest(F.lit(0), F.floor(offset - F.col("w") / F.col("step")).cast("int"))
     last = F.least(F.lit(n_windows - 1), F.ceil(offset).cast("int"))
-    met = rows.withColumn("win", F.explode(F.sequence(first, last)))
-    center = F.col("lo") + F.col("w") / 2 + F.col("win") * F.col("step")
-    met = met.withColumn("center", center).where((F.col("score") >= F.col("center") - F.col("w") / 2) & (F.col("score") <= F.col("center") + F.col("w") / 2))
-    counts = met.groupBy("species", "win").agg(F.first("center").alias("center"), (F.count_if(F.col("kind") == "pres") / F.first("n_pres")).alias("f"), (F.count_if(F.col("kind") == "bg") / F.first("n_bg")).alias("e"))
-    return counts.where("e > 0").select("species", "win", "center", (F.col("f") / F.col("e")).alias("pe"))
+    center = lambda win: F.col("lo") + F.col("w") / 2 + win * F.col("step")
+    first = F.when(F.col("score") > center(first) + F.col("w") / 2, first + 1).otherwise(first)  # the division may round either way
+    last = F.when(F.col("score") < center(last) - F.col("w") / 2, last - 1).otherwise(last)
+    # a point enters at its first window and leaves after its last: two rows a point, then running sums of 100 windows
+    turns = rows.select("species", "kind", F.explode(F.array(F.struct(first.alias("win"), F.lit(1).alias("n")), F.struct((last + 1).alias("win"), F.lit(-1).alias("n")))).alias("t"))
+    turns = turns.groupBy("species", F.col("t.win").alias("win")).agg(*[F.sum(F.when(F.col("kind") == k, F.col("t.n")).otherwise(0)).alias(k) for k in ("pres", "bg")])
+    windows = extent.select("species", "lo", "w", "step", "n_pres", "n_bg", F.explode(F.sequence(F.lit(0), F.lit(n_windows - 1))).alias("win"))
+    running = Window.partitionBy("species").orderBy("win")
+    counts = windows.join(turns, ["species", "win"], "left").withColumns({k: F.sum(F.coalesce(k, F.lit(0))).over(running) for k in ("pres", "bg")})
+    share = lambda k: F.col(k) / F.col(f"n_{k}")
+    return counts.where("bg > 0").select("species", "win", center(F.col("win")).alias("center"), (share("pres") / share("bg")).alias("pe"))
 
 
 def boyce(points: DataFrame, n_windows: int = WINDOWS, width: float = WIDTH) -> DataFrame:

@@ -13,11 +13,13 @@ PHASES, OLD_REASONS, ABUNDANCES = ["primordi", "buono", "vecchio"], ["senescente
 
 
 def clean(raw: DataFrame) -> DataFrame:
-    """Whitelisted columns plus id and ``error``: numbers with a decimal comma are read, flags get their
+    """Whitelisted columns plus id (of the row's content, where there is none) and ``error``: numbers with a decimal comma are read, flags get their
     defaults, values outside the domains are errors. Rows with an error belong in quarantine."""
     for name, kind in (("target_species", "string"), ("old_reason", "string"), ("abundance", "string"), ("effort_min", "int"), ("id_verified", "int"), ("static_cell_id", "string"), ("meteo_cell_id", "string"), ("photo_file_id", "string")):
         if name not in raw.columns:
             raw = raw.withColumn(name, F.lit(None).cast(kind))
+    if "id" not in raw.columns:
+        raw = raw.withColumn("id", F.xxhash64("ts_submit", "user_id", "x", "y", "species", "phase", "weight_text"))
     weight = F.regexp_replace("weight_text", ",", ".").try_cast("double")
     bad = lambda c, allowed: F.when(F.col(c).isNotNull() & ~F.col(c).isin(allowed), c)
     error = F.array_join(F.array_compact(F.array(F.when(F.col("weight_text").isNotNull() & weight.isNull(), "weight_text"), bad("phase", PHASES), bad("old_reason", OLD_REASONS), bad("abundance", ABUNDANCES))), ",")

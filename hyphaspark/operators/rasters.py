@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import membership as m
+from ..functions import projection
 
 # Classes and thresholds of the layers.
 TREE, GRASS, NODATA = 10, 30, 0
@@ -20,26 +23,67 @@ def tile_index(lon: Column, lat: Column, x0: Column, y0: Column, dx: Column, dy:
     return F.floor((y0 - lat) / dy).cast("int"), F.floor((lon - x0) / dx).cast("int")
 
 
+def on_tiles(points: DataFrame, tiles: DataFrame, key: str, size: float = 1.0) -> DataFrame:
+    """key, lon, lat and tile, row, col, dx, dy of the pixel that holds each point; points outside all tiles drop
+    out. ``tiles`` has tile, its north-west corner x0, y0, the pixel's dx, dy and the numbers of columns and rows nx, ny.
+    Bounds hold west and south but not east and north; of several tiles the smallest counts. Tiles and points meet
+    in squares of ``size`` degrees."""
+    bins = lambda lo, hi: F.sequence(F.floor(lo / size).cast("long"), F.floor(hi / size).cast("long"))
+    boxes = tiles.select("tile", "x0", "y0", "dx", "dy", (F.col("x0") + F.col("nx") * F.col("dx")).alias("x1"), (F.col("y0") - F.col("ny") * F.col("dy")).alias("y1"), "nx", "ny")
+    boxes = boxes.withColumn("bin_x", F.explode(bins(F.col("x0"), F.col("x1")))).withColumn("bin_y", F.explode(bins(F.col("y1"), F.col("y0"))))
+    at = points.select(key, "lon", "lat").withColumns({"bin_x": F.floor(F.col("lon") / size).cast("long"), "bin_y": F.floor(F.col("lat") / size).cast("long")})
+    row, col = tile_index(F.col("lon"), F.col("lat"), F.col("x0"), F.col("y0"), F.col("dx"), F.col("dy"))
+    met = at.join(boxes, ["bin_x", "bin_y"]).where("lon >= x0 AND lon < x1 AND lat >= y1 AND lat < y0")
+    # rounding may put a point on the rim one pixel off its tile
+    inner = lambda v, n: F.greatest(F.lit(0), F.least(v, F.col(n).cast("int") - 1))
+    place = F.struct("tile", inner(row, "ny").alias("row"), inner(col, "nx").alias("col"), "dx", "dy", "x0", "y0", "nx", "ny")
+    return met.groupBy(key).agg(F.first("lon").alias("lon"), F.first("lat").alias("lat"), F.min(place).alias("p")).select(key, "lon", "lat", "p.*")
+
+
 def aspect_class(aspect: Column, slope: Column) -> Column:
     return F.when(slope < 3, "neutral").when((aspect >= 112.5) & (aspect <= 247.5), "warm").when((aspect >= 292.5) | (aspect <= 67.5), "cool").otherwise("neutral")
 
 
+def _shape(rows: DataFrame, keys: list[str], cell_x: Column, cell_y: Column) -> DataFrame:
+    """Elevation, slope and aspect of rows with the nine values z00..z22."""
+    dzdx = F.expr("(z02 + 2 * z12 + z22) - (z00 + 2 * z10 + z20)") / (8 * cell_x)
+    dzdy = F.expr("(z20 + 2 * z21 + z22) - (z00 + 2 * z01 + z02)") / (8 * cell_y)
+    made = rows.withColumns({"dzdx": dzdx, "dzdy": dzdy})
+    made = made.withColumns({"slope": F.degrees(F.atan(F.hypot("dzdx", "dzdy"))), "bearing": F.pmod(F.degrees(F.atan2(-F.col("dzdx"), -F.col("dzdy"))), F.lit(360.0))})
+    return made.select(*keys, F.bround("z11", 1).alias("elevation_m"), F.bround("slope", 1).alias("slope_deg"), aspect_class(F.col("bearing"), F.col("slope")).alias("aspect"))
+
+
 def terrain(pixels: DataFrame, cell_x: Column, cell_y: Column, size: int, nodata: float | None = None) -> DataFrame:
     """Horn's stencil at every pixel: tile, row, col, elevation_m, slope_deg, aspect. Border pixels and
-    those next to nodata have none. Each pixel is sent to the nine stencils it belongs to, so one
-    grouped sum does it."""
+    those next to nodata have none. Pixels look left and right in their row, then up and down in their column."""
+    value = F.col("value") if nodata is None else F.when(F.col("value") != nodata, F.col("value"))
+    along, across = Window.partitionBy("tile", "row").orderBy("col"), Window.partitionBy("tile", "col").orderBy("row")
+
+    def beside(f, w, at: str, step: int, what: str) -> Column:
+        """``what`` of the neighbour, if it is the next pixel and not one beyond a gap."""
+        near = f(F.struct(at, what)).over(w)
+        return F.when(near[at] == F.col(at) + step, near[what])
+
+    rows = pixels.select("tile", "row", "col", value.alias("v"))
+    rows = rows.select("tile", "row", "col", F.array(beside(F.lag, along, "col", -1, "v"), F.col("v"), beside(F.lead, along, "col", 1, "v")).alias("z"))
+    rows = rows.select("tile", "row", "col", F.array(beside(F.lag, across, "row", -1, "z"), F.col("z"), beside(F.lead, across, "row", 1, "z")).alias("z"))
+    rows = rows.where(F.col("row").between(1, size - 2) & F.col("col").between(1, size - 2))
+    rows = rows.select("tile", "row", "col", *[F.col("z")[r][c].alias(f"z{r}{c}") for r in range(3) for c in range(3)]).dropna()
+    return _shape(rows, ["tile", "row", "col"], cell_x, cell_y)
+
+
+def terrain_at(placed: DataFrame, pixels: DataFrame, key: str, nodata: float | None = None) -> DataFrame:
+    """Horn's stencil at points (of ``on_tiles``): key, elevation_m, slope_deg, aspect. A degree of longitude is as
+    long as the point's latitude makes it. Points on a tile's border or next to nodata have none."""
     value = F.col("value") if nodata is None else F.when(F.col("value") != nodata, F.col("value"))
+    inner = placed.where(F.col("row").between(1, F.col("ny") - 2) & F.col("col").between(1, F.col("nx") - 2))
     offsets = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in (-1, 0, 1) for dc in (-1, 0, 1)])
-    sent = pixels.select("tile", "row", "col", value.alias("value"), F.explode(offsets).alias("o")).select("tile", (F.col("row") - F.col("o.dr")).alias("row"), (F.col("col") - F.col("o.dc")).alias("col"), "o.dr", "o.dc", "value")
-    inner = sent.where(F.col("row").between(1, size - 2) & F.col("col").between(1, size - 2))
+    sent = inner.withColumn("o", F.explode(offsets)).select(key, "lat", "dx", "dy", "tile", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"), "o.dr", "o.dc")
+    met = sent.join(pixels.select("tile", "row", "col", value.alias("value")), ["tile", "row", "col"])
     at = lambda r, c: F.max(F.when((F.col("dr") == r) & (F.col("dc") == c), F.col("value")))
-    z = {f"z{r + 1}{c + 1}": at(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1)}
-    rows = inner.groupBy("tile", "row", "col").agg(F.count("value").alias("n"), *[v.alias(k) for k, v in z.items()]).where("n = 9")
-    dzdx = F.expr("(z02 + 2 * z12 + z22) - (z00 + 2 * z10 + z20)") / (8 * cell_x)
-    dzdy = F.expr("(z20 + 2 * z21 + z22) - (z00 + 2 * z01 + z02)") / (8 * cell_y)
-    made = rows.withColumns({"dzdx": dzdx, "dzdy": dzdy})
-    made = made.withColumns({"slope": F.degrees(F.atan(F.hypot("dzdx", "dzdy"))), "bearing": F.pmod(F.degrees(F.atan2(-F.col("dzdx"), -F.col("dzdy"))), F.lit(360.0))})
-    return made.select("tile", "row", "col", F.bround("z11", 1).alias("elevation_m"), F.bround("slope", 1).alias("slope_deg"), aspect_class(F.col("bearing"), F.col("slope")).alias("aspect"))
+    z = [at(r, c).alias(f"z{r + 1}{c + 1}") for r in (-1, 0, 1) for c in (-1, 0, 1)]
+    rows = met.groupBy(key).agg(F.first("lat").alias("lat"), F.first("dx").alias("dx"), F.first("dy").alias("dy"), F.count("value").alias("n"), *z).where("n = 9")
+    return _shape(rows, [key], F.col("dx") * METRES_LON * F.cos(F.radians("lat")), F.col("dy") * METRES_LAT)
 
 
 def sample(points: DataFrame, pixels: DataFrame, value: str) -> DataFrame:
@@ -70,6 +114,28 @@ def cover_fractions(pixels: DataFrame, radius: int) -> DataFrame:
     return counts.select("tile", "row", "col", F.try_divide("t", "k").alias("forest_fraction"), F.try_divide("g", "k").alias("grassland_fraction"))
 
 
+def cover_at(placed: DataFrame, pixels: DataFrame, key: str, half: float = 0.0025) -> DataFrame:
+    """Shares of trees and grass among the known pixels of the point's tile whose centre lies within ``half`` degrees
+    of the point both ways: key, forest_fraction, grassland_fraction (null where nothing is known)."""
+    rows = lambda s: (F.col("y0") - F.col("lat") + s * half) / F.col("dy") - 0.5
+    cols = lambda s: (F.col("lon") - F.col("x0") + s * half) / F.col("dx") - 0.5
+    span = lambda f, n: F.sequence(F.greatest(F.lit(0), F.ceil(f(-1)).cast("int")), F.least(F.col(n).cast("int") - 1, F.floor(f(1)).cast("int")))
+    some = lambda f, n: F.when(F.greatest(F.lit(0), F.ceil(f(-1)).cast("int")) <= F.least(F.col(n).cast("int") - 1, F.floor(f(1)).cast("int")), span(f, n))
+    sent = placed.select(key, "tile", some(rows, "ny").alias("rows"), some(cols, "nx").alias("cols")).select(key, "tile", "cols", F.explode("rows").alias("row")).select(key, "tile", "row", F.explode("cols").alias("col"))
+    met = sent.join(pixels.select("tile", "row", "col", "landcover").where(F.col("landcover") != NODATA), ["tile", "row", "col"])
+    share = lambda k: F.count_if(F.col("landcover") == k) / F.count("*")
+    found = met.groupBy(key).agg(share(TREE).alias("forest_fraction"), share(GRASS).alias("grassland_fraction"))
+    return placed.select(key).join(found, key, "left")
+
+
+def sample_points(boxes: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """key, sample, lon, lat: n by n points over each box (west, south, east, north), edges included."""
+    at = lambda lo, hi, k: F.col(lo) + (F.col(hi) - F.col(lo)) * F.col(k) / (n - 1)
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+    rows = boxes.withColumn("i", F.explode(every)).withColumn("j", F.explode(every))
+    return rows.select(key, (F.col("i") * n + F.col("j")).alias("sample"), at("west", "east", "j").alias("lon"), at("south", "north", "i").alias("lat"))
+
+
 def forested_tiles(fractions: DataFrame, least: float = 0.15) -> DataFrame:
     """Tiles with any sample above ``least`` of forest."""
     return fractions.groupBy("tile").agg(F.coalesce(F.bool_or(F.col("forest_fraction") > least), F.lit(False)).alias("has_forest"))
@@ -132,6 +198,45 @@ def regrid_bilinear(raster: DataFrame, target: DataFrame, keys: list[str]) -> Da
     return met.groupBy("tile", *keys).agg(F.try_divide(F.sum(F.col("weight") * F.col("value")), F.sum("weight")).alias("value"))
 
 
+def served_cells(spark: SparkSession, box: tuple[float, float, float, float], crs: str, resolution: float) -> tuple[DataFrame, dict]:
+    """The cells of a regular grid in Web Mercator metres ("3857") or degrees ("4326") over a box in UTM metres:
+    i (from the north), j, and x, y of their centres in UTM; and the grid's west, south, east, north, nx, ny."""
+    x0, y0, x1, y1 = box
+    edge = spark.range(21).select((F.col("id") / 20.0).alias("t"))  # sides bend in another projection
+    sides = [(F.lit(x0) + F.col("t") * (x1 - x0), F.lit(y)) for y in (y0, y1)] + [(F.lit(x), F.lit(y0) + F.col("t") * (y1 - y0)) for x in (x0, x1)]
+    corner = F.array(*[F.struct(*[c.alias(n) for n, c in zip(("u", "v"), _to_crs(*projection.utm_inverse(x, y), crs), strict=True)]) for x, y in sides])
+    ends = edge.select(F.explode(corner).alias("p")).agg(F.min("p.u").alias("west"), F.min("p.v").alias("south"), F.max("p.u").alias("east"), F.max("p.v").alias("north")).first()
+    nx, ny = math.ceil((ends.east - ends.west) / resolution), math.ceil((ends.north - ends.south) / resolution)
+    cells = spark.range(nx * ny).select(F.expr(f"CAST(id DIV {nx} AS INT)").alias("i"), (F.col("id") % nx).cast("int").alias("j"))
+    u, v = ends.west + (F.col("j") + 0.5) * resolution, ends.north - (F.col("i") + 0.5) * resolution
+    lat, lon = projection.mercator_inverse(u, v) if crs == "3857" else (v, u)
+    x, y = projection.utm_forward(lat, lon)
+    grid = {"west": ends.west, "north": ends.north, "east": ends.west + nx * resolution, "south": ends.north - ny * resolution, "nx": nx, "ny": ny}
+    return cells.select("i", "j", x.alias("x"), y.alias("y")), grid
+
+
+def _to_crs(lat: Column, lon: Column, crs: str) -> tuple[Column, Column]:
+    return projection.mercator_forward(lat, lon) if crs == "3857" else (lon, lat)
+
+
+def served(maps: DataFrame, cells: DataFrame, corner: tuple[float, float], step: float, nearest: bool = True) -> DataFrame:
+    """species, i, j, score of every map on served cells: ``maps`` has species, row, col, value, counted from the
+    ``corner`` (x, y) in the north-west in steps of ``step``. Nearest keeps values, else the four around are weighed."""
+    raster = maps.withColumnRenamed("species", "tile")
+    target = cells.select("i", "j", ((corner[1] - F.col("y")) / step).alias("fy"), ((F.col("x") - corner[0]) / step).alias("fx"))
+    target = target.crossJoin(F.broadcast(raster.select("tile").distinct()))  # a row a species
+    made = regrid_nearest(raster, target) if nearest else regrid_bilinear(raster, target, ["i", "j"])
+    return made.where("value IS NOT NULL").select(F.col("tile").alias("species"), "i", "j", F.col("value").alias("score"))
+
+
+def packed_rows(quantised: DataFrame, nx: int) -> DataFrame:
+    """species, i, cells: the row's nx bytes (0 where there is nothing) in base 64, as clients take them."""
+    byte = F.lpad(F.hex(F.col("q")), 2, "0")
+    rows = quantised.groupBy("species", "i").agg(F.map_from_entries(F.collect_list(F.struct("j", byte.alias("b")))).alias("by_j"))
+    line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(nx - 1)), lambda j: F.coalesce(F.try_element_at("by_j", j), F.lit("00"))), "")
+    return rows.select("species", "i", F.base64(F.unhex(line)).alias("cells"))
+
+
 def quantise(score: Column, score_max: float = SCORE_MAX) -> Column:
     """0 for nodata, else 0..255 with halves to even."""
     return F.when(score <= 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(255), F.rint(score / score_max * 255.0)))).cast("int")
@@ -147,6 +252,7 @@ def lookup(points: DataFrame, served: DataFrame, box: tuple[float, float, float,
     cutoff there is none. ``served`` has i, j, q."""
     x0, y0, x1, y1 = box
     at = points.withColumns({"i": F.floor((y1 - F.col("my")) / ((y1 - y0) / ny)).cast("int"), "j": F.floor((F.col("mx") - x0) / ((x1 - x0) / nx)).cast("int")})
-    met = at.join(served.where("q > 0"), ["i", "j"], "left")
+    keys = ["i", "j", *(["species"] if "species" in points.columns else [])]
+    met = at.join(served.where("q > 0"), keys, "left")
     score = F.col("q") / 255.0 * score_max
     return met.withColumn("score", F.when(score >= cutoff, score)).drop("i", "j", "q")

@@ -42,17 +42,17 @@ def _numbered(days: DataFrame, key: str) -> DataFrame:
 
 def features(days: DataFrame, profile: DataFrame, key: str = "meteo_cell_id") -> DataFrame:
     """Weather features as of the last archived day, for every species: windows count archived rows,
-    not calendar days. The rolling sums are made once for each window length that profiles use."""
-    windows = profile.select(F.coalesce("dynamic_triggers.rain_window_days", F.lit(RAIN_ROWS)).alias("n_rows")).distinct()
-    rows = _numbered(days, key).crossJoin(F.broadcast(windows))
+    not calendar days. One pass makes a sum for each window length that profiles use (a handful)."""
+    lengths = sorted(r.n for r in profile.select(F.coalesce("dynamic_triggers.rain_window_days", F.lit(RAIN_ROWS)).alias("n")).distinct().collect())
+    rows = _numbered(days, key)
     known = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("rn")))
-    made = rows.groupBy(key, "n_rows").agg(
+    made = rows.groupBy(key).agg(
         F.min_by("date", "rn").alias("last_date"),
-        F.sum(F.when(F.col("rn") <= F.col("n_rows"), F.col("precip_mm"))).alias("rain"),
+        F.array(*[F.struct(F.lit(n).alias("n_rows"), F.sum(F.when(F.col("rn") <= n, F.col("precip_mm"))).alias("rain")) for n in lengths]).alias("sums"),
         known("soil_temp_c").alias("temp"), known("soil_moist").alias("moist"),
         F.max(F.when(F.col("rn") <= SHOCK_ROWS, F.col("soil_temp_c"))).alias("recent"),
         (F.min(F.when(F.col("precip_mm") >= TRIGGER_MM, F.col("rn"))) - 1).alias("days_since_trigger"),
-    )
+    ).withColumn("s", F.explode("sums")).select("*", "s.n_rows", "s.rain")
     shock = F.when(F.col("recent").isNull() | F.col("temp").isNull() | (F.col("temp") == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("recent") - F.col("temp")))
     made = made.select(
         key, "n_rows", "last_date", F.month("last_date").alias("month"), F.bround("rain", 1).alias("cumulative_rain_mm"), F.bround("temp", 1).alias("soil_temp_c"),
