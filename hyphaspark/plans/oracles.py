@@ -125,7 +125,10 @@ def _top(mode: str) -> str:
     valued AS (SELECT *, {score} AS score FROM rows WHERE {score} > 0),
     best AS (SELECT *, row_number() OVER (PARTITION BY species, floor(x / 1500.0), floor(y / 1500.0) ORDER BY score DESC, suitability DESC, readiness DESC, x DESC, y DESC) AS r FROM valued),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY species ORDER BY score DESC, suitability DESC, readiness DESC, x DESC, y DESC)::INT AS rank FROM best WHERE r = 1)
-    SELECT species, rank, round(score, 3) AS score, round(suitability, 3) AS suitability, round(readiness, 3) AS readiness, round(x, 1) AS x, round(y, 1) AS y FROM ranked WHERE rank <= 50"""
+    """
+
+
+_TOP = "SELECT species, rank, round(score, 3) AS score, round(suitability, 3) AS suitability, round(readiness, 3) AS readiness, round(x, 1) AS x, round(y, 1) AS y FROM ranked WHERE rank <= 50"
 
 
 REDUCED = [("elevation", 1.0), ("slope", 0.5), ("drainage", 0.5)]
@@ -144,8 +147,15 @@ def _boyce(name: str, scores: str) -> str:
     boy{name} AS (SELECT species, corr(r1, r2) AS boyce FROM rnk{name} GROUP BY 1)"""
 
 
-PIXELS = """pixels AS (SELECT *, CASE (tile + row * 3 + col * 5) % 6 WHEN 0 THEN 0 WHEN 1 THEN 30 WHEN 2 THEN 50 ELSE 10 END AS landcover, ((tile * 7 + row + col) % 90)::INT AS ph10 FROM (
+PIXELS = """pixels AS (SELECT *, CASE (tile + row * 3 + col * 5) % 6 WHEN 0 THEN 0 WHEN 1 THEN 30 WHEN 2 THEN 50 ELSE CASE WHEN tile % 3 = 0 THEN 50 ELSE 10 END END AS landcover, ((tile * 7 + row + col) % 90)::INT AS ph10 FROM (
   SELECT vec_id AS tile, ((i - 1) // 8)::INT AS row, ((i - 1) % 8)::INT AS col, 1000.0::DOUBLE + 2000.0::DOUBLE * embedding[i]::DOUBLE AS value FROM embeddings, range(1, 65) t(i)))"""
+_AT = """SELECT p.cell_key, p.lat, """ + ", ".join(f"max(q.value) FILTER (WHERE q.row = p.row + {r} AND q.col = p.col + {c}) AS z{r + 1}{c + 1}_" for r in (-1, 0, 1) for c in (-1, 0, 1)) + """
+    FROM points p JOIN pixels q ON q.tile = p.tile AND abs(q.row - p.row) <= 1 AND abs(q.col - p.col) <= 1 WHERE p.row BETWEEN 1 AND 6 AND p.col BETWEEN 1 AND 6 GROUP BY 1, 2"""
+_GX, _GY = "((z02_ + 2 * z12_ + z22_) - (z00_ + 2 * z10_ + z20_))", "((z20_ + 2 * z21_ + z22_) - (z00_ + 2 * z01_ + z02_))"
+TERRAIN_AT = f"""sten AS ({_AT}), gr AS (SELECT *, {_GX} / (8 * (0.0025::DOUBLE * 111320.0 * cos(radians(lat)))) AS gx, {_GY} / (8 * (0.0025::DOUBLE * 110540.0)) AS gy FROM sten),
+  sh AS (SELECT *, degrees(atan(sqrt(gx * gx + gy * gy))) AS slope, (degrees(atan2(-gx, -gy)) + 360.0) % 360.0 AS bearing FROM gr)
+  SELECT cell_key, round_even(z11_, 1) AS elevation_m, round_even(slope, 1) AS slope_deg,
+    CASE WHEN slope < 3 THEN 'neutral' WHEN bearing BETWEEN 112.5 AND 247.5 THEN 'warm' WHEN bearing >= 292.5 OR bearing <= 67.5 THEN 'cool' ELSE 'neutral' END AS aspect FROM sh"""
 TERRAIN = """stencil AS (SELECT p.tile, p.row, p.col, p.value AS z11, """ + ", ".join(f"max(q.value) FILTER (WHERE q.row = p.row + {r} AND q.col = p.col + {c}) AS z{r + 1}{c + 1}_" for r in (-1, 0, 1) for c in (-1, 0, 1)) + """
     FROM pixels p JOIN pixels q ON q.tile = p.tile AND abs(q.row - p.row) <= 1 AND abs(q.col - p.col) <= 1 WHERE p.row BETWEEN 1 AND 6 AND p.col BETWEEN 1 AND 6 GROUP BY 1, 2, 3, 4),
   grad AS (SELECT *, ((z02_ + 2 * z12_ + z22_) - (z00_ + 2 * z10_ + z20_)) / (8 * 30.0) AS gx, ((z20_ + 2 * z21_ + z22_) - (z00_ + 2 * z01_ + z02_)) / (8 * 30.0) AS gy FROM stencil),
@@ -153,7 +163,12 @@ TERRAIN = """stencil AS (SELECT p.tile, p.row, p.col, p.value AS z11, """ + ", "
   terrain AS (SELECT tile, row, col, round_even(z11, 1) AS elevation_m, round_even(slope, 1) AS slope_deg,
     CASE WHEN slope < 3 THEN 'neutral' WHEN bearing BETWEEN 112.5 AND 247.5 THEN 'warm' WHEN bearing >= 292.5 OR bearing <= 67.5 THEN 'cool' ELSE 'neutral' END AS aspect FROM shaped)"""
 SOIL_SAMPLE = "soil AS (SELECT tile, row, col, CASE WHEN ph10 > 0 THEN round_even(ph10 / 10.0::DOUBLE, 1) END AS soil_ph_value, CASE WHEN ph10 <= 0 THEN NULL WHEN ph10 / 10.0::DOUBLE < 6.2 THEN 'acidic' WHEN ph10 / 10.0::DOUBLE > 7.2 THEN 'calcareous' ELSE 'neutral' END AS soil_ph FROM pixels)"
-POINTS = "points AS (SELECT cell_key, cell_key % 600 AS tile, (cell_key // 600 % 8)::INT AS row, (cell_key // 4800 % 8)::INT AS col FROM cells)"
+_ON_TILE = """lon >= x0 AND lon < x0 + 8 * 0.0025::DOUBLE AND lat >= y0 - 8 * 0.0025::DOUBLE AND lat < y0"""
+TILES = "tiles AS (SELECT vec_id AS tile, 10.0::DOUBLE + (vec_id % 50) * 0.02::DOUBLE AS x0, 46.0::DOUBLE + (vec_id // 50 + 1) * 0.02::DOUBLE AS y0 FROM embeddings)"
+POINTS = f"""{TILES}, geo_points AS (SELECT o_orderkey AS cell_key, 10.0::DOUBLE + (o_orderkey * 7919 % 100003) / 100003.0::DOUBLE AS lon,
+    46.0::DOUBLE + (o_orderkey * 104729 % 100003) / 100003.0::DOUBLE * 0.02::DOUBLE * (n // 50 + 2) AS lat FROM orders, (SELECT max(vec_id) AS n FROM embeddings)),
+  points AS (SELECT cell_key, lon, lat, tile, x0, y0, least(7, greatest(0, floor((y0 - lat) / 0.0025::DOUBLE)))::INT AS row, least(7, greatest(0, floor((lon - x0) / 0.0025::DOUBLE)))::INT AS col
+    FROM geo_points JOIN tiles ON {_ON_TILE})"""
 
 
 def _cover(radius: int) -> str:
@@ -211,9 +226,31 @@ def _inverse(x: str, y: str, name: str, source: str) -> str:
       {name} AS (SELECT *, degrees({lat}) AS lat, 9.0 + degrees(atan2(sinh(eta1), cos(xi1))) AS lon FROM i3{name})"""
 
 
-_MAPPED = f"coarse AS (SELECT floor((5104000.0 - y) / 2200.0)::INT AS i, floor((x - 605000.0) / 2200.0)::INT AS j, max(score) AS score FROM scored WHERE species = 'cantharellus_cibarius' GROUP BY 1, 2)"
-_QUANT = "quant AS (SELECT i, j, CASE WHEN score <= 0 THEN 0 ELSE greatest(0, least(255, round_even(score / 0.8 * 255.0, 0)))::INT END AS q FROM coarse)"
-TARGETS = "targets AS (SELECT cell_key % 500 AS tile, cell_key, cell_key * 7919 % 800 / 100.0::DOUBLE AS fy, cell_key * 104729 % 800 / 100.0::DOUBLE AS fx FROM cells)"
+def _forward(lat: str, lon: str, name: str, source: str) -> str:
+    """CTEs that add ux and uy (UTM metres) to ``source``."""
+    p = projection
+    return f"""f1{name} AS (SELECT *, radians({lat}) AS phi, radians({lon} - 9.0) AS lam FROM {source}),
+      f2{name} AS (SELECT *, sinh(atanh(sin(phi)) - {p.ECC!r} * atanh({p.ECC!r} * sin(phi))) AS tt FROM f1{name}),
+      f3{name} AS (SELECT *, atan2(tt, cos(lam)) AS fxi, atanh(sin(lam) / sqrt(1 + tt * tt)) AS feta FROM f2{name}),
+      {name} AS (SELECT *, 500000.0 + {p.SCALE!r} * (feta{_series(p.ALPHA, 'cos', 'sinh', 'fxi', 'feta', '+')}) AS ux, {p.SCALE!r} * (fxi{_series(p.ALPHA, 'sin', 'cosh', 'fxi', 'feta', '+')}) AS uy FROM f3{name})"""
+
+
+def _grid(crs: str, resolution: float) -> str:
+    """CTEs ``box`` (west, north, nx, ny) and ``target`` (i, j, fx, fy into the maps) of a served grid."""
+    u, v = ("6378137.0 * radians(lon)", "6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2))") if crs == "3857" else ("lon", "lat")
+    lat, lon = ("degrees(2 * atan(exp(v / 6378137.0)) - pi() / 2)", "degrees(u / 6378137.0)") if crs == "3857" else ("v", "u")
+    return f"""sides AS (SELECT unnest([{{'px': 605000.0::DOUBLE + t / 20.0::DOUBLE * 88000.0, 'py': 5060000.0::DOUBLE}}, {{'px': 605000.0 + t / 20.0::DOUBLE * 88000.0, 'py': 5104000.0}}, {{'px': 605000.0, 'py': 5060000.0 + t / 20.0::DOUBLE * 44000.0}}, {{'px': 693000.0, 'py': 5060000.0 + t / 20.0::DOUBLE * 44000.0}}], recursive := true) FROM range(21) r(t)),
+      {_inverse('px', 'py', 'rim', 'sides')}, ends AS (SELECT min({u}) AS west, min({v}) AS south, max({u}) AS east, max({v}) AS north FROM rim),
+      box AS (SELECT *, ceil((east - west) / {resolution})::BIGINT AS nx, ceil((north - south) / {resolution})::BIGINT AS ny FROM ends),
+      spots AS (SELECT i::INT AS i, j::INT AS j, west + (j + 0.5) * {resolution}::DOUBLE AS u, north - (i + 0.5) * {resolution}::DOUBLE AS v FROM box, range(100000) a(i), range(100000) b(j) WHERE i < ny AND j < nx),
+      ll AS (SELECT i, j, {lat} AS plat, {lon} AS plon FROM spots), {_forward('plat', 'plon', 'utm', 'll')},
+      target AS (SELECT i, j, (ux - 605000.0) / 2200.0 AS fx, (5104000.0 - uy) / 2200.0 AS fy FROM utm)"""
+
+
+SERVED = """served AS (SELECT species, t.i, t.j, score, CASE WHEN score <= 0 THEN 0 ELSE greatest(0, least(255, round_even(score / 0.8 * 255.0, 0)))::INT END AS q FROM target t JOIN coarse c ON c.i = floor(fy) AND c.j = floor(fx))"""
+_MAPPED = f"coarse AS (SELECT species, floor((5104000.0 - y) / 2200.0)::INT AS i, floor((x - 605000.0) / 2200.0)::INT AS j, max(score) AS score FROM scored GROUP BY 1, 2, 3)"
+_QUANT = "quant AS (SELECT species, i, j, CASE WHEN score <= 0 THEN 0 ELSE greatest(0, least(255, round_even(score / 0.8 * 255.0, 0)))::INT END AS q FROM coarse)"
+TARGETS = "targets AS (SELECT cell_key % (SELECT max(vec_id) + 1 FROM embeddings) AS tile, cell_key, cell_key * 7919 % 800 / 100.0::DOUBLE AS fy, cell_key * 104729 % 800 / 100.0::DOUBLE AS fx FROM cells)"
 OBS = """obs AS (SELECT event_id AS id, ts, user_id, CASE WHEN event_id % 13 <> 0 THEN 605000.0::DOUBLE + (user_id % 40) * 2200.0 + 1100.0 END AS x, CASE WHEN event_id % 13 <> 0 THEN 5060000.0::DOUBLE + (user_id // 40) * 2200.0 + 1100.0 END AS y,
   CASE event_type WHEN 'click' THEN 'buono' WHEN 'view' THEN 'primordi' WHEN 'purchase' THEN 'vecchio' END AS phase, (event_type IN ('signup', 'error'))::INT AS is_blank,
   CASE WHEN event_id % 29 = 0 THEN 'abc' ELSE replace(json_extract_string(props, '$.k'), '.', ',') || ',5' END AS weight_text, event_id % 5 = 0 AS photo,
@@ -254,14 +291,15 @@ ORACLE_SQL: dict[str, str] = {
       SELECT a.species, round(a.boyce, 6) AS baseline, round(b.boyce, 6) AS variant, round(b.boyce - a.boyce, 6) AS delta FROM boya a JOIN boyb b USING (species)""",
     "terrain_stencil": f"WITH {PIXELS}, {TERRAIN} SELECT * FROM terrain",
     "soil_ph_sample": f"WITH {PIXELS}, {SOIL_SAMPLE} SELECT * FROM soil",
-    "canopy_sample": f"WITH {CELLS}, {PIXELS}, {POINTS} SELECT cell_key, round(least(1.0, greatest(0.0, value / 2000.0)), 6) AS canopy_alive FROM points LEFT JOIN pixels USING (tile, row, col) WHERE value IS NOT NULL UNION ALL SELECT cell_key, NULL FROM points LEFT JOIN pixels USING (tile, row, col) WHERE value IS NULL",
+    "canopy_sample": f"WITH {CELLS}, {PIXELS}, {POINTS} SELECT cells.cell_key, CASE WHEN value IS NOT NULL THEN round(least(1.0, greatest(0.0, value / 2000.0)), 6) END AS canopy_alive FROM cells LEFT JOIN points USING (cell_key) LEFT JOIN pixels USING (tile, row, col)",
     "landcover_fraction": f"WITH {PIXELS}, {_cover(2)} SELECT tile, row, col, round(forest, 6) AS forest_fraction, round(grass, 6) AS grassland_fraction FROM cover",
-    "tiles_with_forest": f"WITH {PIXELS}, {_cover(1)} SELECT tile FROM cover GROUP BY tile HAVING bool_or(forest > 0.8) AND tile % 4 <> 0",
+    "tiles_with_forest": f"WITH {PIXELS}, {_cover(1)} SELECT tile FROM cover GROUP BY tile HAVING bool_or(forest > 0.15) AND tile % 4 <> 0",
     "scene_indices": f"WITH {SCENES} SELECT scene, tile, row, col, round(ndvi, 6) AS ndvi, round(nbr, 6) AS nbr FROM idx",
     "scene_median": f"WITH {SCENES} SELECT * FROM comp",
     "canopy_stats": f"""WITH {SCENES} SELECT round(avg(canopy_alive), 9) AS mean_alive, round(avg((canopy_alive < 0.2)::INT), 9) AS share_cleared, round(avg((canopy_alive > 0.8)::INT), 9) AS share_intact, round(median(ndvi), 9) AS median_ndvi,
       round(median(nbr), 9) AS median_nbr, count(canopy_alive) AS n_valid FROM comp""",
-    "canopy_calibration": f"""WITH {SCENES}, c AS (SELECT *, CASE WHEN canopy_alive < 0.2 THEN 'cleared' WHEN canopy_alive <= 0.8 THEN 'intermediate' ELSE 'intact' END AS cls FROM comp WHERE canopy_alive IS NOT NULL AND (tile + row) % 3 <> 0)
+    "canopy_calibration": f"""WITH {SCENES}, {CELLS}, {POLYGONS}, centres AS (SELECT tile, row, col, 605000.0::DOUBLE + ((tile % 200) * 8 + col + 0.5) * 55.0 AS px, 5066000.0::DOUBLE - (tile // 200 * 8 + row + 0.5) * 55.0 AS py FROM comp),
+      mask AS (SELECT tile, row, col FROM centres JOIN rings ON abs(px - cx) + abs(py - cy) < a WHERE {_strings([*HOST_CLASSES, ''])}[poly_id % 21 + 1] IN ({', '.join(map(_q, CONIFER_CLASSES))}) GROUP BY tile, row, col, poly_id HAVING count(*) % 2 = 1), c AS (SELECT *, CASE WHEN canopy_alive < 0.2 THEN 'cleared' WHEN canopy_alive <= 0.8 THEN 'intermediate' ELSE 'intact' END AS cls FROM comp WHERE canopy_alive IS NOT NULL AND (tile, row, col) IN (SELECT (tile, row, col) FROM mask))
       SELECT cls, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share, round(avg(ndvi), 9) AS mean_ndvi, round(stddev_pop(ndvi), 9) AS std_ndvi, round(avg(nbr), 9) AS mean_nbr, round(stddev_pop(nbr), 9) AS std_nbr FROM c GROUP BY cls""",
     "canopy_histogram": f"WITH {SCENES}, b AS (SELECT least(10, floor((nbr - -0.2) / ((0.9 - -0.2) / 11)))::INT AS bin FROM comp WHERE nbr BETWEEN -0.2 AND 0.9) SELECT k::INT AS bin, count(b.bin) AS n FROM range(11) t(k) LEFT JOIN b ON b.bin = k GROUP BY k",
     "geology_class": f"WITH {CELLS}, {POLYGONS} SELECT cell_key, poly_id, {_lith('region', 'attr')} AS soil_ph FROM direct JOIN polys USING (poly_id)",
@@ -283,9 +321,52 @@ ORACLE_SQL: dict[str, str] = {
       SELECT cell_key, round(6378137.0 * (radians(30.0) + 2 * sqrt(2.0) / pi() * radians(lon - 30.0) * cos(t)), 2) AS hx, round(6378137.0 * (sqrt(2.0) * sin(t) - 0.0528035274542), 2) AS hy FROM t8""",
     "projected_round_trip": f"WITH {CELLS}, {_inverse('x', 'y', 'g', 'cells')} SELECT cell_key, round(lat, 6) AS lat, round(lon, 6) AS lon, true AS returns FROM g",
     "quantised_grid": f"{S}, {_MAPPED}, {_QUANT} SELECT * FROM quant",
-    "colour_grid": f"{S}, {_MAPPED} SELECT i, j, round(least(1.0, greatest(0.0, score / 0.8)), 6) AS norm, CASE WHEN score > 0.05 THEN 200 ELSE 0 END AS alpha FROM coarse",
-    "point_lookup": f"""{S}, {_MAPPED}, {_QUANT}, p AS (SELECT cell_key, floor((5104000.0 - (y + 3000.0)) / (44000.0 / 20))::INT AS i, floor((x - 605000.0) / (88000.0 / 40))::INT AS j FROM cells)
-      SELECT cell_key, round(CASE WHEN q > 0 AND q / 255.0::DOUBLE * 0.8 >= 0.30 THEN q / 255.0::DOUBLE * 0.8 END, 6) AS score FROM p LEFT JOIN quant USING (i, j)""",
+    "colour_grid": f"{S}, {_MAPPED} SELECT species, i, j, round(least(1.0, greatest(0.0, score / 0.8)), 6) AS norm, CASE WHEN score > 0.05 THEN 200 ELSE 0 END AS alpha FROM coarse",
+    "point_lookup": f"""{S}, {_MAPPED}, {_QUANT}, {_grid('3857', 3000.0)}, {SERVED}, moved AS (SELECT cell_key, x, y + 3000.0 AS my FROM cells), {_inverse('x', 'my', 'geo', 'moved')},
+      p AS (SELECT cell_key, species, floor((north - 6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2))) / ((north - (north - ny * 3000.0::DOUBLE)) / ny))::INT AS i, floor((6378137.0 * radians(lon) - west) / (((west + nx * 3000.0::DOUBLE) - west) / nx))::INT AS j FROM geo, box, profile)
+      SELECT cell_key, species, round(CASE WHEN q > 0 AND q / 255.0::DOUBLE * 0.8 >= 0.30 THEN q / 255.0::DOUBLE * 0.8 END, 6) AS score FROM p LEFT JOIN served USING (species, i, j)""",
+    "served_rows": f"""{S}, {_MAPPED}, {_grid('3857', 3000.0)}, {SERVED}, every AS (SELECT species, i, j, nx, ny FROM (SELECT DISTINCT species, i FROM served), box, range(1000) r(j) WHERE j < nx)
+      SELECT species, i, any_value(nx)::INT AS nx, any_value(ny)::INT AS ny, base64(unhex(string_agg(printf('%02X', coalesce(q, 0)), '' ORDER BY j))) AS cells FROM every LEFT JOIN served USING (species, i, j) GROUP BY 1, 2""",
+    "overlay_grid": f"""{S}, {_MAPPED}, {_grid('4326', 0.02)}, w AS (SELECT c.species, t.i, t.j, score, (1 - abs(c.i + 0.5 - fy)) * (1 - abs(c.j + 0.5 - fx)) AS w FROM target t JOIN coarse c ON c.i IN (floor(fy - 0.5), floor(fy - 0.5) + 1) AND c.j IN (floor(fx - 0.5), floor(fx - 0.5) + 1)),
+      v AS (SELECT species, i, j, round(sum(w * score) / sum(w), 9) AS score FROM w GROUP BY 1, 2, 3)
+      SELECT species, i, j, round(least(1.0, greatest(0.0, score / 0.8)), 6) AS norm, CASE WHEN score > 0.05 THEN 200 ELSE 0 END AS alpha FROM v""",
+    "suitability_table": f"""{S}, other AS (SELECT species, round(m_host * {_mean([('elevation', 2.0), ('aspect', 1.0), ('soil_ph', 1.0)])} * m_habitat_gate, 9) AS score FROM members WHERE species IN ('boletus_edulis', 'cantharellus_cibarius')),
+      t AS (SELECT species, score FROM scored WHERE species NOT IN ('boletus_edulis', 'cantharellus_cibarius') UNION ALL SELECT * FROM other)
+      SELECT species, count(*) AS n_cells, count(*) FILTER (WHERE {ABOVE}) AS n_above, round(avg(score::FLOAT::DOUBLE), 5) AS mean_score FROM t GROUP BY 1""",
+    "species_list": f"{S} SELECT DISTINCT species, upper(species[1]) || lower(replace(species[2:], '_', ' ')) AS name FROM scored WHERE {ABOVE}",
+    "tile_lookup": f"WITH {POINTS} SELECT cell_key, tile, row, col FROM points",
+    "terrain_at": f"WITH {POINTS}, {PIXELS}, {TERRAIN_AT}",
+    "landcover_at": f"""WITH {POINTS}, {PIXELS}, seen AS (SELECT cell_key, landcover FROM points p JOIN pixels q ON q.tile = p.tile AND q.landcover <> 0 AND q.row BETWEEN ceil((y0 - lat - 0.004) / 0.0025 - 0.5) AND floor((y0 - lat + 0.004) / 0.0025 - 0.5)
+        AND q.col BETWEEN ceil((lon - x0 - 0.004) / 0.0025 - 0.5) AND floor((lon - x0 + 0.004) / 0.0025 - 0.5))
+      SELECT p.cell_key, round(count(*) FILTER (WHERE landcover = 10) / nullif(count(landcover), 0)::DOUBLE, 6) AS forest_fraction, round(count(*) FILTER (WHERE landcover = 30) / nullif(count(landcover), 0)::DOUBLE, 6) AS grassland_fraction FROM points p LEFT JOIN seen USING (cell_key) GROUP BY 1""",
+    "forest_regions": f"""WITH {TILES}, {PIXELS}, pts AS (SELECT tile AS region, a * 5 + b AS sample, x0 + (x0 + 0.02::DOUBLE - x0) * b / 4 AS lon, y0 - 0.02::DOUBLE + (y0 + 0.02::DOUBLE - (y0 - 0.02::DOUBLE)) * a / 4 AS lat FROM tiles, range(5) r(a), range(5) q(b) WHERE tile % 2 = 0),
+      on_t AS (SELECT * FROM pts JOIN tiles ON {_ON_TILE}),
+      frac AS (SELECT region, sample, count(*) FILTER (WHERE landcover = 10) / count(*)::DOUBLE AS f FROM on_t p JOIN pixels q ON q.tile = p.tile AND q.landcover <> 0 AND q.row BETWEEN ceil((y0 - lat - 0.0025) / 0.0025 - 0.5) AND floor((y0 - lat + 0.0025) / 0.0025 - 0.5)
+        AND q.col BETWEEN ceil((lon - x0 - 0.0025) / 0.0025 - 0.5) AND floor((lon - x0 + 0.0025) / 0.0025 - 0.5) GROUP BY 1, 2)
+      SELECT DISTINCT region FROM frac WHERE f > 0.15 AND region % 8 <> 0""",
+    "tile_manifest": f"""WITH {CELLS}, {_inverse('x', 'y', 'g', 'cells')}, b AS (SELECT floor(min(lat))::INT AS a0, floor(max(lat))::INT AS a1, floor(min(lon))::INT AS o0, floor(max(lon))::INT AS o1 FROM g)
+      SELECT printf('N%02d_E%03d', a, o) AS tile, a::INT AS lat, o::INT AS lon FROM b, range(90) r(a), range(180) q(o) WHERE a BETWEEN a0 AND a1 AND o BETWEEN o0 AND o1 AND (a + o) % 2 <> 0""",
+    "occurrence_ingest": f"""WITH rows AS (SELECT event_id, {_strings(sorted(p['id'] for p in PROFILES))}[event_id % 6 + 1] AS species, CASE WHEN event_id % 13 <> 0 THEN 44.5::DOUBLE + (event_id * 7919 % 3000) / 1000.0::DOUBLE END AS lat, 10.0::DOUBLE + (event_id * 104729 % 4000) / 1000.0::DOUBLE AS lon, year(ts)::INT AS year FROM events)
+      SELECT species, lat, lon, year, event_id AS gbif_key FROM rows WHERE lat BETWEEN 45.2 AND 47.15 AND lon BETWEEN 10.35 AND 13.15 QUALIFY row_number() OVER (PARTITION BY species ORDER BY event_id) <= 1000""",
+    "polygon_ingest": f"WITH {CELLS}, {POLYGONS} SELECT poly_id, attr, (1 + (poly_id % 3 = 0)::INT + (poly_id % 5 = 0)::INT)::INT AS n_rings, (5 * (1 + (poly_id % 3 = 0)::INT + (poly_id % 5 = 0)::INT))::INT AS n_points FROM polys WHERE poly_id % 11 <> 0 AND poly_id % 13 <> 0",
+    "polygon_ingest_counters": "SELECT count(*) AS n_features, count(*) FILTER (WHERE s_suppkey % 11 = 0) AS n_no_geometry, 0::BIGINT AS n_invalid, count(*) FILTER (WHERE s_suppkey % 13 = 0) AS n_unnamed, 0::BIGINT AS n_repaired FROM supplier",
+    "stream_daily": f"{M} SELECT * FROM days",
+    "geojson_occurrences": f"""WITH rows AS (SELECT event_id, {_strings(sorted(p['id'] for p in PROFILES))}[event_id % 6 + 1] AS species, CASE WHEN event_id % 13 <> 0 THEN 44.5::DOUBLE + (event_id * 7919 % 3000) / 1000.0::DOUBLE END AS lat, 10.0::DOUBLE + (event_id * 104729 % 4000) / 1000.0::DOUBLE AS lon, year(ts)::INT AS year FROM events),
+      kept AS (SELECT * FROM rows WHERE lat BETWEEN 45.2 AND 47.15 AND lon BETWEEN 10.35 AND 13.15 QUALIFY row_number() OVER (PARTITION BY species ORDER BY event_id) <= 1000)
+      SELECT event_id AS gbif_key, '{{"type":"Feature","properties":{{"species":"' || species || '","year":' || year || '}},"geometry":{{"type":"Point","coordinates":[' || lon::VARCHAR || ',' || lat::VARCHAR || ']}}}}' AS geojson FROM kept""",
+    "geojson_spots": f"""{_top('both')}, kept AS (SELECT * FROM ranked WHERE rank <= 50), {_inverse('x', 'y', 'g', 'kept')},
+      f AS (SELECT species, rank, '{{"type":"Feature","properties":{{"score":' || round_even(score, 3)::VARCHAR || ',"suitability":' || round_even(suitability, 3)::VARCHAR || ',"readiness":' || round_even(readiness, 3)::VARCHAR || '}},"geometry":{{"type":"Point","coordinates":[' || round_even(lon, 5)::VARCHAR || ',' || round_even(lat, 5)::VARCHAR || ']}}}}' AS j FROM g)
+      SELECT species, '{{"type":"FeatureCollection","features":[' || string_agg(j, ',' ORDER BY rank) || ']}}' AS geojson, count(*)::INT AS n FROM f GROUP BY species""",
+    "geojson_phases": f"""{SM}, {PHASED}, k AS (SELECT DISTINCT meteo_cell_id, split_part(meteo_cell_id, '_', 2)::BIGINT AS c, split_part(meteo_cell_id, '_', 3)::BIGINT AS r FROM phased_cells),
+      kk AS (SELECT meteo_cell_id, n, (c + (n IN (1, 2))::INT) * 2200.0::DOUBLE AS px, (r + (n IN (2, 3))::INT) * 2200.0::DOUBLE AS py FROM k, range(5) t(n)), {_inverse('px', 'py', 'g', 'kk')},
+      ring AS (SELECT meteo_cell_id, string_agg('[' || round_even(lon, 5)::VARCHAR || ',' || round_even(lat, 5)::VARCHAR || ']', ',' ORDER BY n) AS ring FROM g GROUP BY 1)
+      SELECT species, meteo_cell_id, '{{"type":"Feature","properties":{{"state":"' || state || '","readiness":' || round_even(readiness, 3)::VARCHAR || ',"charge":' || round_even(charge, 3)::VARCHAR || ',"dst":' || dst || coalesce(',"eta":' || eta, '') || coalesce(',"days_past":' || days_past, '')
+        || '}},"geometry":{{"type":"Polygon","coordinates":[[' || ring || ']]}}}}' AS geojson FROM phased_cells JOIN ring USING (meteo_cell_id)""",
+    "soil_extent": f"""WITH {CELLS}, {_inverse('x', 'y', 'g', 'cells')}, b AS (SELECT min(lat) AS a0, max(lat) AS a1, min(lon) AS o0, max(lon) AS o1 FROM g),
+      t0 AS (SELECT radians(lat) AS t, pi() * sin(radians(lat)) AS goal, lon FROM (SELECT unnest([a0, a0, a1, a1]) AS lat, unnest([o0, o1, o0, o1]) AS lon FROM b)),
+      """ + ", ".join(f"t{n + 1} AS (SELECT t - (2 * t + sin(2 * t) - goal) / (2 + 2 * cos(2 * t)) AS t, goal, lon FROM t{n})" for n in range(8)) + """,
+      h AS (SELECT 6378137.0 * (radians(30.0) + 2 * sqrt(2.0) / pi() * radians(lon - 30.0) * cos(t)) AS hx, 6378137.0 * (sqrt(2.0) * sin(t) - 0.0528035274542) AS hy FROM t8)
+      SELECT round(min(hx) - 3000, 1) AS x0, round(min(hy) - 3000, 1) AS y0, round(max(hx) + 3000, 1) AS x1, round(max(hy) + 3000, 1) AS y1 FROM h""",
     "regrid_nearest": f"WITH {CELLS}, {PIXELS}, {TARGETS} SELECT cell_key, round(value, 6) AS value FROM targets t LEFT JOIN pixels p ON p.tile = t.tile AND p.row = floor(fy) AND p.col = floor(fx)",
     "regrid_bilinear": f"""WITH {CELLS}, {PIXELS}, {TARGETS}, w AS (SELECT t.cell_key, value, (1 - abs(p.row + 0.5 - fy)) * (1 - abs(p.col + 0.5 - fx)) AS w FROM targets t JOIN pixels p ON p.tile = t.tile
         AND p.row IN (floor(fy - 0.5), floor(fy - 0.5) + 1) AND p.col IN (floor(fx - 0.5), floor(fx - 0.5) + 1))
@@ -293,6 +374,6 @@ ORACLE_SQL: dict[str, str] = {
     "observations_clean": f"WITH {OBS} SELECT id, species, phase, is_blank, 1 AS id_verified, round(weight_g, 4) AS weight_g, error FROM cleaned",
     "observation_cells": f"WITH {OBS} SELECT id, CASE WHEN x IS NOT NULL THEN 's100_' || floor(x / 100.0)::BIGINT || '_' || floor(y / 100.0)::BIGINT END AS static_cell_id, CASE WHEN x IS NOT NULL THEN {WCELL} END AS meteo_cell_id FROM cleaned",
     "observation_pins": f"WITH {OBS} SELECT id, species, phase, round(weight_g, 4) AS weight_g, is_blank, photo FROM cleaned WHERE error IS NULL AND x IS NOT NULL",
-    "occurrence_summary": f"WITH {OBS}, n AS (SELECT *, row_number() OVER (PARTITION BY species ORDER BY ts, id) AS rn FROM obs WHERE x IS NOT NULL AND species IS NOT NULL) SELECT species, count(*) AS n, min(year(ts))::INT AS first_year, max(year(ts))::INT AS last_year FROM n WHERE rn <= 500 GROUP BY 1",
+    "occurrence_summary": f"WITH {OBS}, n AS (SELECT *, row_number() OVER (PARTITION BY species ORDER BY ts, id) AS rn FROM obs WHERE x IS NOT NULL AND species IS NOT NULL) SELECT species, count(*) AS n, min(year(ts))::INT AS first_year, max(year(ts))::INT AS last_year FROM n WHERE rn <= 1000 GROUP BY 1",
     "host_coverage": f"WITH {WEIGHT}, {CELLS} SELECT w.species, count(*) AS n_cells, round(sum(w.w), 4) AS weight FROM cells c JOIN weight w ON w.cls = c.cls GROUP BY 1",
-} | {f"top_spots_{mode}": _top(mode) for mode in ("static", "dynamic", "both")}
+} | {f"top_spots_{mode}": _top(mode) + _TOP for mode in ("static", "dynamic", "both")}

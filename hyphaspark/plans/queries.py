@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dynamic_score, grid, projection, static_score
-from ..operators import evaluate, layers, observations, rasters, spots, vectors, weather
+from ..operators import evaluate, layers, observations, publish, rasters, spots, vectors, weather
 from ..sources import adapters as a
+from ..sources import archive, feeds, folders, suitability
 from ..sources import profiles as p
+from ..streaming import weather_stream
 
 TODAY = "2024-10-20"
 EXTENT = (605000.0, 5060000.0, 693000.0, 5104000.0)  # of the adapted tables, in metres
@@ -180,12 +182,35 @@ def soil_ph_sample(s, d):
 
 
 def _pixel_points(s, d):
-    return a.cells(s, d).select("cell_key", (F.col("cell_key") % 600).alias("tile"), F.expr("CAST(cell_key DIV 600 % 8 AS INT)").alias("row"), F.expr("CAST(cell_key DIV 4800 % 8 AS INT)").alias("col"))
+    return rasters.on_tiles(a.geo_points(s, d), a.tiles(s, d), "cell_key")
+
+
+def tile_lookup(s, d):
+    return _pixel_points(s, d).select("cell_key", "tile", "row", "col")
+
+
+def terrain_at(s, d):
+    return rasters.terrain_at(_pixel_points(s, d), a.pixels(s, d), "cell_key")
+
+
+def landcover_at(s, d):
+    made = rasters.cover_at(_pixel_points(s, d), a.pixels(s, d), "cell_key", 0.004)
+    return made.select("cell_key", F.round("forest_fraction", 6).alias("forest_fraction"), F.round("grassland_fraction", 6).alias("grassland_fraction"))
+
+
+def forest_regions(s, d):
+    """Regions of 0.02 by 0.04 degrees with any of 5 x 5 samples in forest, less those whose canopy is there."""
+    boxes = a.tiles(s, d).selectExpr("tile AS region", "x0 AS west", "y0 - 0.02D AS south", "x0 + 0.02D AS east", "y0 + 0.02D AS north").where("region % 2 = 0")
+    spots = rasters.sample_points(boxes, "region").select(F.struct("region", "sample").alias("spot"), "lon", "lat")
+    shares = rasters.cover_at(rasters.on_tiles(spots, a.tiles(s, d), "spot"), a.pixels(s, d), "spot").select(F.col("spot.region").alias("tile"), "forest_fraction")
+    made = rasters.forested_tiles(shares).where("has_forest").select(F.col("tile").alias("region"))
+    return made.join(a.tiles(s, d).where("tile % 8 = 0").select(F.col("tile").alias("region")), "region", "left_anti")
 
 
 def canopy_sample(s, d):
     """Canopy under the cells: an equi-join on tile, row and column; outside all tiles there is none."""
-    made = rasters.sample(_pixel_points(s, d), a.pixels(s, d).withColumn("canopy", F.col("value") / 2000.0), "canopy")
+    points = a.cells(s, d).select("cell_key").join(tile_lookup(s, d), "cell_key", "left")
+    made = rasters.sample(points, a.pixels(s, d).withColumn("canopy", F.col("value") / 2000.0), "canopy")
     return made.select("cell_key", F.round(rasters.canopy(F.col("canopy")), 6).alias("canopy_alive"))
 
 
@@ -195,7 +220,7 @@ def landcover_fraction(s, d):
 
 def tiles_with_forest(s, d):
     """Forested tiles that are not there yet."""
-    made = rasters.forested_tiles(rasters.cover_fractions(a.pixels(s, d), 1), 0.8).where("has_forest")
+    made = rasters.forested_tiles(rasters.cover_fractions(a.pixels(s, d), 1)).where("has_forest")
     landed = a.pixels(s, d).where("tile % 4 = 0").select("tile").distinct()
     return made.select("tile").join(landed, "tile", "left_anti")
 
@@ -217,7 +242,10 @@ def canopy_stats(s, d):
 
 
 def canopy_calibration(s, d):
-    made = rasters.calibration(_composite(s, d).where("(tile + row) % 3 <> 0"))
+    """Over the pixels whose centre lies in a conifer forest."""
+    at = {"x": "605000.0D + ((tile % 200) * 8 + col + 0.5D) * 55.0D", "y": "5066000.0D - (tile DIV 200 * 8 + row + 0.5D) * 55.0D"}
+    pixels = _composite(s, d).withColumns({k: F.expr(v) for k, v in at.items()})
+    made = rasters.calibration(vectors.masked(pixels, a.conifers(s, d), ["tile", "row", "col"]))
     return made.select("cls", "n", *[F.round(c, 9).alias(c) for c in ("share", "mean_ndvi", "std_ndvi", "mean_nbr", "std_nbr")])
 
 
@@ -257,7 +285,7 @@ class _Layer:
 
 def layer_merge(s, d):
     """Cells with terrain (required), geology (skipping null) and soil layers, the later winning."""
-    points = _pixel_points(s, d)
+    points = tile_lookup(s, d)
     base = points.join(terrain_stencil(s, d), ["tile", "row", "col"]).select("cell_key", "elevation_m", "slope_deg", "aspect")
     soil = points.join(soil_ph_sample(s, d), ["tile", "row", "col"]).select("cell_key", "soil_ph")
     geo = vectors.geology(a.cells(s, d), a.polygons(s, d), "cell_key").select("cell_key", "soil_ph", "geology_fallback")
@@ -302,28 +330,134 @@ def homolosine(s, d):
 
 
 def _map(s, d):
-    """Scores of one species on a coarse grid of 2200 m: i, j, score (the best cell)."""
-    rows = scored(s, d).where("species = 'cantharellus_cibarius'")
-    return rows.groupBy(F.floor((EXTENT[3] - F.col("y")) / 2200.0).cast("int").alias("i"), F.floor((F.col("x") - EXTENT[0]) / 2200.0).cast("int").alias("j")).agg(F.max("score").alias("score"))
+    """Maps on a coarse grid of 2200 m: species, i, j, score (the best cell)."""
+    return scored(s, d).groupBy("species", F.floor((EXTENT[3] - F.col("y")) / 2200.0).cast("int").alias("i"), F.floor((F.col("x") - EXTENT[0]) / 2200.0).cast("int").alias("j")).agg(F.max("score").alias("score"))
 
 
 def quantised_grid(s, d):
-    return _map(s, d).select("i", "j", rasters.quantise(F.col("score")).alias("q"))
+    return _map(s, d).select("species", "i", "j", rasters.quantise(F.col("score")).alias("q"))
 
 
 def colour_grid(s, d):
     value, alpha = rasters.colour(F.col("score"))
-    return _map(s, d).select("i", "j", F.round(value, 6).alias("norm"), alpha.alias("alpha"))
+    return _map(s, d).select("species", "i", "j", F.round(value, 6).alias("norm"), alpha.alias("alpha"))
 
 
 def point_lookup(s, d):
-    points = a.cells(s, d).select("cell_key", F.col("x").alias("mx"), (F.col("y") + 3000.0).alias("my"))
-    made = rasters.lookup(points, quantised_grid(s, d), EXTENT, 40, 20)
-    return made.select("cell_key", F.round("score", 6).alias("score"))
+    """The served score under each cell's centre, for every species."""
+    served, grid = _served(s, d)
+    x, y = projection.mercator_forward(*projection.utm_inverse(F.col("x"), F.col("y") + 3000.0))
+    points = a.cells(s, d).select("cell_key", x.alias("mx"), y.alias("my")).crossJoin(F.broadcast(p.profiles(s).select("species")))
+    made = rasters.lookup(points, served, (grid["west"], grid["south"], grid["east"], grid["north"]), grid["nx"], grid["ny"])
+    return made.select("cell_key", "species", F.round("score", 6).alias("score"))
+
+
+def _projected(s, d, crs, resolution, nearest):
+    cells, grid = rasters.served_cells(s, EXTENT, crs, resolution)
+    maps = _map(s, d).select("species", F.col("i").alias("row"), F.col("j").alias("col"), F.col("score").alias("value"))
+    return rasters.served(maps, cells, (EXTENT[0], EXTENT[3]), 2200.0, nearest), grid
+
+
+def _served(s, d):
+    """The maps in Web Mercator, quantised, and their grid."""
+    made, grid = _projected(s, d, "3857", 3000.0, True)
+    return made.select("species", "i", "j", rasters.quantise(F.col("score")).alias("q")), grid
+
+
+def served_rows(s, d):
+    served, grid = _served(s, d)
+    return rasters.packed_rows(served, grid["nx"]).withColumns({"nx": F.lit(grid["nx"]), "ny": F.lit(grid["ny"])})
+
+
+def overlay_grid(s, d):
+    """The maps in degrees, smoothed, as colour values and opacity."""
+    made, _ = _projected(s, d, "4326", 0.02, False)
+    value, alpha = rasters.colour(F.round("score", 9))
+    return made.select("species", "i", "j", F.round(value, 6).alias("norm"), alpha.alias("alpha"))
+
+
+def suitability_table(s, d):
+    """Maps of all species, two of them then replaced by those of other weights, read back by species."""
+    path = folders.fresh(s, "suitability")
+    suitability.write(scored(s, d).select("species", "cell_key", "x", "y", "score"), path)
+    again = static_score.score_cells(a.with_host(a.cells(s, d)), p.profiles(s, only=["boletus_edulis", "cantharellus_cibarius"]), weights={"elevation": 2.0, "slope": 0.0, "aspect": 1.0, "soil_ph": 1.0, "drainage": 0.0})
+    suitability.write(again.select("species", "cell_key", "x", "y", F.round("score", 9).alias("score")), path)
+    made = suitability.read(s, path).groupBy("species").agg(F.count("*").alias("n_cells"), F.count_if(spots.above()).alias("n_above"), F.round(F.avg(F.col("score").cast("double")), 5).alias("mean_score"))
+    return made.withColumn("species", F.col("species").cast("string"))
+
+
+def species_list(s, d):
+    """The species that there are maps for."""
+    path = folders.fresh(s, "suitability")
+    suitability.write(scored(s, d).where(spots.above()).select("species", "cell_key", "x", "y", "score"), path)
+    return suitability.species(s, path)
+
+
+def tile_manifest(s, d):
+    """The elevation tiles of one degree that the cells need, less those that are there."""
+    lat, lon = projection.utm_inverse(F.col("x"), F.col("y"))
+    box = a.cells(s, d).agg(F.min(lat).alias("lat_min"), F.max(lat).alias("lat_max"), F.min(lon).alias("lon_min"), F.max(lon).alias("lon_max")).first().asDict()
+    need = feeds.tile_manifest(s, box, 1, "%s%02d_%s%03d")
+    return need.join(need.where("(lat + lon) % 2 = 0").select("tile"), "tile", "left_anti").select("tile", "lat", "lon")
+
+
+def soil_extent(s, d):
+    """The cells' box in the soil raster's projection."""
+    lat, lon = projection.utm_inverse(F.col("x"), F.col("y"))
+    box = a.cells(s, d).agg(F.min(lat).alias("lat_min"), F.max(lat).alias("lat_max"), F.min(lon).alias("lon_min"), F.max(lon).alias("lon_max")).first().asDict()
+    return feeds.projected_box(s, box).select(*[F.round(c, 1).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def occurrence_ingest(s, d):
+    """Result pages of an occurrence feed, made of the events, read back: at most 1000 a species, inside the area."""
+    names = F.array(*[F.lit(n) for n in sorted(x["id"] for x in p.PROFILES)])
+    rows = a.table(s, d, "events").selectExpr("event_id", "CASE WHEN event_id % 13 <> 0 THEN 44.5D + (event_id * 7919 % 3000) / 1000.0D END AS decimalLatitude", "10.0D + (event_id * 104729 % 4000) / 1000.0D AS decimalLongitude", "year(ts) AS year", "event_id AS key")
+    rows = rows.withColumn("species", F.get(names, (F.col("event_id") % 6).cast("int"))).withColumn("page", F.expr("event_id DIV 300"))
+    result = F.struct("key", "decimalLatitude", "decimalLongitude", "year")
+    pages = rows.groupBy("species", "page").agg(F.array_sort(F.collect_list(result)).alias("results")).select("species", "page", F.to_json(F.struct("results")).alias("value"))
+    return feeds.occurrences(pages, grid.AREA)
+
+
+def geojson_occurrences(s, d):
+    made = occurrence_ingest(s, d)
+    return made.select("gbif_key", feeds.as_feature(["species", "year"]).alias("geojson"))
+
+
+def _polygon_pages(s, d):
+    """The polygons as landed pages: some without geometry, some without a name, every fifth in several parts."""
+    points = lambda r: F.transform(r, lambda q: F.array(q["x"], q["y"]))
+    single = F.to_json(F.transform("rings", points))
+    several = F.to_json(F.transform("rings", lambda r: F.array(points(r))))
+    shape = F.when(F.col("poly_id") % 11 == 0, F.lit("null")).when(F.col("poly_id") % 5 == 0, F.concat(F.lit('{"type":"MultiPolygon","coordinates":'), several, F.lit("}"))).otherwise(F.concat(F.lit('{"type":"Polygon","coordinates":'), single, F.lit("}")))
+    name = F.when(F.col("poly_id") % 13 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "attr"))
+    feature = F.concat(F.lit('{"id":'), F.col("poly_id").cast("string"), F.lit(',"geometry":'), shape, F.lit(',"properties":'), F.to_json(F.struct(name.alias("NAME"))), F.lit("}"))
+    pages = a.polygons(s, d).groupBy(F.expr("poly_id DIV 25").alias("page")).agg(F.array_join(F.collect_list(feature), ",").alias("fs"))
+    return pages.select("page", F.concat(F.lit('{"features":['), "fs", F.lit("]}")).alias("value"))
+
+
+def polygon_ingest(s, d):
+    made, _ = feeds.polygon_pages(_polygon_pages(s, d), "NAME")
+    return made.select("poly_id", "attr", F.size("rings").alias("n_rings"), F.aggregate("rings", F.lit(0), lambda n, r: n + F.size(r)).alias("n_points"))
+
+
+def polygon_ingest_counters(s, d):
+    _, counters = feeds.polygon_pages(_polygon_pages(s, d), "NAME")
+    return counters
+
+
+def stream_daily(s, d):
+    """The archive that a stream of the hours keeps."""
+    path = folders.fresh(s, "stream")
+    a.hourly(s, d).select("event_id", "meteo_cell_id", "time", "precip", "soil_temp", "soil_moist").write.parquet(f"{path}/in")
+    hours = s.readStream.schema(weather_stream.SCHEMA).parquet(f"{path}/in")
+    weather_stream.run_archive(hours, f"{path}/archive", f"{path}/checkpoint").awaitTermination()
+    made = archive.read(s, f"{path}/archive", weather_stream.ARCHIVE)
+    return made.select("meteo_cell_id", "date", *[F.round(c, 6).alias(c) for c in ("precip_mm", "soil_temp_c", "soil_moist")])
 
 
 def _targets(s, d):
-    return a.cells(s, d).select((F.col("cell_key") % 500).alias("tile"), "cell_key", (F.col("cell_key") * 7919 % 800 / 100.0).alias("fy"), (F.col("cell_key") * 104729 % 800 / 100.0).alias("fx"))
+    tiles = F.broadcast(a.tiles(s, d).agg((F.max("tile") + 1).alias("n")))  # one row
+    return a.cells(s, d).crossJoin(tiles).select((F.col("cell_key") % F.col("n")).alias("tile"), "cell_key", (F.col("cell_key") * 7919 % 800 / 100.0).alias("fy"), (F.col("cell_key") * 104729 % 800 / 100.0).alias("fx"))
 
 
 def regrid_nearest(s, d):
@@ -349,9 +483,9 @@ def observation_pins(s, d):
 
 
 def occurrence_summary(s, d):
-    """Observations as occurrences: count and years by species, at most 500 by time."""
+    """Observations as occurrences: count and years by species, at most 1000 by time."""
     rows = a.observations(s, d).where("x IS NOT NULL AND species IS NOT NULL")
-    capped = rows.withColumn("rn", F.row_number().over(_newest())).where("rn <= 500")
+    capped = rows.withColumn("rn", F.row_number().over(_newest())).where("rn <= 1000")
     return capped.groupBy("species").agg(F.count("*").alias("n"), F.min(F.year("ts_submit")).alias("first_year"), F.max(F.year("ts_submit")).alias("last_year"))
 
 
@@ -362,20 +496,11 @@ def _newest():
 
 
 def geojson_spots(s, d):
-    """A feature collection per species, built in one grouped job."""
-    made = spots.top_spots(scored(s, d), phases(s, d), "both")
-    lat, lon = projection.utm_inverse(F.col("x"), F.col("y"))
-    rounded = lambda c: F.bround(c, 3).alias(c)
-    feature = F.struct("rank", F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(rounded("score"), rounded("suitability"), rounded("readiness")).alias("properties"), F.struct(F.lit("Point").alias("type"), F.array(F.bround(lon, 5), F.bround(lat, 5)).alias("coordinates")).alias("geometry"))).alias("json"))
-    grouped = made.select("species", feature.alias("f")).groupBy("species").agg(F.array_sort(F.collect_list("f")).alias("fs"))
-    return grouped.select("species", F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("fs.json", ","), F.lit("]}")).alias("geojson"), F.size("fs").alias("n"))
+    return publish.spot_collections(spots.top_spots(scored(s, d), phases(s, d), "both"))
 
 
 def geojson_phases(s, d):
-    """Phase polygons; fields without a value are left out."""
-    rows = spots.phases_by_cell(scored(s, d), phases(s, d))
-    ring = grid.polygon(F.col("meteo_cell_id"))
-    return rows.select("species", "meteo_cell_id", F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("state", "readiness", "charge", "dst", "eta", "days_past").alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))).alias("geojson"))
+    return publish.phase_features(spots.phases_by_cell(scored(s, d), phases(s, d)))
 
 
 def host_coverage(s, d):
@@ -399,6 +524,7 @@ QUERIES = {
         landcover_fraction, tiles_with_forest, scene_indices, scene_median, canopy_stats, canopy_calibration, canopy_histogram, geology_class,
         geology_nearest, geology_merged, forest_host, layer_merge, suitability_at, cell_ids, cell_centers, cell_polygons, projected_round_trip, homolosine,
         quantised_grid, colour_grid, point_lookup, regrid_nearest, regrid_bilinear, observations_clean, observation_cells, observation_pins,
-        occurrence_summary, geojson_spots, geojson_phases, host_coverage,
+        occurrence_summary, geojson_spots, geojson_phases, host_coverage, tile_lookup, terrain_at, landcover_at, forest_regions, served_rows, overlay_grid,
+        suitability_table, species_list, tile_manifest, soil_extent, occurrence_ingest, geojson_occurrences, polygon_ingest, polygon_ingest_counters, stream_daily,
     )
 } | {f"top_spots_{mode}": _top(mode) for mode in ("static", "dynamic", "both")}

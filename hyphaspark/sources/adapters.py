@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .profiles import CATEGORY_CODES, HOST_CLASSES
+from .profiles import CATEGORY_CODES, CONIFER_CLASSES, HOST_CLASSES
 
 # Lithologies in the order of the polygon table's index, with the region of their keywords.
 LITHOLOGIES = [
@@ -81,10 +81,27 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 x 8 tiles: tile, row, col, value (elevation), landcover, ph10."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("tile"), F.posexplode("embedding").alias("pos", "v"))
     return rows.selectExpr("tile", "CAST(pos DIV 8 AS INT) AS row", "CAST(pos % 8 AS INT) AS col", "1000.0D + 2000.0D * CAST(v AS DOUBLE) AS value").selectExpr(
-        "*", "CASE (tile + row * 3 + col * 5) % 6 WHEN 0 THEN 0 WHEN 1 THEN 30 WHEN 2 THEN 50 ELSE 10 END AS landcover", "CAST((tile * 7 + row + col) % 90 AS INT) AS ph10"
+        "*", "CASE (tile + row * 3 + col * 5) % 6 WHEN 0 THEN 0 WHEN 1 THEN 30 WHEN 2 THEN 50 ELSE IF(tile % 3 = 0, 50, 10) END AS landcover", "CAST((tile * 7 + row + col) % 90 AS INT) AS ph10"
     )
 
 
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the 8 x 8 tiles lie: fifty a row from 10 degrees east on, rows going north from 46 degrees."""
+    return table(spark, sf_dir, "embeddings").selectExpr("vec_id AS tile", "10.0D + (vec_id % 50) * 0.02D AS x0", "46.0D + (vec_id DIV 50 + 1) * 0.02D AS y0", "0.0025D AS dx", "0.0025D AS dy", "8 AS nx", "8 AS ny")
+
+
+def geo_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point for each cell over all tiles, and some beyond them: cell_key, lon, lat."""
+    last = table(spark, sf_dir, "embeddings").selectExpr("max(vec_id) AS n")  # one row
+    return table(spark, sf_dir, "orders").crossJoin(F.broadcast(last)).selectExpr("o_orderkey AS cell_key", "10.0D + (o_orderkey * 7919 % 100003) / 100003.0D AS lon", "46.0D + (o_orderkey * 104729 % 100003) / 100003.0D * 0.02D * (n DIV 50 + 2) AS lat")
+
+
+def conifers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polygons of conifer forest categories."""
+    classes = F.array(*[F.lit(c) for c in HOST_CLASSES], F.lit(None).cast("string"))
+    return polygons(spark, sf_dir).where(F.get(classes, (F.col("poly_id") % 21).cast("int")).isin(CONIFER_CLASSES))
+
+
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six satellite scenes over the pixels: scene, cloud_cover, tile, row, col, scl, nir, red, swir."""
     return pixels(spark, sf_dir).select("tile", "row", "col", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("scene")).selectExpr(

@@ -10,7 +10,6 @@ import __spark_entry__ as entry
 from hyphaspark.plans import oracles, queries
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"combined_prediction", "geojson_spots"}
 
 
 def norm(v):
@@ -25,7 +24,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in oracles.ORACLE_SQL if n not in SLOW])
+@pytest.mark.parametrize("name", list(oracles.ORACLE_SQL))
 def test_like_sql(spark, duck, name):
     df = queries.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
@@ -39,5 +38,5 @@ def test_like_sql(spark, duck, name):
 
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(queries.QUERIES) == set(oracles.ORACLE_SQL)
     assert entry.entry(spark).count() > 0
-    assert queries.geojson_spots(spark, SF).count() == 6
