@@ -97,11 +97,12 @@ def nearest(points: DataFrame, polygons: DataFrame, key: str, radius: float = RA
 
 
 def located(points: DataFrame, polygons: DataFrame, key: str, radius: float = RADIUS, size: float = BIN) -> DataFrame:
-    """key, poly_id, attr, region, fallback: the containing polygon (fallback false), else the nearest one. The
-    points meet the polygons once for both."""
-    met = _candidates(points, polygons, key, size, radius).withColumn("fallback", ~inside(F.col("x"), F.col("y")))
-    met = met.withColumn("dist", F.when(F.col("fallback"), distance(F.col("x"), F.col("y"))).otherwise(0.0)).where(F.col("dist") <= radius)
-    return met.groupBy(key).agg(F.min(F.struct("fallback", "dist", "poly_id", "attr", "region")).alias("p")).select(key, "p.poly_id", "p.attr", "p.region", "p.fallback")
+    """key, poly_id, attr, region, fallback: the containing polygon (fallback false), else the nearest one. Only
+    points outside all polygons are measured, as distances cost most."""
+    direct = containing(points, polygons, key, size).withColumn("fallback", F.lit(False))
+    rest = points.join(direct.select(key), key, "left_anti")
+    near = nearest(rest, polygons, key, radius, size).drop("dist").withColumn("fallback", F.lit(True))
+    return direct.unionByName(near)
 
 
 def geology(points: DataFrame, polygons: DataFrame, key: str, radius: float = RADIUS) -> DataFrame:
