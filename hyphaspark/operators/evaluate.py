@@ -46,6 +46,16 @@ def boyce(points: DataFrame, n_windows: int = WINDOWS, width: float = WIDTH) ->
     return sizes.join(index, "species", "left").select("species", F.coalesce("boyce", F.lit(float("nan"))).alias("boyce"), "n_presence", "n_background")
 
 
+def validate(presences: DataFrame, background: DataFrame, maps: DataFrame, corner: tuple[float, float], step: float) -> DataFrame:
+    """The index of every mapped species: scores of its presences (species, x, y) against those of background
+    points (x, y) that all species share. Maps have species, i (from the north), j and score. Points off the map have no score
+    and do not count; a species without presences has NaN."""
+    cell = {"i": F.floor((corner[1] - F.col("y")) / step).cast("int"), "j": F.floor((F.col("x") - corner[0]) / step).cast("int")}
+    pres = presences.withColumns(cell).join(maps, ["species", "i", "j"]).select("species", "score", F.lit("pres").alias("kind"))
+    bg = background.withColumns(cell).select("i", "j").join(maps, ["i", "j"]).select("species", "score", F.lit("bg").alias("kind"))
+    return boyce(pres.unionByName(bg))
+
+
 def compare(baseline: DataFrame, variant: DataFrame) -> DataFrame:
     """species, boyce of both models and their difference."""
     return baseline.select("species", F.col("boyce").alias("baseline")).join(variant.select("species", F.col("boyce").alias("variant")), "species").withColumn("delta", F.col("variant") - F.col("baseline"))

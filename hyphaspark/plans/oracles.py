@@ -134,9 +134,10 @@ _TOP = "SELECT species, rank, round(score, 3) AS score, round(suitability, 3) AS
 REDUCED = [("elevation", 1.0), ("slope", 0.5), ("drainage", 0.5)]
 
 
-def _boyce(name: str, scores: str) -> str:
+def _boyce(name: str, scores: str, points: str = "") -> str:
     present = "(cell_key * 17) % 101 < (cell_key * 31) % 101"
-    return f"""pts{name} AS (SELECT species, score, 'bg' AS kind FROM {scores} UNION ALL SELECT species, score, 'pres' FROM {scores} WHERE {present}),
+    points = points or f"SELECT species, score, 'bg' AS kind FROM {scores} UNION ALL SELECT species, score, 'pres' FROM {scores} WHERE {present}"
+    return f"""pts{name} AS ({points}),
     ext{name} AS (SELECT species, min(score) AS lo, max(score) AS hi, count(*) FILTER (WHERE kind = 'pres') AS np, count(*) FILTER (WHERE kind = 'bg') AS nb FROM pts{name} GROUP BY 1),
     win{name} AS (SELECT *, (hi - lo) * 0.1::DOUBLE AS w, ((hi - lo) - (hi - lo) * 0.1::DOUBLE) / 99 AS step, k::INT AS win FROM ext{name}, range(100) t(k)),
     cen{name} AS (SELECT *, lo + w / 2 + win * step AS center FROM win{name}),
@@ -296,6 +297,7 @@ ORACLE_SQL: dict[str, str] = {
     "tiles_with_forest": f"WITH {PIXELS}, {_cover(1)} SELECT tile FROM cover GROUP BY tile HAVING bool_or(forest > 0.15) AND tile % 4 <> 0",
     "scene_indices": f"WITH {SCENES} SELECT scene, tile, row, col, round(ndvi, 6) AS ndvi, round(nbr, 6) AS nbr FROM idx",
     "scene_median": f"WITH {SCENES} SELECT * FROM comp",
+    "canopy_table": f"WITH {SCENES} SELECT tile, row, col, canopy_alive FROM comp",
     "canopy_stats": f"""WITH {SCENES} SELECT round(avg(canopy_alive), 9) AS mean_alive, round(avg((canopy_alive < 0.2)::INT), 9) AS share_cleared, round(avg((canopy_alive > 0.8)::INT), 9) AS share_intact, round(median(ndvi), 9) AS median_ndvi,
       round(median(nbr), 9) AS median_nbr, count(canopy_alive) AS n_valid FROM comp""",
     "canopy_calibration": f"""WITH {SCENES}, {CELLS}, {POLYGONS}, centres AS (SELECT tile, row, col, 605000.0::DOUBLE + ((tile % 200) * 8 + col + 0.5) * 55.0 AS px, 5066000.0::DOUBLE - (tile // 200 * 8 + row + 0.5) * 55.0 AS py FROM comp),
@@ -351,6 +353,24 @@ ORACLE_SQL: dict[str, str] = {
     "polygon_ingest": f"WITH {CELLS}, {POLYGONS} SELECT poly_id, attr, (1 + (poly_id % 3 = 0)::INT + (poly_id % 5 = 0)::INT)::INT AS n_rings, (5 * (1 + (poly_id % 3 = 0)::INT + (poly_id % 5 = 0)::INT))::INT AS n_points FROM polys WHERE poly_id % 11 <> 0 AND poly_id % 13 <> 0",
     "polygon_ingest_counters": "SELECT count(*) AS n_features, count(*) FILTER (WHERE s_suppkey % 11 = 0) AS n_no_geometry, 0::BIGINT AS n_invalid, count(*) FILTER (WHERE s_suppkey % 13 = 0) AS n_unnamed, 0::BIGINT AS n_repaired FROM supplier",
     "stream_daily": f"{M} SELECT * FROM days",
+    "stream_phases": f"{M} SELECT species, meteo_cell_id, state, round_even(readiness, 3) AS readiness, round_even(charge, 3) AS charge, dst, eta, days_past FROM phases WHERE state IS NOT NULL",
+    "stream_gaps": f"{SM}, {CANDIDATES}, st AS (SELECT meteo_cell_id, max(date) AS last_date FROM days GROUP BY 1) SELECT meteo_cell_id, last_date FROM candidates LEFT JOIN st USING (meteo_cell_id) WHERE last_date IS NULL OR last_date < {TODAY} - 1",
+    "stream_observations": f"WITH {OBS} SELECT id, species, phase, CASE WHEN x IS NOT NULL THEN 's100_' || floor(x / 100.0)::BIGINT || '_' || floor(y / 100.0)::BIGINT END AS static_cell_id, CASE WHEN x IS NOT NULL THEN {WCELL} END AS meteo_cell_id, error, CASE WHEN error IS NULL THEN 'clean' ELSE 'quarantine' END AS sink FROM cleaned",
+    "hourly_feed": f"{M} SELECT * FROM days",
+    "feed_mismatches": "SELECT user_id // 10 AS batch, count(DISTINCT user_id) + 1 AS n_requests, count(DISTINCT user_id) AS n_series FROM events WHERE user_id // 10 % 7 = 0 GROUP BY 1",
+    "ingest_windows": """WITH m AS (SELECT max(s_suppkey) AS last FROM supplier)
+      SELECT DISTINCT lo, lo + 24 AS hi, least(lo + 24, last) - lo + 1 AS at_most FROM (SELECT s_suppkey // 25 * 25 AS lo FROM supplier), m WHERE lo // 25 % 4 = 3""",
+    "polygon_table": f"""WITH {CELLS}, {POLYGONS}, n AS (SELECT poly_id, attr, (1 + (poly_id % 3 = 0)::INT + (poly_id % 5 = 0)::INT)::INT AS n_rings FROM polys WHERE poly_id % 11 <> 0 AND poly_id % 13 <> 0)
+      SELECT 'geology' AS layer, * FROM n UNION ALL SELECT 'forest', * FROM n WHERE n_rings > 1""",
+    "species_validation": f"""{S}, {_MAPPED}, {OBS}, {_boyce('', '', """SELECT species, score, 'pres' AS kind FROM cleaned o JOIN coarse m USING (species) WHERE error IS NULL AND x IS NOT NULL AND i = floor((5104000.0 - y) / 2200.0) AND j = floor((x - 605000.0) / 2200.0)
+        UNION ALL SELECT species, score, 'bg' FROM cells c JOIN coarse m ON i = floor((5104000.0 - y) / 2200.0) AND j = floor((x - 605000.0) / 2200.0)""")} SELECT species, round(boyce, 6) AS boyce, np AS n_presence, nb AS n_background FROM ext JOIN boy USING (species)""",
+    "profile_quality": f"""WITH r AS (SELECT *, CASE WHEN p_partkey % 17 = 0 THEN '.yml' ELSE '.yaml' END AS tail, CASE WHEN p_partkey % 19 = 0 THEN 'other' ELSE 'part_' || p_partkey END AS species FROM part)
+      SELECT 'part_' || p_partkey || tail AS file,
+        concat_ws('; ', CASE WHEN p_size % 4 = 3 THEN 'trophic_mode: parasitic' END, CASE WHEN p_partkey % 3 = 2 THEN 'habitat: sea' END,
+          CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 7 = 0 THEN 'unknown hosts: abetaia,bosco_' || p_size END,
+          CASE WHEN p_size % 14 IN (0, 13) THEN 'month outside 1..12' END, CASE WHEN p_size % 4 = 0 AND p_partkey % 5 = 0 THEN 'mycorrhizal without hosts' END) AS errors,
+        concat_ws('; ', CASE WHEN tail = '.yml' THEN 'file name' END, CASE WHEN tail = '.yml' OR species = 'other' THEN 'id differs from file name' END, CASE WHEN p_partkey % 23 = 0 THEN 'not a document' END) AS refused,
+        upper(species[1]) || replace(species[2:], '_', ' ') AS name FROM r""",
     "geojson_occurrences": f"""WITH rows AS (SELECT event_id, {_strings(sorted(p['id'] for p in PROFILES))}[event_id % 6 + 1] AS species, CASE WHEN event_id % 13 <> 0 THEN 44.5::DOUBLE + (event_id * 7919 % 3000) / 1000.0::DOUBLE END AS lat, 10.0::DOUBLE + (event_id * 104729 % 4000) / 1000.0::DOUBLE AS lon, year(ts)::INT AS year FROM events),
       kept AS (SELECT * FROM rows WHERE lat BETWEEN 45.2 AND 47.15 AND lon BETWEEN 10.35 AND 13.15 QUALIFY row_number() OVER (PARTITION BY species ORDER BY event_id) <= 1000)
       SELECT event_id AS gbif_key, '{{"type":"Feature","properties":{{"species":"' || species || '","year":' || year || '}},"geometry":{{"type":"Point","coordinates":[' || lon::VARCHAR || ',' || lat::VARCHAR || ']}}}}' AS geojson FROM kept""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import dynamic_score, grid, projection, static_score
 from ..operators import evaluate, layers, observations, publish, rasters, spots, vectors, weather
 from ..sources import adapters as a
-from ..sources import archive, feeds, folders, suitability
+from ..sources import archive, feeds, folders, layer_tables, suitability
 from ..sources import profiles as p
 from ..streaming import weather_stream
 
@@ -445,16 +445,121 @@ def polygon_ingest_counters(s, d):
     return counters
 
 
-def stream_daily(s, d):
-    """The archive that a stream of the hours keeps."""
+def _streamed(s, d, after=None) -> str:
+    """The folder of an archive that a stream of the hours keeps; ``after`` makes a step after each batch."""
     path = folders.fresh(s, "stream")
     a.hourly(s, d).select("event_id", "meteo_cell_id", "time", "precip", "soil_temp", "soil_moist").write.parquet(f"{path}/in")
     hours = s.readStream.schema(weather_stream.SCHEMA).parquet(f"{path}/in")
-    weather_stream.run_archive(hours, f"{path}/archive", f"{path}/checkpoint").awaitTermination()
-    made = archive.read(s, f"{path}/archive", weather_stream.ARCHIVE)
+    step = after(path) if after else None
+    weather_stream.run_archive(hours, f"{path}/archive", f"{path}/checkpoint", step, digits=6).awaitTermination()
+    return path
+
+
+def stream_daily(s, d):
+    """The archive that a stream of the hours keeps."""
+    return archive.read(s, f"{_streamed(s, d)}/archive", weather_stream.ARCHIVE).select("meteo_cell_id", "date", "precip_mm", "soil_temp_c", "soil_moist")
+
+
+def stream_phases(s, d):
+    """The phases that are refreshed after each batch of the stream."""
+    path = _streamed(s, d, lambda to: weather_stream.refresh_phases(p.profiles(s), f"{to}/phases"))
+    made = s.read.parquet(f"{path}/phases").where("state IS NOT NULL")
+    return made.select("species", "meteo_cell_id", "state", F.round("readiness", 3).alias("readiness"), F.round("charge", 3).alias("charge"), "dst", "eta", "days_past")
+
+
+def stream_gaps(s, d):
+    """The stale cells that are listed after each batch of the stream."""
+    cells = spots.candidate_cells(scored(s, d))
+    return s.read.parquet(_streamed(s, d, lambda to: weather_stream.report_gaps(cells, TODAY, f"{to}/gaps")) + "/gaps")
+
+
+def stream_observations(s, d):
+    """Field records captured by a stream: clean ones with their cells, the others from quarantine."""
+    path, raw = folders.fresh(s, "capture"), a.observations(s, d)
+    raw.write.parquet(f"{path}/in")
+    rows = s.readStream.schema(raw.schema).parquet(f"{path}/in")
+    weather_stream.capture_observations(rows, f"{path}/clean", f"{path}/quarantine", f"{path}/checkpoint").awaitTermination()
+    kept = "id LONG, species STRING, phase STRING, static_cell_id STRING, meteo_cell_id STRING, error STRING"
+    both = [s.read.schema(kept).parquet(f"{path}/{part}").withColumn("sink", F.lit(part)) for part in ("clean", "quarantine")]
+    return both[0].unionByName(both[1]).drop("batch")
+
+
+def _responses(s, d):
+    """(requests, documents) of an hourly feed, made of the events: ten stations a batch, in the order of the request.
+    Every seventh batch asked for one place more than came back."""
+    hours = a.hourly(s, d).withColumn("batch", F.expr("station DIV 10"))
+    row = F.struct("time", "event_id", "precip", "soil_temp", "soil_moist")
+    one = hours.groupBy("batch", "station", "meteo_cell_id").agg(F.array_sort(F.collect_list(row)).alias("h"))
+    of = lambda name, to, f=lambda v: v: F.transform("h", lambda r: f(r[name])).alias(to)
+    series = F.struct(of("time", "time", lambda v: F.date_format(v, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")), of("precip", "precipitation"), of("soil_temp", "soil_temperature_6cm"), of("soil_moist", "soil_moisture_3_to_9cm"))
+    asked = one.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("station", "meteo_cell_id"))).alias("c"))
+    more = F.when(F.col("batch") % 7 == 0, F.array(F.lit("unanswered"))).otherwise(F.array().cast("array<string>"))
+    requests = asked.select("batch", F.posexplode(F.concat(F.transform("c", lambda r: r["meteo_cell_id"]), more)).alias("location", "meteo_cell_id"))
+    docs = one.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("station", F.to_json(F.struct(series.alias("hourly"))).alias("j")))).alias("c"))
+    return requests, docs.select("batch", F.concat(F.lit("["), F.array_join(F.transform("c", lambda r: r["j"]), ","), F.lit("]")).alias("value"))
+
+
+def hourly_feed(s, d):
+    """Days from the landed responses of the hourly feed, whose series get their cells by position."""
+    requests, docs = _responses(s, d)
+    made = weather.daily(feeds.match_requests(requests, feeds.hourly(docs), ["batch"]))
     return made.select("meteo_cell_id", "date", *[F.round(c, 6).alias(c) for c in ("precip_mm", "soil_temp_c", "soil_moist")])
 
 
+def feed_mismatches(s, d):
+    requests, docs = _responses(s, d)
+    return feeds.mismatches(requests, feeds.hourly(docs), ["batch"])
+
+
+def ingest_windows(s, d):
+    """Id windows of the polygon pages that did not land (every fourth page), and how many rows they may hold."""
+    pages = _polygon_pages(s, d)
+    last = feeds.max_object_id(pages).first().max_id
+    landed = pages.where("page % 4 <> 3").select((F.col("page") * 25).alias("lo"))
+    return feeds.missing_windows(s, landed, last, 25).select("lo", "hi", (F.least("hi", F.lit(last)) - F.col("lo") + 1).alias("at_most"))
+
+
+def polygon_table(s, d):
+    """Two polygon layers in one table, the first written twice, read back."""
+    path = folders.fresh(s, "polygons")
+    made, _ = feeds.polygon_pages(_polygon_pages(s, d), "NAME")
+    for rows, layer in ((made.withColumn("attr", F.lit("old")), "geology"), (made.where("size(rings) > 1"), "forest"), (made, "geology")):
+        layer_tables.write(rows, path, layer)
+    both = [layer_tables.read(s, path, layer).withColumn("layer", F.lit(layer)) for layer in ("geology", "forest")]
+    return both[0].unionByName(both[1]).select("layer", "poly_id", "attr", F.size("rings").alias("n_rings"))
+
+
+def canopy_table(s, d):
+    """The canopy layer written in two runs, of which the second finds half of the tiles there."""
+    path, made = folders.fresh(s, "canopy"), _composite(s, d).select("tile", "row", "col", "canopy_alive")
+    layer_tables.append_tiles(made.where("tile % 2 = 0"), path, "canopy")
+    layer_tables.append_tiles(made, path, "canopy")
+    return layer_tables.read(s, path, "canopy").select("tile", "row", "col", "canopy_alive")
+
+
+def species_validation(s, d):
+    """The index of each species from the clean observations that have coordinates, against all cells."""
+    seen = observations.clean(a.observations(s, d)).where("error IS NULL AND x IS NOT NULL AND species IS NOT NULL").select("species", "x", "y")
+    made = evaluate.validate(seen, a.cells(s, d).select("x", "y"), _map(s, d), (EXTENT[0], EXTENT[3]), 2200.0)
+    return made.withColumn("boyce", F.round("boyce", 6))
+
+
+def profile_quality(s, d):
+    """Submitted profiles, made of the parts, with what is wrong with each document and each submission."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    pick = lambda names, at: F.get(F.array(*[F.lit(n) for n in names]), at.cast("int"))
+    host = pick(p.HOST_CLASSES, size % 20)
+    names = F.when(key % 5 == 0, F.array().cast("array<string>")).when(key % 7 == 0, F.array(host, F.lit("abetaia"), F.concat(F.lit("bosco_"), size.cast("string")))).otherwise(F.array(host))
+    rows = a.table(s, d, "part").select(
+        F.concat(F.lit("part_"), key.cast("string"), F.when(key % 17 == 0, ".yml").otherwise(".yaml")).alias("file"),
+        F.when(key % 19 == 0, F.lit("other")).otherwise(F.concat(F.lit("part_"), key.cast("string"))).alias("species"),
+        pick([*p.TROPHIC_MODES, "parasitic"], size % 4).alias("trophic_mode"), pick([*p.HABITATS, "sea"], key % 3).alias("habitat"),
+        F.map_from_arrays(names, F.transform(names, lambda n: F.lit(1.0))).alias("host_genera"), F.array((size % 14).cast("int"), F.lit(6)).alias("phenology_months"),
+        F.when(key % 23 == 0, "not a document").alias("parse_error"),
+    )
+    return rows.select("file", F.array_join(p.errors(), "; ").alias("errors"), F.array_join(p.submission_errors(), "; ").alias("refused"), p.scientific_name(F.col("species")).alias("name"))
+
+
 def _targets(s, d):
     tiles = F.broadcast(a.tiles(s, d).agg((F.max("tile") + 1).alias("n")))  # one row
     return a.cells(s, d).crossJoin(tiles).select((F.col("cell_key") % F.col("n")).alias("tile"), "cell_key", (F.col("cell_key") * 7919 % 800 / 100.0).alias("fy"), (F.col("cell_key") * 104729 % 800 / 100.0).alias("fx"))
@@ -526,5 +631,6 @@ QUERIES = {
         quantised_grid, colour_grid, point_lookup, regrid_nearest, regrid_bilinear, observations_clean, observation_cells, observation_pins,
         occurrence_summary, geojson_spots, geojson_phases, host_coverage, tile_lookup, terrain_at, landcover_at, forest_regions, served_rows, overlay_grid,
         suitability_table, species_list, tile_manifest, soil_extent, occurrence_ingest, geojson_occurrences, polygon_ingest, polygon_ingest_counters, stream_daily,
+        stream_phases, stream_gaps, stream_observations, hourly_feed, feed_mismatches, ingest_windows, polygon_table, canopy_table, species_validation, profile_quality,
     )
 } | {f"top_spots_{mode}": _top(mode) for mode in ("static", "dynamic", "both")}

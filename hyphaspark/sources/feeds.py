@@ -10,13 +10,15 @@ _HOURLY = "hourly struct<time: array<string>, precipitation: array<double>, soil
 
 def hourly(documents: DataFrame, json_col: str = "value") -> DataFrame:
     """One row per location and hour: the document's other columns, location (position in the
-    response), time, precip, soil_temp, soil_moist, temp. A response is an object or an array."""
+    response), time, precip, soil_temp, soil_moist, temp. A response is an object or an array; a series that it
+    lacks is null."""
     text = F.trim(json_col)
     many = F.when(text.startswith("["), F.from_json(text, f"array<struct<{_HOURLY.replace(' struct', ': struct', 1)}>>")).otherwise(F.array(F.from_json(text, f"struct<{_HOURLY.replace(' struct', ': struct', 1)}>")))
     rest = [c for c in documents.columns if c != json_col]
     places = documents.select(*rest, F.posexplode(many).alias("location", "r"))
     h = F.col("r.hourly")
-    zipped = F.arrays_zip(h["time"].alias("time"), h["precipitation"].alias("precip"), h["soil_temperature_6cm"].alias("soil_temp"), h["soil_moisture_3_to_9cm"].alias("soil_moist"), h["temperature_2m"].alias("temp"))
+    values = lambda name, to: F.coalesce(h[name], F.array().cast("array<double>")).alias(to)
+    zipped = F.arrays_zip(h["time"].alias("time"), values("precipitation", "precip"), values("soil_temperature_6cm", "soil_temp"), values("soil_moisture_3_to_9cm", "soil_moist"), values("temperature_2m", "temp"))
     return places.select(*rest, "location", F.explode(zipped).alias("z")).select(*rest, "location", F.to_timestamp_ntz("z.time").alias("time"), "z.precip", "z.soil_temp", "z.soil_moist", "z.temp")
 
 

@@ -17,16 +17,17 @@ SCHEMA = "event_id long, meteo_cell_id string, time timestamp_ntz, precip double
 ARCHIVE = "meteo_cell_id string, date date, precip_mm double, soil_temp_c double, soil_moist double"
 
 
-def daily_stream(hours: DataFrame, lateness: str = "3 days", ids: list[str] | None = None) -> DataFrame:
+def daily_stream(hours: DataFrame, lateness: str = "3 days", ids: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """Tumbling days per cell. Repeats of an hour (same ids) within the watermark count once; hours later
-    than ``lateness`` are for a batch upsert. Event times must be instants for a watermark: run with the
+    than ``lateness`` are for a batch upsert. With ``digits`` values are rounded, so that sums made in another order agree. Event times must be instants for a watermark: run with the
     session time zone UTC, in which local hours map to them one to one."""
     once = hours.withColumn("time", F.col("time").cast("timestamp")).withWatermark("time", lateness).dropDuplicatesWithinWatermark(ids or ["event_id"])
     days = once.groupBy("meteo_cell_id", F.window("time", "1 day").alias("w")).agg(F.sum("precip").alias("precip_mm"), F.avg("soil_temp").alias("soil_temp_c"), F.avg("soil_moist").alias("soil_moist"), F.count("precip").alias("n"))
-    return days.where("n > 0").select("meteo_cell_id", F.to_date("w.start").alias("date"), "precip_mm", "soil_temp_c", "soil_moist")
+    value = lambda c: F.col(c) if digits is None else F.round(c, digits).alias(c)
+    return days.where("n > 0").select("meteo_cell_id", F.to_date("w.start").alias("date"), *[value(c) for c in ("precip_mm", "soil_temp_c", "soil_moist")])
 
 
-def run_archive(hours: DataFrame, path: str, checkpoint: str, after: Callable[[DataFrame, DataFrame], None] | None = None, available_now: bool = True) -> StreamingQuery:
+def run_archive(hours: DataFrame, path: str, checkpoint: str, after: Callable[[DataFrame, DataFrame], None] | None = None, available_now: bool = True, digits: int | None = None) -> StreamingQuery:
     """Keeps the archive at ``path`` up to date; ``after(changed_days, archive)`` runs after each batch, for
     instance to refresh the phases of the changed cells. A batch that is run again changes nothing."""
 
@@ -36,7 +37,7 @@ def run_archive(hours: DataFrame, path: str, checkpoint: str, after: Callable[[D
         if after:
             after(batch, archive.read(spark, path, ARCHIVE))
 
-    writer = daily_stream(hours).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put)
+    writer = daily_stream(hours, digits=digits).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

@@ -1,11 +1,12 @@
 import json
+import math
 
 from pyspark.sql import functions as F
 
 from hyphaspark.functions.grid import AREA
-from hyphaspark.operators import weather
+from hyphaspark.operators import evaluate, weather
 from hyphaspark.plans import queries
-from hyphaspark.sources import adapters, archive, feeds, profiles
+from hyphaspark.sources import adapters, archive, feeds, layer_tables, profiles
 from hyphaspark.streaming import weather_stream
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +100,31 @@ def test_observation_stream(spark, tmp_path):
     clean = queries.observations_clean(spark, SF)
     assert spark.read.parquet(str(tmp_path / "ok")).count() == clean.where("error IS NULL").count()
     assert spark.read.parquet(str(tmp_path / "bad")).count() == clean.where("error IS NOT NULL").count()
+
+
+def test_series_that_a_response_lacks(spark):
+    docs = text(spark, [("a", json.dumps({"hourly": {"time": ["2024-08-01T00:00"], "precipitation": [1.0]}}))])
+    row = feeds.hourly(docs).first()
+    assert (row.precip, row.soil_temp, row.temp) == (1.0, None, None)
+
+
+def test_layers_of_one_table(spark, tmp_path):
+    path = str(tmp_path / "pixels")
+    tiles = lambda *numbers, v: spark.createDataFrame([(t, 0, c, v) for t in numbers for c in range(2)], "tile int, row int, col int, value double")
+    layer_tables.append_tiles(tiles(1, 2, v=1.0), path, "canopy")
+    layer_tables.append_tiles(tiles(2, 3, v=5.0), path, "canopy")
+    layer_tables.append_tiles(tiles(2, v=7.0), path, "dem")
+    got = {(r.tile, r.value) for r in layer_tables.read(spark, path, "canopy").collect()}
+    assert got == {(1, 1.0), (2, 1.0), (3, 5.0)} and layer_tables.read(spark, path, "canopy").count() == 6
+    layer_tables.write(tiles(9, v=0.0), path, "canopy")
+    assert {r.tile for r in layer_tables.read(spark, path, "canopy").collect()} == {9}
+    assert {r.tile for r in layer_tables.read(spark, path, "dem").collect()} == {2}
+
+
+def test_validation_of_a_species_without_presences(spark):
+    maps = spark.createDataFrame([(s, 0, j, j / 10.0) for s in ("a", "b") for j in range(10)], "species string, i int, j int, score double")
+    ground = spark.createDataFrame([(float(j), -0.5) for j in range(10)] + [(-5.0, -0.5)], "x double, y double")
+    seen = spark.createDataFrame([("a", float(j), -0.5) for j in (6, 7, 8, 8, 9, 9, 9)] + [("a", 50.0, -0.5)], "species string, x double, y double")
+    made = {r.species: r for r in evaluate.validate(seen, ground, maps, (0.0, 0.0), 1.0).collect()}
+    assert made["a"].boyce > 0.5 and (made["a"].n_presence, made["a"].n_background) == (7, 10)
+    assert math.isnan(made["b"].boyce) and (made["b"].n_presence, made["b"].n_background) == (0, 10)
