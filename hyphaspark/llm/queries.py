@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, language_id, license_scan, lm_score, mixing, ngram_join, quality_rules, token_counts
+from . import ann, bpe, chat_format, fill_middle, language_id, license_scan, lm_score, mixing, ngram_join, quality_rules, shared, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs, license_scan.train(docs))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = shared.stage(fill_middle.store(_table(spark, sf_dir, "documents")), "frames")
+    return fill_middle.digests(fill_middle.transform(fill_middle.plan(stored)))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -76,6 +81,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
+    "op11_fill_middle": op11_fill_middle,
 }
 
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
@@ -113,6 +119,15 @@ ORACLE_SQL: dict[str, str] = {
           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
           sum(12 + length(replace({_ESCAPED.format('role')}, chr(10), '<|n|>')) + 1 + length({_ESCAPED.format('text')}) + 11)::BIGINT AS formatted_chars
         FROM turns GROUP BY conv_id""",
+    "op11_fill_middle": """
+        WITH keyed AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+        drawn AS (
+          SELECT doc_id, text, u, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b,
+            CASE WHEN len(u) = 0 OR regexp_matches(text, '<[PSM]>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain' WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM keyed),
+        cut AS (SELECT doc_id, text, n, form, array_to_string(u[1 : least(a, b)], '') AS prefix, array_to_string(u[least(a, b) + 1 : greatest(a, b)], '') AS middle, array_to_string(u[greatest(a, b) + 1 : n], '') AS suffix FROM drawn)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+          sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+          sha256(text) AS restored_sha256 FROM cut""",
     "op6_mixing": r"""
         WITH sized AS (
           SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
