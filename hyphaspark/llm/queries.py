@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, fill_middle, language_id, license_scan, lm_score, mixing, ngram_join, quality_rules, shared, token_counts
+from . import ann, bpe, chat_format, fill_middle, language_id, license_scan, lm_score, mixing, ngram_join, quality_rules, resampling, shared, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.transform(fill_middle.plan(stored)))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -82,6 +86,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
     "op11_fill_middle": op11_fill_middle,
+    "op12_resampling": op12_resampling,
 }
 
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
@@ -128,6 +133,25 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
           sha256(text) AS restored_sha256 FROM cut""",
+    "op12_resampling": r"""
+        WITH bytes AS (SELECT list(crc ORDER BY i) AS steps FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) AS crc FROM range(256) t(i))),
+        texts AS (
+          SELECT 0 AS goal, row_number() OVER () AS row, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+        words AS (SELECT goal, row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+        runs AS (SELECT goal, row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM words),
+        summed AS (SELECT goal, row, f, count(*) AS n FROM runs GROUP BY goal, row, f),
+        hashed AS (
+          SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(regexp_replace(hex(f::BLOB), '(..)', '\1 ', 'g'), ' ')[:-2], lambda b: ('0x' || b)::BIGINT)), lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+          FROM (SELECT DISTINCT f FROM summed), bytes),
+        counted AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE goal = 0), 0) AS s, coalesce(sum(n) FILTER (WHERE goal = 1), 0) AS t FROM summed JOIN hashed USING (f) GROUP BY bucket),
+        gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM counted) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counted) + 10000)::DOUBLE)))::BIGINT AS gain FROM counted),
+        weights AS (SELECT row, sum(n * gain)::BIGINT AS weight, sum(n)::BIGINT AS n_features FROM summed JOIN hashed USING (f) JOIN gains USING (bucket) WHERE goal = 0 GROUP BY row),
+        scored AS (
+          SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+          FROM words LEFT JOIN weights USING (row) WHERE goal = 0),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (WHERE n_words >= 20) OVER () AS n FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END::BIGINT AS rank FROM placed""",
     "op6_mixing": r"""
         WITH sized AS (
           SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
