@@ -141,7 +141,7 @@ ORACLE_SQL: dict[str, str] = {
         runs AS (SELECT goal, row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM words),
         summed AS (SELECT goal, row, f, count(*) AS n FROM runs GROUP BY goal, row, f),
         hashed AS (
-          SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(regexp_replace(hex(f::BLOB), '(..)', '\1 ', 'g'), ' ')[:-2], lambda b: ('0x' || b)::BIGINT)), lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+          SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(regexp_replace(hex(f), '(..)', '\1 ', 'g'), ' ')[:-2], lambda b: ('0x' || b)::BIGINT)), lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
           FROM (SELECT DISTINCT f FROM summed), bytes),
         counted AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE goal = 0), 0) AS s, coalesce(sum(n) FILTER (WHERE goal = 1), 0) AS t FROM summed JOIN hashed USING (f) GROUP BY bucket),
         gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM counted) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counted) + 10000)::DOUBLE)))::BIGINT AS gain FROM counted),
