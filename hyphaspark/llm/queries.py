@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, fill_middle, language_id, license_scan, lm_score, mixing, ngram_join, quality_rules, resampling, shared, token_counts
+from . import ann, bpe, chat_format, fill_middle, language_id, license_scan, lm_score, mixing, ngram_join, pii, quality_rules, resampling, shared, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(pii.find(docs, pii.train(docs)))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -87,6 +92,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_fill_middle": op11_fill_middle,
     "op12_resampling": op12_resampling,
+    "op13_pii": op13_pii,
 }
 
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
