@@ -114,18 +114,36 @@ def cover_fractions(pixels: DataFrame, radius: int) -> DataFrame:
     return counts.select("tile", "row", "col", F.try_divide("t", "k").alias("forest_fraction"), F.try_divide("g", "k").alias("grassland_fraction"))
 
 
-def cover_at(placed: DataFrame, pixels: DataFrame, key: str, half: float = 0.0025) -> DataFrame:
+def summed_area(pixels: DataFrame) -> DataFrame:
+    """Summed-area table of land cover: tile, row, col and the numbers t, g, k of tree, grass and known pixels of the
+    tile down to the row and up to the column. Any window then takes four lookups, however many pixels it has.
+    Tiles are whole grids (unknown pixels are there as nodata). A running sum along the rows and one along the columns make
+    it; a window holds one row or column of a tile. Written once as a layer, it serves any number of points."""
+    counts = pixels.select("tile", "row", "col", *[cond.cast("long").alias(c) for c, cond in zip("tgk", (F.col("landcover") == TREE, F.col("landcover") == GRASS, F.col("landcover") != NODATA), strict=True)])
+    for keys, order in ((("tile", "row"), "col"), (("tile", "col"), "row")):
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.select("tile", "row", "col", *[F.sum(c).over(w).alias(c) for c in "tgk"])
+    return counts
+
+
+def cover_at(placed: DataFrame, summed: DataFrame, key: str, half: float = 0.0025) -> DataFrame:
     """Shares of trees and grass among the known pixels of the point's tile whose centre lies within ``half`` degrees
-    of the point both ways: key, forest_fraction, grassland_fraction (null where nothing is known)."""
-    rows = lambda s: (F.col("y0") - F.col("lat") + s * half) / F.col("dy") - 0.5
-    cols = lambda s: (F.col("lon") - F.col("x0") + s * half) / F.col("dx") - 0.5
-    span = lambda f, n: F.sequence(F.greatest(F.lit(0), F.ceil(f(-1)).cast("int")), F.least(F.col(n).cast("int") - 1, F.floor(f(1)).cast("int")))
-    some = lambda f, n: F.when(F.greatest(F.lit(0), F.ceil(f(-1)).cast("int")) <= F.least(F.col(n).cast("int") - 1, F.floor(f(1)).cast("int")), span(f, n))
-    sent = placed.select(key, "tile", some(rows, "ny").alias("rows"), some(cols, "nx").alias("cols")).select(key, "tile", "cols", F.explode("rows").alias("row")).select(key, "tile", "row", F.explode("cols").alias("col"))
-    met = sent.join(pixels.select("tile", "row", "col", "landcover").where(F.col("landcover") != NODATA), ["tile", "row", "col"])
-    share = lambda k: F.count_if(F.col("landcover") == k) / F.count("*")
-    found = met.groupBy(key).agg(share(TREE).alias("forest_fraction"), share(GRASS).alias("grassland_fraction"))
-    return placed.select(key).join(found, key, "left")
+    of the point both ways: key, forest_fraction, grassland_fraction (null where nothing is known). ``summed`` is the tiles'
+    summed-area table. The window ends at the tile's rim: what a neighbouring tile holds counts as unknown. To see across
+    seams, give ``summed_area`` one tile made of several."""
+    first = lambda v: F.greatest(F.lit(0), F.ceil(v).cast("int"))
+    last = lambda v, n: F.least(F.col(n).cast("int") - 1, F.floor(v).cast("int"))
+    rows, cols = (F.col("y0") - F.col("lat")), (F.col("lon") - F.col("x0"))
+    at = placed.select(
+        key, "tile", (first((rows - half) / F.col("dy") - 0.5) - 1).alias("above"), last((rows + half) / F.col("dy") - 0.5, "ny").alias("bottom"),
+        (first((cols - half) / F.col("dx") - 0.5) - 1).alias("before"), last((cols + half) / F.col("dx") - 0.5, "nx").alias("right"),
+    )
+    corner = lambda r, c, sign: F.when((F.col(r) >= 0) & (F.col(c) >= 0), F.struct(F.col(r).alias("row"), F.col(c).alias("col"), F.lit(sign).alias("sign")))
+    corners = F.array_compact(F.array(corner("bottom", "right", 1), corner("above", "right", -1), corner("bottom", "before", -1), corner("above", "before", 1)))
+    some = (F.col("above") < F.col("bottom")) & (F.col("before") < F.col("right"))
+    sent = at.select(key, "tile", F.explode_outer(F.when(some, corners)).alias("c")).select(key, "tile", "c.*")
+    met = sent.join(summed, ["tile", "row", "col"], "left").groupBy(key).agg(*[F.sum(F.col("sign") * F.col(c)).alias(c) for c in "tgk"])
+    return met.select(key, F.try_divide("t", "k").alias("forest_fraction"), F.try_divide("g", "k").alias("grassland_fraction"))
 
 
 def sample_points(boxes: DataFrame, key: str, n: int = 5) -> DataFrame:

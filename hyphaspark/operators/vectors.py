@@ -1,15 +1,16 @@
 """Polygons as ring tables: point in polygon, nearest polygon, lithology classes.
 
 A polygon has ``rings``: the outer and inner rings of all its parts, closed, in any order; what an even number
-of them holds is outside, so holes and several parts need nothing special. Polygons are cut into the square bins that
-their bounding boxes touch, and each bin only gets the edges that can decide about points in it. Points fall into one
-bin, an equi-join on the bin finds the candidates, and the bounding box is tried before the exact test. A polygon of
-any size is thus spread over its bins, edges and all.
+of them holds is outside, so holes and several parts need nothing special (``repair`` makes rings of shapes that cross or
+overlap themselves). Space is cut into square bins. A bin of a polygon holds the edges that pass through it and the parity of one
+reference point, that is whether the polygon holds that point; bins that lie inside without an edge have the parity alone. So
+edge rows are linear in the edges, however many bins a polygon spans. A point falls into one bin, an equi-join
+finds the polygons there, and the local edges between the point and the reference point turn its parity into the point's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Keywords of lithologies by region.
@@ -25,6 +26,8 @@ KEYWORDS = {
 }
 KEYWORDS["bz"] = KEYWORDS["tn"]
 BIN, RADIUS = 2200.0, 2000.0
+SPOT = 0.381966011250105  # where the reference point lies in a bin, so that edges on round coordinates miss it
+EDGES = "array<struct<ax: double, ay: double, bx: double, by: double>>"
 
 
 def lithology_class(descr: Column, region: Column) -> Column:
@@ -37,36 +40,65 @@ def lithology_class(descr: Column, region: Column) -> Column:
     return F.when(descr.isNotNull(), out)
 
 
-def with_edges(polygons: DataFrame) -> DataFrame:
-    """poly_id, attr, region, edges (ax, ay, bx, by of every ring) and the bounding box x0, y0, x1, y1."""
-    of_ring = lambda r: F.zip_with(F.slice(r, F.lit(1), F.size(r) - 1), F.slice(r, F.lit(2), F.size(r) - 1), lambda p, q: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))
-    made = polygons.select("poly_id", "attr", "region", F.flatten(F.transform("rings", of_ring)).alias("edges"))
-    ends = lambda f, c: f(F.transform("edges", lambda e: e[c]))
-    return made.withColumns({"x0": ends(F.array_min, "ax"), "x1": ends(F.array_max, "ax"), "y0": ends(F.array_min, "ay"), "y1": ends(F.array_max, "ay")})
+def edges_of(polygons: DataFrame) -> DataFrame:
+    """poly_id, attr, region and ax, ay, bx, by of every edge of every ring."""
+    rows = polygons.select("poly_id", "attr", "region", F.explode("rings").alias("r"))
+    pairs = F.zip_with(F.slice("r", F.lit(1), F.size("r") - 1), F.slice("r", F.lit(2), F.size("r") - 1), lambda p, q: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))
+    return rows.select("poly_id", "attr", "region", F.explode(pairs).alias("e")).select("poly_id", "attr", "region", "e.*")
+
+
+def crossing_x(y: Column, e=F.col) -> Column:
+    """Where the edge, or its line, has this y."""
+    ax, ay, bx, by = (e(c) for c in ("ax", "ay", "bx", "by"))
+    return (bx - ax) * F.try_divide(y - ay, by - ay) + ax
+
+
+def by_bins(edges: DataFrame, size: Column | float, margin: float = 0.0) -> DataFrame:
+    """A row of ``edges`` for each bin that the edge comes within ``margin`` of: bin_x, bin_y. In each row of bins
+    only the part of the edge there counts, so a long slanting edge takes bins along its way, not those of its box."""
+    size = F.lit(size) if isinstance(size, float) else size
+    lo, hi = F.least("ay", "by"), F.greatest("ay", "by")
+    slack = size * 1e-9 + margin
+    rows = edges.withColumn("bin_y", F.explode(F.sequence(F.floor((lo - slack) / size).cast("long"), F.floor((hi + slack) / size).cast("long"))))
+    bottom, top = F.greatest(lo, F.col("bin_y") * size - slack), F.least(hi, (F.col("bin_y") + 1) * size + slack)
+    flat = F.col("ay") == F.col("by")
+    x = lambda y, c: F.when(flat, F.col(c)).otherwise(F.greatest(F.least("ax", "bx"), F.least(F.greatest("ax", "bx"), crossing_x(y))))
+    ends = [x(bottom, "ax"), x(top, "bx")]
+    return rows.withColumn("bin_x", F.explode(F.sequence(F.floor((F.least(*ends) - slack) / size).cast("long"), F.floor((F.greatest(*ends) + slack) / size).cast("long"))))
+
+
+def parity_bins(polygons: DataFrame, size: float = BIN) -> DataFrame:
+    """bin_x, bin_y, poly_id, attr, region, edges (those that pass through the bin), odd (whether the polygon holds
+    the bin's reference point): a row for each bin that the polygon's area or border touches."""
+    cx, cy = (F.col("bin_x") + SPOT) * size, (F.col("bin_y") + SPOT) * size
+    rows = by_bins(edges_of(polygons), size)
+    at = F.when((F.col("ay") > cy) != (F.col("by") > cy), crossing_x(cy))  # on the line through the reference points
+    here = F.floor(at / size) == F.col("bin_x")
+    bins = rows.groupBy("poly_id", "bin_y", "bin_x").agg(
+        F.first("attr").alias("attr"), F.first("region").alias("region"), F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("edges"),
+        F.count_if(here).alias("n"), F.count_if(here & (cx < at)).alias("n_right"),
+    )
+    w = Window.partitionBy("poly_id", "bin_y").orderBy(F.desc("bin_x"))
+    bins = bins.withColumns({"beyond": F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "next": F.lag("bin_x").over(w)})
+    odd = (F.col("beyond") + F.col("n_right")) % 2 == 1
+    inner = F.when((F.col("beyond") % 2 == 1) & (F.col("next") > F.col("bin_x") + 1), F.sequence(F.col("bin_x") + 1, F.col("next") - 1))
+    whole = bins.select(F.explode(inner).alias("bin_x"), "bin_y", "poly_id", "attr", "region", F.array().cast(EDGES).alias("edges"), F.lit(True).alias("odd"))
+    return bins.select("bin_x", "bin_y", "poly_id", "attr", "region", "edges", odd.alias("odd")).unionByName(whole)
+
+
+def inside(x: Column, y: Column, size: float, edges: str = "edges") -> Column:
+    """Whether the polygon of a bin holds a point of it: the parity of the reference point, turned by each edge on the way
+    from there, up or down to the point's height and along to the point. Points on an edge are outside."""
+    cx, cy = (F.col("bin_x") + SPOT) * size, (F.col("bin_y") + SPOT) * size
+
+    def turns(e: Column) -> Column:
+        along = ((e["ay"] > y) != (e["by"] > y)) & ((x < (xc := crossing_x(y, lambda c: e[c]))) != (cx < xc))
+        yc = (e["by"] - e["ay"]) * F.try_divide(cx - e["ax"], e["bx"] - e["ax"]) + e["ay"]
+        up = ((e["ax"] > cx) != (e["bx"] > cx)) & ((y < yc) != (cy < yc))
+        return along.cast("int") + up.cast("int")
 
-
-def _binned(polygons: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
-    """A row for each bin within ``margin`` of the box, with the edges that can count there: those in the bin's
-    row that do not lie left of it (a ray to the right meets them), and those within the margin."""
-    bins = lambda lo, hi: F.sequence(F.floor((F.col(lo) - margin) / size).cast("long"), F.floor((F.col(hi) + margin) / size).cast("long"))
-    lo, hi = F.col("bin_y") * size - margin, (F.col("bin_y") + 1) * size + margin
-    rows = with_edges(polygons).withColumn("bin_y", F.explode(bins("y0", "y1")))
-    rows = rows.withColumn("edges", F.filter("edges", lambda e: (F.greatest(e["ay"], e["by"]) >= lo) & (F.least(e["ay"], e["by"]) <= hi)))
-    rows = rows.withColumn("bin_x", F.explode(bins("x0", "x1")))
-    return rows.withColumn("edges", F.filter("edges", lambda e: F.greatest(e["ax"], e["bx"]) >= F.col("bin_x") * size - margin))
-
-
-def _candidates(points: DataFrame, polygons: DataFrame, key: str, size: float, margin: float) -> DataFrame:
-    at = points.select(key, "x", "y").withColumns({"bin_x": F.floor(F.col("x") / size).cast("long"), "bin_y": F.floor(F.col("y") / size).cast("long")})
-    near = F.col("x").between(F.col("x0") - margin, F.col("x1") + margin) & F.col("y").between(F.col("y0") - margin, F.col("y1") + margin)
-    return at.join(_binned(polygons, size, margin), ["bin_x", "bin_y"]).where(near)
-
-
-def inside(x: Column, y: Column, edges: str = "edges") -> Column:
-    """Even-odd rule over all edges; points on an edge count as outside."""
-    crosses = lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < (e["bx"] - e["ax"]) * F.try_divide(y - e["ay"], e["by"] - e["ay"]) + e["ax"])
     on = lambda e: ((e["bx"] - e["ax"]) * (y - e["ay"]) == (e["by"] - e["ay"]) * (x - e["ax"])) & x.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
-    met = F.aggregate(edges, F.lit(0), lambda n, e: F.when((n < 0) | on(e), -1).when(crosses(e), n + 1).otherwise(n))
+    met = F.aggregate(edges, F.col("odd").cast("int"), lambda n, e: F.when((n < 0) | on(e), -1).otherwise(n + turns(e)))
     return (met > 0) & (met % 2 == 1)
 
 
@@ -82,27 +114,37 @@ def distance(x: Column, y: Column, edges: str = "edges") -> Column:
     return F.array_min(F.transform(edges, of))
 
 
+def _in_bins(points: DataFrame, key: str, size: float) -> DataFrame:
+    return points.select(key, "x", "y").withColumns({"bin_x": F.floor(F.col("x") / size).cast("long"), "bin_y": F.floor(F.col("y") / size).cast("long")})
+
+
+def held(points: DataFrame, polygons: DataFrame, key: str, size: float = BIN) -> DataFrame:
+    """key, x, y, and p: poly_id, attr, region of the polygon that contains the point (the smallest id, if several), or null."""
+    met = _in_bins(points, key, size).join(parity_bins(polygons, size), ["bin_x", "bin_y"], "left")
+    here = F.when(F.col("poly_id").isNotNull() & inside(F.col("x"), F.col("y"), size), F.struct("poly_id", "attr", "region"))
+    return met.select(key, F.struct("x", "y").alias("at"), here.alias("p")).groupBy(key).agg(F.first("at").alias("at"), F.min("p").alias("p")).select(key, "at.*", "p")
+
+
 def containing(points: DataFrame, polygons: DataFrame, key: str, size: float = BIN) -> DataFrame:
     """key, poly_id, attr, region of the polygon that contains each point (the smallest id, if several);
     points outside all polygons drop out."""
-    met = _candidates(points, polygons, key, size, 0.0).where(inside(F.col("x"), F.col("y")))
-    return met.groupBy(key).agg(F.min(F.struct("poly_id", "attr", "region")).alias("p")).select(key, "p.*")
+    return held(points, polygons, key, size).where("p IS NOT NULL").select(key, "p.*")
 
 
 def nearest(points: DataFrame, polygons: DataFrame, key: str, radius: float = RADIUS, size: float = BIN) -> DataFrame:
     """key, poly_id, attr, region, dist of the polygon with the nearest edge within ``radius`` (ties: the
-    smallest id)."""
-    met = _candidates(points, polygons, key, size, radius).withColumn("dist", distance(F.col("x"), F.col("y"))).where(F.col("dist") <= radius)
+    smallest id). A bin holds the edges that come within the radius of it."""
+    near = by_bins(edges_of(polygons), size, radius).groupBy("bin_x", "bin_y", "poly_id").agg(F.first("attr").alias("attr"), F.first("region").alias("region"), F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("edges"))
+    met = _in_bins(points, key, size).join(near, ["bin_x", "bin_y"]).withColumn("dist", distance(F.col("x"), F.col("y"))).where(F.col("dist") <= radius)
     return met.groupBy(key).agg(F.min(F.struct("dist", "poly_id", "attr", "region")).alias("p")).select(key, "p.*")
 
 
 def located(points: DataFrame, polygons: DataFrame, key: str, radius: float = RADIUS, size: float = BIN) -> DataFrame:
     """key, poly_id, attr, region, fallback: the containing polygon (fallback false), else the nearest one. Only
     points outside all polygons are measured, as distances cost most."""
-    direct = containing(points, polygons, key, size).withColumn("fallback", F.lit(False))
-    rest = points.join(direct.select(key), key, "left_anti")
-    near = nearest(rest, polygons, key, radius, size).drop("dist").withColumn("fallback", F.lit(True))
-    return direct.unionByName(near)
+    found = held(points, polygons, key, size)
+    near = nearest(found.where("p IS NULL"), polygons, key, radius, size).drop("dist").withColumn("fallback", F.lit(True))
+    return found.where("p IS NOT NULL").select(key, "p.*", F.lit(False).alias("fallback")).unionByName(near)
 
 
 def geology(points: DataFrame, polygons: DataFrame, key: str, radius: float = RADIUS) -> DataFrame:

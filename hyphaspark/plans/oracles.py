@@ -341,7 +341,12 @@ ORACLE_SQL: dict[str, str] = {
     "landcover_at": f"""WITH {POINTS}, {PIXELS}, seen AS (SELECT cell_key, landcover FROM points p JOIN pixels q ON q.tile = p.tile AND q.landcover <> 0 AND q.row BETWEEN ceil((y0 - lat - 0.004) / 0.0025 - 0.5) AND floor((y0 - lat + 0.004) / 0.0025 - 0.5)
         AND q.col BETWEEN ceil((lon - x0 - 0.004) / 0.0025 - 0.5) AND floor((lon - x0 + 0.004) / 0.0025 - 0.5))
       SELECT p.cell_key, round(count(*) FILTER (WHERE landcover = 10) / nullif(count(landcover), 0)::DOUBLE, 6) AS forest_fraction, round(count(*) FILTER (WHERE landcover = 30) / nullif(count(landcover), 0)::DOUBLE, 6) AS grassland_fraction FROM points p LEFT JOIN seen USING (cell_key) GROUP BY 1""",
-    "forest_regions": f"""WITH {TILES}, {PIXELS}, pts AS (SELECT tile AS region, a * 5 + b AS sample, x0 + (x0 + 0.02::DOUBLE - x0) * b / 4 AS lon, y0 - 0.02::DOUBLE + (y0 + 0.02::DOUBLE - (y0 - 0.02::DOUBLE)) * a / 4 AS lat FROM tiles, range(5) r(a), range(5) q(b) WHERE tile % 2 = 0),
+    "landcover_window": f"""WITH {TILES.replace('tiles AS', 'corners AS')}, geo AS (SELECT o_orderkey AS cell_key, 10.0::DOUBLE + (o_orderkey * 7919 % 100003) / 100003.0::DOUBLE AS lon, 46.0::DOUBLE + (o_orderkey * 104729 % 100003) / 100003.0::DOUBLE * 0.02::DOUBLE * (n // 50 + 2) AS lat FROM orders, (SELECT max(vec_id) AS n FROM embeddings)),
+      points AS (SELECT * FROM geo JOIN corners ON lon >= x0 AND lon < x0 + 64 * 0.0003125::DOUBLE AND lat >= y0 - 64 * 0.0003125::DOUBLE AND lat < y0),
+      win AS (SELECT cell_key, tile, ceil((y0 - lat - 0.0025) / 0.0003125 - 0.5)::INT AS r0, floor((y0 - lat + 0.0025) / 0.0003125 - 0.5)::INT AS r1, ceil((lon - x0 - 0.0025) / 0.0003125 - 0.5)::INT AS c0, floor((lon - x0 + 0.0025) / 0.0003125 - 0.5)::INT AS c1 FROM points),
+      seen AS (SELECT cell_key, (tile * 7 + r * 13 + c * 29 + (r // 5) * (c // 3)) % 9 AS k FROM win, range(64) a(r), range(64) b(c) WHERE r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1)
+      SELECT cell_key, round(count(*) FILTER (WHERE k > 3) / nullif(count(*) FILTER (WHERE k > 0), 0)::DOUBLE, 6) AS forest_fraction, round(count(*) FILTER (WHERE k IN (1, 2)) / nullif(count(*) FILTER (WHERE k > 0), 0)::DOUBLE, 6) AS grassland_fraction FROM points LEFT JOIN seen USING (cell_key) GROUP BY 1""",
+    "forest_regions": f"""WITH {TILES}, {PIXELS}, pts AS (SELECT tile AS region, a * 5 + b AS sample, x0 + (x0 + 0.02::DOUBLE - x0) * b / 4 AS lon, y0 - 0.02::DOUBLE + (y0 + 0.02::DOUBLE - (y0 - 0.02::DOUBLE)) * a / 4 AS lat FROM tiles, range(5) r(a), range(5) q(b)),
       on_t AS (SELECT * FROM pts JOIN tiles ON {_ON_TILE}),
       frac AS (SELECT region, sample, count(*) FILTER (WHERE landcover = 10) / count(*)::DOUBLE AS f FROM on_t p JOIN pixels q ON q.tile = p.tile AND q.landcover <> 0 AND q.row BETWEEN ceil((y0 - lat - 0.0025) / 0.0025 - 0.5) AND floor((y0 - lat + 0.0025) / 0.0025 - 0.5)
         AND q.col BETWEEN ceil((lon - x0 - 0.0025) / 0.0025 - 0.5) AND floor((lon - x0 + 0.0025) / 0.0025 - 0.5) GROUP BY 1, 2)
@@ -350,8 +355,11 @@ ORACLE_SQL: dict[str, str] = {
       SELECT printf('N%02d_E%03d', a, o) AS tile, a::INT AS lat, o::INT AS lon FROM b, range(90) r(a), range(180) q(o) WHERE a BETWEEN a0 AND a1 AND o BETWEEN o0 AND o1 AND (a + o) % 2 <> 0""",
     "occurrence_ingest": f"""WITH rows AS (SELECT event_id, {_strings(sorted(p['id'] for p in PROFILES))}[event_id % 6 + 1] AS species, CASE WHEN event_id % 13 <> 0 THEN 44.5::DOUBLE + (event_id * 7919 % 3000) / 1000.0::DOUBLE END AS lat, 10.0::DOUBLE + (event_id * 104729 % 4000) / 1000.0::DOUBLE AS lon, year(ts)::INT AS year FROM events)
       SELECT species, lat, lon, year, event_id AS gbif_key FROM rows WHERE lat BETWEEN 45.2 AND 47.15 AND lon BETWEEN 10.35 AND 13.15 QUALIFY row_number() OVER (PARTITION BY species ORDER BY event_id) <= 1000""",
-    "polygon_ingest": f"WITH {CELLS}, {POLYGONS} SELECT poly_id, attr, (1 + (poly_id % 3 = 0)::INT + (poly_id % 5 = 0)::INT)::INT AS n_rings, (5 * (1 + (poly_id % 3 = 0)::INT + (poly_id % 5 = 0)::INT))::INT AS n_points FROM polys WHERE poly_id % 11 <> 0 AND poly_id % 13 <> 0",
-    "polygon_ingest_counters": "SELECT count(*) AS n_features, count(*) FILTER (WHERE s_suppkey % 11 = 0) AS n_no_geometry, 0::BIGINT AS n_invalid, count(*) FILTER (WHERE s_suppkey % 13 = 0) AS n_unnamed, 0::BIGINT AS n_repaired FROM supplier",
+    "polygon_ingest": f"WITH {CELLS}, {POLYGONS} SELECT poly_id, attr, (1 + (poly_id % 3 = 0 OR poly_id % 5 = 0)::INT)::INT AS n_rings, (5 * (1 + (poly_id % 3 = 0 OR poly_id % 5 = 0)::INT))::INT AS n_points FROM polys WHERE poly_id % 11 <> 0 AND poly_id % 13 <> 0",
+    "polygon_ingest_counters": "SELECT count(*) AS n_features, count(*) FILTER (WHERE s_suppkey % 11 = 0) AS n_no_geometry, 0::BIGINT AS n_invalid, count(*) FILTER (WHERE s_suppkey % 13 = 0) AS n_unnamed, count(*) FILTER (WHERE s_suppkey % 15 = 0 AND s_suppkey % 11 <> 0 AND s_suppkey % 13 <> 0) AS n_repaired FROM supplier",
+    "polygon_repair": f"""WITH {CELLS}, {POLYGONS} SELECT cell_key, min(poly_id) AS poly_id, arg_min(attr, poly_id) AS attr FROM cells JOIN polys ON abs(x - cx) < 2 * a AND abs(y - cy) < a AND CASE poly_id % 4 WHEN 0 THEN x > cx - a AND x < cx AND abs(y - cy) < cx - x
+      WHEN 1 THEN abs(x - cx) + abs(y - cy) < a OR abs(x - cx - a) + abs(y - cy) < a WHEN 2 THEN abs(x - cx) + abs(y - cy) < a ELSE abs(x - cx) + abs(y - cy) < a AND abs(x - cx) + abs(y - cy) > a / 2 END GROUP BY 1""",
+    "polygon_repair_counters": "SELECT count(*) AS n_features, 0::BIGINT AS n_no_geometry, 0::BIGINT AS n_invalid, 0::BIGINT AS n_unnamed, count(*) FILTER (WHERE s_suppkey % 4 <> 3) AS n_repaired FROM supplier",
     "stream_daily": f"{M} SELECT * FROM days",
     "stream_phases": f"{M} SELECT species, meteo_cell_id, state, round_even(readiness, 3) AS readiness, round_even(charge, 3) AS charge, dst, eta, days_past FROM phases WHERE state IS NOT NULL",
     "stream_gaps": f"{SM}, {CANDIDATES}, st AS (SELECT meteo_cell_id, max(date) AS last_date FROM days GROUP BY 1) SELECT meteo_cell_id, last_date FROM candidates LEFT JOIN st USING (meteo_cell_id) WHERE last_date IS NULL OR last_date < {TODAY} - 1",
@@ -360,7 +368,7 @@ ORACLE_SQL: dict[str, str] = {
     "feed_mismatches": "SELECT user_id // 10 AS batch, count(DISTINCT user_id) + 1 AS n_requests, count(DISTINCT user_id) AS n_series FROM events WHERE user_id // 10 % 7 = 0 GROUP BY 1",
     "ingest_windows": """WITH m AS (SELECT max(s_suppkey) AS last FROM supplier)
       SELECT DISTINCT lo, lo + 24 AS hi, least(lo + 24, last) - lo + 1 AS at_most FROM (SELECT s_suppkey // 25 * 25 AS lo FROM supplier), m WHERE lo // 25 % 4 = 3""",
-    "polygon_table": f"""WITH {CELLS}, {POLYGONS}, n AS (SELECT poly_id, attr, (1 + (poly_id % 3 = 0)::INT + (poly_id % 5 = 0)::INT)::INT AS n_rings FROM polys WHERE poly_id % 11 <> 0 AND poly_id % 13 <> 0)
+    "polygon_table": f"""WITH {CELLS}, {POLYGONS}, n AS (SELECT poly_id, attr, (1 + (poly_id % 3 = 0 OR poly_id % 5 = 0)::INT)::INT AS n_rings FROM polys WHERE poly_id % 11 <> 0 AND poly_id % 13 <> 0)
       SELECT 'geology' AS layer, * FROM n UNION ALL SELECT 'forest', * FROM n WHERE n_rings > 1""",
     "species_validation": f"""{S}, {_MAPPED}, {OBS}, {_boyce('', '', """SELECT species, score, 'pres' AS kind FROM cleaned o JOIN coarse m USING (species) WHERE error IS NULL AND x IS NOT NULL AND i = floor((5104000.0 - y) / 2200.0) AND j = floor((x - 605000.0) / 2200.0)
         UNION ALL SELECT species, score, 'bg' FROM cells c JOIN coarse m ON i = floor((5104000.0 - y) / 2200.0) AND j = floor((x - 605000.0) / 2200.0)""")} SELECT species, round(boyce, 6) AS boyce, np AS n_presence, nb AS n_background FROM ext JOIN boy USING (species)""",

@@ -194,15 +194,24 @@ def terrain_at(s, d):
 
 
 def landcover_at(s, d):
-    made = rasters.cover_at(_pixel_points(s, d), a.pixels(s, d), "cell_key", 0.004)
+    return _shares(rasters.cover_at(_pixel_points(s, d), rasters.summed_area(a.pixels(s, d)), "cell_key", 0.004))
+
+
+def landcover_window(s, d):
+    """Land cover in the full window of 0.0025 degrees both ways, over fine pixels."""
+    points = rasters.on_tiles(a.geo_points(s, d), a.fine_tiles(s, d), "cell_key")
+    return _shares(rasters.cover_at(points, rasters.summed_area(a.fine_pixels(s, d)), "cell_key"))
+
+
+def _shares(made):
     return made.select("cell_key", F.round("forest_fraction", 6).alias("forest_fraction"), F.round("grassland_fraction", 6).alias("grassland_fraction"))
 
 
 def forest_regions(s, d):
     """Regions of 0.02 by 0.04 degrees with any of 5 x 5 samples in forest, less those whose canopy is there."""
-    boxes = a.tiles(s, d).selectExpr("tile AS region", "x0 AS west", "y0 - 0.02D AS south", "x0 + 0.02D AS east", "y0 + 0.02D AS north").where("region % 2 = 0")
+    boxes = a.tiles(s, d).selectExpr("tile AS region", "x0 AS west", "y0 - 0.02D AS south", "x0 + 0.02D AS east", "y0 + 0.02D AS north")
     spots = rasters.sample_points(boxes, "region").select(F.struct("region", "sample").alias("spot"), "lon", "lat")
-    shares = rasters.cover_at(rasters.on_tiles(spots, a.tiles(s, d), "spot"), a.pixels(s, d), "spot").select(F.col("spot.region").alias("tile"), "forest_fraction")
+    shares = rasters.cover_at(rasters.on_tiles(spots, a.tiles(s, d), "spot"), rasters.summed_area(a.pixels(s, d)), "spot").select(F.col("spot.region").alias("tile"), "forest_fraction")
     made = rasters.forested_tiles(shares).where("has_forest").select(F.col("tile").alias("region"))
     return made.join(a.tiles(s, d).where("tile % 8 = 0").select(F.col("tile").alias("region")), "region", "left_anti")
 
@@ -445,6 +454,31 @@ def polygon_ingest_counters(s, d):
     return counters
 
 
+def _broken_pages(s, d):
+    """The polygons as landed pages of shapes in four forms: a ring that crosses itself, two parts that overlap, a part
+    within a part, and a sound one with a hole."""
+    rows = a.polygons(s, d).select("poly_id", "attr", "region", F.col("rings")[0].alias("r"))
+    rows = rows.select("poly_id", "attr", "region", F.col("r")[1]["x"].alias("x"), F.col("r")[0]["y"].alias("y"), (F.col("r")[0]["x"] - F.col("r")[1]["x"]).alias("a"))
+    point = lambda dx, dy: F.array(F.col("x") + dx * F.col("a"), F.col("y") + dy * F.col("a"))
+    rhomb = lambda dx, k: F.array(*[point(dx + u * k, v * k) for u, v in ((1, 0), (0, 1), (-1, 0), (0, -1), (1, 0))])
+    bow = F.array(*[point(u, v) for u, v in ((-1, -1), (0.5, 0.5), (0.5, -0.5), (-1, 1), (-1, -1))])
+    form = F.col("poly_id") % 4
+    parts = F.when(form == 0, F.array(F.array(bow))).when(form == 1, F.array(F.array(rhomb(0, 1)), F.array(rhomb(1, 1)))).when(form == 2, F.array(F.array(rhomb(0, 1)), F.array(rhomb(0, 0.5)))).otherwise(F.array(F.array(rhomb(0, 1), rhomb(0, 0.5))))
+    feature = F.concat(F.lit('{"id":'), F.col("poly_id").cast("string"), F.lit(',"geometry":{"type":"MultiPolygon","coordinates":'), F.to_json(parts), F.lit('},"properties":'), F.to_json(F.struct(F.col("attr").alias("NAME"))), F.lit("}"))
+    return rows.groupBy(F.expr("poly_id DIV 25").alias("page")).agg(F.array_join(F.collect_list(feature), ",").alias("fs")).select("page", F.concat(F.lit('{"features":['), "fs", F.lit("]}")).alias("value"))
+
+
+def polygon_repair(s, d):
+    """Cells in the repaired shapes."""
+    made, _ = feeds.polygon_pages(_broken_pages(s, d), "NAME")
+    return vectors.containing(a.cells(s, d), made.withColumn("region", F.lit("tn")), "cell_key").select("cell_key", "poly_id", "attr")
+
+
+def polygon_repair_counters(s, d):
+    _, counters = feeds.polygon_pages(_broken_pages(s, d), "NAME")
+    return counters
+
+
 def _streamed(s, d, after=None) -> str:
     """The folder of an archive that a stream of the hours keeps; ``after`` makes a step after each batch."""
     path = folders.fresh(s, "stream")
@@ -629,8 +663,8 @@ QUERIES = {
         landcover_fraction, tiles_with_forest, scene_indices, scene_median, canopy_stats, canopy_calibration, canopy_histogram, geology_class,
         geology_nearest, geology_merged, forest_host, layer_merge, suitability_at, cell_ids, cell_centers, cell_polygons, projected_round_trip, homolosine,
         quantised_grid, colour_grid, point_lookup, regrid_nearest, regrid_bilinear, observations_clean, observation_cells, observation_pins,
-        occurrence_summary, geojson_spots, geojson_phases, host_coverage, tile_lookup, terrain_at, landcover_at, forest_regions, served_rows, overlay_grid,
-        suitability_table, species_list, tile_manifest, soil_extent, occurrence_ingest, geojson_occurrences, polygon_ingest, polygon_ingest_counters, stream_daily,
+        occurrence_summary, geojson_spots, geojson_phases, host_coverage, tile_lookup, terrain_at, landcover_at, landcover_window, forest_regions, served_rows, overlay_grid,
+        suitability_table, species_list, tile_manifest, soil_extent, occurrence_ingest, geojson_occurrences, polygon_ingest, polygon_ingest_counters, polygon_repair, polygon_repair_counters, stream_daily,
         stream_phases, stream_gaps, stream_observations, hourly_feed, feed_mismatches, ingest_windows, polygon_table, canopy_table, species_validation, profile_quality,
     )
 } | {f"top_spots_{mode}": _top(mode) for mode in ("static", "dynamic", "both")}

@@ -90,6 +90,17 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").selectExpr("vec_id AS tile", "10.0D + (vec_id % 50) * 0.02D AS x0", "46.0D + (vec_id DIV 50 + 1) * 0.02D AS y0", "0.0025D AS dx", "0.0025D AS dy", "8 AS nx", "8 AS ny")
 
 
+def fine_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Land cover on the same tiles in pixels of an eighth, 64 x 64 a tile: tile, row, col, landcover."""
+    part = F.explode(F.sequence(F.lit(0), F.lit(63)))
+    rows = pixels(spark, sf_dir).select("tile", "row", "col", part.alias("p")).selectExpr("tile", "CAST(row * 8 + p DIV 8 AS INT) AS row", "CAST(col * 8 + p % 8 AS INT) AS col")
+    return rows.selectExpr("*", "(tile * 7 + row * 13 + col * 29 + (row DIV 5) * (col DIV 3)) % 9 AS k").selectExpr("tile", "row", "col", "CASE WHEN k = 0 THEN 0 WHEN k < 3 THEN 30 WHEN k = 3 THEN 50 ELSE 10 END AS landcover")
+
+
+def fine_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles(spark, sf_dir).selectExpr("tile", "x0", "y0", "0.0003125D AS dx", "0.0003125D AS dy", "64 AS nx", "64 AS ny")
+
+
 def geo_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point for each cell over all tiles, and some beyond them: cell_key, lon, lat."""
     last = table(spark, sf_dir, "embeddings").selectExpr("max(vec_id) AS n")  # one row

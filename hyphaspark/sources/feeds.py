@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import repair
+
 _HOURLY = "hourly struct<time: array<string>, precipitation: array<double>, soil_temperature_6cm: array<double>, soil_moisture_3_to_9cm: array<double>, temperature_2m: array<double>>"
 
 
@@ -43,29 +45,24 @@ def _page_features(pages: DataFrame, json_col: str) -> DataFrame:
     return pages.select(*rest, F.explode(F.from_json(json_col, _FEATURES)["features"]).alias("f"))
 
 
-def _valid_ring(ring: Column) -> Column:
-    """Closed, at least three different corners, and an area."""
-    area = F.aggregate(F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda p, q: p[0] * q[1] - q[0] * p[1]), F.lit(0.0), lambda s, v: s + v)
-    return (F.size(ring) >= 4) & (ring[0] == F.element_at(ring, -1)) & (F.abs(area) > 0)
-
-
 def polygon_pages(pages: DataFrame, name_field: str, keep_unnamed: bool = False, json_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """(polygons, counters) of landed GeoJSON pages with Polygon and MultiPolygon features. Polygons have poly_id,
-    attr (trimmed) and rings: the valid ones of all parts, holes too. Repeated ids count once (the first by name and
-    rings). Features without geometry, without any valid ring or (unless ``keep_unnamed``, which makes it empty)
-    without a name are skipped and counted; so are dropped rings of features that stay (n_repaired)."""
+    attr (trimmed) and rings. Repeated ids count once (the first by name and parts). Shapes that cross, overlap or nest in themselves
+    are repaired (n_repaired, see ``repair``). Features without geometry, without any area (n_invalid) or (unless
+    ``keep_unnamed``, which makes it empty) without a name are skipped and counted."""
     rows = _page_features(pages, json_col)
     kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
-    rings = F.when(kind == "Polygon", F.from_json(text, _RING)).when(kind == "MultiPolygon", F.flatten(F.from_json(text, f"array<{_RING}>")))
+    parts = F.when(kind == "Polygon", F.array(F.from_json(text, _RING))).when(kind == "MultiPolygon", F.from_json(text, f"array<{_RING}>"))
+    point = lambda q: F.struct(F.get(q, F.lit(0)).alias("x"), F.get(q, F.lit(1)).alias("y"))
     name = F.trim(F.col("f.properties")[name_field])
-    rows = rows.select(F.col("f.id").alias("poly_id"), (F.coalesce(name, F.lit("")) if keep_unnamed else F.nullif(name, F.lit(""))).alias("attr"), rings.alias("all"), F.col("f.geometry").isNotNull().alias("has_geometry"))
-    rows = rows.withColumn("rings", F.filter("all", lambda r: F.coalesce(_valid_ring(r), F.lit(False)))).withColumn("valid", F.coalesce(F.size("rings") > 0, F.lit(False)))
-    counters = rows.agg(
-        F.count("*").alias("n_features"), F.count_if(~F.col("has_geometry")).alias("n_no_geometry"), F.count_if(F.col("has_geometry") & ~F.col("valid")).alias("n_invalid"),
-        F.count_if(F.col("attr").isNull()).alias("n_unnamed"), F.count_if(F.col("valid") & (F.size("rings") < F.size("all"))).alias("n_repaired"),
-    )
-    kept = rows.where("has_geometry AND valid AND attr IS NOT NULL").groupBy("poly_id").agg(F.min(F.struct("attr", "rings")).alias("p"))
-    return kept.select("poly_id", "p.attr", F.transform("p.rings", lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))).alias("rings")), counters
+    attr = F.coalesce(name, F.lit("")) if keep_unnamed else F.nullif(name, F.lit(""))
+    rows = rows.select(F.col("f.id").alias("poly_id"), attr.alias("attr"), F.col("f.geometry").isNotNull().alias("has_geometry"), F.transform(parts, lambda p: F.transform(p, lambda r: F.transform(r, point))).alias("parts"))
+    named = rows.where("has_geometry AND attr IS NOT NULL AND parts IS NOT NULL").groupBy("poly_id").agg(F.min(F.struct("attr", "parts")).alias("p")).select("poly_id", "p.*")
+    made = named.select("poly_id", "attr").join(repair.repaired(named), "poly_id")
+    seen = rows.agg(F.count("*").alias("n_features"), F.count_if(~F.col("has_geometry")).alias("n_no_geometry"), F.count_if(F.col("attr").isNull()).alias("n_unnamed"), F.count_if(F.col("has_geometry") & F.col("attr").isNotNull() & F.col("parts").isNull()).alias("odd"))
+    left = named.select("poly_id").join(made.select("poly_id", "changed"), "poly_id", "left").agg(F.count_if(F.col("changed").isNull()).alias("empty"), F.count_if("changed").alias("n_repaired"))
+    counters = seen.crossJoin(left).select("n_features", "n_no_geometry", (F.col("odd") + F.col("empty")).alias("n_invalid"), "n_unnamed", "n_repaired")  # one row each
+    return made.select("poly_id", "attr", "rings"), counters
 
 
 def max_object_id(pages: DataFrame, json_col: str = "value") -> DataFrame:
