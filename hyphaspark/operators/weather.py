@@ -29,8 +29,7 @@ def upsert(archive: DataFrame, batch: DataFrame, order: str = "batch", key: str
 
 
 def write_upsert(spark, path: str, batch: DataFrame, key: str = "meteo_cell_id", order: str = "batch") -> None:
-    """Upserts into a Parquet archive partitioned by date; only the dates of the batch are rewritten.
-    One writer at a time."""
+    """Upserts into an archive in versions; only the dates of the batch are written anew, and readers see all of them or none."""
     from ..sources import archive as store
 
     store.overwrite_dates(spark, path, lambda old: upsert(old, batch, order, key), batch.select("date").distinct(), key)
@@ -43,16 +42,28 @@ def _numbered(days: DataFrame, key: str) -> DataFrame:
 def features(days: DataFrame, profile: DataFrame, key: str = "meteo_cell_id") -> DataFrame:
     """Weather features as of the last archived day, for every species: windows count archived rows,
     not calendar days. One pass makes a sum for each window length that profiles use (a handful)."""
-    lengths = sorted(r.n for r in profile.select(F.coalesce("dynamic_triggers.rain_window_days", F.lit(RAIN_ROWS)).alias("n")).distinct().collect())
     rows = _numbered(days, key)
     known = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("rn")))
     made = rows.groupBy(key).agg(
         F.min_by("date", "rn").alias("last_date"),
-        F.array(*[F.struct(F.lit(n).alias("n_rows"), F.sum(F.when(F.col("rn") <= n, F.col("precip_mm"))).alias("rain")) for n in lengths]).alias("sums"),
+        *[F.sum(F.when(F.col("rn") <= n, F.col("precip_mm"))).alias(f"rain_{n}") for n in windows(profile)],
         known("soil_temp_c").alias("temp"), known("soil_moist").alias("moist"),
         F.max(F.when(F.col("rn") <= SHOCK_ROWS, F.col("soil_temp_c"))).alias("recent"),
         (F.min(F.when(F.col("precip_mm") >= TRIGGER_MM, F.col("rn"))) - 1).alias("days_since_trigger"),
-    ).withColumn("s", F.explode("sums")).select("*", "s.n_rows", "s.rain")
+    )
+    return finished(made, profile, key)
+
+
+def windows(profile: DataFrame) -> list[int]:
+    """The distinct numbers of rows that rain is summed over (a handful); a table of profiles is a few rows on the driver."""
+    return sorted({r.n for r in profile.select(F.coalesce("dynamic_triggers.rain_window_days", F.lit(RAIN_ROWS)).alias("n")).collect()})
+
+
+def finished(made: DataFrame, profile: DataFrame, key: str = "meteo_cell_id") -> DataFrame:
+    """Features of every species from a cell's last_date, rain_n for each window, temp, moist, recent and days_since_trigger."""
+    lengths = [int(c[5:]) for c in made.columns if c.startswith("rain_")]
+    sums = F.explode(F.array(*[F.struct(F.lit(n).alias("n_rows"), F.col(f"rain_{n}").alias("rain")) for n in lengths]))
+    made = made.withColumn("s", sums).select("*", "s.n_rows", "s.rain")
     shock = F.when(F.col("recent").isNull() | F.col("temp").isNull() | (F.col("temp") == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("recent") - F.col("temp")))
     made = made.select(
         key, "n_rows", "last_date", F.month("last_date").alias("month"), F.bround("rain", 1).alias("cumulative_rain_mm"), F.bround("temp", 1).alias("soil_temp_c"),
@@ -61,6 +72,17 @@ def features(days: DataFrame, profile: DataFrame, key: str = "meteo_cell_id") ->
     return made.join(F.broadcast(profile.withColumn("n_rows", F.coalesce("dynamic_triggers.rain_window_days", F.lit(RAIN_ROWS)))), "n_rows").drop("n_rows")
 
 
+def folded(days: DataFrame, rows: int, key: str = "meteo_cell_id") -> DataFrame:
+    """The archive as a row a cell that later days can be merged into: the last ``rows`` rows (dates as days since 1970, newest first,
+    and their values), and of the older ones the newest known temperature and moisture, and how many came after the last trigger."""
+    numbered = _numbered(days, key).withColumn("old", F.col("rn") > rows)
+    tail = F.sort_array(F.collect_list(F.when(~F.col("old"), F.struct(F.unix_date("date").alias("day"), "precip_mm", "soil_temp_c", "soil_moist"))), False)
+    known = lambda c: F.min_by(c, F.when(F.col("old") & F.col(c).isNotNull(), F.col("rn")))
+    made = numbered.groupBy(key).agg(tail.alias("t"), known("soil_temp_c").alias("older_temp"), known("soil_moist").alias("older_moist"), (F.min(F.when(F.col("old") & (F.col("precip_mm") >= TRIGGER_MM), F.col("rn"))) - rows - 1).cast("int").alias("older_since"))
+    part = lambda c: F.transform("t", lambda r: r[c])
+    return made.select(key, part("day").alias("day"), part("precip_mm").alias("precip"), part("soil_temp_c").alias("temp"), part("soil_moist").alias("moist"), "older_temp", "older_moist", "older_since")
+
+
 def history(days: DataFrame, n_rows: int = RAIN_ROWS, key: str = "meteo_cell_id") -> DataFrame:
     """The same features for every archived day, by running windows."""
     w = Window.partitionBy(key).orderBy("date")

@@ -362,7 +362,8 @@ ORACLE_SQL: dict[str, str] = {
     "polygon_repair_counters": "SELECT count(*) AS n_features, 0::BIGINT AS n_no_geometry, 0::BIGINT AS n_invalid, 0::BIGINT AS n_unnamed, count(*) FILTER (WHERE s_suppkey % 4 <> 3) AS n_repaired FROM supplier",
     "stream_daily": f"{M} SELECT * FROM days",
     "stream_phases": f"{M} SELECT species, meteo_cell_id, state, round_even(readiness, 3) AS readiness, round_even(charge, 3) AS charge, dst, eta, days_past FROM phases WHERE state IS NOT NULL",
-    "stream_gaps": f"{SM}, {CANDIDATES}, st AS (SELECT meteo_cell_id, max(date) AS last_date FROM days GROUP BY 1) SELECT meteo_cell_id, last_date FROM candidates LEFT JOIN st USING (meteo_cell_id) WHERE last_date IS NULL OR last_date < {TODAY} - 1",
+    "stream_features": f"{M} SELECT meteo_cell_id, species, last_date, month, cumulative_rain_mm, soil_temp_c, soil_moisture, thermal_shock_c, days_since_trigger FROM features",
+    "stream_gaps": f"{SM}, {CANDIDATES}, st AS (SELECT meteo_cell_id, max(date) AS last_date FROM days GROUP BY 1) SELECT meteo_cell_id, last_date FROM candidates LEFT JOIN st USING (meteo_cell_id) WHERE last_date IS NULL OR last_date < (SELECT max(date) FROM days) - 1",
     "stream_observations": f"WITH {OBS} SELECT id, species, phase, CASE WHEN x IS NOT NULL THEN 's100_' || floor(x / 100.0)::BIGINT || '_' || floor(y / 100.0)::BIGINT END AS static_cell_id, CASE WHEN x IS NOT NULL THEN {WCELL} END AS meteo_cell_id, error, CASE WHEN error IS NULL THEN 'clean' ELSE 'quarantine' END AS sink FROM cleaned",
     "hourly_feed": f"{M} SELECT * FROM days",
     "feed_mismatches": "SELECT user_id // 10 AS batch, count(DISTINCT user_id) + 1 AS n_requests, count(DISTINCT user_id) AS n_series FROM events WHERE user_id // 10 % 7 = 0 GROUP BY 1",

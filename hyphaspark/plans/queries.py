@@ -11,7 +11,7 @@ from ..operators import evaluate, layers, observations, publish, rasters, spots,
 from ..sources import adapters as a
 from ..sources import archive, feeds, folders, layer_tables, suitability
 from ..sources import profiles as p
-from ..streaming import weather_stream
+from ..streaming import cell_watch, weather_stream
 
 TODAY = "2024-10-20"
 EXTENT = (605000.0, 5060000.0, 693000.0, 5104000.0)  # of the adapted tables, in metres
@@ -479,13 +479,26 @@ def polygon_repair_counters(s, d):
     return counters
 
 
-def _streamed(s, d, after=None) -> str:
-    """The folder of an archive that a stream of the hours keeps; ``after`` makes a step after each batch."""
+PARTS = 3  # of the hours, which land and are streamed one after the other
+
+
+def _streamed(s, d, watched=None) -> str:
+    """The folder of an archive that a stream of the hours keeps. They land in parts, by the time that they arrive: up to 40 hours
+    late, and every fiftieth once more with the next part. Each part is a run of its own, which goes on from the checkpoint. With
+    ``watched`` (profiles, cells) a second stream follows the changes."""
     path = folders.fresh(s, "stream")
-    a.hourly(s, d).select("event_id", "meteo_cell_id", "time", "precip", "soil_temp", "soil_moist").write.parquet(f"{path}/in")
-    hours = s.readStream.schema(weather_stream.SCHEMA).parquet(f"{path}/in")
-    step = after(path) if after else None
-    weather_stream.run_archive(hours, f"{path}/archive", f"{path}/checkpoint", step, digits=6).awaitTermination()
+    rows = a.hourly(s, d).select("event_id", "meteo_cell_id", "time", "precip", "soil_temp", "soil_moist").withColumn("arrives", F.expr("time + make_dt_interval(0, CAST(event_id % 3 * 20 AS INT))"))
+    ends = rows.agg(F.min("arrives").alias("a"), F.max("arrives").alias("b")).first()
+    for k in range(PARTS):
+        since, until = (ends.a + (ends.b - ends.a) * (k + e) / PARTS for e in (0, 1))
+        after = lambda t: F.col("arrives") > F.lit(t)
+        new = (after(since) | F.lit(k == 0)) & (~after(until) | F.lit(k == PARTS - 1))
+        again = ~after(since) & after(since - (ends.b - ends.a) / PARTS) & (F.col("event_id") % 50 == 0) & F.lit(k > 0)
+        rows.where(new).drop("arrives").unionByName(rows.where(again).drop("arrives")).write.parquet(f"{path}/in/part{k}")
+        hours = s.readStream.schema(weather_stream.SCHEMA).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+        weather_stream.run_archive(hours, f"{path}/archive", f"{path}/checkpoint", digits=6).awaitTermination()
+        if watched:
+            weather_stream.run_watch(s, f"{path}/archive", f"{path}/events", f"{path}/watch", *watched).awaitTermination()
     return path
 
 
@@ -495,16 +508,20 @@ def stream_daily(s, d):
 
 
 def stream_phases(s, d):
-    """The phases that are refreshed after each batch of the stream."""
-    path = _streamed(s, d, lambda to: weather_stream.refresh_phases(p.profiles(s), f"{to}/phases"))
-    made = s.read.parquet(f"{path}/phases").where("state IS NOT NULL")
+    """The phases from the state of cells that follows the stream."""
+    made = weather_stream.phases(s.read.parquet(f"{_streamed(s, d, (p.profiles(s),))}/events"), p.profiles(s)).where("state IS NOT NULL").withColumn("readiness", F.round("readiness_raw", 9))
     return made.select("species", "meteo_cell_id", "state", F.round("readiness", 3).alias("readiness"), F.round("charge", 3).alias("charge"), "dst", "eta", "days_past")
 
 
+def stream_features(s, d):
+    """Rolling features from the state of cells that follows the stream."""
+    events = s.read.parquet(f"{_streamed(s, d, (p.profiles(s),))}/events")
+    return cell_watch.features(cell_watch.latest(events, ["features"]), p.profiles(s)).select("meteo_cell_id", "species", "last_date", *_FEATURES)
+
+
 def stream_gaps(s, d):
-    """The stale cells that are listed after each batch of the stream."""
-    cells = spots.candidate_cells(scored(s, d))
-    return s.read.parquet(_streamed(s, d, lambda to: weather_stream.report_gaps(cells, TODAY, f"{to}/gaps")) + "/gaps")
+    """The watched cells that are behind when the stream ends, from the alerts of timers."""
+    return cell_watch.stale(s.read.parquet(f"{_streamed(s, d, (p.profiles(s), spots.candidate_cells(scored(s, d))))}/events")).join(spots.candidate_cells(scored(s, d)), "meteo_cell_id", "left_semi")
 
 
 def stream_observations(s, d):
@@ -665,6 +682,6 @@ QUERIES = {
         quantised_grid, colour_grid, point_lookup, regrid_nearest, regrid_bilinear, observations_clean, observation_cells, observation_pins,
         occurrence_summary, geojson_spots, geojson_phases, host_coverage, tile_lookup, terrain_at, landcover_at, landcover_window, forest_regions, served_rows, overlay_grid,
         suitability_table, species_list, tile_manifest, soil_extent, occurrence_ingest, geojson_occurrences, polygon_ingest, polygon_ingest_counters, polygon_repair, polygon_repair_counters, stream_daily,
-        stream_phases, stream_gaps, stream_observations, hourly_feed, feed_mismatches, ingest_windows, polygon_table, canopy_table, species_validation, profile_quality,
+        stream_phases, stream_features, stream_gaps, stream_observations, hourly_feed, feed_mismatches, ingest_windows, polygon_table, canopy_table, species_validation, profile_quality,
     )
 } | {f"top_spots_{mode}": _top(mode) for mode in ("static", "dynamic", "both")}

@@ -1,19 +1,19 @@
-"""The weather archive as a stream: daily aggregates with late data, upserts, phases and gaps per batch."""
+"""The weather archive as a stream: daily aggregates with late data, upserts, and cells that are watched by their changes."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import dynamic_score
 from ..operators import observations as obs
 from ..operators import weather
 from ..sources import archive
+from . import cell_watch
 
-FOLDERS = 64
 SCHEMA = "event_id long, meteo_cell_id string, time timestamp_ntz, precip double, soil_temp double, soil_moist double"
+CHANGES = "meteo_cell_id string, date date, precip_mm double, soil_temp_c double, soil_moist double, now timestamp, batch int"
 ARCHIVE = "meteo_cell_id string, date date, precip_mm double, soil_temp_c double, soil_moist double"
 
 
@@ -27,40 +27,40 @@ def daily_stream(hours: DataFrame, lateness: str = "3 days", ids: list[str] | No
     return days.where("n > 0").select("meteo_cell_id", F.to_date("w.start").alias("date"), *[value(c) for c in ("precip_mm", "soil_temp_c", "soil_moist")])
 
 
-def run_archive(hours: DataFrame, path: str, checkpoint: str, after: Callable[[DataFrame, DataFrame], None] | None = None, available_now: bool = True, digits: int | None = None) -> StreamingQuery:
-    """Keeps the archive at ``path`` up to date; ``after(changed_days, archive)`` runs after each batch, for
-    instance to refresh the phases of the changed cells. A batch that is run again changes nothing."""
+def run_archive(hours: DataFrame, path: str, checkpoint: str, available_now: bool = True, digits: int | None = None) -> StreamingQuery:
+    """Keeps the archive at ``path`` up to date and logs the days that a batch changes, with the archive's last date as the
+    time that has come, for ``run_watch``. A batch that is run again changes nothing."""
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         weather.write_upsert(spark, path, batch.withColumn("batch", F.lit(number)))
-        if after:
-            after(batch, archive.read(spark, path, ARCHIVE))
+        last = max(archive.current(spark, path)[1], default=None)
+        _logged(batch.withColumn("now", F.lit(last).cast("timestamp")), f"{path}/changes", number)
 
     writer = daily_stream(hours, digits=digits).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def refresh_phases(profile: DataFrame, path: str) -> Callable[[DataFrame, DataFrame], None]:
-    """For ``run_archive``: writes the phases of all cells that a batch changed. Cells are dealt over a fixed
-    number of folders by a hash; those that hold a changed cell are rewritten, as only their cells' history is read."""
-
-    def after(changed: DataFrame, days: DataFrame) -> None:
-        part = F.pmod(F.xxhash64("meteo_cell_id"), F.lit(FOLDERS)).cast("int")
-        touched = days.withColumn("part", part).join(changed.select(part.alias("part")).distinct(), "part", "left_semi")
-        made = weather.phases(touched, profile).withColumn("part", part).repartition("part")
-        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+def _logged(rows: DataFrame, path: str, number: int) -> None:
+    """A folder for a batch; the same batch again replaces its own rows."""
+    rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
-    return after
 
+def run_watch(spark: SparkSession, path: str, events: str, checkpoint: str, profile: DataFrame, watched: DataFrame | None = None, before: DataFrame | None = None, files_per_batch: int = 1000, available_now: bool = True) -> StreamingQuery:
+    """Follows the changes that ``run_archive`` logs and writes what becomes of the cells, batch by batch, to ``events``: features
+    of the changed ones, and alerts of those that fall behind (see ``cell_watch``). Neither reads the archive. ``watched`` cells
+    need not be in it; ``before`` holds days from before the log began."""
+    cell_watch.configure(spark)
+    changes = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}/changes")
+    made = cell_watch.watch(changes, profile, watched, before)
+    writer = made.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(lambda batch, number: _logged(batch, events, number))
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
-def report_gaps(candidates: DataFrame, today: str, path: str) -> Callable[[DataFrame, DataFrame], None]:
-    """For ``run_archive``: rewrites the list of stale cells after each batch."""
-
-    def after(changed: DataFrame, days: DataFrame) -> None:
-        weather.gaps(candidates, days, F.lit(today).cast("date")).write.mode("overwrite").parquet(path)
 
-    return after
+def phases(events: DataFrame, profile: DataFrame) -> DataFrame:
+    """The phases of all cells from the features that ``run_watch`` wrote last."""
+    rows = cell_watch.features(cell_watch.latest(events, ["features"]), profile)
+    return dynamic_score.with_phase(rows).select("meteo_cell_id", "species", F.col("readiness").alias("readiness_raw"), "phase.*")
 
 
 def capture_observations(raw: DataFrame, path: str, quarantine: str, checkpoint: str) -> StreamingQuery:

@@ -7,7 +7,7 @@ from hyphaspark.functions.grid import AREA
 from hyphaspark.operators import evaluate, weather
 from hyphaspark.plans import queries
 from hyphaspark.sources import adapters, archive, feeds, layer_tables, profiles
-from hyphaspark.streaming import weather_stream
+from hyphaspark.streaming import cell_watch, weather_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,19 +77,21 @@ def test_stream_equals_batch(spark, tmp_path):
             for r in reversed(part):
                 d = r.asDict() | {"time": r.time.isoformat()}
                 f.write(json.dumps({k2: v for k2, v in d.items() if v is not None}) + "\n")
-    phases, gaps = str(tmp_path / "phases"), str(tmp_path / "gaps")
-    refresh = weather_stream.refresh_phases(profiles.profiles(spark), phases)
-    report = weather_stream.report_gaps(hours.select("meteo_cell_id"), "2024-10-20", gaps)
-    both = lambda changed, days: (refresh(changed, days), report(changed, days))
-    weather_stream.run_archive(weather_stream.read_hours(spark, str(source)), path, str(tmp_path / "cp"), both).awaitTermination()
+    weather_stream.run_archive(weather_stream.read_hours(spark, str(source)), path, str(tmp_path / "cp")).awaitTermination()
     rounded = lambda df: sorted((r.meteo_cell_id, r.date, *(None if v is None else round(v, 6) for v in (r.precip_mm, r.soil_temp_c, r.soil_moist))) for r in df.collect())
     got, want = archive.read(spark, path, weather_stream.ARCHIVE), weather.daily(hours)
     assert [g[:2] for g in rounded(got)] == [w[:2] for w in rounded(want)]
     assert rounded(got) == rounded(want)
-    streamed = {(r.meteo_cell_id, r.species): (r.state, r.readiness) for r in spark.read.parquet(phases).collect()}
-    batch = {(r.meteo_cell_id, r.species): (r.state, r.readiness) for r in weather.phases(want, profiles.profiles(spark)).collect()}
+    profile, watched = profiles.profiles(spark), hours.select("meteo_cell_id").unionByName(spark.createDataFrame([("m2200_0_0",)], "meteo_cell_id string"))
+    weather_stream.run_watch(spark, path, str(tmp_path / "events"), str(tmp_path / "cp2"), profile, watched, files_per_batch=9).awaitTermination()
+    events = spark.read.parquet(str(tmp_path / "events"))
+    assert events.select("batch").distinct().count() > 2
+    streamed = {(r.meteo_cell_id, r.species): (r.state, r.readiness) for r in weather_stream.phases(events, profile).collect()}
+    batch = {(r.meteo_cell_id, r.species): (r.state, r.readiness) for r in weather.phases(want, profile).collect()}
     assert streamed == batch
-    assert spark.read.parquet(gaps).count() == weather.gaps(hours.select("meteo_cell_id"), want, F.lit("2024-10-20").cast("date")).count()
+    today = got.agg(F.max("date")).first()[0]
+    alerts = {tuple(r) for r in cell_watch.stale(events).collect()}
+    assert alerts == {tuple(r) for r in weather.gaps(watched, want, F.lit(today)).collect()} and ("m2200_0_0", None) in alerts
 
 
 def test_observation_stream(spark, tmp_path):
