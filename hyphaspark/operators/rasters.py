@@ -53,9 +53,9 @@ def _shape(rows: DataFrame, keys: list[str], cell_x: Column, cell_y: Column) ->
     return made.select(*keys, F.bround("z11", 1).alias("elevation_m"), F.bround("slope", 1).alias("slope_deg"), aspect_class(F.col("bearing"), F.col("slope")).alias("aspect"))
 
 
-def terrain(pixels: DataFrame, cell_x: Column, cell_y: Column, size: int, nodata: float | None = None) -> DataFrame:
+def terrain(pixels: DataFrame, cell_x: Column, cell_y: Column, size: int, nodata: float | None = None, rim: int = 1) -> DataFrame:
     """Horn's stencil at every pixel: tile, row, col, elevation_m, slope_deg, aspect. Border pixels and
-    those next to nodata have none. Pixels look left and right in their row, then up and down in their column."""
+    those next to nodata have none (``rim`` is how many rows and columns of a tile are its border). Pixels look left and right in their row, then up and down in their column."""
     value = F.col("value") if nodata is None else F.when(F.col("value") != nodata, F.col("value"))
     along, across = Window.partitionBy("tile", "row").orderBy("col"), Window.partitionBy("tile", "col").orderBy("row")
 
@@ -67,11 +67,33 @@ def terrain(pixels: DataFrame, cell_x: Column, cell_y: Column, size: int, nodata
     rows = pixels.select("tile", "row", "col", value.alias("v"))
     rows = rows.select("tile", "row", "col", F.array(beside(F.lag, along, "col", -1, "v"), F.col("v"), beside(F.lead, along, "col", 1, "v")).alias("z"))
     rows = rows.select("tile", "row", "col", F.array(beside(F.lag, across, "row", -1, "z"), F.col("z"), beside(F.lead, across, "row", 1, "z")).alias("z"))
-    rows = rows.where(F.col("row").between(1, size - 2) & F.col("col").between(1, size - 2))
+    rows = rows.where(F.col("row").between(rim, size - 1 - rim) & F.col("col").between(rim, size - 1 - rim))
     rows = rows.select("tile", "row", "col", *[F.col("z")[r][c].alias(f"z{r}{c}") for r in range(3) for c in range(3)]).dropna()
     return _shape(rows, ["tile", "row", "col"], cell_x, cell_y)
 
 
+def with_halo(pixels: DataFrame, layout: DataFrame, margin: int = 1) -> DataFrame:
+    """The pixels of tiles, and around each tile those of its neighbours within ``margin``, with rows and columns that go on
+    beyond the tile's (-1 is the last row of the tile to the north). ``layout`` has tile, its place tx, ty in the grid of tiles (ty
+    going south), and nx, ny; all tiles are of one size. Only pixels near a border are sent, at most three times each."""
+    values = [c for c in pixels.columns if c not in ("tile", "row", "col")]
+    placed = pixels.join(layout.select("tile", "tx", "ty", "nx", "ny"), "tile")
+    near = lambda at, n, step: {-1: F.col(at) < margin, 0: F.lit(True), 1: F.col(at) >= F.col(n) - margin}[step]
+    to = [F.when(near("col", "nx", i) & near("row", "ny", j), F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
+    sent = placed.withColumn("to", F.explode(F.array_compact(F.array(*to))))
+    moved = lambda at, n, step: (F.col(at) - F.col(step) * F.col(n)).cast("int").alias(at)
+    sent = sent.select((F.col("tx") + F.col("to.i")).alias("tx"), (F.col("ty") + F.col("to.j")).alias("ty"), moved("row", "ny", "to.j"), moved("col", "nx", "to.i"), *values)
+    received = sent.join(layout.select("tile", "tx", "ty"), ["tx", "ty"]).select("tile", "row", "col", *values)
+    return pixels.select("tile", "row", "col", *values).unionByName(received)
+
+
+def terrain_seamless(pixels: DataFrame, layout: DataFrame, cell_x: Column, cell_y: Column, size: int, nodata: float | None = None) -> DataFrame:
+    """``terrain`` at every pixel of tiles of ``size`` rows and columns that lie in one raster: borders between tiles
+    are none, only those of the whole are."""
+    made = terrain(with_halo(pixels, layout), cell_x, cell_y, size, nodata, rim=0)
+    return made.where(F.col("row").between(0, size - 1) & F.col("col").between(0, size - 1))
+
+
 def terrain_at(placed: DataFrame, pixels: DataFrame, key: str, nodata: float | None = None) -> DataFrame:
     """Horn's stencil at points (of ``on_tiles``): key, elevation_m, slope_deg, aspect. A degree of longitude is as
     long as the point's latitude makes it. Points on a tile's border or next to nodata have none."""
@@ -114,15 +136,18 @@ def cover_fractions(pixels: DataFrame, radius: int) -> DataFrame:
     return counts.select("tile", "row", "col", F.try_divide("t", "k").alias("forest_fraction"), F.try_divide("g", "k").alias("grassland_fraction"))
 
 
+_COUNTS = ("n_tree", "n_grass", "n_known")
+
+
 def summed_area(pixels: DataFrame) -> DataFrame:
-    """Summed-area table of land cover: tile, row, col and the numbers t, g, k of tree, grass and known pixels of the
+    """Summed-area table of land cover: tile, row, col and the numbers n_tree, n_grass, n_known of tree, grass and known pixels of the
     tile down to the row and up to the column. Any window then takes four lookups, however many pixels it has.
     Tiles are whole grids (unknown pixels are there as nodata). A running sum along the rows and one along the columns make
     it; a window holds one row or column of a tile. Written once as a layer, it serves any number of points."""
-    counts = pixels.select("tile", "row", "col", *[cond.cast("long").alias(c) for c, cond in zip("tgk", (F.col("landcover") == TREE, F.col("landcover") == GRASS, F.col("landcover") != NODATA), strict=True)])
+    counts = pixels.select("tile", "row", "col", *[cond.cast("long").alias(c) for c, cond in zip(_COUNTS, (F.col("landcover") == TREE, F.col("landcover") == GRASS, F.col("landcover") != NODATA), strict=True)])
     for keys, order in ((("tile", "row"), "col"), (("tile", "col"), "row")):
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        counts = counts.select("tile", "row", "col", *[F.sum(c).over(w).alias(c) for c in "tgk"])
+        counts = counts.select("tile", "row", "col", *[F.sum(c).over(w).alias(c) for c in _COUNTS])
     return counts
 
 
@@ -142,8 +167,8 @@ def cover_at(placed: DataFrame, summed: DataFrame, key: str, half: float = 0.002
     corners = F.array_compact(F.array(corner("bottom", "right", 1), corner("above", "right", -1), corner("bottom", "before", -1), corner("above", "before", 1)))
     some = (F.col("above") < F.col("bottom")) & (F.col("before") < F.col("right"))
     sent = at.select(key, "tile", F.explode_outer(F.when(some, corners)).alias("c")).select(key, "tile", "c.*")
-    met = sent.join(summed, ["tile", "row", "col"], "left").groupBy(key).agg(*[F.sum(F.col("sign") * F.col(c)).alias(c) for c in "tgk"])
-    return met.select(key, F.try_divide("t", "k").alias("forest_fraction"), F.try_divide("g", "k").alias("grassland_fraction"))
+    met = sent.join(summed, ["tile", "row", "col"], "left").groupBy(key).agg(*[F.sum(F.col("sign") * F.col(c)).alias(c) for c in _COUNTS])
+    return met.select(key, F.try_divide("n_tree", "n_known").alias("forest_fraction"), F.try_divide("n_grass", "n_known").alias("grassland_fraction"))
 
 
 def sample_points(boxes: DataFrame, key: str, n: int = 5) -> DataFrame:
@@ -208,7 +233,8 @@ def regrid_nearest(raster: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def regrid_bilinear(raster: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """``target`` with the weighted mean of the four pixels around the point; missing ones lose their weight."""
+    """``target`` with the weighted mean of the four pixels around the point; missing ones lose their weight.
+    To see across the seams of tiles, give it ``with_halo`` of the raster."""
     y, x = F.col("fy") - 0.5, F.col("fx") - 0.5
     near = F.array(*[F.struct((F.floor(y) + i).cast("int").alias("row"), (F.floor(x) + j).cast("int").alias("col"), (F.abs(1 - i - (y - F.floor(y))) * F.abs(1 - j - (x - F.floor(x)))).alias("weight")) for i in (0, 1) for j in (0, 1)])
     sent = target.select("tile", *keys, F.explode(near).alias("p")).select("tile", *keys, "p.*")

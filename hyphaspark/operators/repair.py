@@ -25,6 +25,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import folders
 from . import vectors
 
 GRAIN = 1e-9  # step of the coordinates of repaired shapes, in bins
@@ -174,11 +175,12 @@ def _linked(key, rows):
 
 def repaired(shapes: DataFrame) -> DataFrame:
     """poly_id, rings (of which an even number around a point means outside), changed. ``shapes`` has a poly_id of its own in each row,
-    and parts. Shapes of which nothing is left drop out."""
+    and parts. Shapes of which nothing is left drop out. Shapes and cuts are checkpointed, as several joins read them."""
     kept = F.filter(F.transform("parts", lambda p: F.concat(F.filter(F.slice(p, 1, 1), usable), F.when(usable(F.get(p, F.lit(0))), F.filter(F.slice(p, F.lit(2), F.size(p)), usable)).otherwise(F.array().cast(_RINGS)))), lambda p: F.size(p) > 0)
-    clean = shapes.select("poly_id", kept.alias("parts"), F.size(F.flatten("parts")).alias("n_rings")).where(F.size("parts") > 0)
+    folders.shared_dir(shapes.sparkSession)
+    clean = shapes.select("poly_id", kept.alias("parts"), F.size(F.flatten("parts")).alias("n_rings")).where(F.size("parts") > 0).checkpoint()
     edges = _with_size(_edges(clean), clean)
-    found = cuts(edges)
+    found = cuts(edges).checkpoint()  # read twice
     wrong = found.select("poly_id").unionByName(may_nest(clean)).distinct()
     some = edges.join(wrong, "poly_id", "left_semi")
     again = borders(pieces(some, found)).groupBy("poly_id").applyInPandas(_linked, f"poly_id long, rings {_RINGS}")

@@ -291,6 +291,13 @@ ORACLE_SQL: dict[str, str] = {
     "boyce_delta": f"""{S}, less AS (SELECT cell_key, species, round(m_host * {_mean(REDUCED)} * m_habitat_gate, 9) AS score FROM members), {_boyce('a', 'less')}, {_boyce('b', 'scored')}
       SELECT a.species, round(a.boyce, 6) AS baseline, round(b.boyce, 6) AS variant, round(b.boyce - a.boyce, 6) AS delta FROM boya a JOIN boyb b USING (species)""",
     "terrain_stencil": f"WITH {PIXELS}, {TERRAIN} SELECT * FROM terrain",
+    "terrain_seamless": f"""WITH {PIXELS.replace('pixels AS (SELECT', 'cut AS (SELECT')}, whole AS (SELECT *, row - (tile // 50) * 8 AS gr, (tile % 50) * 8 + col AS gc FROM cut),
+      stencil AS (SELECT p.tile, p.row, p.col, p.value AS z11, """ + ", ".join(f"max(q.value) FILTER (WHERE q.gr = p.gr + {r} AND q.gc = p.gc + {c}) AS z{r + 1}{c + 1}_" for r in (-1, 0, 1) for c in (-1, 0, 1)) + f"""
+        FROM whole p, (SELECT unnest([-1, 0, 1]) AS dr), (SELECT unnest([-1, 0, 1]) AS dc), whole q WHERE q.gr = p.gr + dr AND q.gc = p.gc + dc GROUP BY 1, 2, 3, 4 HAVING count(*) = 9), {TERRAIN[TERRAIN.index('grad AS'):]} SELECT * FROM terrain""",
+    "regrid_seamless": f"""WITH {CELLS}, {PIXELS}, {TARGETS}, whole AS (SELECT row - (tile // 50) * 8 AS gr, (tile % 50) * 8 + col AS gc, value FROM pixels), spot AS (SELECT cell_key, fy - (tile // 50) * 8 AS gy, fx + (tile % 50) * 8 AS gx FROM targets),
+      w AS (SELECT cell_key, value, (1 - abs(gr + 0.5 - gy)) * (1 - abs(gc + 0.5 - gx)) AS w FROM spot, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j), whole WHERE gr = floor(gy - 0.5) + i AND gc = floor(gx - 0.5) + j) SELECT cell_key, round(sum(w * value) / sum(w), 5) AS value FROM w GROUP BY 1""",
+    "raster_scan": f"WITH {PIXELS}, {TILES}, {SOIL_SAMPLE} SELECT tile, row, col, round(value, 6) AS elevation_m, landcover, soil_ph_value, soil_ph FROM pixels JOIN tiles USING (tile) JOIN soil USING (tile, row, col) WHERE x0 + (col + 0.5) * 0.0025::DOUBLE >= 10.25 AND x0 + (col + 0.5) * 0.0025::DOUBLE < 10.6 AND y0 - (row + 0.5) * 0.0025::DOUBLE >= 46.05 AND y0 - (row + 0.5) * 0.0025::DOUBLE < 46.15",
+    "forest_layers": f"WITH {CELLS}, {POLYGONS.replace('WHERE poly_id % 5 = 0)', 'WHERE false)')} SELECT cell_key, {_strings([*CATEGORY_CODES, 'ZZ'])}[poly_id % 21 + 1] AS forest_category, {_strings(HOST_CLASSES)}[poly_id % 21 + 1] AS host_class FROM direct",
     "soil_ph_sample": f"WITH {PIXELS}, {SOIL_SAMPLE} SELECT * FROM soil",
     "canopy_sample": f"WITH {CELLS}, {PIXELS}, {POINTS} SELECT cells.cell_key, CASE WHEN value IS NOT NULL THEN round(least(1.0, greatest(0.0, value / 2000.0)), 6) END AS canopy_alive FROM cells LEFT JOIN points USING (cell_key) LEFT JOIN pixels USING (tile, row, col)",
     "landcover_fraction": f"WITH {PIXELS}, {_cover(2)} SELECT tile, row, col, round(forest, 6) AS forest_fraction, round(grass, 6) AS grassland_fraction FROM cover",

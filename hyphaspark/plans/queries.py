@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import dynamic_score, grid, projection, static_score
 from ..operators import evaluate, layers, observations, publish, rasters, spots, vectors, weather
 from ..sources import adapters as a
-from ..sources import archive, feeds, folders, layer_tables, suitability
+from ..sources import archive, feeds, folders, layer_tables, polygon_files, suitability
 from ..sources import profiles as p
 from ..streaming import cell_watch, weather_stream
 
@@ -176,6 +176,16 @@ def terrain_stencil(s, d):
     return rasters.terrain(a.pixels(s, d), F.lit(30.0), F.lit(30.0), 8)
 
 
+def _layout(s, d):
+    """Where the tiles lie in the raster that they make up: columns go east and rows south."""
+    return a.tiles(s, d).selectExpr("tile", "tile % 50 AS tx", "-(tile DIV 50) AS ty", "nx", "ny")
+
+
+def terrain_seamless(s, d):
+    """Terrain over all tiles as one raster."""
+    return rasters.terrain_seamless(a.pixels(s, d), _layout(s, d), F.lit(30.0), F.lit(30.0), 8)
+
+
 def soil_ph_sample(s, d):
     ph, cls = rasters.soil_ph(F.col("ph10"))
     return a.pixels(s, d).select("tile", "row", "col", ph.alias("soil_ph_value"), cls.alias("soil_ph"))
@@ -624,6 +634,39 @@ def regrid_bilinear(s, d):
     return rasters.regrid_bilinear(a.pixels(s, d), _targets(s, d), ["cell_key"]).select("cell_key", F.round("value", 5).alias("value"))
 
 
+def regrid_seamless(s, d):
+    """Bilinear values that see the neighbouring tiles."""
+    raster = rasters.with_halo(a.pixels(s, d).select("tile", "row", "col", "value"), _layout(s, d))
+    return rasters.regrid_bilinear(raster, _targets(s, d), ["cell_key"]).select("cell_key", F.round("value", 5).alias("value"))
+
+
+def raster_scan(s, d):
+    """Elevation, land cover and soil pH in a box, from a stored layer of which only the zones of the box are read."""
+    path = folders.fresh(s, "rasters")
+    layer_tables.write_raster(a.pixels(s, d), a.tiles(s, d), path, "ground", 0.02)
+    made = layer_tables.scan_raster(s, path, "ground", (10.25, 46.05, 10.6, 46.15), 0.02)
+    ph, cls = rasters.soil_ph(F.col("ph10"))
+    return made.select("tile", "row", "col", F.round("value", 6).alias("elevation_m"), "landcover", ph.alias("soil_ph_value"), cls.alias("soil_ph"))
+
+
+def forest_layers(s, d):
+    """Forest categories of cells from files of three regions, with columns of their own and two projections."""
+    codes = F.array(*[F.lit(c) for c in p.CATEGORY_CODES], F.lit("ZZ"))
+    rows = a.polygons(s, d).withColumn("code", F.concat(F.lit(" "), F.get(codes, (F.col("poly_id") % 21).cast("int"))))
+    path = folders.fresh(s, "forest")
+    pairs = lambda rings: F.to_json(F.transform(rings, lambda r: F.transform(r, lambda q: F.array(q["x"], q["y"]))))
+    for k, (field, metres) in enumerate((("CATEGORIA", True), ("tipo_fores", False), ("Ct_CFI", False))):
+        first = F.slice("rings", 1, F.when(F.col("poly_id") % 3 == 0, 2).otherwise(1))  # the shell and its hole
+        crs = '"crs":{"type":"name","properties":{"name":"EPSG:32632"}},' if metres else ""
+        properties = F.to_json(F.struct(F.col("code").alias(field), F.col("region").alias(f"extra_{k}")))
+        line = F.concat(F.lit('{"type":"Feature",' + crs + '"id":'), F.col("poly_id").cast("string"), F.lit(',"geometry":{"type":"Polygon","coordinates":'), pairs(first if metres else polygon_files.to_degrees(first)), F.lit('},"properties":'), properties, F.lit("}"))
+        rows.where(F.col("poly_id") % 3 == k).select(line.alias("value")).write.text(f"{path}/{k}")
+    made, _ = polygon_files.read(s, path, ["CATEGORIA", "tipo_fores", "Ct_CFI"])
+    by_id = made.withColumn("poly_id", F.col("poly_id") % (1 << 40)).withColumn("region", F.lit(""))
+    found = vectors.forest_host(a.cells(s, d), by_id, p.crosswalk(s), "cell_key")
+    return found.select("cell_key", "forest_category", F.get(F.map_keys("host"), F.lit(0)).alias("host_class"))
+
+
 def observations_clean(s, d):
     made = observations.clean(a.observations(s, d))
     return made.select("id", "species", "phase", "is_blank", "id_verified", F.round("weight_g", 4).alias("weight_g"), "error")
@@ -676,7 +719,7 @@ QUERIES = {
     for f in (
         static_suitability, static_breakdown, map_stats, map_topk, species_subset, custom_weights, meteo_daily, meteo_asof, meteo_features, meteo_history,
         readiness, readiness_breakdown, phase_by_cell, phase_counts, combined_prediction, candidate_cells, candidate_cells_capped, archive_upsert, archive_status,
-        archive_gaps, backfill_todo, gap_report_counts, boyce_by_species, boyce_curve, boyce_delta, terrain_stencil, soil_ph_sample, canopy_sample,
+        archive_gaps, backfill_todo, gap_report_counts, boyce_by_species, boyce_curve, boyce_delta, terrain_stencil, terrain_seamless, regrid_seamless, raster_scan, forest_layers, soil_ph_sample, canopy_sample,
         landcover_fraction, tiles_with_forest, scene_indices, scene_median, canopy_stats, canopy_calibration, canopy_histogram, geology_class,
         geology_nearest, geology_merged, forest_host, layer_merge, suitability_at, cell_ids, cell_centers, cell_polygons, projected_round_trip, homolosine,
         quantised_grid, colour_grid, point_lookup, regrid_nearest, regrid_bilinear, observations_clean, observation_cells, observation_pins,
