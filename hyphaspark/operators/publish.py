@@ -25,3 +25,10 @@ def phase_features(phases: DataFrame) -> DataFrame:
     """species, meteo_cell_id, geojson: the square of each weather cell with its phase."""
     fields = F.struct("state", "readiness", "charge", "dst", "eta", "days_past")
     return phases.select("species", "meteo_cell_id", feature(fields, "Polygon", F.array(grid.polygon(F.col("meteo_cell_id")))).alias("geojson"))
+
+
+def pin_features(pins: DataFrame) -> DataFrame:
+    """id, geojson: each observation as a point, with what is known of it."""
+    lat, lon = projection.utm_inverse(F.col("x"), F.col("y"))
+    fields = F.struct("species", "phase", F.bround("weight_g", 1).alias("weight_g"), "is_blank", "photo")
+    return pins.select("id", feature(fields, "Point", F.array(F.bround(lon, 5), F.bround(lat, 5))).alias("geojson"))

@@ -167,6 +167,7 @@ def forest_host(points: DataFrame, polygons: DataFrame, crosswalk: DataFrame, ke
 
 
 def lookup_by_coordinates(points: DataFrame, landed: DataFrame) -> DataFrame:
-    """Attributes that were landed for points, joined by latitude and longitude with four decimals."""
+    """Attributes that were landed for points, joined by latitude and longitude with four decimals; of several names at one place
+    the first by code point counts."""
     key = lambda: F.format_string("%.4f,%.4f", F.col("lat"), F.col("lon"))
-    return points.withColumn("_k", key()).join(landed.select(key().alias("_k"), "name").dropDuplicates(["_k"]), "_k", "left").drop("_k")
+    return points.withColumn("_k", key()).join(landed.groupBy(key().alias("_k")).agg(F.min("name").alias("name")), "_k", "left").drop("_k")

@@ -181,7 +181,7 @@ SCENES = f"""{PIXELS}, scenes AS (SELECT s::INT AS scene, tile, row, col, 4 + (t
   ((tile + row * 2 + col + s) % 20) / 100.0::DOUBLE AS red, ((tile * 2 + row + col * 3 + s) % 25) / 100.0::DOUBLE AS swir FROM pixels, range(6) t(s) WHERE s * 7 < 25),
  idx AS (SELECT scene, tile, row, col, CASE WHEN scl BETWEEN 4 AND 7 AND nir + red <> 0 THEN (nir - red) / (nir + red) END AS ndvi, CASE WHEN scl BETWEEN 4 AND 7 AND nir + swir <> 0 THEN (nir - swir) / (nir + swir) END AS nbr FROM scenes),
  med AS (SELECT tile, row, col, median(ndvi) AS ndvi, median(nbr) AS nbr, count(DISTINCT scene) AS n_scenes FROM idx GROUP BY 1, 2, 3),
- comp AS (SELECT tile, row, col, round(ndvi, 6) AS ndvi, round(nbr, 6) AS nbr, n_scenes, round(least(1.0, greatest(0.0, (ndvi - 0.45) / (0.78 - 0.45))) * least(1.0, greatest(0.0, (nbr - 0.20) / (0.55 - 0.20))), 6) AS canopy_alive FROM med)"""
+ comp AS (SELECT tile, row, col, round(ndvi, 6) AS ndvi, round(nbr, 6) AS nbr, n_scenes, CASE WHEN ndvi IS NOT NULL AND nbr IS NOT NULL THEN round(least(1.0, greatest(0.0, (ndvi - 0.45) / (0.78 - 0.45))) * least(1.0, greatest(0.0, (nbr - 0.20) / (0.55 - 0.20))), 6) END AS canopy_alive FROM med)"""
 
 
 def _lith(region: str, descr: str) -> str:
@@ -248,6 +248,9 @@ def _grid(crs: str, resolution: float) -> str:
       target AS (SELECT i, j, (ux - 605000.0) / 2200.0 AS fx, (5104000.0 - uy) / 2200.0 AS fy FROM utm)"""
 
 
+# The cells' box in degrees and its corners (k: 0 south-west to 3 north-east) in UTM metres.
+_BOX = f"""{_inverse('x', 'y', 'inv', 'cells')}, ends AS (SELECT min(lat) AS a0, max(lat) AS a1, min(lon) AS o0, max(lon) AS o1 FROM inv),
+  four AS (SELECT k, CASE WHEN k < 2 THEN a0 ELSE a1 END AS plat, CASE WHEN k % 2 = 0 THEN o0 ELSE o1 END AS plon FROM ends, range(4) t(k)), {_forward('plat', 'plon', 'corner', 'four')}"""
 SERVED = """served AS (SELECT species, t.i, t.j, score, CASE WHEN score <= 0 THEN 0 ELSE greatest(0, least(255, round_even(score / 0.8 * 255.0, 0)))::INT END AS q FROM target t JOIN coarse c ON c.i = floor(fy) AND c.j = floor(fx))"""
 _MAPPED = f"coarse AS (SELECT species, floor((5104000.0 - y) / 2200.0)::INT AS i, floor((x - 605000.0) / 2200.0)::INT AS j, max(score) AS score FROM scored GROUP BY 1, 2, 3)"
 _QUANT = "quant AS (SELECT species, i, j, CASE WHEN score <= 0 THEN 0 ELSE greatest(0, least(255, round_even(score / 0.8 * 255.0, 0)))::INT END AS q FROM coarse)"
@@ -331,14 +334,33 @@ ORACLE_SQL: dict[str, str] = {
     "projected_round_trip": f"WITH {CELLS}, {_inverse('x', 'y', 'g', 'cells')} SELECT cell_key, round(lat, 6) AS lat, round(lon, 6) AS lon, true AS returns FROM g",
     "quantised_grid": f"{S}, {_MAPPED}, {_QUANT} SELECT * FROM quant",
     "colour_grid": f"{S}, {_MAPPED} SELECT species, i, j, round(least(1.0, greatest(0.0, score / 0.8)), 6) AS norm, CASE WHEN score > 0.05 THEN 200 ELSE 0 END AS alpha FROM coarse",
-    "point_lookup": f"""{S}, {_MAPPED}, {_QUANT}, {_grid('3857', 3000.0)}, {SERVED}, moved AS (SELECT cell_key, x, y + 3000.0 AS my FROM cells), {_inverse('x', 'my', 'geo', 'moved')},
+    "point_lookup": f"""{S}, {_MAPPED}, {_QUANT}, {_grid('3857', 3000.0)}, {SERVED}, moved AS (SELECT cell_key, x, y AS my FROM cells), {_inverse('x', 'my', 'geo', 'moved')},
       p AS (SELECT cell_key, species, floor((north - 6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2))) / ((north - (north - ny * 3000.0::DOUBLE)) / ny))::INT AS i, floor((6378137.0 * radians(lon) - west) / (((west + nx * 3000.0::DOUBLE) - west) / nx))::INT AS j FROM geo, box, profile)
       SELECT cell_key, species, round(CASE WHEN q > 0 AND q / 255.0::DOUBLE * 0.8 >= 0.30 THEN q / 255.0::DOUBLE * 0.8 END, 6) AS score FROM p LEFT JOIN served USING (species, i, j)""",
-    "served_rows": f"""{S}, {_MAPPED}, {_grid('3857', 3000.0)}, {SERVED}, every AS (SELECT species, i, j, nx, ny FROM (SELECT DISTINCT species, i FROM served), box, range(1000) r(j) WHERE j < nx)
-      SELECT species, i, any_value(nx)::INT AS nx, any_value(ny)::INT AS ny, base64(unhex(string_agg(printf('%02X', coalesce(q, 0)), '' ORDER BY j))) AS cells FROM every LEFT JOIN served USING (species, i, j) GROUP BY 1, 2""",
+    "served_rows": f"""{S}, {_MAPPED}, {_grid('3857', 3000.0)}, {SERVED}, every AS (SELECT species, i, j, nx, ny, west, north FROM (SELECT DISTINCT species, i FROM served), box, range(1000) r(j) WHERE j < nx)
+      SELECT species, i, any_value(nx)::INT AS nx, any_value(ny)::INT AS ny, round(any_value(west), 3) AS west, round(any_value(north - ny * 3000.0::DOUBLE), 3) AS south, round(any_value(west + nx * 3000.0::DOUBLE), 3) AS east, round(any_value(north), 3) AS north, base64(unhex(string_agg(printf('%02X', coalesce(q, 0)), '' ORDER BY j))) AS cells FROM every LEFT JOIN served USING (species, i, j) GROUP BY 1, 2""",
     "overlay_grid": f"""{S}, {_MAPPED}, {_grid('4326', 0.02)}, w AS (SELECT c.species, t.i, t.j, score, (1 - abs(c.i + 0.5 - fy)) * (1 - abs(c.j + 0.5 - fx)) AS w FROM target t JOIN coarse c ON c.i IN (floor(fy - 0.5), floor(fy - 0.5) + 1) AND c.j IN (floor(fx - 0.5), floor(fx - 0.5) + 1)),
       v AS (SELECT species, i, j, round(sum(w * score) / sum(w), 9) AS score FROM w GROUP BY 1, 2, 3)
       SELECT species, i, j, round(least(1.0, greatest(0.0, score / 0.8)), 6) AS norm, CASE WHEN score > 0.05 THEN 200 ELSE 0 END AS alpha FROM v""",
+    "overlay_bounds": f"""{S}, {_MAPPED}, {_grid('4326', 0.02)}, w AS (SELECT c.species, t.i, t.j, score, (1 - abs(c.i + 0.5 - fy)) * (1 - abs(c.j + 0.5 - fx)) AS w FROM target t JOIN coarse c ON c.i IN (floor(fy - 0.5), floor(fy - 0.5) + 1) AND c.j IN (floor(fx - 0.5), floor(fx - 0.5) + 1)),
+      v AS (SELECT species, i, j, round(sum(w * score) / sum(w), 9) AS score FROM w GROUP BY 1, 2, 3)
+      SELECT species, count(*) FILTER (WHERE score > 0.05) AS n_visible, round(max(least(1.0, greatest(0.0, score / 0.8))), 6) AS largest, round(any_value(west), 6) AS west, round(any_value(north - ny * 0.02::DOUBLE), 6) AS south, round(any_value(west + nx * 0.02::DOUBLE), 6) AS east, round(any_value(north), 6) AS north, any_value(nx)::INT AS nx, any_value(ny)::INT AS ny FROM v, box GROUP BY 1""",
+    "species_menu": f"""{S}, have AS (SELECT species, count(*) AS n_candidates FROM scored WHERE {ABOVE} GROUP BY 1) SELECT species, common_name, n_candidates, row_number() OVER (ORDER BY common_name, species)::INT AS place FROM have JOIN (VALUES """ + ", ".join(f"({_q(x['id'])}, {_q(x['common_name'])})" for x in PROFILES) + """) AS c(species, common_name) USING (species)""",
+    "grid_cells": f"""WITH {CELLS}, {_BOX}, b AS (SELECT floor(min(ux) / 1000.0)::BIGINT AS c0, floor(max(ux) / 1000.0)::BIGINT AS c1, floor(min(uy) / 1000.0)::BIGINT AS r0, floor(max(uy) / 1000.0)::BIGINT AS r1 FROM corner),
+      sq AS (SELECT c AS col, r AS row, (c + 0.5::DOUBLE) * 1000.0::DOUBLE AS px, (r + 0.5::DOUBLE) * 1000.0::DOUBLE AS py FROM b, range(0, 10000) t(c), range(0, 10000) u(r) WHERE c BETWEEN c0 AND c1 AND r BETWEEN r0 AND r1), {_inverse('px', 'py', 'ctr', 'sq')},
+      n AS (SELECT floor(x / 1000.0)::BIGINT AS col, floor(y / 1000.0)::BIGINT AS row, count(*) AS n_cells FROM cells GROUP BY 1, 2) SELECT col, row, px AS x, py AS y, round(lat, 6) AS lat, round(lon, 6) AS lon, coalesce(n_cells, 0) AS n_cells FROM ctr LEFT JOIN n USING (col, row)""",
+    "map_cells": f"""{S}, {_BOX}, b AS (SELECT min(ux) AS x0, max(uy) AS y1, ceil((max(ux) - min(ux)) / 2000.0)::BIGINT AS nx, ceil((max(uy) - min(uy)) / 2000.0)::BIGINT AS ny FROM corner),
+      best AS (SELECT floor((y1 - y) / 2000.0)::INT AS i, floor((x - x0) / 2000.0)::INT AS j, species, max(score) AS score FROM scored, b GROUP BY 1, 2, 3)
+      SELECT i, j, round(x0 + (j + 0.5) * 2000.0::DOUBLE, 3) AS x, round(y1 - (i + 0.5) * 2000.0::DOUBLE, 3) AS y, species, round(score, 6) AS score FROM (SELECT b.*, i::INT AS i, j::INT AS j FROM b, range(1000) t(i), range(1000) u(j) WHERE i < ny AND j < nx) LEFT JOIN best USING (i, j)""",
+    "grid_dimensions": f"""WITH {CELLS}, {_BOX}, b AS (SELECT max(ux) FILTER (WHERE k = 0) AS x0, max(uy) FILTER (WHERE k = 0) AS y0, max(ux) FILTER (WHERE k = 3) AS x1, max(uy) FILTER (WHERE k = 3) AS y1 FROM corner),
+      n AS (SELECT floor(abs(x1 - x0) / 100.0)::BIGINT + 1 AS n_col, floor(abs(y1 - y0) / 100.0)::BIGINT + 1 AS n_row FROM b) SELECT n_col, n_row, n_col * n_row AS n_cells FROM n""",
+    "named_places": f"""WITH {CELLS}, {_inverse('x', 'y', 'geo', 'cells')}, k AS (SELECT cell_key, printf('%.4f,%.4f', lat, lon) AS k FROM geo), landed AS (SELECT k, min('place ' || cell_key) AS n, min('a place ' || cell_key) FILTER (WHERE cell_key % 6 = 0) AS m FROM k WHERE cell_key % 3 = 0 GROUP BY 1)
+      SELECT cell_key, coalesce(m, n) AS name FROM k LEFT JOIN landed USING (k)""",
+    "scene_selection": f"WITH {SCENES.replace('WHERE s * 7 < 25)', 'WHERE s * 7 < 25 AND s BETWEEN 1 AND 6 AND 10.0 + (s % 4) * 1.2 <= 13.15)')} SELECT * FROM comp",
+    "random_validation": f"""{S}, {_MAPPED}, {OBS}, pts0 AS (SELECT id, 45.65::DOUBLE + ('0x' || md5(id || ':7:1')[1:13])::BIGINT / 4503599627370496.0::DOUBLE * (46.1::DOUBLE - 45.65::DOUBLE) AS plat, 10.35::DOUBLE + ('0x' || md5(id || ':7:2')[1:13])::BIGINT / 4503599627370496.0::DOUBLE * (11.5::DOUBLE - 10.35::DOUBLE) AS plon FROM range((SELECT count(*) FROM cells)) t(id)), {_forward('plat', 'plon', 'ground', 'pts0')}, {_boyce('', '', """SELECT species, score, 'pres' AS kind FROM cleaned o JOIN coarse m USING (species) WHERE error IS NULL AND x IS NOT NULL AND i = floor((5104000.0 - y) / 2200.0) AND j = floor((x - 605000.0) / 2200.0)
+        UNION ALL SELECT species, score, 'bg' FROM ground JOIN coarse m ON i = floor((5104000.0 - uy) / 2200.0) AND j = floor((ux - 605000.0) / 2200.0)""")} SELECT species, round(boyce, 6) AS boyce, np AS n_presence, nb AS n_background FROM ext JOIN boy USING (species)""",
+    "geojson_pins": f"""WITH {OBS}, k AS (SELECT * FROM cleaned WHERE error IS NULL AND x IS NOT NULL), {_inverse('x', 'y', 'g', 'k')}
+      SELECT id, '{{"type":"Feature","properties":{{' || concat_ws(',', '"species":"' || species || '"', '"phase":"' || phase || '"', '"weight_g":' || round_even(weight_g, 1)::VARCHAR, '"is_blank":' || is_blank, '"photo":' || photo::VARCHAR) || '}},"geometry":{{"type":"Point","coordinates":[' || round_even(lon, 5)::VARCHAR || ',' || round_even(lat, 5)::VARCHAR || ']}}}}' AS geojson FROM g""",
     "suitability_table": f"""{S}, other AS (SELECT species, round(m_host * {_mean([('elevation', 2.0), ('aspect', 1.0), ('soil_ph', 1.0)])} * m_habitat_gate, 9) AS score FROM members WHERE species IN ('boletus_edulis', 'cantharellus_cibarius')),
       t AS (SELECT species, score FROM scored WHERE species NOT IN ('boletus_edulis', 'cantharellus_cibarius') UNION ALL SELECT * FROM other)
       SELECT species, count(*) AS n_cells, count(*) FILTER (WHERE {ABOVE}) AS n_above, round(avg(score::FLOAT::DOUBLE), 5) AS mean_score FROM t GROUP BY 1""",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dynamic_score, grid, projection, static_score
@@ -365,7 +365,7 @@ def colour_grid(s, d):
 def point_lookup(s, d):
     """The served score under each cell's centre, for every species."""
     served, grid = _served(s, d)
-    x, y = projection.mercator_forward(*projection.utm_inverse(F.col("x"), F.col("y") + 3000.0))
+    x, y = projection.mercator_forward(*projection.utm_inverse(F.col("x"), F.col("y")))
     points = a.cells(s, d).select("cell_key", x.alias("mx"), y.alias("my")).crossJoin(F.broadcast(p.profiles(s).select("species")))
     made = rasters.lookup(points, served, (grid["west"], grid["south"], grid["east"], grid["north"]), grid["nx"], grid["ny"])
     return made.select("cell_key", "species", F.round("score", 6).alias("score"))
@@ -385,7 +385,16 @@ def _served(s, d):
 
 def served_rows(s, d):
     served, grid = _served(s, d)
-    return rasters.packed_rows(served, grid["nx"]).withColumns({"nx": F.lit(grid["nx"]), "ny": F.lit(grid["ny"])})
+    bounds = {side: F.round(F.lit(grid[side]), 3) for side in ("west", "south", "east", "north")}
+    return rasters.packed_rows(served, grid["nx"]).withColumns({"nx": F.lit(grid["nx"]), "ny": F.lit(grid["ny"])} | bounds)
+
+
+def overlay_bounds(s, d):
+    """Each map's overlay in degrees: how many of its cells are visible, and its box, size and largest value."""
+    made, grid = _projected(s, d, "4326", 0.02, False)
+    value, alpha = rasters.colour(F.round("score", 9))
+    found = made.groupBy("species").agg(F.count_if(alpha > 0).alias("n_visible"), F.round(F.max(value), 6).alias("largest"))
+    return found.withColumns({side: F.round(F.lit(grid[side]), 6) for side in ("west", "south", "east", "north")} | {n: F.lit(grid[n]) for n in ("nx", "ny")})
 
 
 def overlay_grid(s, d):
@@ -412,6 +421,73 @@ def species_list(s, d):
     return suitability.species(s, path)
 
 
+def species_menu(s, d):
+    """The species that have candidate cells, in the order of their common names."""
+    have = scored(s, d).where(spots.above()).groupBy("species").agg(F.count("*").alias("n_candidates"))
+    made = p.profiles(s).join(have, "species").select("species", "common_name", "n_candidates")
+    return made.withColumn("place", F.row_number().over(Window.orderBy("common_name", "species")))  # a row a species
+
+
+def _box(s, d):
+    """The cells' box in degrees."""
+    lat, lon = projection.utm_inverse(F.col("x"), F.col("y"))
+    return a.cells(s, d).agg(F.min(lat).alias("lat_min"), F.max(lat).alias("lat_max"), F.min(lon).alias("lon_min"), F.max(lon).alias("lon_max")).first().asDict()
+
+
+def grid_cells(s, d):
+    """The static grid over the cells' box in steps of 1 km, with the number of cells in each square."""
+    made = grid.static_grid(s, _box(s, d), 1000.0)
+    held = a.cells(s, d).groupBy(F.floor(F.col("x") / 1000.0).alias("col"), F.floor(F.col("y") / 1000.0).alias("row")).agg(F.count("*").alias("n_cells"))
+    return made.join(held, ["col", "row"], "left").select("col", "row", "x", "y", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.coalesce("n_cells", F.lit(0)).alias("n_cells"))
+
+
+def map_cells(s, d):
+    """The map grid over the cells' box in steps of 2 km, with the best score of each species."""
+    box = _box(s, d)
+    made = grid.map_grid(s, box, 2000.0)
+    first = made.where("i = 0 AND j = 0").first()
+    at = {"i": F.floor((F.lit(first.y + 1000.0) - F.col("y")) / 2000.0).cast("int"), "j": F.floor((F.col("x") - F.lit(first.x - 1000.0)) / 2000.0).cast("int")}
+    best = scored(s, d).withColumns(at).groupBy("i", "j", "species").agg(F.max("score").alias("score"))
+    return made.join(best, ["i", "j"], "left").select("i", "j", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "species", F.round("score", 6).alias("score"))
+
+
+def grid_dimensions(s, d):
+    """Columns, rows and cells of the static grid over the cells' box, from two of its corners."""
+    return grid.dimensions(s, _box(s, d), 100.0)
+
+
+def named_places(s, d):
+    """Cells with the name that was landed for their coordinates: for every third cell, and some more at the same places."""
+    lat, lon = projection.utm_inverse(F.col("x"), F.col("y"))
+    points = a.cells(s, d).select("cell_key", lat.alias("lat"), lon.alias("lon"))
+    name = F.concat(F.lit("place "), F.col("cell_key").cast("string"))
+    landed = points.where("cell_key % 3 = 0").select("lat", "lon", name.alias("name")).unionByName(points.where("cell_key % 6 = 0").select("lat", "lon", F.concat(F.lit("a "), name).alias("name")))
+    return vectors.lookup_by_coordinates(points, landed).select("cell_key", "name")
+
+
+def scene_selection(s, d):
+    """The composite of the scenes of a month that touch the area and are clear enough."""
+    catalogue = a.scenes(s, d).groupBy(F.col("scene").alias("scene_id")).agg(F.max("cloud_cover").cast("double").alias("cloud_cover"), F.count("*").alias("n"))
+    west = 10.0 + (F.col("scene_id") % 4) * 1.2
+    catalogue = catalogue.withColumns({"scene_date": F.date_format(F.date_add(F.lit("2024-07-01").cast("date"), F.col("scene_id") * 9), "yyyy-MM-dd"), "lon_min": west, "lon_max": west + 1.0, "lat_min": F.lit(45.0), "lat_max": F.lit(46.0)})
+    chosen = feeds.scenes(catalogue, "2024-07-05", "2024-08-31", grid.AREA)
+    rows = a.scenes(s, d).join(chosen.select(F.col("scene_id").alias("scene")), "scene", "left_semi")
+    return rasters.composite(rasters.scene_indices(rows)).withColumns({c: F.round(c, 6) for c in ("ndvi", "nbr", "canopy_alive")})
+
+
+def random_validation(s, d):
+    """The index of each species from the clean observations that have coordinates, against random points of the area, as many
+    as cells."""
+    seen = observations.clean(a.observations(s, d)).where("error IS NULL AND x IS NOT NULL AND species IS NOT NULL").select("species", "x", "y")
+    x, y = projection.utm_forward(F.col("lat"), F.col("lon"))
+    ground = feeds.background(s, a.cells(s, d).count(), {"lat_min": 45.65, "lat_max": 46.1, "lon_min": 10.35, "lon_max": 11.5}, 7).select(x.alias("x"), y.alias("y"))
+    return evaluate.validate(seen, ground, _map(s, d), (EXTENT[0], EXTENT[3]), 2200.0).withColumn("boyce", F.round("boyce", 6))
+
+
+def geojson_pins(s, d):
+    return publish.pin_features(observations.pins(observations.clean(a.observations(s, d)).where("error IS NULL")))
+
+
 def tile_manifest(s, d):
     """The elevation tiles of one degree that the cells need, less those that are there."""
     lat, lon = projection.utm_inverse(F.col("x"), F.col("y"))
@@ -724,7 +800,7 @@ QUERIES = {
         geology_nearest, geology_merged, forest_host, layer_merge, suitability_at, cell_ids, cell_centers, cell_polygons, projected_round_trip, homolosine,
         quantised_grid, colour_grid, point_lookup, regrid_nearest, regrid_bilinear, observations_clean, observation_cells, observation_pins,
         occurrence_summary, geojson_spots, geojson_phases, host_coverage, tile_lookup, terrain_at, landcover_at, landcover_window, forest_regions, served_rows, overlay_grid,
-        suitability_table, species_list, tile_manifest, soil_extent, occurrence_ingest, geojson_occurrences, polygon_ingest, polygon_ingest_counters, polygon_repair, polygon_repair_counters, stream_daily,
+        suitability_table, species_list, species_menu, grid_cells, map_cells, grid_dimensions, named_places, scene_selection, random_validation, geojson_pins, overlay_bounds, tile_manifest, soil_extent, occurrence_ingest, geojson_occurrences, polygon_ingest, polygon_ingest_counters, polygon_repair, polygon_repair_counters, stream_daily,
         stream_phases, stream_features, stream_gaps, stream_observations, hourly_feed, feed_mismatches, ingest_windows, polygon_table, canopy_table, species_validation, profile_quality,
     )
 } | {f"top_spots_{mode}": _top(mode) for mode in ("static", "dynamic", "both")}

@@ -133,7 +133,7 @@ def projected_box(spark: SparkSession, box: dict, margin: float = 3000.0) -> Dat
 
 def background(spark: SparkSession, n: int, box: dict, seed: int = 0) -> DataFrame:
     """n uniform points in the box; the same for a seed, however the rows are partitioned."""
-    unit = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    unit = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", "id", F.lit(seed), F.lit(k))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     return spark.range(n).select((box["lat_min"] + unit(1) * (box["lat_max"] - box["lat_min"])).alias("lat"), (box["lon_min"] + unit(2) * (box["lon_max"] - box["lon_min"])).alias("lon"))
 
 

@@ -12,13 +12,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Host classes in the order of the forest category codes.
-HOST_CLASSES = [
-    "pecceta", "pecceta_secondaria", "abetina", "larici_cembreto", "faggeta", "mugheta", "pineta_silvestre", "pineta_nera",
-    "castagneto", "querceto", "querceto_rovere", "querco_carpineto", "orno_ostrieto", "lecceta", "acero_frassineto",
-    "frassineto", "alneto", "altre_latifoglie", "latifoglie_sempreverdi", "formazione_marginale",
-]
-CATEGORY_CODES = ["PE", "PF", "AB", "LC", "FA", "MU", "PS", "PN", "CA", "QV", "QR", "QC", "OS", "LE", "AF", "FR", "AL", "AN", "LS", "AM"]
+# The host class of each forest category code, in the order of the codes' legend.
+CROSSWALK = {
+    "PE": "pecceta", "PF": "pecceta_secondaria", "AB": "abetina", "LC": "larici_cembreto", "FA": "faggeta",
+    "MU": "mugheta", "PS": "pineta_silvestre", "PN": "pineta_nera", "CA": "castagneto", "QV": "querceto",
+    "QR": "querceto_rovere", "QC": "querco_carpineto", "OS": "orno_ostrieto", "LE": "lecceta", "AF": "acero_frassineto",
+    "FR": "frassineto", "AL": "alneto", "AN": "altre_latifoglie", "LS": "latifoglie_sempreverdi", "AM": "formazione_marginale",
+}
+CATEGORY_CODES, HOST_CLASSES = list(CROSSWALK), list(CROSSWALK.values())
 CONIFER_CLASSES = ["pecceta", "pecceta_secondaria", "abetina", "larici_cembreto", "mugheta", "pineta_silvestre", "pineta_nera"]
 TROPHIC_MODES = ["mycorrhizal", "saprotrophic", "facultative"]
 HABITATS = ["forest", "grassland"]
