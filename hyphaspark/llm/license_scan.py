@@ -13,11 +13,13 @@ bounded sample of documents (``SAMPLE`` paragraphs, drawn by a hash; those that
 template, or mostly consist of a piece of one, are left out). A part of both is held out to calibrate: a temperature makes the
 probabilities honest, and the least probability that lets through at most ``FALSE_RATE`` of the held-out
 ``none`` paragraphs becomes the threshold below which a paragraph is ``unknown``. A prediction only
-counts if the paragraph also holds ``CONFIRM`` of the word pairs of one template of that family, and no
-negation stands within the two words before them.
+counts if the paragraph also holds ``CONFIRM`` of the word pairs of one template of that family, as many of those that no other
+family has, and every pair with a number (so another version, or a word put in, is another licence), and if no
+negation stands before them in their clause, unless an exception ("except", "unless") follows it. Sentences of licences that are no family here
+are trained as ``none``.
 
-The fit runs on the driver, on at most ``SAMPLE`` drawn paragraphs and the templates' variants (bounds of the
-labelled rows, whatever the corpus): mini-batches with a rate for each weight, over the non-zero features alone.
+The fit runs on the driver, on at most ``SAMPLE`` drawn paragraphs of at most ``LINE_CHARS`` characters and the templates' variants (bounds of the
+labelled rows, whatever the corpus; longer lines are scanned like all others, but not drawn): mini-batches with a rate for each weight, over the non-zero features alone.
 
 A text is never cut; a very long one is a slice of its own and needs about 60 bytes of memory a word. A null or empty text has no paragraphs and no finding. Ties between families go to the first by name.
 Rows are mapped one to one (repeated rows and null ids stay); only the named columns are read; an
@@ -26,6 +28,7 @@ empty table gives an empty result, and training on one uses the templates alone.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-BITS, SAMPLE, VARIANTS, CONFIRM, FALSE_RATE, MARGIN = 14, 4000, 60, 0.6, 0.001, 4
+BITS, SAMPLE, LINE_CHARS, VARIANTS, CONFIRM, FALSE_RATE, MARGIN, CLAUSE = 14, 4000, 2000, 60, 0.6, 0.001, 4, 20
 EPOCHS, BATCH, RATE = 15, 128, 0.5
 NONE = "none"
 
@@ -43,33 +46,43 @@ NONE = "none"
 TEMPLATES = {
     "agpl-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "This program is licensed under the GNU AGPL version 3", "SPDX-License-Identifier: AGPL-3.0-only"],
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License Version 2.0", "SPDX-License-Identifier: Apache-2.0"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"],
-    "cc0": ["Released under CC0 1.0 Universal.", "The author has dedicated this work to the public domain under CC0 1.0"],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License.", "Released under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause"],
+    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0"],
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "cc0": ["Released under CC0 1.0 Universal.", "The author has dedicated this work to the public domain under CC0 1.0", "SPDX-License-Identifier: CC0-1.0"],
     "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
     "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "You can redistribute it and or modify it under the terms of the GNU General Public License version 3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "lgpl": ["Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-2.1-or-later", "Licensed under the GNU Lesser General Public License, version 2.1.", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
     "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "proprietary": ["All rights reserved.", "This document is confidential and proprietary and may not be copied or distributed without permission"],
 }
-# Words that deny what follows.
-NEGATIONS = ("not", "never", "no", "cannot", "nor", "neither", "without")
+# Sentences of licences that are no family here.
+OTHERS = [
+    "SPDX-License-Identifier: ISC", "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: Unlicense", "SPDX-License-Identifier: EPL-2.0", "SPDX-License-Identifier: Artistic-2.0", "SPDX-License-Identifier: WTFPL", "SPDX-License-Identifier: BSL-1.0", "SPDX-License-Identifier: EUPL-1.2",
+    "Licensed under the Apache License, Version 1.1.", "Licensed under CC BY-ND 4.0.", "Licensed under CC BY-NC-ND 4.0.", "Licensed under the Eclipse Public License, version 2.0.", "Released under the ISC License.", "Licensed under the European Union Public Licence, version 1.2.", "Released under the Artistic License, version 2.0.", "Released under the zlib License.",
+]
+# Words that deny what follows, and words that allow part of it again.
+NEGATIONS = ("not", "never", "no", "cannot", "nor", "neither", "without", "none", "nothing", "isn", "aren", "wasn", "don", "doesn", "didn", "won", "can't")
+EXCEPTIONS = ("except", "unless", "only")
 
 _BREAK = np.ones(256, bool)  # bytes that end a word of a licence text
 _BREAK[48:58] = _BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
 _NEWLINE = np.arange(256) == 10
+_STOP = np.isin(np.arange(256), np.frombuffer(b".;!?", np.uint8))
 
 
 def _paragraphs(data: np.ndarray, offsets: np.ndarray):
-    """Paragraph offsets of the texts, word offsets of the paragraphs, and the words' hashes."""
+    """Paragraph offsets of the texts, word offsets of the paragraphs, the words' hashes, where paragraphs start, and which words begin a
+    clause (behind a stop and white space)."""
     starts, ends, at = shared.spans(data, offsets, _NEWLINE)
     word_starts, word_ends, _ = shared.spans(data, offsets, _BREAK)
     words = shared.span_hashes(data, word_starts, word_ends, lower=True)
     edges = np.concatenate([np.searchsorted(word_starts, starts), [len(words)]])
-    return at, edges, words, (starts, ends)
+    stops = np.flatnonzero(_STOP[data[:-1]] & shared._SPACE[data[1:]]) if len(data) else np.zeros(0, np.int64)
+    clause = np.diff(np.searchsorted(stops, word_starts), prepend=-1) > 0
+    return at, edges, words, starts, clause
 
 
 def _features(words: np.ndarray, edges: np.ndarray):
@@ -90,13 +103,18 @@ def _of_strings(texts: list[str]):
     return shared.span_hashes(data, starts, ends, lower=True), at
 
 
-def _template_pairs() -> list[tuple[int, np.ndarray]]:
-    """(family, distinct word pairs) of each template."""
-    out = []
+def _template_pairs() -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(family, distinct word pairs, which of them no other family has, which hold a number) of each template."""
+    made, families = [], {}
     for f, family in enumerate(sorted(TEMPLATES)):
-        words, at = _of_strings(TEMPLATES[family])
-        out += [(f, np.unique(shared.windows(words[lo:hi], 2))) for lo, hi in zip(at[:-1], at[1:], strict=True)]
-    return out
+        for template in TEMPLATES[family]:
+            words, _ = _of_strings([template])
+            plain = re.findall(r"[0-9a-z]+", template.lower())
+            pairs, first = np.unique(shared.windows(words, 2), return_index=True)
+            made.append((f, pairs, np.array([plain[i].isdigit() or plain[i + 1].isdigit() for i in first.tolist()], bool)))
+            for pair in pairs.tolist():
+                families.setdefault(pair, set()).add(f)
+    return [(f, pairs, np.array([len(families[x]) == 1 for x in pairs.tolist()], bool), number) for f, pairs, number in made]
 
 
 def _like_templates(words: np.ndarray, at: np.ndarray, templates: list[tuple[int, np.ndarray]]) -> np.ndarray:
@@ -106,7 +124,7 @@ def _like_templates(words: np.ndarray, at: np.ndarray, templates: list[tuple[int
     inside = owner[:-1] == owner[1:] if len(owner) else np.zeros(0, bool)
     pairs, owner = pairs[inside], owner[:-1][inside]
     sizes, out = np.bincount(owner, minlength=len(at) - 1), np.zeros(len(at) - 1, bool)
-    for _, t in templates:
+    for _, t, *_ in templates:
         hit = np.isin(pairs, t)
         n = np.bincount(owner[hit], minlength=len(out))
         out |= (sizes > 1) & (2 * n >= sizes)
@@ -151,7 +169,7 @@ def _fit(slots: np.ndarray, edges: np.ndarray, labels: np.ndarray, k: int, rng:
 
 def train(df: DataFrame, text_col: str = "text", seed: int = 3) -> dict:
     """The classifier, its temperature and its threshold."""
-    lines = df.select(F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("p")).where(F.length(F.trim("p")) > 0)
+    lines = df.select(F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("p")).where((F.length(F.trim("p")) > 0) & (F.length("p") <= LINE_CHARS))
     part = F.pmod(F.xxhash64("p"), F.lit(max(1, df.count() // SAMPLE)))  # a slice of the distinct lines
     drawn = lines.where(part == 0).distinct().orderBy(F.xxhash64("p"), "p").limit(SAMPLE)
     some = sorted(drawn.toArrow()["p"].to_pylist())
@@ -170,6 +188,12 @@ def train(df: DataFrame, text_col: str = "text", seed: int = 3) -> dict:
                 cut = int(rng.integers(0, len(around) + 1))
                 texts.append(" ".join([*around[:cut], *kept, *around[cut:]]))
                 labels.append(f)
+    for other in OTHERS:
+        for v in range(VARIANTS // 2):
+            around = picked(0, 12) if v else []
+            cut = int(rng.integers(0, len(around) + 1))
+            texts.append(" ".join([*around[:cut], other, *around[cut:]]))
+            labels.append(len(families))
     for _ in range(VARIANTS * 6):  # pieces of templates out of order are none
         mixed = picked(3, 15) + [w for t in TEMPLATES.values() for w in rng.choice(t[0].split(), 1)][: rng.integers(0, 4)]
         texts.append(" ".join(rng.permutation(mixed)))
@@ -196,9 +220,9 @@ def _windows(words: np.ndarray, block: np.ndarray, templates: list[tuple[int, np
     with most pairs."""
     pairs = shared.windows(words, 2)
     inside = block[:-1] == block[1:] if len(block) else np.zeros(0, bool)
-    places = np.flatnonzero(np.isin(pairs, np.concatenate([t for _, t in templates])) & inside)
+    places = np.flatnonzero(np.isin(pairs, np.concatenate([t for _, t, *_ in templates])) & inside)
     found = []
-    for _, t in templates:
+    for _, t, *_ in templates:
         slot = np.minimum(np.searchsorted(t, pairs[places]), len(t) - 1)
         hit = t[slot] == pairs[places]
         at, slot = places[hit], slot[hit]
@@ -232,39 +256,52 @@ def _classify(words: np.ndarray, edges: np.ndarray, m: dict) -> tuple[np.ndarray
 
 
 _DENIED, _ = _of_strings([" ".join(NEGATIONS)])
+_ALLOWED, _ = _of_strings([" ".join(EXCEPTIONS)])
+
+
+def _denied(words: np.ndarray, begin: int, first: int, end: int) -> bool:
+    """Whether words begin..first, the clause before a match that ends at ``end`` (its last ``CLAUSE`` words at most), hold a negation
+    with no exception behind it."""
+    begin = max(begin, first - CLAUSE)
+    negations = np.flatnonzero(np.isin(words[begin:first], _DENIED))
+    return len(negations) > 0 and not np.isin(words[begin + negations[-1] : end], _ALLOWED).any()
 
 
-def _match(words: np.ndarray, lo: int, hi: int, begin: int, family: int, m: dict) -> float:
-    """The largest share of a template of the family that words lo..hi hold; 0 if a negation stands in the two
-    words before the first of its pairs (from ``begin`` on)."""
+def _match(words: np.ndarray, lo: int, hi: int, clauses: np.ndarray, family: int, m: dict) -> float:
+    """The largest share of a template of the family that words lo..hi hold, among those whose numbers and enough of whose
+    own pairs are there; 0 if the clause denies it. ``clauses`` has the first word of each word's clause."""
     best = 0.0
     own = shared.windows(words[lo:hi], 2)
-    for f, t in m["templates"]:
+    for f, t, alone, number in m["templates"]:
         hit = np.isin(own, t) if f == family and len(t) else np.zeros(0, bool)
         if hit.any():
-            first = lo + int(hit.argmax())
-            denied = np.isin(words[max(begin, first - 2) : first], _DENIED).any()
-            best = max(best, 0.0 if denied else len(np.unique(own[hit])) / len(t))
+            held = np.isin(t, own[hit])
+            if held[number].all() and held[alone].sum() >= CONFIRM * alone.sum():
+                first = lo + int(hit.argmax())
+                denied = _denied(words, int(clauses[first]), first, lo + int(np.flatnonzero(hit)[-1]) + 2)
+                best = max(best, 0.0 if denied else float(held.mean()))
     return best
 
 
 def _find(data: np.ndarray, offsets: np.ndarray, m: dict):
     """(text, paragraph, family, probability, match) of what the classifier does not call none."""
-    at, edges, words, (starts, _) = _paragraphs(data, offsets)
+    at, edges, words, starts, clause = _paragraphs(data, offsets)
     n = len(edges) - 1
     if n == 0:
         return
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
-    likely = lambda sure: (sure >= 0.5) | (sure >= m["threshold"])
-    best, sure = _classify(words, edges, m)
-    found = {(int(p), int(best[p])): (float(sure[p]), _match(words, edges[p], edges[p + 1], edges[p], best[p], m)) for p in np.flatnonzero(likely(sure))}
-    # a line of white space breaks a block
+    # a line of white space breaks a block, and a block or a stop a clause
     line = np.repeat(np.arange(n), np.diff(edges))
     breaks = np.flatnonzero(data == 10)
     black = np.concatenate([[0], np.cumsum(~shared._SPACE[data])])
     blank = black[breaks[1:]] == black[breaks[:-1]]
     new = np.concatenate([[True], (text[1:] != text[:-1]) | (np.diff(np.searchsorted(breaks[:-1][blank], starts)) > 0)])
     block = np.cumsum(new)[line]
+    clause |= np.diff(block, prepend=-1) > 0
+    clauses = np.maximum.accumulate(np.where(clause, np.arange(len(words)), 0))
+    likely = lambda sure: (sure >= 0.5) | (sure >= m["threshold"])
+    best, sure = _classify(words, edges, m)
+    found = {(int(p), int(best[p])): (float(sure[p]), _match(words, edges[p], edges[p + 1], clauses, best[p], m)) for p in np.flatnonzero(likely(sure))}
     spans = _windows(words, block, m["templates"])
     if spans:
         wide = [(max(lo - MARGIN, int(np.searchsorted(block, block[lo]))), min(hi + MARGIN, int(np.searchsorted(block, block[lo], "right")))) for lo, hi in spans]
@@ -274,7 +311,7 @@ def _find(data: np.ndarray, offsets: np.ndarray, m: dict):
         best, sure = best[surer], sure[surer]
         for k in np.flatnonzero(likely(sure)):
             (lo, hi), family = spans[k], int(best[k])
-            held = _match(words, lo, hi, int(np.searchsorted(block, block[lo])), family, m)
+            held = _match(words, lo, hi, clauses, family, m)
             confirmed = sure[k] >= m["threshold"] and held >= CONFIRM
             first, last = int(line[lo]), int(line[hi - 1])
             if confirmed:
