@@ -6,9 +6,11 @@ more round. A query looks into ``probes`` buckets of each table, those whose axe
 first over the hashes together. All candidates are ranked by their exact cosine on the original vectors, in double
 precision.
 
+Vectors are hashed relative to the mean of all unit vectors, for vectors that share a direction would crowd into its buckets.
 How many hashes, tables and probes it takes follows from the data (``plan``): a bounded sample of ``SAMPLE``
-queries is compared with every row once, which gives the cosines that neighbours have in this table, and pairs of
-vectors with such cosines are put through the very hashes. Of the settings that find ``WANTED`` of them the one
+queries is compared with every row once, which gives the cosines that neighbours have in this table (relative to the mean), and pairs of
+vectors with such cosines are put through the very hashes. How many rows the probes of these queries meet is counted
+over all rows (``_met``), so uneven buckets are planned for as they are. Of the settings that find ``WANTED`` of the pairs the one
 with the least work is taken: vectors without structure need many probes of few hashes, clustered or very many
 ones few probes of more hashes. Where no setting finds as many, as for wide vectors without any structure, queries
 are compared with all rows, in blocks; so are queries that find fewer than ``k`` candidates.
@@ -38,6 +40,7 @@ from . import shared
 
 BLOCK, ROUNDS, SAMPLE, WANTED, PAIRS = 4096, 3, 128, 0.95, 64
 TABLES, FUNCTIONS, PROBES = (8, 16), (1, 2, 3), (1, 2, 3, 5, 8, 12, 18, 27, 40, 60)
+TRIED = 2  # tables in which the rows that probes meet are counted
 COPY = 50  # comparisons that weigh as much as sending a vector to a block
 
 
@@ -74,9 +77,11 @@ def _rotations(units: np.ndarray, tables: int, functions: int, seed: int):
         yield out
 
 
-def _units(x: np.ndarray) -> np.ndarray:
+def _units(x: np.ndarray, mean: np.ndarray | float = 0.0) -> np.ndarray:
+    """Unit vectors, or their directions from the ``mean`` of such."""
     x = x / np.abs(x).max(1, keepdims=True)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) - mean
+    return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
 def _bucket(rotated: list[np.ndarray]) -> np.ndarray:
@@ -129,18 +134,19 @@ def _found(cosines: np.ndarray, width: int, dims: int, functions: int, tables: i
     return np.array(out)
 
 
-def plan(cosines: np.ndarray, width: int, dims: int, rows: int, queries: int, seed: int = 11) -> dict | None:
+def plan(cosines: np.ndarray, width: int, dims: int, rows: int, queries: int, met: np.ndarray | None = None, seed: int = 11) -> dict | None:
     """The setting with the least work that finds ``WANTED`` of neighbours at such cosines: functions,
     tables, probes, found (the share of pairs found) and scanned (what a query is compared with, as a share of the
-    rows, if buckets are even; less than 1). None if no setting does."""
+    rows; less than 1). ``met`` has the share of the rows that a table's probes meet (functions x PROBES); without it buckets count as
+    even. None if no setting does."""
     some = np.quantile(cosines, (np.arange(12) + 0.5) / 12)
     best, least = None, np.inf
-    for functions in FUNCTIONS:
+    for f, functions in enumerate(FUNCTIONS):
         share = _found(some, width, dims, functions, max(TABLES), seed)
         if share[-1, -1] < WANTED:
             break  # more hashes find less
         for tables, (i, probes) in product(TABLES, enumerate(PROBES)):
-            scanned = tables * probes / (2 * width) ** functions
+            scanned = tables * (probes / (2 * width) ** functions if met is None else float(met[f, i]))
             work = rows * scanned + COPY * tables * (probes + rows / max(1, queries) / 64)
             if share[tables - 1, i] >= WANTED and scanned < 1 and work < least:
                 least, best = work, {"functions": functions, "tables": tables, "probes": probes, "found": float(share[tables - 1, i]), "scanned": scanned}
@@ -167,7 +173,7 @@ def _vectors(column, width: int, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(v.as_buffer() for v in column), kind).reshape(-1, width).astype(np.float64)
 
 
-def _hasher(width: int, kind: str, functions: int, tables: int, probes: int, seed: int, with_vec: bool = True):
+def _hasher(width: int, kind: str, mean: np.ndarray, functions: int, tables: int, probes: int, seed: int, with_vec: bool = True):
     """(tab, bucket, id, vec) rows: one a table, or one a probe for queries (``probes`` > 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +182,7 @@ def _hasher(width: int, kind: str, functions: int, tables: int, probes: int, see
                 part = batch.slice(lo, 1024)
                 if part.num_rows == 0:
                     continue
-                units = _units(_vectors(part.column(1), width, kind))
+                units = _units(_vectors(part.column(1), width, kind), mean)
                 for t, rotated in enumerate(_rotations(units, tables, functions, seed)):
                     for bucket in _probed(rotated, probes).T if probes else [_bucket(rotated)]:
                         there = pa.array(bucket >= 0)
@@ -236,22 +242,79 @@ def _cut(df: DataFrame, own: str, other: str, parts: Column, others: Column) ->
     return df.withColumn(own, F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), others - 1)))
 
 
-def _sampled(classes: DataFrame, queries: DataFrame, width: int, kind: str, k: int) -> np.ndarray:
-    """Cosines of the k nearest classes of a bounded sample of queries, each compared with every class."""
-    sample = queries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
-    q, ids = _vectors(sample["vec"], width, kind), sample["id"].to_numpy()
+def _mean(classes: DataFrame, width: int, kind: str) -> np.ndarray:
+    """The mean of the classes' unit vectors, to six decimals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(width), 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                x = _vectors(batch.column(0).slice(lo, BLOCK), width, kind)
+                x = x / np.abs(x).max(1, keepdims=True)
+                total += (x / np.linalg.norm(x, axis=1, keepdims=True)).sum(0)
+                n += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(total), pa.array(np.full(width, n))], ["at", "total", "n"])
+
+    made = classes.select("vec").mapInArrow(run, "at int, total double, n long").groupBy("at").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).toArrow()
+    out = np.zeros(width)
+    out[made["at"].to_numpy()] = np.round(made["total"].to_numpy() / np.maximum(made["n"].to_numpy(), 1), 6)
+    return out
+
+
+def _sampled(classes: DataFrame, q: np.ndarray, ids: np.ndarray, mean: np.ndarray, width: int, kind: str, k: int) -> np.ndarray:
+    """Cosines, relative to the mean, of the k nearest classes of some queries, each compared with every class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = _units(q, mean).astype(np.float64)
+        place = {i: n for n, i in enumerate(ids.tolist())}
         for batch in batches:
             for lo in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(lo, BLOCK)
                 if part.num_rows:
-                    cols = _best_of(q, ids, _vectors(part.column(1), width, kind), part.column(0).to_numpy(), k + 1)
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], schema=_BEST)
+                    r, r_id = _vectors(part.column(1), width, kind), part.column(0).to_numpy()
+                    cols = _best_of(q, ids, r, r_id, k + 1)
+                    at = np.argsort(r_id, kind="stable")[np.searchsorted(np.sort(r_id), cols[1])]
+                    own = (near[[place[i] for i in cols[0].tolist()]] * _units(r, mean)[at]).sum(1)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (*cols, own))], ["q", "id", "score", "own"])
 
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    best = classes.select("id", "vec").mapInArrow(run, _FOUND).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
-    return best.where("id <> q").select("score").toArrow()["score"].to_numpy()
+    best = classes.select("id", "vec").mapInArrow(run, f"{_FOUND}, own double").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    return best.where("id <> q").select("own").toArrow()["own"].to_numpy()
+
+
+def _met(classes: DataFrame, q: np.ndarray, mean: np.ndarray, width: int, kind: str, rows: int, seed: int) -> np.ndarray:
+    """The share of the classes that the probes of some queries meet in a table, for each number of hashes and of probes
+    (functions x PROBES): counted over all classes in ``TRIED`` tables, of which a task sends one number a bucket that is asked for."""
+    asked = {}  # (functions, table): buckets by query and probe, the distinct ones, and the places of the first among these
+    for f in FUNCTIONS:
+        for t, rotated in enumerate(_rotations(_units(q, mean), TRIED, f, seed)):
+            buckets = _probed(rotated, PROBES[-1])
+            asked[f, t] = (buckets, *np.unique(buckets, return_inverse=True))
+    starts = np.cumsum([0, *(len(v[1]) for v in asked.values())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(starts[-1], np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                units = _units(_vectors(batch.column(0).slice(lo, 1024), width, kind), mean)
+                for f in FUNCTIONS if len(units) else ():
+                    for t, rotated in enumerate(_rotations(units, TRIED, f, seed)):
+                        distinct = asked[f, t][1]
+                        bucket = _bucket(rotated)
+                        at = np.minimum(np.searchsorted(distinct, bucket), len(distinct) - 1)
+                        first = starts[list(asked).index((f, t))]
+                        counts[first : first + len(distinct)] += np.bincount(at[distinct[at] == bucket], minlength=len(distinct))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["at", "n"])
+
+    made = classes.select("vec").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(starts[-1], np.int64)
+    counts[made["at"].to_numpy()] = made["n"].to_numpy()
+    out = np.zeros((len(FUNCTIONS), len(PROBES)))
+    for (f, _), first, (buckets, distinct, at) in zip(asked, starts, asked.values(), strict=False):
+        held = np.where(buckets >= 0, counts[first : first + len(distinct)][at.reshape(buckets.shape)], 0).cumsum(1)
+        out[FUNCTIONS.index(f)] += held[:, [p - 1 for p in PROBES]].mean(0) / TRIED / max(1, rows)
+    return out
 
 
 def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 11, setting: dict | None = None) -> DataFrame:
@@ -271,11 +334,14 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     queries = shared.stage(askers.select("id", "vec"), "queries")
     asking = shared.stage(asking.join(queries, "vec").select("vec_id", F.col("id").alias("q")), "asking")
     n, n_queries = classes.count(), queries.count()
+    mean = _mean(classes, width, kind)
     if setting is None and n_queries:
-        cosines = _sampled(classes, queries, width, kind, k)
-        setting = plan(cosines, width, dims, n, n_queries, seed) if len(cosines) else None
+        sample = queries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+        q, q_ids = _vectors(sample["vec"], width, kind), sample["id"].to_numpy()
+        cosines = _sampled(classes, q, q_ids, mean, width, kind, k)
+        setting = plan(cosines, width, dims, n, n_queries, _met(classes, q, mean, width, kind, n, seed), seed) if len(cosines) else None
     if setting:
-        hashed = lambda d, probes, vec=True: d.select("id", "vec").mapInArrow(_hasher(width, kind, setting["functions"], setting["tables"], probes, seed, vec), _HASHED)
+        hashed = lambda d, probes, vec=True: d.select("id", "vec").mapInArrow(_hasher(width, kind, mean, setting["functions"], setting["tables"], probes, seed, vec), _HASHED)
         # Buckets of more than a block's rows or queries are cut.
         sizes = lambda d, c: d.groupBy("tab", "bucket").count().where(F.col("count") > BLOCK).select("tab", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias(c))
         large = sizes(hashed(classes, 0, False), "r_parts").join(sizes(hashed(queries, setting["probes"], False), "q_parts"), ["tab", "bucket"], "full")

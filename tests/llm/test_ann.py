@@ -106,3 +106,47 @@ def test_copies(spark):
     out = found(df, 2)
     assert [out[k] for k in (0, 12, 240)] == [[3, 6, 9, 12, 15], [0, 3, 6, 9, 15], [0, 3, 6, 9, 12]]
     assert len(out) == 150 and all(len(v) == 5 and q not in v for q, v in out.items())
+
+
+@pytest.mark.parametrize("weight", [0.0, 1.0, 1.5, 3.0])
+def test_vectors_that_share_a_direction(spark, weight):
+    """A common mean, as embeddings have it, neither crowds the buckets nor costs recall; the plan knows how much is compared."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    common = rng.normal(size=64)
+    x = (x + weight * common / np.linalg.norm(common)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    packed = df.select("vec_id", "embedding").mapInArrow(ann._packer(64, "<f4"), "vec_id long, vec binary").withColumnRenamed("vec_id", "id").cache()
+    mean, q = ann._mean(packed, 64, "<f4"), x[::50].astype(np.float64)
+    units = ann._units(x.astype(np.float64), mean)
+    near = x.astype(np.float64) / np.linalg.norm(x, axis=1, keepdims=True)
+    order = np.argsort(-(near[::50] @ near.T), axis=1)[:, 1:6]
+    cosines = (units[::50][:, None, :] * units[order]).sum(2).ravel()
+    assert np.allclose(np.sort(ann._sampled(packed, q, np.arange(0, 6000, 50), mean, 64, "<f4", 5)), np.sort(cosines), atol=1e-4)
+    setting = ann.plan(cosines, 64, 64, 6000, 120, ann._met(packed, q, mean, 64, "<f4", 6000, 11))
+    scanned = 0.0
+    for rotated in ann._rotations(units, setting["tables"], setting["functions"], 11):
+        buckets, counts = np.unique(ann._bucket(rotated), return_counts=True)
+        held = dict(zip(buckets.tolist(), counts.tolist()))
+        scanned += np.mean([sum(held.get(b, 0) for b in row) for row in ann._probed([r[::50] for r in rotated], setting["probes"]).tolist()]) / 6000
+    assert scanned <= 1.5 * setting["scanned"] and setting["scanned"] < 1, (scanned, setting)
+    got = found(df)
+    want = {q: set((order[q // 50]).tolist()) for q in range(0, 6000, 50)}
+    assert sum(len(set(got[q]) & w) for q, w in want.items()) >= 0.9 * 5 * len(want)
+
+
+@pytest.mark.parametrize("dims", [256, 512])
+def test_hashing_of_wide_vectors(spark, dims):
+    """Recall of the hashing itself, where neighbours are near enough for a plan."""
+    rng = np.random.default_rng(dims)
+    centres = rng.normal(size=(400, dims))
+    x = (np.repeat(centres, 8, 0) + 0.6 * rng.normal(size=(3200, dims))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    near = x.astype(np.float64) / np.linalg.norm(x, axis=1, keepdims=True)
+    order = np.argsort(-(near[::50] @ near.T), axis=1, kind="stable")[:, 1:6]
+    cosines = np.sort((near[::50][:, None, :] * near[order]).sum(2).ravel())
+    setting = ann.plan(cosines, dims, dims, 3200, 64)
+    assert setting and setting["scanned"] < 0.5
+    got = found(df, setting=setting)
+    assert sum(len(set(got[q]) & set(order[q // 50].tolist())) for q in range(0, 3200, 50)) >= 0.9 * 5 * 64
