@@ -6,7 +6,7 @@
 2. Shingles are ordered by (bucket count, hash): one total order for all documents, rare ones first.
    A set of n shingles sends its first ``n - ceil(t n) + 1`` shingles to the join, each with its
    position and the set's size and histogram. Shingles that only one class has are dropped. A shingle
-   whose bucket counts more than ``LIST`` occurrences may have a long list: that is dealt over slots, and
+   whose bucket counts ``LIST`` occurrences more than the average bucket may have a long list: that is dealt over slots, and
    only the slots' ends are brought together.
 3. Rows that share a shingle become candidates if they pass the index-prefix, length, positional and
    suffix (histogram) filters. Each candidate pair is verified once on the whole sets.
@@ -15,6 +15,9 @@
    and contracts what is linked; the later full join only pairs classes that are not yet connected. A group of
    near copies thus costs a star of pairs, and no link between components is lost.
 
+Above some 30 GB of text the average bucket holds more than ``LIST`` shingles. The order of rare shingles then is mostly that of their
+hashes: results stay the same, as any order will do, but prefixes are less rare and candidates more.
+
 Hashes have 64 bits (see ``shared``); a wrong verdict needs a collision among them.
 
 Nulls and empty texts (or texts without a word) have an empty set: ``n_shingles`` 0, linked with
@@ -83,6 +86,7 @@ def _fingerprints(n: int):
 def _prefixes(n: int, percent: int, counts, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, seen = counts.value, set()
+        load = int(common.mean())  # what a bucket holds of rare shingles, which grows with the corpus
         for batch in batches:
             parts = []
             for _, hashes in _sets(batch.column(0), n):
@@ -95,7 +99,7 @@ def _prefixes(n: int, percent: int, counts, most: int):
                 keep = size - (percent * size + 99) // 100 + 1
                 often = common[hashes >> np.uint64(46)]
                 order = np.lexsort((hashes, often))[:keep]
-                slots = often[order] // most + 1
+                slots = np.maximum(often[order] - load, 0) // most + 1
                 slot = np.where(slots > 1, int(shared.mix(np.array([key], np.int64).view(np.uint64), 4)[0] >> np.uint64(1)) % slots, -1)
                 hist = np.minimum(np.bincount((hashes >> np.uint64(20)) & np.uint64(3), minlength=4), 0x7FFF)
                 sig = int(hist[0] | hist[1] << 16 | hist[2] << 32 | hist[3] << 48)

@@ -12,6 +12,7 @@ by one by XXH3, so no structure of a long text makes two different spans alike b
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -43,10 +44,28 @@ def stage(df: DataFrame, name: str = "stage", *used: DataFrame) -> DataFrame:
     df.write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._staged_at = path
+    for scope in _SCOPES:
+        scope.append(made)
     discard(*used)
     return made
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def stage_alone(*used: DataFrame):
+    """Gives a function like ``stage``; when the block ends, the last table it made is the only one that is left of all that were staged
+    within the block, and the tables ``used`` are gone too."""
+    scope: list[DataFrame] = []
+    _SCOPES.append(scope)
+    try:
+        yield stage
+    finally:
+        _SCOPES.remove(scope)
+    discard(*scope[:-1], *used)
+
+
 def staged_as(df: DataFrame, source: DataFrame) -> DataFrame:
     """``df``, which is made of the staged ``source`` alone, counts as its table."""
     df._staged_at = source._staged_at

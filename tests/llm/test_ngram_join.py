@@ -1,6 +1,10 @@
 import os
 import random
 import re
+import types
+
+import numpy as np
+import pyarrow as pa
 
 from hyphaspark.llm import ngram_join
 
@@ -67,6 +71,24 @@ def test_long_lists(spark, monkeypatch):
     assert sorted(tuple(r)[:3] for r in ngram_join.components(df).collect()) == brute(rows)
 
 
+def test_large_corpora_deal_no_more(spark):
+    """With the load of some 30 GB in every bucket the same prefixes are sent, and only lists beyond it are dealt."""
+    rng = np.random.default_rng(1)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 5000, 60)) for _ in range(40)])
+    few = np.zeros(ngram_join.BUCKETS, np.int64)
+    for _, hashes in ngram_join._sets(texts, 4):
+        np.add.at(few, hashes >> np.uint64(46), 1)
+    hot = next(hashes for _, hashes in ngram_join._sets(texts, 4))
+    few[hot >> np.uint64(46)] += 3 * ngram_join.LIST
+    sent = []
+    for counts in (few, few + 2 * ngram_join.LIST):
+        run = ngram_join._prefixes(4, 85, types.SimpleNamespace(value=counts), ngram_join.LIST)
+        sent.append(pa.Table.from_batches(list(run(iter([pa.RecordBatch.from_arrays([texts], ["text"])])))))
+    assert sent[0].equals(sent[1])
+    slots = sent[1]["slot"].to_numpy()
+    assert 0 < np.count_nonzero(slots >= 0) < len(slots) / 10
+
+
 def test_staged_tables_go(spark):
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     before = set(os.listdir(folder))

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -71,3 +72,12 @@ def test_edges(spark, tmp_path):
                 kept = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
                 assert kept == sorted([(1, a), (2, b), (None, rows[5][1]), (4, c), (5, rows[9][1])], key=str)
         assert (corpus_pipeline.run(spark, path).count() > 0) == (name == "some")
+
+
+def test_one_copy_of_the_texts_is_left(spark):
+    """Whatever the stages write on their way, the folder ends with the input of the last one alone."""
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("mix-") and out.count() > 0
