@@ -51,8 +51,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = shared.stage(stage(spark, docs, sf_dir), name)
+    """All stages over the documents, each written and read again. When a stage is written, its input and whatever it staged go."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, function in STAGES[:-1]:
+        with shared.stage_alone(*read) as stage:
+            docs = stage(function(spark, docs, sf_dir), name)
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
