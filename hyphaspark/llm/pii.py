@@ -477,9 +477,12 @@ def _windowing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(df: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` different windows of the texts, the smallest by hash."""
-    made = df.select(F.col(text_col).cast("string")).mapInArrow(_windowing, "window string").distinct()
-    found = [r["window"] for r in made.orderBy(F.xxhash64("window"), "window").limit(sample).collect()]
+    """A model from at most ``sample`` different windows of the texts, drawn by their hashes."""
+    made = shared.stage(df.select(F.col(text_col).cast("string")).mapInArrow(_windowing, "window string").distinct(), "windows")
+    part = max(1, made.count() // (2 * sample))  # of more windows than that only a slice is ordered
+    some = made.where(F.pmod(F.xxhash64("window"), F.lit(part)) == 0).orderBy(F.xxhash64("window"), "window").limit(sample)
+    found = [r["window"] for r in some.collect()]
+    shared.discard(made)
     return fit(examples(found))
 
 
