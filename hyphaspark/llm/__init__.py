@@ -1 +1 @@
-"""Training-data operators: ten text, vector and conversation operators built as Spark jobs."""
+"""Training-data operators: thirteen text, vector and conversation operators built as Spark jobs."""
