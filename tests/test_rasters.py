@@ -130,3 +130,12 @@ def test_polygon_files(spark, tmp_path):
     (tmp_path / "none").mkdir()
     with pytest.raises(ValueError):
         polygon_files.read(spark, str(tmp_path / "none"), ["CATEGORIA"])
+
+
+def test_summed_area_is_not_broadcast(spark):
+    """Exploded pixels look as small as the table that they come from; the driver must not collect them."""
+    pixels = spark.range(2).selectExpr("CAST(id AS INT) AS tile", "explode(sequence(0, 63)) AS row").selectExpr("tile", "row", "explode(sequence(0, 63)) AS col").selectExpr("*", "10 AS landcover")
+    placed = spark.createDataFrame([(k, 0, 11.001, 45.999, 3, 3, 1e-3, 1e-3, 11.0, 46.0, 64, 64) for k in range(3)], "k int, tile int, lon double, lat double, row int, col int, dx double, dy double, x0 double, y0 double, nx int, ny int")
+    made = rasters.cover_at(placed, rasters.summed_area(pixels), "k")
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in made.collect()} == {(k, 1.0, 0.0) for k in range(3)}
