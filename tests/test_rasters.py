@@ -139,3 +139,14 @@ def test_summed_area_is_not_broadcast(spark):
     made = rasters.cover_at(placed, rasters.summed_area(pixels), "k")
     assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in made.collect()} == {(k, 1.0, 0.0) for k in range(3)}
+
+
+def test_points_meet_only_tiles_nearby(spark):
+    """Many small tiles in one degree: a point meets those around it, not all of them."""
+    tiles = spark.range(900).selectExpr("id AS tile", "10.0D + (id % 30) * 0.02D AS x0", "46.0D + (id DIV 30 + 1) * 0.02D AS y0", "0.0025D AS dx", "0.0025D AS dy", "8 AS nx", "8 AS ny")
+    points = spark.range(2000).selectExpr("id AS k", "10.0D + (id * 7919 % 2003) / 2003.0D * 0.6D AS lon", "46.0D + (id * 104729 % 2003) / 2003.0D * 0.6D AS lat").cache()
+    got = rasters.on_tiles(points, tiles, "k")
+    want = {(r.k, r.tile) for r in points.join(tiles, F.expr("lon >= x0 AND lon < x0 + nx * dx AND lat < y0 AND lat >= y0 - ny * dy")).groupBy("k").agg(F.min("tile").alias("tile")).collect()}
+    run = got._jdf.queryExecution()
+    assert {(r.k, r.tile) for r in got.collect()} == want and len(want) > 1900
+    assert "/ 0.02)" in run.optimizedPlan().toString()  # squares of a tile's side
