@@ -150,3 +150,28 @@ def test_points_meet_only_tiles_nearby(spark):
     run = got._jdf.queryExecution()
     assert {(r.k, r.tile) for r in got.collect()} == want and len(want) > 1900
     assert "/ 0.02)" in run.optimizedPlan().toString()  # squares of a tile's side
+
+
+def test_terrain_at_sends_a_point_once(spark):
+    """Terrain at points is the stencil of their pixels, with nodata, gaps and borders left out; no row is made for each neighbour."""
+    rng = np.random.default_rng(4)
+    n, d = 12, 0.001
+    values = rng.integers(0, 50, (n, n)).astype(float)
+    pixels = frame(spark, values).where("NOT (row = 4 AND col = 7)")
+    tiles = spark.createDataFrame([(1, 11.0, 46.0, d, d, n, n)], "tile int, x0 double, y0 double, dx double, dy double, nx int, ny int")
+    points = spark.createDataFrame([(int(r * n + c), 11.0 + (c + 0.5) * d, 46.0 - (r + 0.5) * d) for r in range(n) for c in range(n)], "k int, lon double, lat double")
+    made = rasters.terrain_at(rasters.on_tiles(points, tiles, "k"), pixels, "k", nodata=0.0)
+    want = {}
+    for r in range(1, n - 1):
+        for c in range(1, n - 1):
+            z = values[r - 1 : r + 2, c - 1 : c + 2]
+            if (z == 0).any() or (abs(r - 4) <= 1 and abs(c - 7) <= 1):
+                continue
+            lat = np.radians(46.0 - (r + 0.5) * d)
+            x = (z[:, 2] * [1, 2, 1]).sum() - (z[:, 0] * [1, 2, 1]).sum()
+            y = (z[2] * [1, 2, 1]).sum() - (z[0] * [1, 2, 1]).sum()
+            want[r * n + c] = (z[1, 1], float(np.degrees(np.arctan(np.hypot(x / (8 * d * rasters.METRES_LON * np.cos(lat)), y / (8 * d * rasters.METRES_LAT))))))
+    got = {r.k: (r.elevation_m, r.slope_deg) for r in made.collect()}
+    assert got.keys() == want.keys() and len(want) > 20
+    assert all(got[k][0] == v[0] and abs(got[k][1] - v[1]) <= 0.0501 for k, v in want.items())
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") <= 2  # the bins of tiles alone
