@@ -347,7 +347,7 @@ ORACLE_SQL: dict[str, str] = {
       SELECT species, count(*) FILTER (WHERE score > 0.05) AS n_visible, round(max(least(1.0, greatest(0.0, score / 0.8))), 6) AS largest, round(any_value(west), 6) AS west, round(any_value(north - ny * 0.02::DOUBLE), 6) AS south, round(any_value(west + nx * 0.02::DOUBLE), 6) AS east, round(any_value(north), 6) AS north, any_value(nx)::INT AS nx, any_value(ny)::INT AS ny FROM v, box GROUP BY 1""",
     "species_menu": f"""{S}, have AS (SELECT species, count(*) AS n_candidates FROM scored WHERE {ABOVE} GROUP BY 1) SELECT species, common_name, n_candidates, row_number() OVER (ORDER BY common_name, species)::INT AS place FROM have JOIN (VALUES """ + ", ".join(f"({_q(x['id'])}, {_q(x['common_name'])})" for x in PROFILES) + """) AS c(species, common_name) USING (species)""",
     "grid_cells": f"""WITH {CELLS}, {_BOX}, b AS (SELECT floor(min(ux) / 1000.0)::BIGINT AS c0, floor(max(ux) / 1000.0)::BIGINT AS c1, floor(min(uy) / 1000.0)::BIGINT AS r0, floor(max(uy) / 1000.0)::BIGINT AS r1 FROM corner),
-      sq AS (SELECT c AS col, r AS row, (c + 0.5::DOUBLE) * 1000.0::DOUBLE AS px, (r + 0.5::DOUBLE) * 1000.0::DOUBLE AS py FROM b, range(0, 10000) t(c), range(0, 10000) u(r) WHERE c BETWEEN c0 AND c1 AND r BETWEEN r0 AND r1), {_inverse('px', 'py', 'ctr', 'sq')},
+      sq AS (SELECT c AS col, r AS row, (c + 0.5::DOUBLE) * 1000.0::DOUBLE AS px, (r + 0.5::DOUBLE) * 1000.0::DOUBLE AS py FROM (SELECT c, unnest(range(r0, r1 + 1)) AS r FROM (SELECT r0, r1, unnest(range(c0, c1 + 1)) AS c FROM b))), {_inverse('px', 'py', 'ctr', 'sq')},
       n AS (SELECT floor(x / 1000.0)::BIGINT AS col, floor(y / 1000.0)::BIGINT AS row, count(*) AS n_cells FROM cells GROUP BY 1, 2) SELECT col, row, px AS x, py AS y, round(lat, 6) AS lat, round(lon, 6) AS lon, coalesce(n_cells, 0) AS n_cells FROM ctr LEFT JOIN n USING (col, row)""",
     "map_cells": f"""{S}, {_BOX}, b AS (SELECT min(ux) AS x0, max(uy) AS y1, ceil((max(ux) - min(ux)) / 2000.0)::BIGINT AS nx, ceil((max(uy) - min(uy)) / 2000.0)::BIGINT AS ny FROM corner),
       best AS (SELECT floor((y1 - y) / 2000.0)::INT AS i, floor((x - x0) / 2000.0)::INT AS j, species, max(score) AS score FROM scored, b GROUP BY 1, 2, 3)
