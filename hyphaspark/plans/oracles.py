@@ -381,7 +381,8 @@ ORACLE_SQL: dict[str, str] = {
         AND q.col BETWEEN ceil((lon - x0 - 0.0025) / 0.0025 - 0.5) AND floor((lon - x0 + 0.0025) / 0.0025 - 0.5) GROUP BY 1, 2)
       SELECT DISTINCT region FROM frac WHERE f > 0.15 AND region % 8 <> 0""",
     "tile_manifest": f"""WITH {CELLS}, {_inverse('x', 'y', 'g', 'cells')}, b AS (SELECT floor(min(lat))::INT AS a0, floor(max(lat))::INT AS a1, floor(min(lon))::INT AS o0, floor(max(lon))::INT AS o1 FROM g)
-      SELECT printf('N%02d_E%03d', a, o) AS tile, a::INT AS lat, o::INT AS lon FROM b, range(90) r(a), range(180) q(o) WHERE a BETWEEN a0 AND a1 AND o BETWEEN o0 AND o1 AND (a + o) % 2 <> 0""",
+      SELECT printf('%s%02d_%s%03d', CASE WHEN a < 0 THEN 'S' ELSE 'N' END, abs(a), CASE WHEN o < 0 THEN 'W' ELSE 'E' END, abs(o)) AS tile, a::INT AS lat, o::INT AS lon
+        FROM (SELECT a, unnest(range(o0, o1 + 1)) AS o FROM (SELECT o0, o1, unnest(range(a0, a1 + 1)) AS a FROM b)) WHERE (a + o) % 2 <> 0""",
     "occurrence_ingest": f"""WITH rows AS (SELECT event_id, {_strings(sorted(p['id'] for p in PROFILES))}[event_id % 6 + 1] AS species, CASE WHEN event_id % 13 <> 0 THEN 44.5::DOUBLE + (event_id * 7919 % 3000) / 1000.0::DOUBLE END AS lat, 10.0::DOUBLE + (event_id * 104729 % 4000) / 1000.0::DOUBLE AS lon, year(ts)::INT AS year FROM events)
       SELECT species, lat, lon, year, event_id AS gbif_key FROM rows WHERE lat BETWEEN 45.2 AND 47.15 AND lon BETWEEN 10.35 AND 13.15 QUALIFY row_number() OVER (PARTITION BY species ORDER BY event_id) <= 1000""",
     "polygon_ingest": f"WITH {CELLS}, {POLYGONS} SELECT poly_id, attr, (1 + (poly_id % 3 = 0 OR poly_id % 5 = 0)::INT)::INT AS n_rings, (5 * (1 + (poly_id % 3 = 0 OR poly_id % 5 = 0)::INT))::INT AS n_points FROM polys WHERE poly_id % 11 <> 0 AND poly_id % 13 <> 0",

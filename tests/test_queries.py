@@ -60,7 +60,7 @@ def same(spark, con, path, name):
     return got
 
 
-@pytest.mark.parametrize("name", ["grid_cells"])
+@pytest.mark.parametrize("name", ["grid_cells", "tile_manifest"])
 def test_far_grids_like_sql(spark, duck, tmp_path, name):
     """Cells beyond 10,000 km and 180 degrees, where many customers lead: the SQL has no bounds of its own."""
     con = shifted(spark, duck, tmp_path, "orders", o_custkey=8 * 40 * (2270 if name == "grid_cells" else 2800))
