@@ -60,13 +60,14 @@ def windows(profile: DataFrame) -> list[int]:
 
 
 def finished(made: DataFrame, profile: DataFrame, key: str = "meteo_cell_id") -> DataFrame:
-    """Features of every species from a cell's last_date, rain_n for each window, temp, moist, recent and days_since_trigger."""
+    """Features of every species from a cell's last_date, rain_n for each window, temp, moist, recent and days_since_trigger. Sums of rain
+    are first rounded to six decimals, so that a sum halfway between two tenths does not depend on the order of its terms."""
     lengths = [int(c[5:]) for c in made.columns if c.startswith("rain_")]
     sums = F.explode(F.array(*[F.struct(F.lit(n).alias("n_rows"), F.col(f"rain_{n}").alias("rain")) for n in lengths]))
     made = made.withColumn("s", sums).select("*", "s.n_rows", "s.rain")
     shock = F.when(F.col("recent").isNull() | F.col("temp").isNull() | (F.col("temp") == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("recent") - F.col("temp")))
     made = made.select(
-        key, "n_rows", "last_date", F.month("last_date").alias("month"), F.bround("rain", 1).alias("cumulative_rain_mm"), F.bround("temp", 1).alias("soil_temp_c"),
+        key, "n_rows", "last_date", F.month("last_date").alias("month"), F.bround(F.round("rain", 6), 1).alias("cumulative_rain_mm"), F.bround("temp", 1).alias("soil_temp_c"),
         F.bround("moist", 3).alias("soil_moisture"), F.bround(F.round(shock, 6), 1).alias("thermal_shock_c"), "days_since_trigger",
     )
     return made.join(F.broadcast(profile.withColumn("n_rows", F.coalesce("dynamic_triggers.rain_window_days", F.lit(RAIN_ROWS)))), "n_rows").drop("n_rows")
@@ -93,7 +94,7 @@ def history(days: DataFrame, n_rows: int = RAIN_ROWS, key: str = "meteo_cell_id"
     })
     made = made.withColumn("trigger", F.last(F.when(F.col("precip_mm") >= TRIGGER_MM, F.col("rn")), True).over(past))
     shock = F.when(F.col("recent").isNull() | F.col("temp").isNull() | (F.col("temp") == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("recent") - F.col("temp")))
-    return made.select(key, "date", F.bround("rain", 1).alias("cumulative_rain_mm"), F.bround("temp", 1).alias("soil_temp_c"), F.bround("moist", 3).alias("soil_moisture"), F.bround(F.round(shock, 6), 1).alias("thermal_shock_c"), (F.col("rn") - F.col("trigger")).alias("days_since_trigger"))
+    return made.select(key, "date", F.bround(F.round("rain", 6), 1).alias("cumulative_rain_mm"), F.bround("temp", 1).alias("soil_temp_c"), F.bround("moist", 3).alias("soil_moisture"), F.bround(F.round(shock, 6), 1).alias("thermal_shock_c"), (F.col("rn") - F.col("trigger")).alias("days_since_trigger"))
 
 
 def phases(days: DataFrame, profile: DataFrame, key: str = "meteo_cell_id") -> DataFrame:

@@ -109,6 +109,9 @@ READY = f"""parts AS (SELECT f.*, l1, l2,
    CASE WHEN open AND days_since_trigger < l1 THEN round_even(l1 - days_since_trigger, 0)::INT END AS eta,
    CASE WHEN open AND days_since_trigger > l2 AND days_since_trigger <= 2 * l2 THEN round_even(days_since_trigger - l2, 0)::INT END AS days_past FROM phased)"""
 M = f"WITH {PROFILE}, {HOURLY}, {DAYS}, {FEATURES}, {READY}"
+RAIN = "round_even(round(rain, 6), 1)"  # a sum halfway between two tenths must not depend on the order of its terms
+DECIMAL_DAYS = DAYS.replace("avg(soil_temp)", "avg(soil_temp)::DECIMAL(18, 9)").replace("avg(soil_moist)", "avg(soil_moist)::DECIMAL(18, 9)").replace(", 6) AS soil", ", 6)::DOUBLE AS soil")
+EXACT = f"WITH {PROFILE}, {HOURLY}, {DECIMAL_DAYS}, {FEATURES.replace('round_even(rain, 1)', RAIN)}"
 SM = f"{S}, {HOURLY}, {DAYS}, {FEATURES}, {READY}"
 WCELL = "'m2200_' || floor(x / 2200.0)::BIGINT || '_' || floor(y / 2200.0)::BIGINT"
 ABOVE = "score::FLOAT > 0.4::FLOAT"
@@ -270,11 +273,11 @@ ORACLE_SQL: dict[str, str] = {
     "custom_weights": f"{S} SELECT species, round(avg(m_host * {_mean([('elevation', 2.0), ('aspect', 1.0), ('soil_ph', 1.0)])} * m_habitat_gate), 6) AS mean_score FROM members GROUP BY 1",
     "meteo_daily": f"{M} SELECT * FROM days",
     "meteo_asof": f"WITH {HOURLY}, {DAYS.replace('FROM hourly', AS_OF)} SELECT meteo_cell_id, count(*) AS n_days, max(date) AS last_date, round(sum(precip_mm), 4) AS rain FROM days GROUP BY 1",
-    "meteo_features": f"{M} SELECT meteo_cell_id, species, last_date, month, cumulative_rain_mm, soil_temp_c, soil_moisture, thermal_shock_c, days_since_trigger FROM features",
-    "meteo_history": f"""{M}, h AS (SELECT *, row_number() OVER w AS rn, sum(precip_mm) OVER (PARTITION BY meteo_cell_id ORDER BY date ROWS 14 PRECEDING) AS rain, last_value(soil_temp_c IGNORE NULLS) OVER w AS temp,
+    "meteo_features": f"{EXACT} SELECT meteo_cell_id, species, last_date, month, cumulative_rain_mm, soil_temp_c, soil_moisture, thermal_shock_c, days_since_trigger FROM features",
+    "meteo_history": f"""{EXACT}, h AS (SELECT *, row_number() OVER w AS rn, sum(precip_mm) OVER (PARTITION BY meteo_cell_id ORDER BY date ROWS 14 PRECEDING) AS rain, last_value(soil_temp_c IGNORE NULLS) OVER w AS temp,
         last_value(soil_moist IGNORE NULLS) OVER w AS moist, max(soil_temp_c) OVER (PARTITION BY meteo_cell_id ORDER BY date ROWS 9 PRECEDING) AS recent FROM days WINDOW w AS (PARTITION BY meteo_cell_id ORDER BY date ROWS UNBOUNDED PRECEDING)),
       h2 AS (SELECT *, last_value(CASE WHEN precip_mm >= 10 THEN rn END IGNORE NULLS) OVER (PARTITION BY meteo_cell_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS trig FROM h)
-      SELECT meteo_cell_id, date, round_even(rain, 1) AS cumulative_rain_mm, round_even(temp, 1) AS soil_temp_c, round_even(moist, 3) AS soil_moisture,
+      SELECT meteo_cell_id, date, {RAIN} AS cumulative_rain_mm, round_even(temp, 1) AS soil_temp_c, round_even(moist, 3) AS soil_moisture,
         round_even(round(CASE WHEN recent IS NULL OR temp IS NULL OR temp = 0 THEN 0.0 ELSE greatest(0.0, recent - temp) END, 6), 1) AS thermal_shock_c, rn - trig AS days_since_trigger FROM h2""",
     "readiness": f"{M} SELECT meteo_cell_id, species, round(readiness, 6) AS readiness, round(charge, 6) AS charge FROM ready",
     "readiness_breakdown": f"{M} SELECT meteo_cell_id, species, " + ", ".join(f"round(m_{c}, 6) AS m_{c}" for c in ("phenology", "moisture_gate", "rain", "soil_temp", "shock", "lag")) + " FROM ready",
@@ -392,7 +395,7 @@ ORACLE_SQL: dict[str, str] = {
     "polygon_repair_counters": "SELECT count(*) AS n_features, 0::BIGINT AS n_no_geometry, 0::BIGINT AS n_invalid, 0::BIGINT AS n_unnamed, count(*) FILTER (WHERE s_suppkey % 4 <> 3) AS n_repaired FROM supplier",
     "stream_daily": f"{M} SELECT * FROM days",
     "stream_phases": f"{M} SELECT species, meteo_cell_id, state, round_even(readiness, 3) AS readiness, round_even(charge, 3) AS charge, dst, eta, days_past FROM phases WHERE state IS NOT NULL",
-    "stream_features": f"{M} SELECT meteo_cell_id, species, last_date, month, cumulative_rain_mm, soil_temp_c, soil_moisture, thermal_shock_c, days_since_trigger FROM features",
+    "stream_features": f"{EXACT} SELECT meteo_cell_id, species, last_date, month, cumulative_rain_mm, soil_temp_c, soil_moisture, thermal_shock_c, days_since_trigger FROM features",
     "stream_gaps": f"{SM}, {CANDIDATES}, st AS (SELECT meteo_cell_id, max(date) AS last_date FROM days GROUP BY 1) SELECT meteo_cell_id, last_date FROM candidates LEFT JOIN st USING (meteo_cell_id) WHERE last_date IS NULL OR last_date < (SELECT max(date) FROM days) - 1",
     "stream_observations": f"WITH {OBS} SELECT id, species, phase, CASE WHEN x IS NOT NULL THEN 's100_' || floor(x / 100.0)::BIGINT || '_' || floor(y / 100.0)::BIGINT END AS static_cell_id, CASE WHEN x IS NOT NULL THEN {WCELL} END AS meteo_cell_id, error, CASE WHEN error IS NULL THEN 'clean' ELSE 'quarantine' END AS sink FROM cleaned",
     "hourly_feed": f"{M} SELECT * FROM days",

@@ -23,7 +23,7 @@ def daily_stream(hours: DataFrame, lateness: str = "3 days", ids: list[str] | No
     session time zone UTC, in which local hours map to them one to one."""
     once = hours.withColumn("time", F.col("time").cast("timestamp")).withWatermark("time", lateness).dropDuplicatesWithinWatermark(ids or ["event_id"])
     days = once.groupBy("meteo_cell_id", F.window("time", "1 day").alias("w")).agg(F.sum("precip").alias("precip_mm"), F.avg("soil_temp").alias("soil_temp_c"), F.avg("soil_moist").alias("soil_moist"), F.count("precip").alias("n"))
-    value = lambda c: F.col(c) if digits is None else F.round(c, digits).alias(c)
+    value = lambda c: F.col(c) if digits is None else F.round(F.round(c, digits + 3), digits).alias(c)
     return days.where("n > 0").select("meteo_cell_id", F.to_date("w.start").alias("date"), *[value(c) for c in ("precip_mm", "soil_temp_c", "soil_moist")])
 
 

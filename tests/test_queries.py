@@ -2,9 +2,11 @@
 
 import glob
 import os
+from decimal import ROUND_HALF_EVEN, Decimal
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from hyphaspark.plans import oracles, queries
@@ -66,3 +68,23 @@ def test_far_grids_like_sql(spark, duck, tmp_path, name):
     con = shifted(spark, duck, tmp_path, "orders", o_custkey=8 * 40 * (2270 if name == "grid_cells" else 2800))
     got = same(spark, con, tmp_path, name)
     assert max(r[1] for r in got) >= 10_000 if name == "grid_cells" else max(r[2] for r in got) >= 180
+
+
+@pytest.mark.parametrize("name", ["meteo_features", "meteo_history", "stream_features"])
+def test_sums_halfway_like_sql(spark, duck, tmp_path, name):
+    """Rain of days that sums up to halfway between two tenths, in doubles just below or above it by the order of the terms."""
+    rows, at = [], 0
+    for user in range(40):
+        for day in range(14):
+            for value in ((30 * (0.1 + day * 0.7)), 1.5 if day == 13 else 3.0 * user):
+                rows.append((at, f"2024-01-{day + 1:02d} 0{at % 7}:00:00", user, "view", value))
+                at += 1
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    df.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    con = duck.cursor()
+    con.execute(f"CREATE OR REPLACE TEMP VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'").fetchall()
+    got = same(spark, con, tmp_path, name)
+    if name == "meteo_history":  # a cell's last sum, exactly: thousandths, halves to even
+        sums = [sum(100 + 700 * d + (50 if d == 13 else 100 * user) for d in range(14)) for user in range(40)]
+        want = [float(Decimal(n).scaleb(-3).quantize(Decimal("0.1"), ROUND_HALF_EVEN)) for n in sums]
+        assert sorted({r[0]: r[2] for r in sorted(got, key=lambda r: r[:2])}.values()) == sorted(want)
