@@ -77,3 +77,23 @@ def test_null_rules(spark):
     none, one = F.lit(None).cast("double"), F.lit(1.0)
     v = spark.range(1).select(membership.band(none, one, one, 1.0).alias("band"), membership.ramp_up(none, one, 1.0).alias("ramp"), membership.ramp_up(F.lit(0.5), one, 1.0).alias("half"), membership.categorical("aspect", F.lit("warm"), F.lit(None).cast("string")).alias("cat"), membership.categorical("aspect", F.lit("odd"), F.lit("warm")).alias("odd")).first()
     assert tuple(v) == (0.5, 0.0, 0.5, 0.5, 0.0)
+
+
+def test_boyce_counts_points_first(spark):
+    """Points of one cell count as one row with their number, and validation gives what points one by one give."""
+    import random
+
+    from hyphaspark.operators import evaluate
+
+    rng = random.Random(5)
+    maps = spark.createDataFrame([(s, i, j, rng.random()) for s in ("a", "b") for i in range(8) for j in range(8)], "species string, i int, j int, score double")
+    pres = [(rng.choice("ab"), rng.uniform(-5, 85), rng.uniform(-5, 85)) for _ in range(200)]
+    bg = [(rng.uniform(-5, 85), rng.uniform(-5, 85)) for _ in range(600)]
+    of = {(r.species, r.i, r.j): r.score for r in maps.collect()}
+    cell = lambda x, y: (int((80 - y) // 10), int(x // 10))
+    points = [(s, "pres", of[s, *cell(x, y)]) for s, x, y in pres if (s, *cell(x, y)) in of] + [(s, "bg", of[s, *cell(x, y)]) for x, y in bg for s in "ab" if (s, *cell(x, y)) in of]
+    made = evaluate.validate(spark.createDataFrame(pres, "species string, x double, y double"), spark.createDataFrame(bg, "x double, y double"), maps, (0.0, 80.0), 10.0)
+    want = evaluate.boyce(spark.createDataFrame(points, "species string, kind string, score double"))
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [i#" in plan  # points of a cell are counted before the join
