@@ -110,8 +110,7 @@ READY = f"""parts AS (SELECT f.*, l1, l2,
    CASE WHEN open AND days_since_trigger > l2 AND days_since_trigger <= 2 * l2 THEN round_even(days_since_trigger - l2, 0)::INT END AS days_past FROM phased)"""
 M = f"WITH {PROFILE}, {HOURLY}, {DAYS}, {FEATURES}, {READY}"
 RAIN = "round_even(round(rain, 6), 1)"  # a sum halfway between two tenths must not depend on the order of its terms
-DECIMAL_DAYS = DAYS.replace("avg(soil_temp)", "avg(soil_temp)::DECIMAL(18, 9)").replace("avg(soil_moist)", "avg(soil_moist)::DECIMAL(18, 9)").replace(", 6) AS soil", ", 6)::DOUBLE AS soil")
-EXACT = f"WITH {PROFILE}, {HOURLY}, {DECIMAL_DAYS}, {FEATURES.replace('round_even(rain, 1)', RAIN)}"
+EXACT = f"WITH {PROFILE}, {HOURLY}, {DAYS}, {FEATURES.replace('round_even(rain, 1)', RAIN)}"
 SM = f"{S}, {HOURLY}, {DAYS}, {FEATURES}, {READY}"
 WCELL = "'m2200_' || floor(x / 2200.0)::BIGINT || '_' || floor(y / 2200.0)::BIGINT"
 ABOVE = "score::FLOAT > 0.4::FLOAT"
