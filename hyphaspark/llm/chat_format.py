@@ -6,9 +6,10 @@
 
 in blocks of ``BLOCK`` turn numbers, so that a conversation of any length is spread over many rows.
 ``expand`` explodes every assistant turn into an example of its own: its context is everything the
-conversation has before the reply (a prefix of the formatted text, given by its length, because
-written out the contexts of one conversation would grow with the square of its turns), and only the
-reply is trainable. ``with_context`` writes the contexts out for examples of one's choice.
+conversation has before the reply (a prefix of the formatted text, written out), and only the
+reply is trainable. The contexts of one conversation grow with the square of its turns by nature. They are made row by row
+behind the last exchange, so a task holds a conversation's text and one context at a time, and exchanges carry the text once;
+the time of a very long conversation, and the disk of examples that are written, still grow with the square.
 
 Control strings inside texts are escaped: ``<`` and ``|`` with k backslashes in between get k + 1 of
 them, so no text can hold a control string, and taking one away restores the text. A line feed in a
@@ -65,40 +66,48 @@ def format_turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     return blocks.select("conv_id", "block", text.alias("formatted"), spans.alias("replies"))
 
 
-def expand(formatted: DataFrame) -> DataFrame:
-    """One example per assistant turn: conv_id, block, start (of the reply in the block),
-    context_chars (what stands before it in the conversation), target_chars, target."""
+def expand(formatted: DataFrame, rest: bool = False) -> DataFrame:
+    """One example per assistant turn: conv_id, block, start (of the reply in the block), context (all that the conversation has
+    before the reply), new_bytes (how much of its end no earlier example has, in UTF-8), context_chars, target_chars, target.
+    With ``rest``, also a row without a target for what each block has after its last reply."""
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = formatted.select("conv_id", "block", F.length("formatted").alias("n")).withColumn("block_start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    examples = formatted.select("conv_id", "block", "formatted", F.explode("replies").alias("r")).select("conv_id", "block", F.col("r.start").alias("start"), F.substring("formatted", F.col("r.start") + 1, F.col("r.chars")).alias("target"))
-    before = before.select(F.col("conv_id").alias("of"), F.col("block").alias("at"), "block_start")
-    joined = examples.join(before, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
-    return joined.select("conv_id", "block", "start", (F.col("block_start") + F.col("start")).alias("context_chars"), F.length("target").alias("target_chars"), "target")
+    rows = formatted.withColumn("earlier", F.array_join(F.collect_list("formatted").over(earlier), "")).withColumn("block_start", F.length("earlier").cast("long"))
+    end = lambda r: r["start"] + r["chars"]
+    replies = F.transform("replies", lambda r, i: F.struct(r["start"].alias("start"), r["chars"].alias("chars"), F.coalesce(end(F.get("replies", i - 1)), F.lit(0)).alias("since")))
+    if rest:
+        last = F.struct(F.length("formatted").alias("start"), F.lit(None).cast("int").alias("chars"), F.coalesce(end(F.try_element_at("replies", F.lit(-1))), F.lit(0)).alias("since"))
+        replies = F.array_append(replies, last)
+    rows = rows.withColumn("r", F.explode(replies))
+    context = F.concat("earlier", F.substring("formatted", F.lit(1), F.col("r.start")))
+    new = F.octet_length(F.substring("formatted", F.col("r.since") + 1, F.col("r.start") - F.col("r.since")))
+    target = F.when(F.col("r.chars").isNotNull(), F.substring("formatted", F.col("r.start") + 1, F.col("r.chars")))
+    return rows.select("conv_id", "block", F.col("r.start").alias("start"), context.alias("context"), new.alias("new_bytes"), (F.col("block_start") + F.col("r.start")).alias("context_chars"), F.col("r.chars").alias("target_chars"), target.alias("target"))
 
 
 def with_context(examples: DataFrame, formatted: DataFrame) -> DataFrame:
-    """conv_id, context_chars, prompt, completion: the examples written out."""
-    parts = formatted.select(F.col("conv_id").alias("of"), F.col("block").alias("at"), "formatted")
-    met = examples.join(parts, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("at") <= F.col("block")))
-    piece = F.when(F.col("at") < F.col("block"), F.col("formatted")).otherwise(F.substring("formatted", F.lit(1), F.col("start")))
-    whole = met.groupBy("conv_id", "block", "start", "context_chars", "target").agg(F.array_sort(F.collect_list(F.struct("at", piece.alias("piece")))).alias("pieces"))
-    return whole.select("conv_id", "context_chars", F.array_join("pieces.piece", "").alias("prompt"), F.col("target").alias("completion"))
+    """conv_id, context_chars, prompt, completion: the examples under the names of a trainer's columns."""
+    return examples.where("target IS NOT NULL").select("conv_id", "context_chars", F.col("context").alias("prompt"), F.col("target").alias("completion"))
+
+
+def _turns(text: Column) -> Column:
+    parts = F.filter(F.split(text, r"<\|im_end\|>\n", -1), lambda p: p != "")
+    head = lambda p: F.substring_index(p, "\n", 1)
+    return F.transform(parts, lambda p: F.struct(_unescape_role(F.substring(head(p), F.lit(len(START) + 1), F.length(p))).alias("role"), unescape(F.substring(p, F.length(head(p)) + 2, F.length(p))).alias("text")))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, block, turns (array of role and text), parsed from the formatted text alone."""
-    parts = F.filter(F.split("formatted", r"<\|im_end\|>\n", -1), lambda p: p != "")
-    head = lambda p: F.substring_index(p, "\n", 1)
-    return formatted.select("conv_id", "block", F.transform(parts, lambda p: F.struct(_unescape_role(F.substring(head(p), F.lit(len(START) + 1), F.length(p))).alias("role"), unescape(F.substring(p, F.length(head(p)) + 2, F.length(p))).alias("text"))).alias("turns"))
+    return formatted.select("conv_id", "block", _turns(F.col("formatted")).alias("turns"))
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """One row per conversation: digests of the turns and of the trainable text, read from the output."""
-    turns = read_back(formatted).select("conv_id", "block", F.lit(-1).alias("start"), F.size("turns").alias("n"), F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "").alias("piece"))
-    sizes = formatted.select("conv_id", F.length("formatted").alias("chars"))
-    replies = expand(formatted).select("conv_id", "block", "start", F.lit(0).alias("n"), unescape(F.col("target")).alias("piece"))
-    both = turns.withColumn("chars", F.lit(0)).unionByName(replies.withColumn("chars", F.lit(0))).unionByName(sizes.select("conv_id", F.lit(0).cast("long").alias("block"), F.lit(-2).alias("start"), F.lit(0).alias("n"), F.lit("").alias("piece"), "chars"))
-    part = lambda cond: F.array_join(F.array_sort(F.collect_list(F.when(cond, F.struct("block", "start", "piece"))))["piece"], "")
-    made = both.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), part(F.col("start") == -1).alias("t"), part(F.col("start") >= 0).alias("l"), F.sum("chars").alias("formatted_chars"))
-    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
-    return made.select("conv_id", "n_turns", sha("t").alias("turns_sha256"), F.length("l").cast("long").alias("loss_chars"), sha("l").alias("loss_sha256"), "formatted_chars")
+    """One row per conversation: digests of the turns and of the trainable text, read from the examples. What each context adds to
+    the one before, each target, and what follows the last one make the conversation again."""
+    new = F.substring(F.col("context").cast("binary"), -F.col("new_bytes"), F.col("new_bytes")).cast("string")  # bytes are not counted through
+    pieces = expand(formatted, rest=True).select("conv_id", F.struct("block", "start", F.coalesce("target_chars", F.lit(0)).alias("chars"), F.concat(new, F.coalesce("target", F.lit(""))).alias("piece")).alias("p"))
+    made = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    loss = F.array_join(F.transform("ps", lambda p: unescape(F.right(p["piece"], p["chars"]))), "")
+    made = made.select("conv_id", F.array_join("ps.piece", "").alias("text"), loss.alias("loss")).withColumn("turns", _turns(F.col("text")))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("conv_id", F.size("turns").cast("long").alias("n_turns"), sha(turns).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), sha(F.col("loss")).alias("loss_sha256"), F.length("text").cast("long").alias("formatted_chars"))

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from hyphaspark.llm import chat_format
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -42,3 +44,26 @@ def test_digest(spark):
             want.append((text, escape(body)))
         text += escape(body) + "<|im_end|>\n"
     assert [(e.prompt, e.completion) for e in examples] == want
+
+
+def test_every_example_has_its_context(spark):
+    """Prefixes written out, over blocks too; the digest is read from them."""
+    rows = [(c, t, "assistant" if (t + c) % 3 == 0 else "user", f"é{c} {t} <|") for c in range(6) for t in range(0, 30 + 70 * c)] + [(None, 1, "assistant", ""), (7, 0, "user", "no reply")]
+    formatted = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
+    want, text = [], {}
+    for conv, _, role, body in sorted(rows, key=lambda r: (r[0] or -1, r[1])):
+        text[conv] = text.get(conv, "") + f"<|im_start|>{role}\n"
+        if role == "assistant":
+            want.append((conv, text[conv], escape(body)))
+        text[conv] += escape(body) + "<|im_end|>\n"
+    got = chat_format.expand(formatted)
+    assert sorted(((r.conv_id, r.context, r.target) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert got.where("length(context) <> context_chars OR length(target) <> target_chars").count() == 0
+    spoiled = chat_format.expand
+    try:
+        chat_format.expand = lambda f, rest=False: spoiled(f, rest).withColumn("context", F.translate("context", "é", "e"))
+        bad = {r.conv_id: r.turns_sha256 for r in chat_format.digest(formatted).collect()}
+    finally:
+        chat_format.expand = spoiled
+    good = {r.conv_id: r.turns_sha256 for r in chat_format.digest(formatted).collect()}
+    assert [c for c in range(6) if bad[c] == good[c]] == [] and bad[7] == good[7]
