@@ -175,15 +175,17 @@ def _linked(key, rows):
 
 def repaired(shapes: DataFrame) -> DataFrame:
     """poly_id, rings (of which an even number around a point means outside), changed. ``shapes`` has a poly_id of its own in each row,
-    and parts. Shapes of which nothing is left drop out. Shapes and cuts are checkpointed, as several joins read them."""
+    and parts. Shapes of which nothing is left drop out. Equal shapes are repaired once. Shapes and cuts are staged, as several joins read them."""
     kept = F.filter(F.transform("parts", lambda p: F.concat(F.filter(F.slice(p, 1, 1), usable), F.when(usable(F.get(p, F.lit(0))), F.filter(F.slice(p, F.lit(2), F.size(p)), usable)).otherwise(F.array().cast(_RINGS)))), lambda p: F.size(p) > 0)
-    folders.shared_dir(shapes.sparkSession)
-    clean = shapes.select("poly_id", kept.alias("parts"), F.size(F.flatten("parts")).alias("n_rings")).where(F.size("parts") > 0).checkpoint()
-    edges = _with_size(_edges(clean), clean)
-    found = cuts(edges).checkpoint()  # read twice
-    wrong = found.select("poly_id").unionByName(may_nest(clean)).distinct()
+    clean = shapes.select("poly_id", kept.alias("parts"), F.size(F.flatten("parts")).alias("n_rings")).where(F.size("parts") > 0)
+    clean = folders.staged(clean.withColumn("same", F.min("poly_id").over(Window.partitionBy("parts"))))
+    one = clean.where("poly_id = same")
+    edges = _with_size(_edges(one), one)
+    found = folders.staged(cuts(edges))  # read twice
+    wrong = found.select("poly_id").unionByName(may_nest(one)).distinct()
     some = edges.join(wrong, "poly_id", "left_semi")
     again = borders(pieces(some, found)).groupBy("poly_id").applyInPandas(_linked, f"poly_id long, rings {_RINGS}")
-    rest = clean.join(wrong, "poly_id", "left_anti")
+    again = clean.select("poly_id", "same").join(again.withColumnRenamed("poly_id", "same"), "same").drop("same")
+    rest = clean.join(wrong.withColumnRenamed("poly_id", "same"), "same", "left_anti")
     dropped = F.size(F.flatten("parts")) < F.col("n_rings")
     return rest.select("poly_id", F.flatten("parts").alias("rings"), dropped.alias("changed")).unionByName(again.where("size(rings) > 0").withColumn("changed", F.lit(True)))

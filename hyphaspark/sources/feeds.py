@@ -64,8 +64,7 @@ def polygon_pages(pages: DataFrame, name_field: str, keep_unnamed: bool = False,
 def shapes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(polygons, counters) of rows with poly_id, attr, has_geometry and parts: see ``polygon_pages``."""
     named = rows.where("has_geometry AND attr IS NOT NULL AND parts IS NOT NULL").groupBy("poly_id").agg(F.min(F.struct("attr", "parts")).alias("p")).select("poly_id", "p.*")
-    folders.shared_dir(rows.sparkSession)
-    named = named.checkpoint()  # pages are parsed once
+    named = folders.staged(named)  # pages are parsed once
     made = named.select("poly_id", "attr").join(repair.repaired(named), "poly_id")
     seen = rows.agg(F.count("*").alias("n_features"), F.count_if(~F.col("has_geometry")).alias("n_no_geometry"), F.count_if(F.col("attr").isNull()).alias("n_unnamed"), F.count_if(F.col("has_geometry") & F.col("attr").isNotNull() & F.col("parts").isNull()).alias("odd"))
     left = named.select("poly_id").join(made.select("poly_id", "changed"), "poly_id", "left").agg(F.count_if(F.col("changed").isNull()).alias("empty"), F.count_if("changed").alias("n_repaired"))

@@ -167,3 +167,32 @@ def segment(x, y, a, b):
     d = np.subtract(b, a)
     t = 0.0 if not d.any() else max(0.0, min(1.0, float(np.dot(np.subtract((x, y), a), d) / np.dot(d, d))))
     return float(np.hypot(*(np.add(a, t * d) - (x, y))))
+
+
+def test_piles_of_polygons_leave_few_rows_a_bin(spark):
+    """300 polygons over each other, most of them alike or beneath a smaller id that covers the bin; the smallest id still counts."""
+    ring = lambda x, y, a: [(x + a, y), (x, y + a), (x - a, y), (x, y - a), (x + a, y)]
+    rows = [(k, "a", "tn", [ring(50.0 + 3 * (k % 2), 50.0, 20.0 + k % 3) if k % 7 else ring(50.0, 50.0, 60.0)]) for k in range(10, 310)]
+    rows += [(400 + k, "b", "tn", [ring(50.0, 50.0, 61.0 + k / 8)]) for k in range(200)]
+    polys = spark.createDataFrame(rows, "poly_id long, attr string, region string, rings array<array<struct<x: double, y: double>>>")
+    bins = vectors.parity_bins(polys, 10.0)
+    assert bins.groupBy("bin_x", "bin_y").count().agg(F.max("count")).first()[0] > 250
+    few = vectors.least_bins(bins)
+    assert few.where("bin_x BETWEEN 3 AND 6 AND bin_y BETWEEN 3 AND 6").groupBy("bin_x", "bin_y").count().agg(F.max("count")).first()[0] <= 7
+    points = [(i, 0.37 + i * 7.3 % 100, 0.41 + i * 3.7 % 100) for i in range(300)]
+    got = {r.k: r.poly_id for r in vectors.containing(spark.createDataFrame(points, "k long, x double, y double"), polys, "k", 10.0).collect()}
+    hold = lambda r, x, y: abs(x - (r[0][0] + r[2][0]) / 2) + abs(y - r[0][1]) < r[0][0] - r[1][0]
+    want = {k: min(ids) for k, x, y in points if (ids := [p[0] for p in rows if hold(p[3][0], x, y)])}
+    assert got == want
+    mask = vectors.masked(spark.createDataFrame(points, "k long, x double, y double"), polys, ["k"], 10.0)
+    assert sorted(r.k for r in mask.collect()) == sorted(want)
+
+
+def test_equal_shapes_are_repaired_once(spark, monkeypatch):
+    bow = [(0.0, 0.0), (3.0, 3.0), (3.0, 1.0), (0.0, 4.0), (0.0, 0.0)]
+    rows = [(k, [[bow]]) for k in range(5, 45)] + [(99, [[[(x + 9.0, y) for x, y in bow]]]), (100, [[[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]]])]
+    seen, cuts = [], repair.cuts
+    monkeypatch.setattr(repair, "cuts", lambda e: (seen.append(e.select("poly_id").distinct().count()), cuts(e))[1])
+    got = {r.poly_id: r for r in repair.repaired(spark.createDataFrame(rows, f"poly_id long, parts {repair.PARTS}")).collect()}
+    assert seen == [3] and len(got) == 42
+    assert all(got[k].rings == got[5].rings and got[k].changed for k in range(5, 45)) and got[99].changed and not got[100].changed
