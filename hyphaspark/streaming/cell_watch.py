@@ -105,21 +105,25 @@ class CellWatch(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle, self.cell = handle, handle.getValueState("cell", STATE)
 
-    def _load(self) -> tuple[Buffer, bool]:
-        row = self.cell.get() if self.cell.exists() else None
+    def _load(self) -> tuple[Buffer, bool, int | None]:
+        """The buffer, whether the cell is reported as stale, and its timer: a cell has one until it is reported."""
+        row = self.cell.get()
         if row is None:
-            return Buffer(), False
+            return Buffer(), False, None
         values = [list(v or []) for v in row[:4]]
-        return Buffer(*values, *row[4:7]), bool(row[7])
+        return Buffer(*values, *row[4:7]), bool(row[7]), None if row[7] else due(values[0][0]) if values[0] else 1
 
     def _save(self, b: Buffer, alerted: bool) -> None:
         self.cell.update((b.day, b.precip, b.temp, b.moist, b.older_temp, b.older_moist, b.older_since, alerted))
 
-    def _watch(self, last_day: int | None) -> None:
-        """One timer for a cell: at the beginning of the second day after its last one; at once without any."""
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        self.handle.registerTimer(1 if last_day is None else due(last_day))
+    def _watch(self, last_day: int | None, old: int | None = None) -> None:
+        """One timer for a cell: at the beginning of the second day after its last one; at once without any. ``old`` is the one there."""
+        at = 1 if last_day is None else due(last_day)
+        if old == at:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
 
     def _rows(self, key, rows: list[dict]) -> pd.DataFrame:
         return pd.DataFrame([{self.key: key[0], **dict.fromkeys(self.columns), **r} for r in rows], columns=[self.key, *self.columns], dtype=object)
@@ -132,10 +136,10 @@ class CellWatch(StatefulProcessor):
         self._watch(b.day[0] if b.day else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        b, alerted = self._load()
+        b, alerted, timer = self._load()
         latest: dict[int, tuple] = {}
         for part in rows:
-            for r in part[["day", "batch", "precip_mm", "soil_temp_c", "soil_moist"]].itertuples(index=False, name=None):
+            for r in zip(*(part[c] for c in ("day", "batch", "precip_mm", "soil_temp_c", "soil_moist")), strict=True):
                 if r[0] not in latest or latest[r[0]][1] <= r[1]:
                     latest[r[0]] = r
         out = []
@@ -148,12 +152,12 @@ class CellWatch(StatefulProcessor):
             alerted = due(last) <= timerValues.getCurrentWatermarkInMs()
             out.append({"kind": "stale" if alerted else "fresh", "last_day": last})
         if not alerted:
-            self._watch(last)
+            self._watch(last, timer)
         self._save(b, alerted)
         yield self._rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        b, _ = self._load()
+        b, *_ = self._load()
         self._save(b, True)
         yield self._rows(key, [{"kind": "stale", "last_day": b.day[0] if b.day else None}])
 

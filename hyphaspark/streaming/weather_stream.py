@@ -33,9 +33,13 @@ def run_archive(hours: DataFrame, path: str, checkpoint: str, available_now: boo
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        weather.write_upsert(spark, path, batch.withColumn("batch", F.lit(number)))
-        last = max(archive.current(spark, path)[1], default=None)
-        _logged(batch.withColumn("now", F.lit(last).cast("timestamp")), f"{path}/changes", number)
+        batch = batch.persist()  # the dates, the archive and the log read it, and the stream's states are gone through once
+        try:
+            weather.write_upsert(spark, path, batch.withColumn("batch", F.lit(number)))
+            last = max(archive.current(spark, path)[1], default=None)
+            _logged(batch.withColumn("now", F.lit(last).cast("timestamp")), f"{path}/changes", number)
+        finally:
+            batch.unpersist()
 
     writer = daily_stream(hours, digits=digits).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

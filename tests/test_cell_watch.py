@@ -156,3 +156,53 @@ def test_two_writers(spark, tmp_path):
         archive.switch(spark, path, version, {})
     assert archive.current(spark, path) == (version, folders) and json.dumps(folders)
     assert archive.read(spark, str(tmp_path / "none"), DAYS).count() == 0
+
+
+class _Handle:
+    """Counts what a processor asks of the state server."""
+
+    def __init__(self):
+        self.state, self.timers, self.asked = None, set(), []
+
+    def __getattr__(self, name):
+        def ask(*args):
+            self.asked.append(name)
+            if name == "get":
+                return self.state
+            if name == "update":
+                self.state = args[0]
+            if name in ("registerTimer", "deleteTimer"):
+                (self.timers.add if name == "registerTimer" else self.timers.remove)(args[0])
+            return self if name == "getValueState" else None
+
+        return ask
+
+
+def test_a_cell_asks_the_state_server_little():
+    """Its timer is known from its state: only one that moves is told, and none is listed."""
+    import pandas as pd
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    handle, processor = _Handle(), cell_watch.CellWatch([15])
+    processor.init(handle)
+    seen = []
+    for day in (100, 99, 101, 101):
+        handle.asked.clear()
+        rows = pd.DataFrame({"day": [day], "batch": [0], "precip_mm": [1.0], "soil_temp_c": [None], "soil_moist": [0.2]})
+        list(processor.handleInputRows(("c",), iter([rows]), Now()))
+        seen.append(list(handle.asked))
+    assert seen == [["get", "registerTimer", "update"], ["get", "update"], ["get", "deleteTimer", "registerTimer", "update"], ["get", "update"]]
+    assert handle.timers == {cell_watch.due(101)}
+
+
+def test_a_batch_is_made_once(spark, tmp_path, monkeypatch):
+    """The upsert and the log read the same kept rows, which are released."""
+    kept, upsert = [], weather_stream.weather.write_upsert
+    monkeypatch.setattr(weather_stream.weather, "write_upsert", lambda s, p, batch, *a: (kept.append("InMemory" in batch._jdf.queryExecution().withCachedData().toString()), upsert(s, p, batch, *a)))
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    spark.sql("SELECT 1L AS event_id, 'c' AS meteo_cell_id, timestamp_ntz'2024-01-01 05:00:00' AS time, 1.0D AS precip, 2.0D AS soil_temp, 0.1D AS soil_moist").write.parquet(f"{tmp_path}/in")
+    weather_stream.run_archive(spark.readStream.schema(weather_stream.SCHEMA).parquet(f"{tmp_path}/in"), f"{tmp_path}/archive", f"{tmp_path}/checkpoint").awaitTermination()
+    assert kept and all(kept) and spark.sparkContext._jsc.getPersistentRDDs().size() == before
