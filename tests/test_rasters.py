@@ -175,3 +175,37 @@ def test_terrain_at_sends_a_point_once(spark):
     assert got.keys() == want.keys() and len(want) > 20
     assert all(got[k][0] == v[0] and abs(got[k][1] - v[1]) <= 0.0501 for k, v in want.items())
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") <= 2  # the bins of tiles alone
+
+
+def sent_rows(spark, run):
+    """Rows that the stages of ``run`` wrote to be exchanged."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    old = {(x.stageId(), x.attemptId()) for x in (stages().apply(k) for k in range(stages().size()))}
+    run()
+    found = stages()
+    return sum(x.shuffleWriteRecords() for x in (found.apply(k) for k in range(found.size())) if (x.stageId(), x.attemptId()) not in old)
+
+
+def test_cover_sends_blocks_and_not_pixels(spark):
+    """Pixels become bits before they are sent; tiles that are no whole blocks, rows and pixels that are not there and windows over several blocks count alike."""
+    rng = np.random.default_rng(5)
+    ny, nx, d, half = 150, 90, 0.0001, 0.004
+    cover = rng.choice([0, 10, 30, 50], (4, ny, nx), p=[0.2, 0.4, 0.3, 0.1])
+    cover[:, 10:20], cover[:, 70, :], cover[:, :, 88:] = 0, 0, 0
+    rows = [(t, r, c, cover[t, r, c].item()) for t in range(4) for r in range(ny) for c in range(nx) if not (10 <= r < 20 or r == 70 or c >= 88)]
+    pixels = spark.createDataFrame(rows, "tile int, row int, col int, landcover int").coalesce(4).cache()
+    tiles = spark.createDataFrame([(t, 11.0 + t, 46.0, d, d, nx, ny) for t in range(4)], "tile int, x0 double, y0 double, dx double, dy double, nx int, ny int")
+    points = [(k, 11.0 + k % 4 + float(rng.uniform(0, nx * d)), 46.0 - float(rng.uniform(0, ny * d))) for k in range(300)]
+    placed = rasters.on_tiles(spark.createDataFrame(points, "k int, lon double, lat double"), tiles, "k")
+    assert placed._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # points and tiles, each once
+    placed = placed.cache()
+    assert placed.count() == 300 and pixels.count() == len(rows)
+    got = {}
+    run = lambda: got.update({r.k: (r.forest_fraction, r.grassland_fraction) for r in rasters.cover_at(placed, rasters.summed_area(pixels), "k", half).collect()})
+    assert sent_rows(spark, run) < len(rows) / 5
+    for k, lon, lat in points:
+        part = cover[k % 4][np.abs(46.0 - (np.arange(ny) + 0.5) * d - lat) <= half][:, np.abs(11.0 + k % 4 + (np.arange(nx) + 0.5) * d - lon) <= half]
+        known = np.count_nonzero(part)
+        assert got[k] == (np.count_nonzero(part == 10) / known, np.count_nonzero(part == 30) / known), k
+    assert len(got) == 300
