@@ -196,3 +196,16 @@ def test_equal_shapes_are_repaired_once(spark, monkeypatch):
     got = {r.poly_id: r for r in repair.repaired(spark.createDataFrame(rows, f"poly_id long, parts {repair.PARTS}")).collect()}
     assert seen == [3] and len(got) == 42
     assert all(got[k].rings == got[5].rings and got[k].changed for k in range(5, 45)) and got[99].changed and not got[100].changed
+
+
+def test_equal_polygons_count_as_one(spark):
+    """Of polygons with the same rings the smallest id is left. Rows of one id are one polygon, so an id with a ring twice holds nothing there."""
+    rows = [(k, "a", "tn", [box(0.0, 0.0, 10.0, 10.0), box(2.0, 2.0, 4.0, 4.0)][:: 1 if k % 2 else -1]) for k in range(5, 205)]
+    rows += [(1, "b", "tn", [box(0.0, 0.0, 10.0, 10.0)]), (1, "b", "tn", [box(0.0, 0.0, 10.0, 10.0)]), (2, "c", "tn", [box(20.0, 0.0, 30.0, 10.0)]), (2, "c", "tn", [box(24.0, 0.0, 30.0, 10.0)])]
+    rows += [(3, "d", "tn", [box(20.0, 0.0, 30.0, 10.0)])]
+    polys = spark.createDataFrame(rows, RINGS)
+    assert {r.poly_id: (r.attr, len(r.rings)) for r in vectors.alike(polys).collect()} == {1: ("b", 2), 2: ("c", 2), 3: ("d", 1), 5: ("a", 2)}
+    points = spark.createDataFrame([(1, 1.1, 1.2), (2, 3.1, 3.3), (3, 22.1, 3.3), (4, 26.1, 3.3), (5, 15.0, 5.1)], "k int, x double, y double")
+    found = vectors.located(points, polys, "k", 6.0, 7.0)
+    assert {r.k: (r.poly_id, r.fallback) for r in found.collect()} == {1: (5, False), 2: (5, True), 3: (2, False), 4: (3, False), 5: (1, True)}
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()

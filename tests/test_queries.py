@@ -88,3 +88,9 @@ def test_sums_halfway_like_sql(spark, duck, tmp_path, name):
         sums = [sum(100 + 700 * d + (50 if d == 13 else 100 * user) for d in range(14)) for user in range(40)]
         want = [float(Decimal(n).scaleb(-3).quantize(Decimal("0.1"), ROUND_HALF_EVEN)) for n in sums]
         assert sorted({r[0]: r[2] for r in sorted(got, key=lambda r: r[:2])}.values()) == sorted(want)
+
+
+def test_layers_are_not_broadcast(spark):
+    """Pixels and bins of polygons look as small as the tables that they are made of: only the profiles and the number of tiles go to all executors."""
+    plan = queries.suitability_at(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("BroadcastExchange") == 3
